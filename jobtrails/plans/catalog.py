@@ -1,0 +1,53 @@
+"""Registered queries: one callable ``(spark, sf_dir) -> DataFrame`` per
+operator of the inventory, wired to the adapter views.
+
+Every query reads the driver tables (through the views), so its work grows
+with them.  Output columns are aliased and typed to match the oracle SQL.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from jobtrails.operators import transitions as TR
+from jobtrails.sources import tables as V
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(name: str):
+    def deco(fn):
+        QUERIES[name] = fn
+        return fn
+    return deco
+
+
+def _t(spark: SparkSession, sf_dir: str) -> V.Tables:
+    return V.Tables(spark, sf_dir)
+
+
+# ---------------------------------------------------------------- E1, E2, E12
+@query("transition_counts")
+def q_transition_counts(spark, sf_dir):
+    return TR.transition_counts(V.titles_v(_t(spark, sf_dir)))
+
+
+@query("transition_probs")
+def q_transition_probs(spark, sf_dir):
+    ev = V.events_v(_t(spark, sf_dir))
+    counts = TR.transition_counts(ev, order=["pos"])
+    k = ev.where(F.col("title").isNotNull()).agg(F.count_distinct("title").alias("k")).first()["k"]
+    return TR.transition_probs(counts, num_states=k)
+
+
+@query("next_title_top3")
+def q_next_title_top3(spark, sf_dir):
+    return TR.next_title_top3(V.events_v(_t(spark, sf_dir)))
+
+
+# Queries checked by invariants (tests) rather than by an SQL oracle:
+# iterative or randomised models.
+ROWS_ONLY: set[str] = set()

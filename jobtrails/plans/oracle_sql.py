@@ -1,0 +1,132 @@
+"""DuckDB oracle SQL for the registered queries.
+
+Each oracle is written independently of the Spark plan (lists and
+correlated sub-queries where the Spark side uses running windows), over the
+same adapter views, which are spelled out here as CTE text.
+"""
+
+from __future__ import annotations
+
+VIEWS = {
+    "jobs_v": """
+select concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) as job_id,
+       o_custkey as person_id,
+       row_number() over (partition by o_custkey
+                          order by l_orderkey, l_linenumber, l_partkey, l_suppkey) as pos,
+       case when (l_orderkey + l_linenumber) % 11 = 0 then null
+            else cast(date_trunc('month', least(o_orderdate, l_shipdate)) as date) end as start_dt,
+       case when (l_orderkey + l_partkey) % 7 = 0 then null
+            else cast(date_trunc('month', greatest(o_orderdate, l_shipdate)) as date) end as end_dt,
+       s_name as company, p_name as title, lower(p_type) as location
+from lineitem
+join orders on l_orderkey = o_orderkey
+join part on l_partkey = p_partkey
+join supplier on l_suppkey = s_suppkey""",
+    "titles_v": """
+select person_id, pos, cast(year(start_dt) as bigint) as start_year,
+       case when pos % 9 = 0 then null
+            else concat(title, ' (', location, ') #', cast(pos as varchar)) end as title
+from jobs_v""",
+    "events_v": """
+select user_id as person_id,
+       row_number() over (partition by user_id order by ts, event_id) as pos,
+       event_id as job_id, event_type as title, value
+from events""",
+    "docs_v": """
+select doc_id as job_id, source as person_id,
+       row_number() over (partition by source order by doc_id) as pos, text as description, lang
+from documents""",
+    "topics_v": """
+select vec_id as job_id, cast(floor(vec_id / 5) as bigint) as person_id, vec_id % 5 as pos,
+       list_transform(embedding, lambda x: cast(abs(x) as double)) as embedding, label as state
+from embeddings""",
+    "trace_v": """
+select job_id % 20 as iter, title as s1, s2, count(*) as n
+from (select job_id, title, lead(title) over (partition by person_id order by pos) as s2
+      from events_v) t
+where s2 is not null group by job_id % 20, title, s2""",
+    "cust_v": """
+select c_custkey as resume_id, c_mktsegment as currency, c_acctbal as salary,
+       c_nationkey as state_id from customer""",
+    "locs_v": """
+select c_custkey as job_id, loc as location
+from customer join (values (0,'boston ma'),(1,'new york new york'),(2,'New York, NY'),
+ (3,'austin texas usa'),(4,'chapel hill north carolina'),(5,'old hickorytn'),(6,'paris'),
+ (7,'chapelhill nc'),(8,''),(9,' san juan puerto rico '),(10,'washington dc'),
+ (11,'charleston west virginia')) v(k, loc)
+ on c_custkey % 12 = k""",
+    "topic_words_v": """
+select l_partkey % 64 as topic, p_name as word, count(*) as n
+from lineitem join part on l_partkey = p_partkey group by l_partkey % 64, p_name""",
+    "addr_v": """
+select cast(n_nationkey as bigint) as job_id, addr as address
+from nation join (values (0,'Amherst, Hampshire, Massachusetts, 01002, USA'),
+ (1,'Amherst, Hampshire, Massachusetts, USA'),
+ (2,'Austin, Texas, USA'),(3,'Paris, France'),(4,'Canada')) v(k, addr) on n_nationkey % 5 = k""",
+}
+
+# which views each view needs first
+_DEPS = {"titles_v": ["jobs_v"], "trace_v": ["events_v"]}
+
+
+def with_views(body: str, *views: str) -> str:
+    """Prefix ``body`` with the CTEs for ``views`` (and their dependencies)."""
+    order: list[str] = []
+
+    def add(v: str) -> None:
+        for d in _DEPS.get(v, []):
+            add(d)
+        if v not in order:
+            order.append(v)
+
+    for v in views:
+        add(v)
+    if not order:
+        return body.strip()
+    ctes = ",\n".join(f"{v} as ({VIEWS[v]}\n)" for v in order)
+    body = body.strip()
+    if body.lower().startswith("with "):
+        return f"with {ctes},\n{body[5:]}"
+    return f"with {ctes}\n{body}"
+
+
+ORACLES: dict[str, str] = {}
+
+
+def add(name: str, body: str, *views: str) -> None:
+    ORACLES[name] = with_views(body, *views)
+
+
+# ---------------------------------------------------------------- E1, E2, E12
+add("transition_counts", """
+select title, next_title, count(*) as n
+from (select title, lead(title) over w as next_title, lead(1) over w as has_next
+      from titles_v
+      window w as (partition by person_id
+                   order by cast(start_year as varchar) nulls first, title nulls first)) t
+where has_next is not null
+group by title, next_title""", "titles_v")
+
+_EVENT_COUNTS = """
+c as (select title, next_title, count(*) as n
+      from (select title, lead(title) over w as next_title, lead(1) over w as has_next
+            from events_v window w as (partition by person_id order by pos)) t
+      where has_next is not null group by title, next_title),
+k as (select count(distinct title) as k from events_v where title is not null)"""
+
+add("transition_probs", f"""
+with {_EVENT_COUNTS}
+select c.title, c.next_title, c.n,
+       round((cast(c.n as double) + 1) / (sum(c.n) over (partition by c.title) + cast(k.k as double)), 6) as prob,
+       round(1 / (sum(c.n) over (partition by c.title) + cast(k.k as double)), 6) as prob_unseen
+from c, k""", "events_v")
+
+add("next_title_top3", f"""
+with {_EVENT_COUNTS},
+p as (select c.title, c.next_title, c.n,
+             round((cast(c.n as double) + 1) / (sum(c.n) over (partition by c.title) + cast(k.k as double)), 6) as prob
+      from c, k),
+r as (select *, row_number() over (partition by title order by n desc, next_title asc nulls first) as rnk from p),
+asked as (select distinct title from events_v where title is not null)
+select a.title, cast(r.rnk as bigint) as rank, r.next_title, r.n, r.prob
+from asked a left join (select * from r where rnk <= 3) r on a.title = r.title""", "events_v")
