@@ -51,3 +51,169 @@ def q_next_title_top3(spark, sf_dir):
 # Queries checked by invariants (tests) rather than by an SQL oracle:
 # iterative or randomised models.
 ROWS_ONLY: set[str] = set()
+
+
+# ---------------------------------------------------------------- B: scalar functions
+from jobtrails.functions import dates as DT  # noqa: E402
+from jobtrails.functions import location as LOC  # noqa: E402
+from jobtrails.functions import text as TX  # noqa: E402
+from jobtrails.operators import sequences as SQ  # noqa: E402
+
+
+def _fingerprint(tokens) -> list:
+    """Token count and digest of a whole token list (order-sensitive)."""
+    return [F.size(tokens).cast("bigint").alias("n_tokens"),
+            F.md5(F.array_join(tokens, " ")).alias("tokens_md5")]
+
+
+@query("clean_name")
+def q_clean_name(spark, sf_dir):
+    p = V.pages_v(_t(spark, sf_dir))
+    return p.select("page_id", TX.clean_name(F.col("html")).alias("clean_html"),
+                    TX.clean_name(F.col("url")).alias("clean_url"))
+
+
+@query("company_key")
+def q_company_key(spark, sf_dir):
+    j = V.jobs_v(_t(spark, sf_dir))
+    loc = F.when(F.col("pos") % 4 == 0, F.lit(" \t")).otherwise(F.col("location"))
+    key = TX.company_key(F.col("company"), loc)
+    j = j.select("job_id", key.alias("company_key"))
+    company, location = TX.split_company_key(F.col("company_key"))
+    return j.select("job_id", "company_key", company.alias("company"), location.alias("location"))
+
+
+@query("make_month_date")
+def q_make_month_date(spark, sf_dir):
+    j = V.jobs_v(_t(spark, sf_dir))
+    y = F.when(F.col("pos") % 3 == 0, F.year("start_dt") - 1900).otherwise(F.year("start_dt"))
+    m = (F.month("start_dt") + F.col("pos")) % 14
+    return j.select("job_id", DT.make_month_date(y.cast("string"), m.cast("string")).alias("d"))
+
+
+@query("clean_title")
+def q_clean_title(spark, sf_dir):
+    t = V.titles_v(_t(spark, sf_dir))
+    return t.select("person_id", "pos", TX.clean_title(F.col("title")).alias("clean"),
+                    TX.clean_title_loose(F.col("title")).alias("clean_loose"))
+
+
+@query("stint_years")
+def q_stint_years(spark, sf_dir):
+    j = V.jobs_v(_t(spark, sf_dir)).where(F.col("start_dt").isNotNull() & F.col("end_dt").isNotNull())
+    s, e = F.col("start_dt"), F.col("end_dt")
+    return j.select("job_id", F.round(DT.stint_years(s, e), 6).alias("years"),
+                    DT.stint_years_text(s, e).alias("years_text"))
+
+
+@query("tokens_wordpunct")
+def q_tokens_wordpunct(spark, sf_dir):
+    d = V.docs_v(_t(spark, sf_dir))
+    return d.select("job_id", *_fingerprint(TX.tokens_wordpunct(F.col("description"))))
+
+
+@query("tokens_nostop_alpha")
+def q_tokens_nostop_alpha(spark, sf_dir):
+    d = V.docs_v(_t(spark, sf_dir))
+    return d.select("job_id", *_fingerprint(TX.tokens_nostop_alpha(F.col("description"))))
+
+
+@query("tokens_nostop")
+def q_tokens_nostop(spark, sf_dir):
+    d = V.docs_v(_t(spark, sf_dir))
+    return d.select("job_id", *_fingerprint(TX.tokens_nostop(F.col("description"))))
+
+
+@query("preprocess_loc")
+def q_preprocess_loc(spark, sf_dir):
+    l = V.locs_v(_t(spark, sf_dir))
+    pre = LOC.preprocess_loc(F.col("location"))
+    return l.select("job_id", pre.alias("query"),
+                    LOC.unconcat_state(F.col("location")).alias("unconcat"),
+                    LOC.strip_country(pre).alias("stripped"))
+
+
+@query("address_parts")
+def q_address_parts(spark, sf_dir):
+    a = V.addr_v(_t(spark, sf_dir))
+    return a.select("job_id", LOC.address_parts(F.col("address")).alias("p")).select("job_id", "p.*")
+
+
+@query("where_like")
+def q_where_like(spark, sf_dir):
+    l = V.locs_v(_t(spark, sf_dir))
+    return l.where(F.col("location").isNotNull() & F.col("location").like("% % %")) \
+            .select("job_id", "location")
+
+
+@query("standardize_location")
+def q_standardize_location(spark, sf_dir):
+    l = V.locs_v(_t(spark, sf_dir)).where(F.col("location").isNotNull())
+    return l.select("job_id", LOC.standardize_location(F.col("location")).alias("s")) \
+            .select("job_id", "s.*")
+
+
+# ---------------------------------------------------------------- C: sequences and windows
+@query("stint_fill")
+def q_stint_fill(spark, sf_dir):
+    return SQ.stint_fill(V.jobs_v(_t(spark, sf_dir)))
+
+
+@query("run_grouping")
+def q_run_grouping(spark, sf_dir):
+    c = V.conv_v(_t(spark, sf_dir))
+    return SQ.run_grouping(c, "conv_id", ["turn"], "role")
+
+
+def _doc_tokens(spark, sf_dir):
+    d = V.docs_v(_t(spark, sf_dir))
+    return d.select("job_id", TX.tokens_nostop(F.col("description")).alias("tokens"))
+
+
+@query("seq_flatten")
+def q_seq_flatten(spark, sf_dir):
+    _, lengths = SQ.seq_flatten(_doc_tokens(spark, sf_dir), "job_id", "tokens")
+    return lengths
+
+
+@query("seq_unflatten")
+def q_seq_unflatten(spark, sf_dir):
+    flat, _ = SQ.seq_flatten(_doc_tokens(spark, sf_dir), "job_id", "tokens")
+    nested = SQ.seq_unflatten(flat, "job_id", "pos", "item")
+    return nested.select("job_id", *_fingerprint(F.col("items")))
+
+
+@query("prev_next_links")
+def q_prev_next_links(spark, sf_dir):
+    return SQ.prev_next_links(V.events_v(_t(spark, sf_dir)))
+
+
+@query("title_sequences")
+def q_title_sequences(spark, sf_dir):
+    return SQ.title_sequences(V.titles_v(_t(spark, sf_dir)))
+
+
+@query("desc_sequences")
+def q_desc_sequences(spark, sf_dir):
+    s = SQ.desc_sequences(V.docs_v(_t(spark, sf_dir)))
+    return s.select("person_id", "seq_pos", *_fingerprint(F.col("tokens")), "seq_len")
+
+
+@query("length_histogram")
+def q_length_histogram(spark, sf_dir):
+    lengths = V.events_v(_t(spark, sf_dir)).groupBy("person_id").agg(F.count(F.lit(1)).alias("n"))
+    return SQ.length_histogram(lengths, cap=60)
+
+
+@query("mass_cutoff")
+def q_mass_cutoff(spark, sf_dir):
+    tw = SQ.normalise(V.topic_words_v(_t(spark, sf_dir)), "topic", "n")
+    out = SQ.mass_cutoff(tw, "topic", "word", "weight", threshold=0.5)
+    return out.select("topic", "word", "n", F.round("weight", 6).alias("weight"), "rank")
+
+
+@query("topk_per_group")
+def q_topk_per_group(spark, sf_dir):
+    tw = V.topic_words_v(_t(spark, sf_dir))
+    return SQ.topk_per_group(tw, "topic", [F.col("n").desc(), F.col("word").asc()], 10) \
+             .select("topic", "word", "n", "rank")

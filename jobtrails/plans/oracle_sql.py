@@ -130,3 +130,238 @@ r as (select *, row_number() over (partition by title order by n desc, next_titl
 asked as (select distinct title from events_v where title is not null)
 select a.title, cast(r.rnk as bigint) as rank, r.next_title, r.n, r.prob
 from asked a left join (select * from r where rnk <= 3) r on a.title = r.title""", "events_v")
+
+
+# ---------------------------------------------------------------- B: scalar functions
+def _sql_list(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+def _clean_name_sql(x: str) -> str:
+    return (f"regexp_replace(regexp_replace(lower(regexp_replace({x}, '[^\\x00-\\x7F]', '', 'g')),"
+            f" '[[:punct:]]', '', 'g'), '^[ \\t\\n\\v\\f\\r]+|[ \\t\\n\\v\\f\\r]+$', '', 'g')")
+
+
+def _strip_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^[ \\t\\n\\v\\f\\r]+|[ \\t\\n\\v\\f\\r]+$', '', 'g')"
+
+
+add("clean_name", f"""
+select page_id, coalesce({_clean_name_sql('html')}, '') as clean_html,
+       coalesce({_clean_name_sql('url')}, '') as clean_url
+from pages""")
+
+add("company_key", f"""
+with k as (
+  select job_id,
+         case when loc is not null and length({_strip_sql('loc')}) > 0
+              then coalesce({_clean_name_sql('company')}, '') || ' (' || coalesce({_clean_name_sql('loc')}, '') || ')'
+              else coalesce({_clean_name_sql('company')}, '') end as company_key
+  from (select job_id, company, case when pos % 4 = 0 then ' \t' else location end as loc from jobs_v) j)
+select job_id, company_key,
+       {_strip_sql("case when strpos(company_key, ' (') > 0 then substr(company_key, 1, strpos(company_key, ' (') - 1) else company_key end")} as company,
+       {_strip_sql("case when strpos(company_key, ' (') > 0 then rtrim(substr(company_key, strpos(company_key, ' (') + 2), ')') else '' end")} as location
+from k""", "jobs_v")
+
+add("make_month_date", """
+with i as (select job_id,
+                  case when pos % 3 = 0 then year(start_dt) - 1900 else year(start_dt) end as y0,
+                  (month(start_dt) + pos) % 14 as m0
+           from jobs_v),
+n as (select job_id, case when y0 < 100 then y0 + 1900 else y0 end as y,
+             case when m0 is null or m0 = 0 then 1 else m0 end as m from i)
+select job_id, case when y is not null and m between 1 and 12 and y between 1 and 9999
+                    then make_date(cast(y as integer), cast(m as integer), 1) end as d
+from n""", "jobs_v")
+
+add("clean_title", """
+select person_id, pos, regexp_replace(lower(title), '[^a-zA-Z ]', '', 'g') as clean,
+       regexp_replace(lower(title), '[A-Z ]{6,}[A-Z ]{6,}', '', 'g') as clean_loose
+from titles_v""", "titles_v")
+
+add("stint_years", """
+select job_id, round(date_diff('day', start_dt, end_dt) / 365.25, 6) as years,
+       printf('%.1f yrs', date_diff('day', start_dt, end_dt) / 365.25) as years_text
+from jobs_v where start_dt is not null and end_dt is not null""", "jobs_v")
+
+_WORDPUNCT_SQL = "regexp_extract_all(lower(description), '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s\\p{Z}]+', 0)"
+
+
+def _nostop_sql(x: str) -> str:
+    from jobtrails.functions.text import STOPWORDS
+    return (f"list_filter(list_transform(list_filter(regexp_split_to_array({x}, '[\\s\\p{{Z}}]+'),"
+            f" lambda w: w <> ''), lambda w: lower(w)), lambda w: not list_contains({_sql_list(STOPWORDS)}, w))")
+
+
+def _fp_sql(x: str) -> str:
+    return f"cast(len({x}) as bigint) as n_tokens, md5(array_to_string({x}, ' ')) as tokens_md5"
+
+
+add("tokens_wordpunct", f"select job_id, {_fp_sql(_WORDPUNCT_SQL)} from docs_v", "docs_v")
+add("tokens_nostop", f"select job_id, {_fp_sql(_nostop_sql('description'))} from docs_v", "docs_v")
+add("tokens_nostop_alpha", f"""
+select job_id, {_fp_sql("list_filter(" + _nostop_sql('description') + ", lambda w: regexp_matches(w, '^\\p{L}+$'))")}
+from docs_v""", "docs_v")
+
+
+def _preprocess_sql(x: str) -> str:
+    s = f"lower({_strip_sql(x)})"
+    return (f"(case when (length({s}) - length(replace({s}, 'new york', ''))) / 8 >= 2 "
+            f"then regexp_replace({s}, '(?s)^(.*)new york', '\\1NY') else {s} end) || ' United States of America'")
+
+
+def _unconcat_sql(x: str) -> str:
+    from jobtrails.functions.location import unconcat_pattern
+    pat = unconcat_pattern()
+    fixed = f"regexp_replace({x}, '{pat}', '\\1 \\2 United States of America')"
+    return f"case when regexp_matches({x}, '{pat}') then {_preprocess_sql(fixed)} end"
+
+
+add("preprocess_loc", f"""
+select job_id, q as query, {_unconcat_sql('location')} as unconcat,
+       case when ends_with(q, 'United States of America')
+            then substr(q, 1, strpos(q, 'United States of America') - 1) end as stripped
+from (select job_id, location, {_preprocess_sql('location')} as q from locs_v) t""", "locs_v")
+
+add("address_parts", """
+with p as (select job_id, string_split(address, ', ') as parts from addr_v),
+z as (select job_id, case when len(parts) >= 2 and regexp_matches(parts[len(parts) - 1], '^\\p{N}+$')
+                          then list_filter(parts, lambda x, i: i <> len(parts) - 1) else parts end as e
+      from p)
+select job_id,
+       case when len(e) > 3 then e[len(e) - 3] when len(e) = 3 then e[len(e) - 2]
+            when len(e) = 2 then e[len(e) - 1] end as city,
+       case when len(e) >= 3 then e[len(e) - 1] end as state,
+       case when len(e) >= 1 then e[len(e)] end as country
+from z""", "addr_v")
+
+add("where_like", """
+select job_id, location from locs_v where location is not null and location like '% % %'""", "locs_v")
+
+
+def _standardize_sql() -> str:
+    from jobtrails.functions.location import (STATE_ABBREV, STATE_CODES, STATE_NAMES,
+                                              TWO_WORD_FIRSTS, TWO_WORD_STATES)
+    pairs = ", ".join(f"('{k}', '{v}')" for k, v in sorted(STATE_ABBREV.items()))
+    return f"""
+with st(name, code) as (values {pairs}),
+t as (select job_id,
+             list_filter(regexp_split_to_array(upper({_strip_sql('location')}), '\\s+'), lambda x: x <> '') as toks
+      from locs_v where location is not null),
+p as (select job_id, toks,
+             list_max(list_transform(toks, lambda x, i: case when list_contains({_sql_list(TWO_WORD_FIRSTS)}, x)
+                                                             then i - 1 else -1 end)) as pos
+      from t),
+q as (select job_id, toks, pos, toks[pos + 1] || ' ' || toks[pos + 2] as pair from p),
+m as (select job_id,
+             case when pos >= 0 and pos + 1 <= len(toks) - 1 and list_contains({_sql_list(TWO_WORD_STATES)}, pair)
+                  then list_filter(list_transform(toks, lambda x, i: case when i - 1 = pos then pair else x end),
+                                   lambda x, i: i - 1 <> pos + 1)
+                  else toks end as t2, len(toks) as n
+      from q),
+s as (select job_id, t2, n,
+             list_max(list_transform(t2, lambda x, i: case when list_contains({_sql_list(STATE_NAMES + STATE_CODES)}, x)
+                                                          then i - 1 else -1 end)) as spos
+      from m)
+select job_id,
+       case when n > 0 and spos >= 0 then array_to_string(t2[1:spos], ' ') end as city,
+       case when n > 0 and spos >= 0 then coalesce(st.code, t2[spos + 1]) end as state,
+       case when n > 0 and spos >= 0 then array_to_string(t2[spos + 2:], ' ') end as country,
+       case when n = 0 then 'empty' when spos < 0 then 'bad' else 'good' end as status
+from s left join st on st.name = t2[spos + 1]"""
+
+
+add("standardize_location", _standardize_sql(), "locs_v")
+
+
+# ---------------------------------------------------------------- C: sequences and windows
+add("stint_fill", """
+with d as (select *, row_number() over (partition by person_id order by coalesce(start_dt, end_dt), pos) as seq_pos,
+                  count(*) over (partition by person_id) as cnt
+           from jobs_v where start_dt is not null or end_dt is not null),
+f as (select *, case when seq_pos = 1 and start_dt is null then end_dt else start_dt end as s1 from d),
+g as (select *, case when seq_pos = cnt and end_dt is null then s1 else end_dt end as e1 from f),
+alld as (select person_id, s1 as dt from g where s1 is not null
+         union all select person_id, e1 from g where e1 is not null)
+select job_id, person_id, pos, company, title, location, cast(seq_pos as bigint) as seq_pos,
+       case when s1 is null then coalesce((select max(a.dt) from alld a
+                                           where a.person_id = g.person_id and a.dt < g.e1), e1)
+            else s1 end as start_dt,
+       case when e1 is null then coalesce((select min(a.dt) from alld a
+                                           where a.person_id = g.person_id and a.dt > g.s1), s1)
+            else e1 end as end_dt
+from g""", "jobs_v")
+
+add("run_grouping", """
+with c as (select conv_id, turn, role, text,
+                  case when row_number() over w = 1 or (lag(role) over w) is distinct from role
+                       then 1 else 0 end as chg
+           from conversations window w as (partition by conv_id order by turn)),
+r as (select *, cast(sum(chg) over (partition by conv_id order by turn rows between unbounded preceding
+                                     and current row) as bigint) as run_no from c)
+select conv_id, turn, role, text, run_no, min(turn) over (partition by conv_id, run_no) as run_start from r""")
+
+add("seq_flatten", f"""
+select job_id, cast(len(t) as bigint) as n
+from (select job_id, {_nostop_sql('description')} as t from docs_v) d where len(t) > 0""", "docs_v")
+
+add("seq_unflatten", f"""
+select job_id, {_fp_sql('t')}
+from (select job_id, {_nostop_sql('description')} as t from docs_v) d where len(t) > 0""", "docs_v")
+
+add("prev_next_links", """
+select person_id, pos, job_id,
+       coalesce(lag(job_id) over w, -1) as prev_job, coalesce(lead(job_id) over w, -1) as next_job
+from events_v window w as (partition by person_id order by pos)""", "events_v")
+
+add("title_sequences", """
+with b as (select *, count(*) over (partition by person_id) as n_jobs,
+                  case when title is not null and title <> ''
+                       then regexp_replace(lower(title), '[^a-zA-Z ]', '', 'g') end as ct
+           from titles_v),
+c as (select *, last_value(ct ignore nulls) over w as v,
+             coalesce(last_value(start_year ignore nulls) over w, 0) as y
+      from b where n_jobs >= 2
+      window w as (partition by person_id order by pos rows between unbounded preceding and current row)),
+d as (select * from c where v is not null and v <> ''),
+e as (select *, row_number() over (partition by person_id order by y, pos) as seq_pos,
+             count(*) over (partition by person_id) as seq_len from d)
+select person_id, cast(seq_pos as bigint) as seq_pos, cast(y as bigint) as start_year, v as title,
+       cast(seq_len as bigint) as seq_len
+from e where seq_len >= 2""", "titles_v")
+
+add("desc_sequences", f"""
+with b as (select *, count(*) over (partition by person_id) as n_jobs,
+                  case when description is not null then {_nostop_sql('description')} end as ct
+           from docs_v),
+c as (select *, last_value(ct ignore nulls) over w as v
+      from b where n_jobs >= 2
+      window w as (partition by person_id order by pos rows between unbounded preceding and current row)),
+d as (select * from c where v is not null),
+e as (select *, row_number() over (partition by person_id order by pos) as seq_pos,
+             count(*) over (partition by person_id) as seq_len from d)
+select person_id, cast(seq_pos as bigint) as seq_pos, {_fp_sql('v')}, cast(seq_len as bigint) as seq_len
+from e where seq_len >= 2""", "docs_v")
+
+add("length_histogram", """
+with l as (select person_id, count(*) as n from events_v group by person_id),
+c as (select least(n, 60) as length, count(*) as n_seqs from l group by 1),
+b as (select range as length from range(0, 61)),
+h as (select b.length, coalesce(c.n_seqs, 0) as n_seqs from b left join c on b.length = c.length)
+select length, cast(n_seqs as bigint) as n_seqs, round(n_seqs / sum(n_seqs) over (), 6) as share from h""",
+    "events_v")
+
+add("mass_cutoff", """
+with t as (select topic, word, n, cast(n as double) / sum(n) over (partition by topic) as weight
+           from topic_words_v),
+r as (select *, coalesce(sum(weight) over (partition by topic order by weight desc, word desc
+                                           rows between unbounded preceding and 1 preceding), 0) as before,
+             row_number() over (partition by topic order by weight desc, word desc) as rank
+      from t)
+select topic, word, n, round(weight, 6) as weight, cast(rank as bigint) as rank from r where before <= 0.5""",
+    "topic_words_v")
+
+add("topk_per_group", """
+select topic, word, n, cast(rank as bigint) as rank
+from (select *, row_number() over (partition by topic order by n desc, word asc) as rank from topic_words_v) t
+where rank <= 10""", "topic_words_v")
