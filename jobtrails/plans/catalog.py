@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from jobtrails.operators import transitions as TR
@@ -50,7 +50,7 @@ def q_next_title_top3(spark, sf_dir):
 
 # Queries checked by invariants (tests) rather than by an SQL oracle:
 # iterative or randomised models.
-ROWS_ONLY: set[str] = set()
+ROWS_ONLY: set[str] = {"value_sample"}
 
 
 # ---------------------------------------------------------------- B: scalar functions
@@ -217,3 +217,140 @@ def q_topk_per_group(spark, sf_dir):
     tw = V.topic_words_v(_t(spark, sf_dir))
     return SQ.topk_per_group(tw, "topic", [F.col("n").desc(), F.col("word").asc()], 10) \
              .select("topic", "word", "n", "rank")
+
+
+# ---------------------------------------------------------------- E: statistics
+from jobtrails.operators import stats as ST  # noqa: E402
+
+
+def _comp_tit(spark, sf_dir):
+    j = V.jobs_v(_t(spark, sf_dir))
+    return j.select(TX.clean_name(F.col("company")).alias("company"),
+                    TX.clean_name(F.col("title")).alias("title"))
+
+
+@query("top_company")
+def q_top_company(spark, sf_dir):
+    return ST.top_labels(_comp_tit(spark, sf_dir), ["company"], 50)
+
+
+@query("top_title")
+def q_top_title(spark, sf_dir):
+    return ST.top_labels(_comp_tit(spark, sf_dir), ["title"], 50)
+
+
+@query("top_company_title")
+def q_top_company_title(spark, sf_dir):
+    return ST.top_labels(_comp_tit(spark, sf_dir), ["company", "title"], 50)
+
+
+@query("attr_histograms")
+def q_attr_histograms(spark, sf_dir):
+    return ST.attr_histograms(V.cust_v(_t(spark, sf_dir)), "resume_id",
+                              ["currency", "salary", "state_id"], topn=10)
+
+
+@query("jobs_per_resume")
+def q_jobs_per_resume(spark, sf_dir):
+    return ST.jobs_per_resume(V.jobs_v(_t(spark, sf_dir)), max_jobs=21)
+
+
+@query("count_stats")
+def q_count_stats(spark, sf_dir):
+    per = ST.jobs_per_resume(V.jobs_v(_t(spark, sf_dir)), max_jobs=21)
+    return ST.count_stats(per, "n_jobs", threshold=1)
+
+
+@query("salary_stats")
+def q_salary_stats(spark, sf_dir):
+    return ST.salary_stats(V.cust_v(_t(spark, sf_dir)), currency="BUILDING")
+
+
+@query("currency_counts")
+def q_currency_counts(spark, sf_dir):
+    return ST.currency_counts(V.cust_v(_t(spark, sf_dir)))
+
+
+@query("value_histogram")
+def q_value_histogram(spark, sf_dir):
+    return ST.value_histogram(V.cust_v(_t(spark, sf_dir)), "salary", width=100, upper=10000)
+
+
+@query("value_sample")
+def q_value_sample(spark, sf_dir):
+    c = V.cust_v(_t(spark, sf_dir))
+    return ST.value_sample(c, "resume_id", 100, seed=7).select("resume_id", "salary")
+
+
+@query("title_histogram")
+def q_title_histogram(spark, sf_dir):
+    return ST.label_histogram(V.titles_v(_t(spark, sf_dir)), "title")
+
+
+@query("locations_by_size")
+def q_locations_by_size(spark, sf_dir):
+    return ST.locations_by_size(V.locs_v(_t(spark, sf_dir)), pattern="% %", limit=5)
+
+
+@query("max_id_where")
+def q_max_id_where(spark, sf_dir):
+    return ST.max_id_where(V.locs_v(_t(spark, sf_dir)), "job_id",
+                           F.col("location").like("%new york%"))
+
+
+def _trace_means(spark, sf_dir, burn=0, lag=1):
+    return ST.trace_mean(V.trace_v(_t(spark, sf_dir)), ["s1", "s2"], burn=burn, lag=lag)
+
+
+@query("trace_mean")
+def q_trace_mean(spark, sf_dir):
+    m = _trace_means(spark, sf_dir, burn=4, lag=2)
+    return m.select("s1", "s2", F.round("mean", 6).alias("mean"))
+
+
+@query("trace_mode_state")
+def q_trace_mode_state(spark, sf_dir):
+    e = V.events_v(_t(spark, sf_dir))
+    return ST.trace_mode_state(e, "person_id", "title")
+
+
+@query("top_transitions")
+def q_top_transitions(spark, sf_dir):
+    return ST.top_transitions(_trace_means(spark, sf_dir))
+
+
+@query("state_mobility")
+def q_state_mobility(spark, sf_dir):
+    return ST.state_mobility(_trace_means(spark, sf_dir))
+
+
+def _title_vocab(spark, sf_dir):
+    t = V.titles_v(_t(spark, sf_dir))
+    multi = t.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("person_id"))).where("_n >= 2")
+    counted = multi.where(F.col("title").isNotNull() & (F.col("title") != "")) \
+                   .select(TX.clean_title(F.col("title")).alias("title"))
+    seqs = SQ.title_sequences(t)
+    return ST.vocab_encode(counted, seqs)
+
+
+@query("vocab_encode")
+def q_vocab_encode(spark, sf_dir):
+    vocab, _ = _title_vocab(spark, sf_dir)
+    return vocab
+
+
+@query("vocab_encoded_sequences")
+def q_vocab_encoded_sequences(spark, sf_dir):
+    _, enc = _title_vocab(spark, sf_dir)
+    return enc.select("person_id", "seq_pos", "id")
+
+
+@query("merge_counts")
+def q_merge_counts(spark, sf_dir):
+    d = V.docs_v(_t(spark, sf_dir))
+    toks = d.select("lang", F.explode(TX.tokens_nostop(F.col("description"))).alias("title"))
+    shards = [toks.where(F.col("lang") == lang).groupBy("title").agg(F.count(F.lit(1)).alias("n"))
+              for lang in ("en", "de", "fr", "es")]
+    rest = toks.where(~F.col("lang").isin("en", "de", "fr", "es")) \
+               .groupBy("title").agg(F.count(F.lit(1)).alias("n"))
+    return ST.merge_counts(*shards, rest)

@@ -365,3 +365,126 @@ add("topk_per_group", """
 select topic, word, n, cast(rank as bigint) as rank
 from (select *, row_number() over (partition by topic order by n desc, word asc) as rank from topic_words_v) t
 where rank <= 10""", "topic_words_v")
+
+
+# ---------------------------------------------------------------- E: statistics
+def _top_labels_sql(labels: list[str]) -> str:
+    cols = ", ".join(labels)
+    order = ", ".join(f"{c} asc nulls first" for c in labels)
+    sel = ", ".join(f"coalesce({_clean_name_sql(c)}, '') as {c}" for c in labels)
+    return f"""
+with j as (select {sel} from jobs_v),
+c as (select {cols}, count(*) as n from j group by {cols}),
+r as (select *, row_number() over (order by n desc, {order}) as rank from c)
+select cast(rank as bigint) as rank, {cols}, n, round(n / (select count(*) from jobs_v), 6) as share
+from r where rank <= 50"""
+
+
+add("top_company", _top_labels_sql(["company"]), "jobs_v")
+add("top_title", _top_labels_sql(["title"]), "jobs_v")
+add("top_company_title", _top_labels_sql(["company", "title"]), "jobs_v")
+
+add("attr_histograms", """
+with l as (select 'currency' as attr, currency as value from cust_v
+           union all select 'salary', cast(salary as varchar) from cust_v
+           union all select 'state_id', cast(state_id as varchar) from cust_v),
+c as (select attr, value, count(*) as n from l group by attr, value),
+r as (select *, row_number() over (partition by attr order by n desc, value asc nulls first) as rk from c),
+f as (select attr, case when rk < 10 then value else '* other *' end as value, sum(n) as n from r group by 1, 2),
+p as (select attr, sum(n) as p from c group by attr)
+select attr, value, cast(n as bigint) as n from f
+union all
+select attr, '* missing *', cast((select count(*) from cust_v) - p as bigint) from p
+where p < (select count(*) from cust_v)""", "cust_v")
+
+_JOBS_PER = "select person_id, count(*) as n_jobs from jobs_v group by person_id having count(*) < 21"
+add("jobs_per_resume", _JOBS_PER, "jobs_v")
+add("count_stats", f"""
+select round(avg(n_jobs), 6) as mean, round(quantile_cont(n_jobs, 0.5), 6) as median,
+       cast(count(*) filter (where n_jobs > 1) as bigint) as n_above, cast(count(*) as bigint) as n
+from ({_JOBS_PER}) t""", "jobs_v")
+
+add("salary_stats", """
+select round(avg(s), 6) as mean, round(quantile_cont(s, 0.5), 6) as median, min(s) as min, max(s) as max
+from (select cast(trunc(salary) as bigint) as s from cust_v
+      where currency = 'BUILDING' and salary is not null) t""", "cust_v")
+
+add("currency_counts", """
+select currency, count(*) as n, round(log10(count(*)), 6) as log10_n from cust_v group by currency""",
+    "cust_v")
+
+add("value_histogram", """
+select cast(floor(salary / 100) as bigint) as bin, count(*) as n
+from cust_v where salary < 10000 group by 1""", "cust_v")
+
+add("title_histogram", "select title, count(*) as n from titles_v group by title", "titles_v")
+
+add("locations_by_size", """
+select location, count(*) as n from locs_v where location is not null and location like '% %'
+group by location order by n desc, location asc limit 5""", "locs_v")
+
+add("max_id_where", "select max(job_id) as max_id from locs_v where location like '%new york%'", "locs_v")
+
+_TRACE_MEAN = """
+select s1, s2, sum(n) / (select count(distinct iter) from trace_v where iter >= {burn} and iter % {lag} = 0) as mean
+from trace_v where iter >= {burn} and iter % {lag} = 0 group by s1, s2"""
+
+add("trace_mean", f"""
+select s1, s2, round(mean, 6) as mean from ({_TRACE_MEAN.format(burn=4, lag=2)}) t""", "trace_v")
+
+add("trace_mode_state", """
+select person_id, title as state
+from (select person_id, title, row_number() over (partition by person_id order by count(*) desc, title asc) as r
+      from events_v group by person_id, title) t
+where r = 1""", "events_v")
+
+add("top_transitions", f"""
+select cast(row_number() over (order by mean desc, s1 desc, s2 desc) as bigint) as rank, s1, s2,
+       round(mean, 6) as mean
+from ({_TRACE_MEAN.format(burn=0, lag=1)}) m where s1 <> s2
+order by mean desc, s1 desc, s2 desc limit 101""", "trace_v")
+
+add("state_mobility", f"""
+with m as ({_TRACE_MEAN.format(burn=0, lag=1)}),
+d as (select *, coalesce(sum(mean) over (partition by s1 order by mean desc, s2 asc
+                                         rows between unbounded preceding and 1 preceding), 0)
+                / sum(mean) over (partition by s1) as bs
+      from m where s1 <> s2),
+c as (select s1, cast(case when max(mean) > 0 then count(*) end as bigint) as n_states
+      from d where bs <= 0.5 group by s1)
+select * from (select 'most' as kind, cast(row_number() over (order by n_states desc nulls last, s1 asc) as bigint) as rank,
+                      s1 as state, n_states from c) a where rank <= 20
+union all
+select * from (select 'least' as kind, cast(row_number() over (order by n_states asc nulls last, s1 asc) as bigint) as rank,
+                      s1 as state, n_states from c) b where rank <= 20""", "trace_v")
+
+_VOCAB = """
+with multi as (select *, count(*) over (partition by person_id) as nj from titles_v),
+counted as (select regexp_replace(lower(title), '[^a-zA-Z ]', '', 'g') as title
+            from multi where nj >= 2 and title is not null and title <> ''),
+counts as (select title, count(*) as count from counted group by title),
+b as (select *, count(*) over (partition by person_id) as n_jobs,
+             case when title is not null and title <> ''
+                  then regexp_replace(lower(title), '[^a-zA-Z ]', '', 'g') end as ct from titles_v),
+c as (select *, last_value(ct ignore nulls) over w as v,
+             coalesce(last_value(start_year ignore nulls) over w, 0) as y
+      from b where n_jobs >= 2
+      window w as (partition by person_id order by pos rows between unbounded preceding and current row)),
+d as (select * from c where v is not null and v <> ''),
+e as (select *, row_number() over (partition by person_id order by y, pos) as seq_pos,
+             count(*) over (partition by person_id) as seq_len from d),
+seqs as (select person_id, seq_pos, v as title from e where seq_len >= 2),
+used as (select distinct title from seqs),
+v as (select counts.*, used.title is not null as is_used from counts left join used on counts.title = used.title),
+vocab as (select title, count, cast(row_number() over (order by count desc, title asc) as bigint) as id
+          from v where count >= 10 and is_used
+          union all select title, count, cast(0 as bigint) from v where not (count >= 10 and is_used))"""
+
+add("vocab_encode", _VOCAB + "\nselect title, count, id from vocab", "titles_v")
+add("vocab_encoded_sequences", _VOCAB + """
+select s.person_id, cast(s.seq_pos as bigint) as seq_pos, coalesce(vocab.id, 0) as id
+from seqs s left join vocab on s.title = vocab.title""", "titles_v")
+
+add("merge_counts", f"""
+select title, cast(count(*) as bigint) as n
+from (select unnest({_nostop_sql('description')}) as title from docs_v) t group by title""", "docs_v")
