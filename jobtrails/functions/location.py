@@ -108,7 +108,8 @@ def standardize_location(c: Column) -> Column:
     twos = _lit_array(TWO_WORD_STATES)
     pos = F.array_max(F.transform(toks, lambda x, i: F.when(F.array_contains(firsts, x), i)
                                   .otherwise(F.lit(-1))))
-    pair = F.concat_ws(" ", F.element_at(toks, pos + 1), F.element_at(toks, pos + 2))
+    pair = F.concat_ws(" ", F.try_element_at(toks, F.when(pos >= 0, pos + 1)),
+                     F.try_element_at(toks, F.when(pos >= 0, pos + 2)))
     do_merge = (pos >= 0) & (pos + 1 <= n - 1) & F.array_contains(twos, pair)
     merged = F.filter(F.transform(toks, lambda x, i: F.when(i == pos, pair).otherwise(x)),
                       lambda x, i: i != pos + 1)
@@ -116,8 +117,8 @@ def standardize_location(c: Column) -> Column:
     allst = _lit_array(STATE_NAMES + STATE_CODES)
     spos = F.array_max(F.transform(t2, lambda x, i: F.when(F.array_contains(allst, x), i)
                                    .otherwise(F.lit(-1))))
-    tok = F.element_at(t2, spos + 1)
-    state = F.coalesce(F.element_at(state_map(), tok), tok)
+    tok = F.try_element_at(t2, F.when(spos >= 0, spos + 1))
+    state = F.coalesce(F.try_element_at(state_map(), tok), tok)
     m = F.size(t2)
     city = F.array_join(F.slice(t2, 1, spos), " ")
     country = F.array_join(F.slice(t2, spos + 2, F.greatest(m - spos - 1, F.lit(0))), " ")

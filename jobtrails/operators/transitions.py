@@ -63,7 +63,7 @@ def transition_probs(counts: DataFrame, num_states: int | None = None,
     w = Window.partitionBy(s1)
     total = F.sum(F.col(n)).over(w) + F.lit(float(num_states) * gamma)
     return counts.select(
-        F.col(s1), F.col(s2), F.col(n).cast("bigint").alias(n),
+        F.col(s1), F.col(s2), F.col(n),
         F.round((F.col(n) + F.lit(gamma)) / total, 6).alias("prob"),
         F.round(F.lit(gamma) / total, 6).alias("prob_unseen"),
     )

@@ -354,3 +354,146 @@ def q_merge_counts(spark, sf_dir):
     rest = toks.where(~F.col("lang").isin("en", "de", "fr", "es")) \
                .groupBy("title").agg(F.count(F.lit(1)).alias("n"))
     return ST.merge_counts(*shards, rest)
+
+
+# ---------------------------------------------------------------- D: joins
+from jobtrails.operators import joins as JN  # noqa: E402
+from jobtrails.sources.gazetteer import gazetteer  # noqa: E402
+
+
+def _filled_jobs(spark, sf_dir, blank_loc_every: int | None = None):
+    j = V.jobs_v(_t(spark, sf_dir))
+    if blank_loc_every:
+        # the other copy lost the locations of some people's jobs
+        j = j.withColumn("location", F.when(F.col("person_id") % blank_loc_every == 0, F.lit(""))
+                         .otherwise(F.col("location")))
+    return SQ.stint_fill(j)
+
+
+def _fingerprint_match(spark, sf_dir):
+    table = _filled_jobs(spark, sf_dir)
+    probe = _filled_jobs(spark, sf_dir, blank_loc_every=7)
+    key = TX.company_key(F.col("company"), F.col("location"))
+    probe = probe.withColumn("_key", key)
+    pc, pl = TX.split_company_key(F.col("_key"))
+    t_fields = [F.col("start_dt"), F.col("end_dt"), TX.clean_name(F.col("company")),
+                TX.clean_name(F.col("location"))]
+    p_fields = [F.col("start_dt"), F.col("end_dt"), pc, pl]
+    return JN.match_by_fingerprint(table, probe, "person_id", "seq_pos", t_fields, p_fields)
+
+
+@query("match_by_fingerprint")
+def q_match_by_fingerprint(spark, sf_dir):
+    jobs, _ = _fingerprint_match(spark, sf_dir)
+    return jobs
+
+
+@query("match_counts")
+def q_match_counts(spark, sf_dir):
+    _, counts = _fingerprint_match(spark, sf_dir)
+    return counts
+
+
+@query("align_positional")
+def q_align_positional(spark, sf_dir):
+    left = _filled_jobs(spark, sf_dir)
+    j = V.jobs_v(_t(spark, sf_dir))
+    # the other copy lost some dates: stints with none are dropped (length
+    # changes), others are re-filled differently (job mismatch)
+    j = (j.withColumn("start_dt", F.when(F.col("pos") % 13 == 0, None).otherwise(F.col("start_dt")))
+          .withColumn("end_dt", F.when(F.col("pos") % 13 == 0, None)
+                      .when(F.col("pos") % 5 == 0, None).otherwise(F.col("end_dt"))))
+    right = SQ.stint_fill(j)
+    return JN.align_positional(left, right, "person_id", "seq_pos", "start_dt", "end_dt")
+
+
+def _coworker_links(spark, sf_dir):
+    j = V.jobs_v(_t(spark, sf_dir))
+    st = j.select("person_id", "pos", "company", F.year("start_dt").alias("start_year"),
+                  F.year("end_dt").alias("end_year"))
+    return JN.coworker_links(st)
+
+
+@query("coworker_links")
+def q_coworker_links(spark, sf_dir):
+    return _coworker_links(spark, sf_dir).groupBy("company").agg(F.count(F.lit(1)).alias("n_links"))
+
+
+@query("coworker_degree")
+def q_coworker_degree(spark, sf_dir):
+    return JN.coworker_degree(_coworker_links(spark, sf_dir), 50)
+
+
+@query("shared_employers")
+def q_shared_employers(spark, sf_dir):
+    pairs = JN.shared_employers(_filled_jobs(spark, sf_dir))
+    ends = pairs.select(F.explode(F.array(
+        F.struct(F.col("person1").alias("person_id"), F.col("person2").alias("other")),
+        F.struct(F.col("person2").alias("person_id"), F.col("person1").alias("other")))).alias("e"),
+        "company").select("e.*", "company")
+    return ends.groupBy("person_id").agg(F.count_distinct("other").alias("n_partners"),
+                                         F.count(F.lit(1)).alias("n_links"))
+
+
+@query("gazetteer_geocode")
+def q_gazetteer_geocode(spark, sf_dir):
+    locs = V.locs_v(_t(spark, sf_dir))
+    return JN.gazetteer_geocode(locs, gazetteer(spark), fallbacks=[LOC.unconcat_state])
+
+
+@query("compound_place_fix")
+def q_compound_place_fix(spark, sf_dir):
+    locs = V.locs_v(_t(spark, sf_dir))
+    return JN.compound_place_fix(locs, JN.compound_dictionary(locs, limit=20000))
+
+
+@query("job_transition_probs")
+def q_job_transition_probs(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    means = ST.trace_mean(V.trace_v(t), ["s1", "s2"]).select(
+        F.col("s1").alias("title"), F.col("s2").alias("next_title"), F.col("mean").alias("n"))
+    ev = V.events_v(t).withColumnRenamed("title", "state")
+    k = ev.agg(F.count_distinct("state")).first()[0]
+    probs = TR.transition_probs(means, num_states=k)
+    out = JN.job_transition_probs(ev, probs)
+    return out.select("job_id1", "job_id2", "state1", "state2", "trans_prob")
+
+
+def _state_topics(t):
+    tv = V.topics_v(t)
+    return (tv.select("state", F.posexplode("embedding").alias("topic", "x"))
+              .groupBy("state", F.col("topic").cast("bigint").alias("topic"))
+              .agg(F.sum("x").alias("mass")))
+
+
+def _topic_word_weights(t):
+    tw = SQ.normalise(V.topic_words_v(t), "topic", "n")
+    return tw.select("topic", "word", "weight")
+
+
+@query("state_word_mix")
+def q_state_word_mix(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return JN.state_word_mix(_state_topics(t), _topic_word_weights(t), n_words=10)
+
+
+def _split_titles(spark, sf_dir, n_train: int = 50):
+    seqs = SQ.title_sequences(V.titles_v(_t(spark, sf_dir)))
+    from jobtrails.sources import splits
+    return splits.split_sequences(seqs, "person_id", n_train)
+
+
+@query("split_sequences")
+def q_split_sequences(spark, sf_dir):
+    s = _split_titles(spark, sf_dir)
+    return s.select("person_id", "seq_pos", "split")
+
+
+@query("unseen_anti")
+def q_unseen_anti(spark, sf_dir):
+    s = _split_titles(spark, sf_dir)
+    train = s.where(F.col("split") == "train")
+    vocab, _ = ST.vocab_encode(train.select("title"), train)
+    held = s.where(F.col("split") == "test")
+    unseen = JN.unseen_anti(held, vocab)
+    return held.join(unseen, "title", "left_semi").groupBy("title").agg(F.count(F.lit(1)).alias("n"))

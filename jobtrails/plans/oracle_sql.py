@@ -275,22 +275,35 @@ add("standardize_location", _standardize_sql(), "locs_v")
 
 
 # ---------------------------------------------------------------- C: sequences and windows
-add("stint_fill", """
-with d as (select *, row_number() over (partition by person_id order by coalesce(start_dt, end_dt), pos) as seq_pos,
-                  count(*) over (partition by person_id) as cnt
-           from jobs_v where start_dt is not null or end_dt is not null),
-f as (select *, case when seq_pos = 1 and start_dt is null then end_dt else start_dt end as s1 from d),
-g as (select *, case when seq_pos = cnt and end_dt is null then s1 else end_dt end as e1 from f),
-alld as (select person_id, s1 as dt from g where s1 is not null
-         union all select person_id, e1 from g where e1 is not null)
+def _stint_fill_sql(src: str) -> str:
+    """C1 over relation ``src`` (correlated sub-queries for the date lookups)."""
+    return f"""
 select job_id, person_id, pos, company, title, location, cast(seq_pos as bigint) as seq_pos,
-       case when s1 is null then coalesce((select max(a.dt) from alld a
-                                           where a.person_id = g.person_id and a.dt < g.e1), e1)
+       case when s1 is null then coalesce((select max(a.dt) from (
+                select person_id, s1 as dt from g_{src} where s1 is not null
+                union all select person_id, e1 from g_{src} where e1 is not null) a
+              where a.person_id = g.person_id and a.dt < g.e1), e1)
             else s1 end as start_dt,
-       case when e1 is null then coalesce((select min(a.dt) from alld a
-                                           where a.person_id = g.person_id and a.dt > g.s1), s1)
+       case when e1 is null then coalesce((select min(a.dt) from (
+                select person_id, s1 as dt from g_{src} where s1 is not null
+                union all select person_id, e1 from g_{src} where e1 is not null) a
+              where a.person_id = g.person_id and a.dt > g.s1), s1)
             else e1 end as end_dt
-from g""", "jobs_v")
+from g_{src} g"""
+
+
+def _stint_fill_ctes(src: str) -> str:
+    """CTEs d_/f_/g_<src> that stage the first/last fixes of C1."""
+    return f"""
+d_{src} as (select *, row_number() over (partition by person_id order by coalesce(start_dt, end_dt), pos) as seq_pos,
+                   count(*) over (partition by person_id) as cnt
+            from {src} where start_dt is not null or end_dt is not null),
+f_{src} as (select *, case when seq_pos = 1 and start_dt is null then end_dt else start_dt end as s1 from d_{src}),
+g_{src} as (select *, case when seq_pos = cnt and end_dt is null then s1 else end_dt end as e1 from f_{src})"""
+
+
+add("stint_fill", f"with {_stint_fill_ctes('jobs_v')}\n{_stint_fill_sql('jobs_v')}", "jobs_v")
+
 
 add("run_grouping", """
 with c as (select conv_id, turn, role, text,
@@ -488,3 +501,178 @@ from seqs s left join vocab on s.title = vocab.title""", "titles_v")
 add("merge_counts", f"""
 select title, cast(count(*) as bigint) as n
 from (select unnest({_nostop_sql('description')}) as title from docs_v) t group by title""", "docs_v")
+
+
+# ---------------------------------------------------------------- D: joins
+def _company_key_sql(company: str, loc: str) -> str:
+    return (f"case when {loc} is not null and length({_strip_sql(loc)}) > 0 "
+            f"then coalesce({_clean_name_sql(company)}, '') || ' (' || coalesce({_clean_name_sql(loc)}, '') || ')' "
+            f"else coalesce({_clean_name_sql(company)}, '') end")
+
+
+def _split_company_sql(key: str) -> tuple[str, str]:
+    comp = _strip_sql(f"case when strpos({key}, ' (') > 0 then substr({key}, 1, strpos({key}, ' (') - 1) else {key} end")
+    loc = _strip_sql(f"case when strpos({key}, ' (') > 0 then rtrim(substr({key}, strpos({key}, ' (') + 2), ')') else '' end")
+    return comp, loc
+
+
+_PC, _PL = _split_company_sql("ck")
+
+_MATCH = f"""
+with probe_src as (select * replace (case when person_id % 7 = 0 then '' else location end as location) from jobs_v),
+{_stint_fill_ctes('jobs_v')},
+{_stint_fill_ctes('probe_src')},
+t as ({_stint_fill_sql('jobs_v')}),
+p as ({_stint_fill_sql('probe_src')}),
+tk as (select person_id, list_sort(list(struct_pack(s := start_dt, e := end_dt,
+                                                    c := coalesce({_clean_name_sql('company')}, ''),
+                                                    l := coalesce({_clean_name_sql('location')}, '')))) as k
+       from t group by person_id),
+owners as (select k, min(person_id) as table_seq, count(*) as n from tk group by k),
+pck as (select *, {_company_key_sql('company', 'location')} as ck from p),
+pk as (select person_id, list_sort(list(struct_pack(s := start_dt, e := end_dt, c := {_PC}, l := {_PL}))) as k
+       from pck group by person_id),
+firsts as (select k, min(person_id) as probe_seq from pk group by k),
+pairs as (select probe_seq, table_seq from firsts join owners on firsts.k = owners.k)"""
+
+add("match_by_fingerprint", _MATCH + """
+select p.person_id as probe_seq, p.seq_pos, pairs.table_seq, t.job_id as table_job
+from p join pairs on p.person_id = pairs.probe_seq
+join t on t.person_id = pairs.table_seq and t.seq_pos = p.seq_pos""", "jobs_v")
+
+add("match_counts", _MATCH + """
+select cast((select count(*) from pairs) as bigint) as hits,
+       cast((select count(*) from pk) - (select count(*) from pairs) as bigint) as misses,
+       cast(coalesce((select sum(n - 1) from owners), 0) as bigint) as collisions""", "jobs_v")
+
+add("align_positional", f"""
+with right_src as (select * replace (
+        case when pos % 13 = 0 then null else start_dt end as start_dt,
+        case when pos % 13 = 0 then null when pos % 5 = 0 then null else end_dt end as end_dt) from jobs_v),
+{_stint_fill_ctes('jobs_v')},
+{_stint_fill_ctes('right_src')},
+l as ({_stint_fill_sql('jobs_v')}),
+r as ({_stint_fill_sql('right_src')}),
+ll as (select person_id, count(*) as n from l group by person_id),
+rl as (select person_id, count(*) as n from r group by person_id),
+j as (select coalesce(l.person_id, r.person_id) as person_id, coalesce(l.seq_pos, r.seq_pos) as seq_pos,
+             l.job_id as l_job, r.job_id as r_job, l.start_dt as ls, l.end_dt as le, r.start_dt as rs, r.end_dt as re
+      from l full outer join r on l.person_id = r.person_id and l.seq_pos = r.seq_pos)
+select j.person_id, j.seq_pos, l_job, r_job,
+       case when coalesce(ll.n, 0) <> coalesce(rl.n, 0) then 'bad_length'
+            when ls is not distinct from rs and le is not distinct from re then 'match' else 'bad_job' end as status
+from j left join ll on ll.person_id = j.person_id left join rl on rl.person_id = j.person_id""", "jobs_v")
+
+_LINKS = """
+with d as (select person_id, pos, company, coalesce(year(start_dt), year(end_dt)) as s, year(end_dt) as e
+           from jobs_v where coalesce(start_dt, end_dt) is not null),
+links as (select a.person_id as id1, b.person_id as id2, a.company
+          from d a join d b on a.company = b.company
+           and (a.person_id < b.person_id or (a.person_id = b.person_id and a.pos < b.pos))
+          where case when a.s <= b.s then a.e is not null and b.s <= a.e
+                     else b.e is not null and a.s < b.e end)"""
+
+add("coworker_links", _LINKS + "\nselect company, count(*) as n_links from links group by company", "jobs_v")
+add("coworker_degree", _LINKS + """,
+deg as (select person_id, count(*) as degree
+        from (select id1 as person_id from links union all select id2 from links) x group by person_id)
+select cast(row_number() over (order by degree desc, person_id asc) as bigint) as rank, person_id, degree
+from deg order by degree desc, person_id asc limit 50""", "jobs_v")
+
+add("shared_employers", f"""
+with {_stint_fill_ctes('jobs_v')},
+t as ({_stint_fill_sql('jobs_v')}),
+pairs as (select distinct least(a.person_id, b.person_id) as p1, greatest(a.person_id, b.person_id) as p2, a.company
+          from t a join t b on a.company = b.company and a.person_id <> b.person_id
+          where b.start_dt < a.end_dt and a.start_dt < b.end_dt),
+ends as (select p1 as person_id, p2 as other, company from pairs
+         union all select p2, p1, company from pairs)
+select person_id, count(distinct other) as n_partners, count(*) as n_links from ends group by person_id""",
+    "jobs_v")
+
+
+def _gazetteer_sql() -> str:
+    from jobtrails.sources.gazetteer import ROWS
+    vals = ", ".join("(" + ", ".join(("'" + v.replace("'", "''") + "'") if isinstance(v, str) else f"cast({v!r} as double)"
+                                     for v in r) + ")" for r in ROWS)
+    return f"gaz(key, city, state, country, latitude, longitude) as (values {vals})"
+
+
+add("gazetteer_geocode", f"""
+with {_gazetteer_sql()},
+dl as (select distinct location from locs_v where location is not null),
+k as (select location, {_preprocess_sql('location')} as k0, {_preprocess_sql(_unconcat_sql('location'))} as k1 from dl),
+g as (select k.location,
+             case when g0.key is not null then g0.city else g1.city end as city,
+             case when g0.key is not null then g0.state else g1.state end as state,
+             case when g0.key is not null then g0.country else g1.country end as country,
+             case when g0.key is not null then g0.latitude else g1.latitude end as latitude,
+             case when g0.key is not null then g0.longitude else g1.longitude end as longitude,
+             case when g0.key is not null then 0 when g1.key is not null then 1 end as matched_by
+      from k left join gaz g0 on g0.key = k.k0 left join gaz g1 on g1.key = k.k1)
+select l.job_id, l.location, g.city, g.state, g.country, g.latitude, g.longitude, g.matched_by
+from locs_v l left join g on l.location = g.location""", "locs_v")
+
+_TOKS = "list_filter(regexp_split_to_array(lower({x}), '[\\s\\p{{Z}}]+'), lambda w: w <> '')"
+
+add("compound_place_fix", f"""
+with top as (select location, count(*) as n from locs_v where location like '% % %'
+             group by location order by n desc, location asc limit 20000),
+tk as (select n, location, {_TOKS.format(x=_strip_sql('location'))} as t from top),
+d as (select n, location, t[1] || t[2] as squished, t[1] || ' ' || t[2] as unsquished from tk where len(t) >= 2),
+dict as (select squished, unsquished
+         from (select *, row_number() over (partition by squished order by n asc, location desc) as r from d) x
+         where r = 1),
+l as (select job_id, location, {_TOKS.format(x=_strip_sql('location'))} as t from locs_v)
+select l.job_id, l.location,
+       case when dict.unsquished is not null then
+            {_preprocess_sql("case when len(t) > 1 then dict.unsquished || ' ' || array_to_string(t[2:], ' ') else dict.unsquished end")}
+       end as compound_fix
+from l left join dict on dict.squished = l.t[1]""", "locs_v")
+
+add("job_transition_probs", f"""
+with m as ({_TRACE_MEAN.format(burn=0, lag=1)}),
+k as (select count(distinct title) as k from events_v),
+p as (select s1, s2, round((mean + 1) / (sum(mean) over (partition by s1) + k.k), 6) as prob,
+             round(1 / (sum(mean) over (partition by s1) + k.k), 6) as pu from m, k),
+u as (select distinct s1, pu from p),
+pairs as (select job_id as job_id1, lead(job_id) over w as job_id2, title as state1, lead(title) over w as state2,
+                 lead(1) over w as hn
+          from events_v window w as (partition by person_id order by pos))
+select job_id1, job_id2, state1, state2, coalesce(p.prob, u.pu) as trans_prob
+from pairs left join p on p.s1 = state1 and p.s2 = state2 left join u on u.s1 = state1
+where hn is not null""", "events_v", "trace_v")
+
+add("state_word_mix", """
+with x as (select state, unnest(embedding) as x, generate_subscripts(embedding, 1) - 1 as topic from topics_v),
+st as (select state, cast(topic as bigint) as topic, sum(x) as mass from x group by state, topic),
+sh as (select *, mass / sum(mass) over (partition by state) as share from st),
+tw as (select topic, word, cast(n as double) / sum(n) over (partition by topic) as weight from topic_words_v),
+twr as (select * from (select *, row_number() over (partition by topic order by weight desc, word desc) as r from tw) y
+        where r <= 500),
+sc as (select state, word, sum(share * weight) as score from sh join twr on sh.topic = twr.topic group by state, word),
+rk as (select *, row_number() over (partition by state order by score desc, word asc) as rank from sc)
+select state, cast(rank as bigint) as rank, word, round(score, 6) as score from rk where rank <= 10""",
+    "topics_v", "topic_words_v")
+
+_TITLE_SEQS = """
+b as (select *, count(*) over (partition by person_id) as n_jobs,
+             case when title is not null and title <> ''
+                  then regexp_replace(lower(title), '[^a-zA-Z ]', '', 'g') end as ct from titles_v),
+c as (select *, last_value(ct ignore nulls) over w as v,
+             coalesce(last_value(start_year ignore nulls) over w, 0) as y
+      from b where n_jobs >= 2
+      window w as (partition by person_id order by pos rows between unbounded preceding and current row)),
+d as (select * from c where v is not null and v <> ''),
+e as (select *, row_number() over (partition by person_id order by y, pos) as seq_pos,
+             count(*) over (partition by person_id) as seq_len from d),
+seqs as (select person_id, cast(seq_pos as bigint) as seq_pos, v as title from e where seq_len >= 2),
+cut as (select max(person_id) as cut from (select distinct person_id from seqs order by person_id limit 50) x),
+s as (select seqs.*, case when person_id <= cut then 'train' else 'test' end as split from seqs, cut)"""
+
+add("split_sequences", f"with {_TITLE_SEQS}\nselect person_id, seq_pos, split from s", "titles_v")
+add("unseen_anti", f"""
+with {_TITLE_SEQS}
+select title, count(*) as n from s
+where split = 'test' and title not in (select title from s where split = 'train')
+group by title""", "titles_v")
