@@ -50,7 +50,7 @@ def q_next_title_top3(spark, sf_dir):
 
 # Queries checked by invariants (tests) rather than by an SQL oracle:
 # iterative or randomised models.
-ROWS_ONLY: set[str] = {"value_sample"}
+ROWS_ONLY: set[str] = {"value_sample", "xml_schema_paths"}
 
 
 # ---------------------------------------------------------------- B: scalar functions
@@ -497,3 +497,167 @@ def q_unseen_anti(spark, sf_dir):
     held = s.where(F.col("split") == "test")
     unseen = JN.unseen_anti(held, vocab)
     return held.join(unseen, "title", "left_semi").groupBy("title").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------- A: sources and sinks
+from jobtrails.session import stage_path  # noqa: E402
+from jobtrails.sources import resume_xml as RX  # noqa: E402
+from jobtrails.sources import sequences_io as SIO  # noqa: E402
+from jobtrails.sources import splits as SP  # noqa: E402
+
+_XML_SHARDS: dict[tuple[int, str], list[str]] = {}
+
+
+def xml_shards(spark, sf_dir) -> list[str]:
+    """The xml_v fixture: résumé XML shards derived from the driver tables by
+    a Spark job, written once per session under the checkpoint folder."""
+    key = (id(spark), sf_dir)
+    if key not in _XML_SHARDS:
+        t = _t(spark, sf_dir)
+        frame = RX.resume_frame(V.jobs_v(t), t.customer, t.nation)
+        _XML_SHARDS[key] = RX.write_shards(frame, stage_path(spark, "xml_v"))
+    return _XML_SHARDS[key]
+
+
+def _raw_resumes(spark, sf_dir):
+    return RX.read_resumes(spark, xml_shards(spark, sf_dir))
+
+
+def _n(c) -> F.Column:
+    return F.coalesce(F.size(c), F.lit(0)).cast("bigint")
+
+
+@query("src_xml_resumes")
+def q_src_xml_resumes(spark, sf_dir):
+    r = _raw_resumes(spark, sf_dir)
+    return r.select(F.col("ResumeID").try_cast("int").alias("resume_id"),
+                    _n(F.col("experience.experiencerecord")).alias("n_experience"),
+                    _n(F.col("education.schoolrecord")).alias("n_education"),
+                    _n(F.col("locations.location")).alias("n_locations"))
+
+
+@query("etl_resumes")
+def q_etl_resumes(spark, sf_dir):
+    return RX.etl_resumes(_raw_resumes(spark, sf_dir))
+
+
+@query("etl_jobs")
+def q_etl_jobs(spark, sf_dir):
+    return RX.etl_jobs(_raw_resumes(spark, sf_dir))
+
+
+@query("etl_schools")
+def q_etl_schools(spark, sf_dir):
+    return RX.etl_schools(_raw_resumes(spark, sf_dir))
+
+
+@query("xml_schema_paths")
+def q_xml_schema_paths(spark, sf_dir):
+    return RX.xml_schema_paths(spark, xml_shards(spark, sf_dir))
+
+
+@query("parse_flags")
+def q_parse_flags(spark, sf_dir):
+    r = _raw_resumes(spark, sf_dir)
+    return r.select(F.col("ResumeID").try_cast("int").alias("resume_id"),
+                    *[RX.parse_flag(F.col(t)).alias(RX.decamel(t)) for t in RX.FLAG_TAGS])
+
+
+@query("snake_columns")
+def q_snake_columns(spark, sf_dir):
+    tags = (spark.read.format("xml").option("rowTag", "resume")
+                 .option("inferSchema", "false").load(xml_shards(spark, sf_dir)).columns)
+    d = spark.createDataFrame([(t,) for t in tags], "tag string")
+    s1 = F.regexp_replace(F.col("tag"), "(.)([A-Z][a-z]+)", "$1_$2")
+    return d.select("tag", F.lower(F.regexp_replace(s1, "([a-z0-9])([A-Z])", "$1_$2")).alias("column"))
+
+
+@query("state_list")
+def q_state_list(spark, sf_dir):
+    r = _raw_resumes(spark, sf_dir)
+    return r.select(F.col("ResumeID").try_cast("int").alias("resume_id"),
+                    RX.state_list(F.col("locations.location")).alias("state"))
+
+
+@query("split_files")
+def q_split_files(spark, sf_dir):
+    shards = SP.split_files(xml_shards(spark, sf_dir), skip=1, n=1)
+    r = RX.read_resumes(spark, shards)
+    return r.select(F.col("ResumeID").try_cast("int").alias("resume_id"))
+
+
+@query("seq_jsonl_roundtrip")
+def q_seq_jsonl_roundtrip(spark, sf_dir):
+    filled = SQ.stint_fill(V.jobs_v(_t(spark, sf_dir)))
+    path = stage_path(spark, "stints_jsonl")
+    SIO.write_sequences_jsonl(filled, path, desc="title")
+    back = SIO.read_sequences_jsonl(spark, path)
+    return back.select("person_id", "seq_pos", "start_dt", "end_dt", "company", "description")
+
+
+def _event_lengths(spark, sf_dir):
+    return V.events_v(_t(spark, sf_dir)).groupBy("person_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("seq_load_limit")
+def q_seq_load_limit(spark, sf_dir):
+    return SIO.load_limit(_event_lengths(spark, sf_dir), "person_id", min_len=3, max_entries=3000) \
+              .select("person_id", F.col("n").cast("bigint").alias("n"), "before")
+
+
+@query("seq_scan_stats")
+def q_seq_scan_stats(spark, sf_dir):
+    tv = V.topics_v(_t(spark, sf_dir))
+    lengths = tv.groupBy("person_id").agg(F.count(F.lit(1)).alias("n"),
+                                          F.max(F.size("embedding")).alias("width"))
+    kept = SIO.load_limit(lengths, "person_id", min_len=3, max_entries=1000)
+    return SIO.scan_stats(kept, "person_id", "n", F.col("width"))
+
+
+def _trace_store(spark, sf_dir):
+    tr = V.trace_v(_t(spark, sf_dir))
+    store = SIO.TraceStore(stage_path(spark, "trace"))
+    starts = tr.groupBy("iter", "s1").agg(F.sum("n").alias("n"))
+    store.append({"trans": tr, "starts": starts}, erase=True)
+    return store
+
+
+@query("trace_latest")
+def q_trace_latest(spark, sf_dir):
+    store = _trace_store(spark, sf_dir)
+    latest = store.latest(spark, ["trans", "starts"])
+    return latest["trans"].select(F.col("iter").cast("bigint").alias("iter"), "s1", "s2", "n")
+
+
+@query("trace_append")
+def q_trace_append(spark, sf_dir):
+    store = _trace_store(spark, sf_dir)
+    # a second run appends iterations 20..39 after the first twenty
+    more = V.trace_v(_t(spark, sf_dir)).withColumn("iter", F.col("iter") + 20)
+    store.append({"trans": more})
+    return store.read(spark, "trans").groupBy(F.col("iter").cast("bigint").alias("iter")) \
+                .agg(F.sum("n").cast("bigint").alias("n"))
+
+
+@query("topic_vectors_wide")
+def q_topic_vectors_wide(spark, sf_dir):
+    tv = V.topics_v(_t(spark, sf_dir)).withColumn(
+        "embedding", F.transform("embedding", lambda x: F.round(x, 6)))
+    return SIO.wide_vectors(tv, "job_id", "embedding", 64)
+
+
+@query("add_column")
+def q_add_column(spark, sf_dir):
+    locs = V.locs_v(_t(spark, sf_dir))
+    return SIO.add_column(SIO.add_column(locs, "city", "string"), "latitude", "double")
+
+
+@query("upsert_attrs")
+def q_upsert_attrs(spark, sf_dir):
+    locs = V.locs_v(_t(spark, sf_dir))
+    target = SIO.add_column(SIO.add_column(SIO.add_column(locs, "city", "string"), "state", "string"),
+                            "country", "string")
+    geo = JN.gazetteer_geocode(locs.select("location").distinct(), gazetteer(spark),
+                               fallbacks=[LOC.unconcat_state])
+    updates = geo.where(F.col("matched_by").isNotNull()).select("location", "city", "state", "country")
+    return JN.upsert_attrs(target, updates, ["location"], ["city", "state", "country"])

@@ -676,3 +676,139 @@ with {_TITLE_SEQS}
 select title, count(*) as n from s
 where split = 'test' and title not in (select title from s where split = 'train')
 group by title""", "titles_v")
+
+
+# ---------------------------------------------------------------- A: sources and sinks
+def _xml_people_sql() -> str:
+    from jobtrails.functions.location import STATE_CODES
+    from jobtrails.sources.resume_xml import FLAG_TAGS
+    flag_vals = ["true", "false", "true", "false", "true", "null"]
+    flags = []
+    for i, tag in enumerate(FLAG_TAGS):
+        from jobtrails.sources.resume_xml import decamel
+        cases = " ".join(f"when {j} then {v}" for j, v in enumerate(flag_vals))
+        flags.append(f"case (c_custkey + {i}) % 6 {cases} end as {decamel(tag)}")
+    codes = _sql_list(STATE_CODES)
+    return f"""
+people as (
+  select c.*, n.n_name, n.n_nationkey,
+         {codes}[(n.n_nationkey % {len(STATE_CODES)}) + 1] as code,
+         {", ".join(flags)}
+  from customer c join nation n on c.c_nationkey = n.n_nationkey)"""
+
+
+add("src_xml_resumes", f"""
+with {_xml_people_sql()},
+nj as (select person_id, count(*) as n from jobs_v group by person_id)
+select cast(c_custkey as integer) as resume_id, coalesce(nj.n, 0) as n_experience, cast(1 as bigint) as n_education,
+       cast(case when c_custkey % 3 = 0 then 3 else 2 end as bigint) as n_locations
+from people left join nj on nj.person_id = people.c_custkey""", "jobs_v")
+
+add("etl_resumes", f"""
+with {_xml_people_sql()}
+select cast(c_custkey as integer) as resume_id,
+       wants_permanent, wants_contract, wants_intern, wants_temp, wants_full_time, wants_part_time,
+       wants_per_diem, wants_overtime, wants_weekends, prefer_weekends, wants_seasonal, will_relocate,
+       c_mktsegment as currency_name, cast(null as varchar) as additional_info, c_name as resume_title,
+       cast(null as varchar) as summary,
+       case when c_custkey % 5 = 0 then 'Up to 25% travel' end as willingness_to_travel_internal_name,
+       make_date(cast(2000 + c_custkey % 10 as integer), cast(c_custkey % 12 + 1 as integer),
+                 cast(c_custkey % 28 + 1 as integer)) as date_created,
+       make_date(cast(2000 + c_custkey % 10 as integer), cast(c_custkey % 12 + 1 as integer),
+                 cast(c_custkey % 28 + 1 as integer)) as date_modified,
+       coalesce({_clean_name_sql("c_name || '!'")}, '') as desired_job_title,
+       c_acctbal as salary, cast(c_nationkey as integer) as commute_distance,
+       case when c_custkey % 3 = 0 then array_to_string(list_sort(list_distinct([code, 'MA'])), ',')
+            else code end as state
+from people""")
+
+add("parse_flags", f"""
+with {_xml_people_sql()}
+select cast(c_custkey as integer) as resume_id, wants_permanent, wants_contract, wants_intern, wants_temp,
+       wants_full_time, wants_part_time, wants_per_diem, wants_overtime, wants_weekends, prefer_weekends,
+       wants_seasonal, will_relocate
+from people""")
+
+add("state_list", f"""
+with {_xml_people_sql()}
+select cast(c_custkey as integer) as resume_id,
+       case when c_custkey % 3 = 0 then array_to_string(list_sort(list_distinct([code, 'MA'])), ',')
+            else code end as state
+from people""")
+
+add("snake_columns", """
+with t(tag) as (values ('CommuteDistance'), ('CurrencyName'), ('DateCreated'), ('DateModified'),
+  ('DesiredJobTitle'), ('PreferWeekends'), ('ResumeID'), ('ResumeTitle'), ('Salary'), ('WantsContract'),
+  ('WantsFullTime'), ('WantsIntern'), ('WantsOvertime'), ('WantsPartTime'), ('WantsPerDiem'),
+  ('WantsPermanent'), ('WantsSeasonal'), ('WantsTemp'), ('WantsWeekends'), ('WillRelocate'),
+  ('WillingnessToTravelInternalName'), ('education'), ('experience'), ('locations'))
+select tag, lower(regexp_replace(regexp_replace(tag, '(.)([A-Z][a-z]+)', '\\1_\\2', 'g'),
+                                 '([a-z0-9])([A-Z])', '\\1_\\2', 'g')) as column
+from t""")
+
+add("split_files", "select cast(c_custkey as integer) as resume_id from customer where c_custkey % 2 = 1")
+
+_ETL_SRC = """
+etl_src as (select cast(person_id as integer) as person_id, pos - 1 as pos, start_dt, end_dt,
+                   coalesce(""" + _clean_name_sql('company') + """, '') as company,
+                   """ + _clean_name_sql('location') + """ as location,
+                   """ + _clean_name_sql('title') + """ as title,
+                   case when pos % 6 = 0 then '' else title || ' work at ' || company end as description
+            from jobs_v)"""
+
+add("etl_jobs", f"""
+with {_ETL_SRC},
+{_stint_fill_ctes('etl_src')}
+select person_id as resume_id, pos, company as company_name, location, title, description,
+       seq_pos, start_dt, end_dt
+from ({_stint_fill_sql('etl_src').replace('select job_id, person_id, pos, company, title, location,',
+                                          'select person_id, pos, company, title, location, description,')}) x""",
+    "jobs_v")
+
+add("etl_schools", f"""
+select cast(c_custkey as integer) as resume_id, 0 as pos, cast(n_nationkey as integer) as school_id,
+       {_clean_name_sql("'School of ' || n_name")} as school_name, {_clean_name_sql('n_name')} as city,
+       'region' as state,
+       make_date(cast(1970 + c_custkey % 30 as integer),
+                 cast(case when c_custkey % 13 = 0 then 1 else c_custkey % 13 end as integer), 1) as grad_date,
+       cast(printf('%.2f', (c_custkey % 400) / 100.0) as double) as gpa, cast(null as varchar) as summary
+from customer join nation on c_nationkey = n_nationkey""")
+
+add("seq_jsonl_roundtrip", f"""
+with {_stint_fill_ctes('jobs_v')}
+select person_id, seq_pos, start_dt, end_dt, company, title as description
+from ({_stint_fill_sql('jobs_v')}) x""", "jobs_v")
+
+add("seq_load_limit", """
+with l as (select person_id, count(*) as n from events_v group by person_id having count(*) >= 3),
+r as (select *, coalesce(sum(n) over (order by person_id rows between unbounded preceding and 1 preceding), 0)
+               as before from l)
+select person_id, n, cast(before as bigint) as before from r where before <= 3000""", "events_v")
+
+add("seq_scan_stats", """
+with l as (select person_id, count(*) as n, max(len(embedding)) as width from topics_v group by person_id
+           having count(*) >= 3),
+r as (select *, coalesce(sum(n) over (order by person_id rows between unbounded preceding and 1 preceding), 0)
+               as before from l),
+k as (select * from r where before <= 1000)
+select cast(count(*) as bigint) as n_seqs, cast(sum(n) as bigint) as n_entries, arg_max(width, person_id) as width
+from k""", "topics_v")
+
+add("trace_latest", """
+select cast(iter as bigint) as iter, s1, s2, n from trace_v where iter = (select max(iter) from trace_v)""",
+    "trace_v")
+
+add("trace_append", """
+select cast(iter as bigint) as iter, cast(sum(n) as bigint) as n
+from (select iter, n from trace_v union all select iter + 20, n from trace_v) t group by iter""", "trace_v")
+
+add("topic_vectors_wide", "select job_id, " + ", ".join(
+    f"round(embedding[{i + 1}], 6) as t{i}" for i in range(64)) + " from topics_v", "topics_v")
+
+add("add_column", """
+select job_id, location, cast(null as varchar) as city, cast(null as double) as latitude from locs_v""",
+    "locs_v")
+
+add("upsert_attrs", ORACLES["gazetteer_geocode"].replace(
+    "select l.job_id, l.location, g.city, g.state, g.country, g.latitude, g.longitude, g.matched_by",
+    "select l.job_id, l.location, g.city, g.state, g.country"))
