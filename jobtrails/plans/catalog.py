@@ -50,7 +50,8 @@ def q_next_title_top3(spark, sf_dir):
 
 # Queries checked by invariants (tests) rather than by an SQL oracle:
 # iterative or randomised models.
-ROWS_ONLY: set[str] = {"value_sample", "xml_schema_paths"}
+ROWS_ONLY: set[str] = {"value_sample", "xml_schema_paths", "bigram_replace", "clean_descriptions",
+                       "lda_topics", "lda_topic_words", "lda_transform_heldout"}
 
 
 # ---------------------------------------------------------------- B: scalar functions
@@ -661,3 +662,86 @@ def q_upsert_attrs(spark, sf_dir):
                                fallbacks=[LOC.unconcat_state])
     updates = geo.where(F.col("matched_by").isNotNull()).select("location", "city", "state", "country")
     return JN.upsert_attrs(target, updates, ["location"], ["city", "state", "country"])
+
+
+# ---------------------------------------------------------------- text and topic models
+from jobtrails.operators import text as TXT  # noqa: E402
+from jobtrails.operators import topics as TOP  # noqa: E402
+
+
+def _docs(spark, sf_dir):
+    return V.docs_v(_t(spark, sf_dir))
+
+
+@query("doc_term_matrix")
+def q_doc_term_matrix(spark, sf_dir):
+    return TXT.vocabulary(_docs(spark, sf_dir), "job_id", "description")
+
+
+@query("bigram_llr")
+def q_bigram_llr(spark, sf_dir):
+    b = TXT.bigram_llr(_docs(spark, sf_dir), "job_id", "description", num=1000)
+    return b.select("w1", "w2", "n", F.round("score", 6).alias("score"))
+
+
+@query("bigram_replace")
+def q_bigram_replace(spark, sf_dir):
+    d = _docs(spark, sf_dir)
+    bigrams = TXT.bigram_llr(d, "job_id", "description", num=1000)
+    toks = d.select("job_id", TX.tokens_wordpunct(F.col("description")).alias("tokens"))
+    out = TXT.bigram_replace(toks, "job_id", "tokens", bigrams)
+    return out.select("job_id", *_fingerprint(F.col("tokens")))
+
+
+@query("clean_descriptions")
+def q_clean_descriptions(spark, sf_dir):
+    return TXT.clean_descriptions(_docs(spark, sf_dir), "job_id", "description", num=1000)
+
+
+def _lda(spark, sf_dir, k=8, max_iter=10):
+    d = _docs(spark, sf_dir).select("job_id", "description")
+    return TOP.fit_lda(d, "description", k=k, max_iter=max_iter, seed=11)
+
+
+@query("lda_topics")
+def q_lda_topics(spark, sf_dir):
+    _, model, feats = _lda(spark, sf_dir)
+    return TOP.lda_doc_topics(model, feats, "job_id", normalized=False)
+
+
+@query("lda_topic_words")
+def q_lda_topic_words(spark, sf_dir):
+    cv, model, _ = _lda(spark, sf_dir)
+    return TOP.lda_topic_words(model, TOP.vocabulary_frame(spark, cv), threshold=0.5)
+
+
+@query("lda_transform_heldout")
+def q_lda_transform_heldout(spark, sf_dir):
+    d = _docs(spark, sf_dir).select("job_id", "description")
+    s = SP.split_sequences(d, "job_id", 800)
+    cv, model, _ = TOP.fit_lda(s.where("split = 'train'").drop("split"), "description", k=8,
+                               max_iter=10, seed=11)
+    path = stage_path(spark, "lda_model")
+    TOP.save_models(cv, model, path)
+    return TOP.lda_transform_heldout(spark, path, s.where("split = 'test'").drop("split"), "job_id")
+
+
+def _norm_topics(spark, sf_dir):
+    return TOP.normalise_vectors(V.topics_v(_t(spark, sf_dir)), "embedding")
+
+
+@query("doc_top_topics")
+def q_doc_top_topics(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return TOP.doc_top_topics(_norm_topics(spark, sf_dir), "job_id", "embedding", _topic_word_weights(t))
+
+
+@query("dominant_topic")
+def q_dominant_topic(spark, sf_dir):
+    return TOP.dominant_topic(V.topics_v(_t(spark, sf_dir)), "job_id", "embedding")
+
+
+@query("state_topic_mix")
+def q_state_topic_mix(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return TOP.state_topic_mix(_state_topics(t), _topic_word_weights(t))

@@ -812,3 +812,73 @@ select job_id, location, cast(null as varchar) as city, cast(null as double) as
 add("upsert_attrs", ORACLES["gazetteer_geocode"].replace(
     "select l.job_id, l.location, g.city, g.state, g.country, g.latitude, g.longitude, g.matched_by",
     "select l.job_id, l.location, g.city, g.state, g.country"))
+
+
+# ---------------------------------------------------------------- text and topic models
+add("doc_term_matrix", """
+with t as (select job_id, unnest(regexp_extract_all(lower(description), '[\\p{L}\\p{N}_]{2,}', 0)) as term
+           from docs_v),
+c as (select job_id, term, count(*) as n from t group by job_id, term)
+select term, cast(sum(n) as bigint) as n, cast(count(*) as bigint) as n_docs from c group by term""", "docs_v")
+
+
+def _bigram_sql() -> str:
+    from jobtrails.functions.text import STOPWORDS
+    stops = _sql_list(STOPWORDS)
+    cont = ["n_ii", "n_oi", "n_io", "n_oo"]
+    terms = []
+    for i in range(4):
+        e = f"(({cont[i]} + {cont[i ^ 1]}) * ({cont[i]} + {cont[i ^ 2]}) / nn)"
+        terms.append(f"{cont[i]} * ln({cont[i]} / ({e} + 1e-20) + 1e-20)")
+    return f"""
+with tk as (select job_id, {_WORDPUNCT_SQL} as t from docs_v),
+tot as (select cast(sum(len(t)) as double) as nn from tk),
+uni as (select w, count(*) as c from (select unnest(t) as w from tk) u group by w),
+pos as (select job_id, unnest(t) as w, generate_subscripts(t, 1) as i from tk),
+pairs as (select a.w as w1, b.w as w2 from pos a join pos b on a.job_id = b.job_id and b.i = a.i + 1),
+big as (select w1, w2, count(*) as n from pairs
+        where regexp_matches(w1, '^\\p{{L}}+$') and regexp_matches(w2, '^\\p{{L}}+$')
+          and not list_contains({stops}, w1) and not list_contains({stops}, w2)
+        group by w1, w2),
+j as (select big.w1, big.w2, big.n, cast(big.n as double) as n_ii,
+             cast(u2.c - big.n as double) as n_oi, cast(u1.c - big.n as double) as n_io, tot.nn
+      from big join uni u1 on u1.w = big.w1 join uni u2 on u2.w = big.w2, tot),
+s as (select w1, w2, n, 2.0 * ({' + '.join(terms)}) as score
+      from (select *, nn - n_ii - n_oi - n_io as n_oo from j) x)
+select w1, w2, n, round(score, 6) as score from s order by score desc, w1, w2 limit 1000"""
+
+
+add("bigram_llr", _bigram_sql(), "docs_v")
+
+_NORM_TOPICS = """
+nt as (select job_id, list_transform(embedding, lambda x: x / list_sum(embedding)) as v from topics_v),
+tw as (select topic, word, cast(n as double) / sum(n) over (partition by topic) as weight from topic_words_v)"""
+
+add("doc_top_topics", f"""
+with {_NORM_TOPICS},
+x as (select job_id, unnest(v) as weight, generate_subscripts(v, 1) - 1 as topic from nt),
+xt as (select job_id, cast(topic as bigint) as topic, weight,
+              row_number() over (partition by job_id order by weight desc, topic desc) as t_rank
+       from x where weight >= 0.01),
+w as (select topic, word, weight as freq,
+             row_number() over (partition by topic order by weight desc, word desc) as w_rank from tw)
+select job_id, cast(t_rank as bigint) as t_rank, xt.topic, round(xt.weight, 6) as weight,
+       cast(w_rank as bigint) as w_rank, word, round(freq, 6) as freq
+from xt join w on xt.topic = w.topic where w_rank <= 10""", "topics_v", "topic_words_v")
+
+add("dominant_topic", """
+with t as (select job_id, cast(list_position(embedding, list_max(embedding)) - 1 as bigint) as topic from topics_v),
+l as (select topic, cast(dense_rank() over (order by topic) - 1 as bigint) as label from (select distinct topic from t) d)
+select job_id, t.topic, label from t join l on t.topic = l.topic""", "topics_v")
+
+add("state_topic_mix", f"""
+with {_NORM_TOPICS},
+x as (select state, unnest(embedding) as x, generate_subscripts(embedding, 1) - 1 as topic from topics_v),
+st as (select state, cast(topic as bigint) as topic, sum(x) as mass from x group by state, topic),
+sh as (select *, mass / sum(mass) over (partition by state) as share,
+              row_number() over (partition by state order by mass desc, topic desc) as t_rank from st),
+w as (select topic, word, weight,
+             row_number() over (partition by topic order by weight desc, word desc) as w_rank from tw)
+select state, cast(t_rank as bigint) as t_rank, sh.topic, round(share, 6) as share,
+       cast(w_rank as bigint) as w_rank, word, round(weight, 6) as freq
+from sh join w on sh.topic = w.topic where t_rank <= 10 and w_rank <= 6""", "topics_v", "topic_words_v")
