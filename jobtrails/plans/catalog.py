@@ -51,7 +51,8 @@ def q_next_title_top3(spark, sf_dir):
 # Queries checked by invariants (tests) rather than by an SQL oracle:
 # iterative or randomised models.
 ROWS_ONLY: set[str] = {"value_sample", "xml_schema_paths", "bigram_replace", "clean_descriptions",
-                       "lda_topics", "lda_topic_words", "lda_transform_heldout"}
+                       "lda_topics", "lda_topic_words", "lda_transform_heldout", "hmm_fit_em",
+                       "hmm_score", "hmm_decode_next", "gibbs_hmm_fit", "gibbs_resume"}
 
 
 # ---------------------------------------------------------------- B: scalar functions
@@ -479,6 +480,7 @@ def q_state_word_mix(spark, sf_dir):
 
 
 def _split_titles(spark, sf_dir, n_train: int = 50):
+    """A15 on the title sequences: the first ``n_train`` people train."""
     seqs = SQ.title_sequences(V.titles_v(_t(spark, sf_dir)))
     from jobtrails.sources import splits
     return splits.split_sequences(seqs, "person_id", n_train)
@@ -745,3 +747,102 @@ def q_dominant_topic(spark, sf_dir):
 def q_state_topic_mix(spark, sf_dir):
     t = _t(spark, sf_dir)
     return TOP.state_topic_mix(_state_topics(t), _topic_word_weights(t))
+
+
+# ---------------------------------------------------------------- iterative models
+from jobtrails.operators import gibbs as GB  # noqa: E402
+from jobtrails.operators import hmm as HM  # noqa: E402
+
+
+def _hmm_data(spark, sf_dir, n_train: int = 600):
+    """Title sequences split into train / held-out, encoded with the
+    training vocabulary (titles unseen in training encode as 0)."""
+    s = _split_titles(spark, sf_dir, n_train)
+    train, test = s.where("split = 'train'"), s.where("split = 'test'")
+    t = V.titles_v(_t(spark, sf_dir))
+    tr_people = train.select("person_id").distinct()
+    counted = (t.join(tr_people, "person_id", "left_semi")
+                .withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("person_id"))).where("_n >= 2")
+                .where(F.col("title").isNotNull() & (F.col("title") != ""))
+                .select(TX.clean_title(F.col("title")).alias("title")))
+    vocab, enc_train = ST.vocab_encode(counted, train)
+    enc_test = test.join(vocab.select("title", "id"), "title", "left") \
+                   .withColumn("id", F.coalesce("id", F.lit(0).cast("bigint")))
+    n_symbols = int(vocab.agg(F.max("id")).first()[0] or 0) + 1
+    return vocab, enc_train, enc_test, n_symbols
+
+
+def _hmm_model(spark, sf_dir, n_states=8, n_iter=8):
+    vocab, enc_train, enc_test, v = _hmm_data(spark, sf_dir)
+    model = HM.fit_em(enc_train, n_states, v, n_iter=n_iter, seed=3)
+    return model, vocab, enc_test
+
+
+@query("hmm_fit_em")
+def q_hmm_fit_em(spark, sf_dir):
+    model, _, _ = _hmm_model(spark, sf_dir)
+    return model.to_frame(spark)
+
+
+@query("hmm_score")
+def q_hmm_score(spark, sf_dir):
+    model, _, enc_test = _hmm_model(spark, sf_dir)
+    return HM.score(model, enc_test)
+
+
+@query("hmm_decode_next")
+def q_hmm_decode_next(spark, sf_dir):
+    model, vocab, enc_test = _hmm_model(spark, sf_dir)
+    nxt = HM.decode_next(model, enc_test)
+    labels = vocab.where("id > 0").select(F.col("id").alias("next_id"), F.col("title").alias("next_title"))
+    return nxt.join(labels, "next_id", "left")
+
+
+def _gibbs_docs(spark, sf_dir):
+    tv = V.topics_v(_t(spark, sf_dir))
+    return tv.select("job_id", "person_id", "pos", "state", F.col("embedding").alias("x"))
+
+
+def _gibbs_setup(spark, sf_dir):
+    docs = _gibbs_docs(spark, sf_dir)
+    n_states = int(docs.agg(F.max("state")).first()[0]) + 1
+    n_topics = int(docs.agg(F.max(F.size("x"))).first()[0])
+    priors = GB.Priors(n_states, n_topics)
+    n_seqs = docs.select("person_id").distinct().count()
+    counts = GB.collect_counts(GB.state_tables(docs), n_seqs, n_states, n_topics)
+    return docs, priors, counts
+
+
+@query("gibbs_state_tables")
+def q_gibbs_state_tables(spark, sf_dir):
+    t = GB.state_tables(_gibbs_docs(spark, sf_dir))
+    return t.select("kind", "i", "j", F.round("value", 6).alias("value"))
+
+
+@query("state_topic_loglik")
+def q_state_topic_loglik(spark, sf_dir):
+    docs, priors, counts = _gibbs_setup(spark, sf_dir)
+    return GB.loo_scores(docs, counts, priors, part="topic")
+
+
+@query("state_seq_loglik")
+def q_state_seq_loglik(spark, sf_dir):
+    docs, priors, counts = _gibbs_setup(spark, sf_dir)
+    return GB.loo_scores(docs, counts, priors, part="trans")
+
+
+@query("gibbs_hmm_fit")
+def q_gibbs_hmm_fit(spark, sf_dir):
+    docs, priors, _ = _gibbs_setup(spark, sf_dir)
+    store = SIO.TraceStore(stage_path(spark, "gibbs_trace"))
+    final, _ = GB.fit_gibbs(docs, priors, n_iter=3, seed=5, store=store, lag=1)
+    return final.select("job_id", "person_id", "pos", F.col("z").alias("state"))
+
+
+@query("gibbs_resume")
+def q_gibbs_resume(spark, sf_dir):
+    docs, priors, _ = _gibbs_setup(spark, sf_dir)
+    store = SIO.TraceStore(stage_path(spark, "gibbs_trace"))
+    GB.fit_gibbs(docs, priors, n_iter=2, seed=5, store=store, lag=1)
+    final, _ = GB.resume_gibbs(spark, store, docs, priors, n_iter=1, seed=5)
+    return final.select("job_id", "person_id", "pos", F.col("z").alias("state"))

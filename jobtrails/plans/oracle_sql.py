@@ -882,3 +882,75 @@ w as (select topic, word, weight,
 select state, cast(t_rank as bigint) as t_rank, sh.topic, round(share, 6) as share,
        cast(w_rank as bigint) as w_rank, word, round(weight, 6) as freq
 from sh join w on sh.topic = w.topic where t_rank <= 10 and w_rank <= 6""", "topics_v", "topic_words_v")
+
+
+# ---------------------------------------------------------------- state-model tables and scores
+_GIBBS_DOCS = """
+gd as (select job_id, person_id, pos, state as z, embedding as x,
+              lag(state) over w as p, lead(state) over w as nx,
+              list_sum(embedding) as len
+       from topics_v window w as (partition by person_id order by pos))"""
+
+add("gibbs_state_tables", f"""
+with {_GIBBS_DOCS},
+xs as (select z, unnest(x) as v, generate_subscripts(x, 1) - 1 as t from gd)
+select 'start' as kind, z as i, 0 as j, round(cast(count(*) as double), 6) as value from gd where p is null group by z
+union all
+select 'trans', z, nx, round(cast(count(*) as double), 6) from gd where nx is not null group by z, nx
+union all
+select 'topic', z, cast(t as integer), round(sum(v), 6) from xs group by z, t
+union all
+select 'total', z, 0, round(sum(len), 6) from gd group by z""", "topics_v")
+
+add("state_topic_loglik", f"""
+with {_GIBBS_DOCS},
+nt as (select max(len(x)) as t from gd),
+xs as (select job_id, z, unnest(x) as v, generate_subscripts(x, 1) - 1 as t from gd),
+c as (select z as s, t, sum(v) as c from xs group by z, t),
+ct as (select z as s, sum(len) as ct from gd group by z),
+st as (select distinct s from ct),
+cand as (select gd.job_id, gd.z, gd.len, st.s from gd, st),
+terms as (select cand.job_id, cand.s,
+                 sum(case when xs.v > 0 then lgamma(c.c - case when cand.z = cand.s then xs.v else 0 end + 1 + xs.v)
+                                            - lgamma(c.c - case when cand.z = cand.s then xs.v else 0 end + 1)
+                          else 0 end) as tsum
+          from cand join xs on xs.job_id = cand.job_id join c on c.s = cand.s and c.t = xs.t
+          group by cand.job_id, cand.s)
+select cand.job_id, cast(cand.s as integer) as state,
+       round(terms.tsum + lgamma(ct.ct - case when cand.z = cand.s then cand.len else 0 end + nt.t)
+             - lgamma(ct.ct - case when cand.z = cand.s then cand.len else 0 end + nt.t + cand.len), 4) as loglik
+from cand join terms on terms.job_id = cand.job_id and terms.s = cand.s join ct on ct.s = cand.s, nt""",
+    "topics_v")
+
+add("state_seq_loglik", f"""
+with {_GIBBS_DOCS},
+ns as (select count(distinct person_id) as n from gd),
+nst as (select max(z) + 1 as n from gd),
+sts as (select unnest(range(0, (select n from nst))) as s),
+st as (select z as a, count(*) as n from gd where p is null group by z),
+tr as (select z as a, nx as b, count(*) as n from gd where nx is not null group by z, nx),
+tt as (select z as a, count(*) as n from gd where nx is not null group by z),
+cand as (select gd.*, sts.s from gd, sts),
+v as (select cand.job_id, cand.s, cand.z, cand.p, cand.nx,
+             coalesce(st.n, 0) - case when cand.p is null and cand.z = cand.s then 1 else 0 end as start_s,
+             coalesce(tps.n, 0) - case when cand.p is not null and cand.p = cand.p and cand.s = cand.z then 1 else 0 end
+                                - case when cand.nx is not null and cand.p = cand.z and cand.s = cand.nx then 1 else 0 end
+               as trans_ps,
+             coalesce(tsn.n, 0) - case when cand.p is not null and cand.s = cand.p and cand.nx = cand.z then 1 else 0 end
+                                - case when cand.nx is not null and cand.s = cand.z then 1 else 0 end
+               as trans_sn,
+             coalesce(tt.n, 0) - case when cand.nx is not null and cand.s = cand.z then 1 else 0 end as tots_s
+      from cand
+      left join st on st.a = cand.s
+      left join tr tps on tps.a = cand.p and tps.b = cand.s
+      left join tr tsn on tsn.a = cand.s and tsn.b = cand.nx
+      left join tt on tt.a = cand.s)
+select job_id, cast(s as integer) as state, round(ln(
+  case when p is null then
+         (start_s + 1000.0) / ((select n from ns) - 1 + 1000.0 * (select n from nst))
+         * case when nx is null then 1.0 else (trans_sn + 1.0) / (tots_s + 1.0 * (select n from nst)) end
+       when nx is null then trans_ps + 1.0
+       when p = z then (trans_ps + 1.0) * (trans_sn + case when z = nx then 1 else 0 end + 1.0)
+                       / (tots_s + 1 + 1.0 * (select n from nst))
+       else (trans_ps + 1.0) * (trans_sn + 1.0) / (tots_s + 1.0 * (select n from nst)) end), 4) as loglik
+from v""", "topics_v")
