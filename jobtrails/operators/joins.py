@@ -148,10 +148,13 @@ def shared_employers(stints: DataFrame, person: str = "person_id", company: str
     whole company sets are equal.  Output (person1 < person2, company)."""
     d = stints.where(F.col(start).isNotNull() & F.col(end).isNotNull()) \
               .select(person, company, start, end)
-    ys, ye = F.year(F.col(start)), F.year(F.col(end))
-    a = (d.withColumn("_y", F.explode(F.sequence(ys, F.greatest(ys, ye))))
+    # month buckets: the later-starting stint's start month lies in the
+    # earlier one's [start month, end month] whenever they overlap
+    ms = F.trunc(F.col(start), "month")
+    me = F.greatest(ms, F.trunc(F.col(end), "month"))
+    a = (d.withColumn("_y", F.explode(F.sequence(ms, me, F.expr("interval 1 month"))))
           .select(company, "_y", *[F.col(c).alias(f"a_{c}") for c in (person, start, end)]))
-    b = d.select(company, ys.alias("_y"), *[F.col(c).alias(f"b_{c}") for c in (person, start, end)])
+    b = d.select(company, ms.alias("_y"), *[F.col(c).alias(f"b_{c}") for c in (person, start, end)])
     j = a.join(b, [company, "_y"])
     sa, ea, sb, eb = (F.col(f"a_{start}"), F.col(f"a_{end}"), F.col(f"b_{start}"), F.col(f"b_{end}"))
     pa, pb = F.col(f"a_{person}"), F.col(f"b_{person}")
