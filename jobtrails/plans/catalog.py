@@ -707,8 +707,9 @@ def _lda(spark, sf_dir, k=8, max_iter=10):
 
 @query("lda_topics")
 def q_lda_topics(spark, sf_dir):
-    _, model, feats = _lda(spark, sf_dir)
-    return TOP.lda_doc_topics(model, feats, "job_id", normalized=False)
+    cv, model, feats = _lda(spark, sf_dir)
+    return TOP.lda_doc_topics(model, feats, "job_id", normalized=False,
+                              vocab=TOP.vocabulary_frame(spark, cv))
 
 
 @query("lda_topic_words")
@@ -846,3 +847,28 @@ def q_gibbs_resume(spark, sf_dir):
     GB.fit_gibbs(docs, priors, n_iter=2, seed=5, store=store, lag=1)
     final, _ = GB.resume_gibbs(spark, store, docs, priors, n_iter=1, seed=5)
     return final.select("job_id", "person_id", "pos", F.col("z").alias("state"))
+
+
+# ---------------------------------------------------------------- separate keys for single functions
+@query("clean_title_loose")
+def q_clean_title_loose(spark, sf_dir):
+    t = V.titles_v(_t(spark, sf_dir))
+    return t.select("person_id", "pos", TX.clean_title_loose(F.col("title")).alias("clean"))
+
+
+@query("unconcat_state")
+def q_unconcat_state(spark, sf_dir):
+    l = V.locs_v(_t(spark, sf_dir))
+    return l.select("job_id", LOC.unconcat_state(F.col("location")).alias("unconcat"))
+
+
+@query("strip_country")
+def q_strip_country(spark, sf_dir):
+    l = V.locs_v(_t(spark, sf_dir))
+    return l.select("job_id", LOC.strip_country(LOC.preprocess_loc(F.col("location"))).alias("stripped"))
+
+
+@query("title_distinct")
+def q_title_distinct(spark, sf_dir):
+    t = V.titles_v(_t(spark, sf_dir))
+    return t.agg(F.count_distinct("title").alias("n_titles"), F.count(F.lit(1)).alias("n_jobs"))

@@ -954,3 +954,19 @@ select job_id, cast(s as integer) as state, round(ln(
                        / (tots_s + 1 + 1.0 * (select n from nst))
        else (trans_ps + 1.0) * (trans_sn + 1.0) / (tots_s + 1.0 * (select n from nst)) end), 4) as loglik
 from v""", "topics_v")
+
+
+# ---------------------------------------------------------------- separate keys for single functions
+add("clean_title_loose", """
+select person_id, pos, regexp_replace(lower(title), '[A-Z ]{6,}[A-Z ]{6,}', '', 'g') as clean
+from titles_v""", "titles_v")
+
+add("unconcat_state", f"select job_id, {_unconcat_sql('location')} as unconcat from locs_v", "locs_v")
+
+add("strip_country", f"""
+select job_id, case when ends_with(q, 'United States of America')
+                    then substr(q, 1, strpos(q, 'United States of America') - 1) end as stripped
+from (select job_id, {_preprocess_sql('location')} as q from locs_v) t""", "locs_v")
+
+add("title_distinct", """
+select count(distinct title) as n_titles, count(*) as n_jobs from titles_v""", "titles_v")

@@ -138,8 +138,9 @@ def test_lda_empty_and_unknown_documents(spark):
                                    (3, "gamma delta alpha delta")], "job_id long, text string")
     cv, model, feats = TOP.fit_lda(train, "text", k=2, max_iter=5, seed=1)
     new = spark.createDataFrame([(7, ""), (8, "zzz yyy")], "job_id long, text string")
+    vocab = TOP.vocabulary_frame(spark, cv)
     out = {r["job_id"]: r["topics"] for r in TOP.lda_doc_topics(model, cv.transform(new), "job_id",
-                                                                normalized=False).collect()}
+                                                                normalized=False, vocab=vocab).collect()}
     alpha = list(model.estimatedDocConcentration().toArray())
     assert out[7] == pytest.approx(alpha) and out[8] == pytest.approx(alpha)
     norm = TOP.lda_doc_topics(model, feats, "job_id").collect()
