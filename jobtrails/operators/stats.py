@@ -51,16 +51,19 @@ def attr_histograms(df: DataFrame, key: str, attrs: Sequence[str], topn: int = 1
         F.struct(F.lit(a).alias("attr"), F.col(a).cast("string").alias("value")) for a in attrs
     ])).alias("kv")).select("kv.attr", "kv.value")
     counts = long.groupBy("attr", "value").agg(_count().alias("n"))
-    w = Window.partitionBy("attr").orderBy(F.col("n").desc(), F.col("value").asc_nulls_first())
-    ranked = counts.withColumn("_r", F.row_number().over(w))
-    folded = (ranked.withColumn("value", F.when(F.col("_r") < topn, F.col("value"))
-                                          .otherwise(F.lit(LABEL_OTHER)))
-                    .groupBy("attr", "value").agg(F.sum("n").alias("n")))
+    # top values per attribute: a group-limited window (each task keeps its
+    # top topn-1 per attribute before the shuffle), never a full ranking
+    top = topk_per_group(counts, "attr", [F.col("n").desc(), F.col("value").asc_nulls_first()],
+                         topn - 1, rank_col="_r").select("attr", "value", "n")
     present = counts.groupBy("attr").agg(F.sum("n").alias("_p"))
+    kept = top.groupBy("attr").agg(F.sum("n").alias("_k"))
+    other = (present.join(kept, "attr").where(F.col("_p") > F.col("_k"))
+                    .select("attr", F.lit(LABEL_OTHER).alias("value"), (F.col("_p") - F.col("_k")).alias("n")))
     missing = (present.where(F.col("_p") < total)
                       .select("attr", F.lit(LABEL_MISSING).alias("value"),
                               (F.lit(total) - F.col("_p")).alias("n")))
-    return folded.unionByName(missing).select("attr", "value", F.col("n").cast("bigint").alias("n"))
+    return (top.unionByName(other).unionByName(missing)
+               .select("attr", "value", F.col("n").cast("bigint").alias("n")))
 
 
 def jobs_per_resume(jobs: DataFrame, person: str = "person_id", max_jobs: int = 21) -> DataFrame:

@@ -264,3 +264,35 @@ def test_tokens_match_python_split(spark):
     for i, t in enumerate(texts):
         assert got[i] == [w.lower() for w in t.split() if w.lower() not in stops]
     assert string.punctuation  # the ASCII set the cleaner removes
+
+
+# ---------------------------------------------------------------- F1
+def _replace_slow(tokens, scores):
+    """Straight reading of the rule: one full pass per matched bigram."""
+    found = []
+    for a, b in zip(tokens, tokens[1:]):
+        if (a, b) in scores and (a, b) not in found:
+            found.append((a, b))
+    out = list(tokens)
+    for bg in sorted(found, key=lambda p: -scores[p]):     # stable: first occurrence on ties
+        res, i = [], 0
+        while i < len(out):
+            if i + 1 < len(out) and (out[i], out[i + 1]) == bg:
+                res.append("_".join(bg))
+                i += 2
+            else:
+                res.append(out[i])
+                i += 1
+        out = res
+    return out
+
+
+def test_replace_bigrams_matches_slow_form():
+    from jobtrails.operators.text import replace_bigrams
+    rng = random.Random(11)
+    vocab = ["a", "b", "c", "a_b", "d"]
+    for _ in range(3000):
+        toks = [rng.choice(vocab) for _ in range(rng.randint(0, 14))]
+        pairs = {(rng.choice(vocab), rng.choice(vocab)) for _ in range(rng.randint(0, 6))}
+        scores = {p: float(rng.choice([1, 2, 2, 3, 5])) for p in pairs}
+        assert replace_bigrams(toks, scores) == _replace_slow(toks, scores), (toks, scores)
