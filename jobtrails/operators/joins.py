@@ -111,15 +111,24 @@ def coworker_links(stints: DataFrame, person: str = "person_id", order: Sequence
     and equi-joined on (company, year) to stints ``b`` starting that year.
     """
     s = F.coalesce(F.col(start_year), F.col(end_year))
-    d = (stints.select(person, *[c for c in order if c != person], company,
-                       s.alias("_s"), F.col(end_year).alias("_e"),
+    d = (stints.select(person, company, s.alias("_s"), F.col(end_year).alias("_e"),
                        F.struct(*[F.col(c) for c in order]).alias("_ord"))
                .where(F.col("_s").isNotNull()))
-    # only the covering (earlier-starting) stint needs an end year
-    a = _year_cover(d.where(F.col("_e").isNotNull()), "_s", "_e").where(F.col("_y") <= F.col("_e"))
-    a = a.select(F.col(company), F.col("_y"), *[F.col(c).alias(f"a{c}") for c in (person, "_s", "_e", "_ord")])
-    b = d.select(F.col(company), F.col("_s").alias("_y"),
-                 *[F.col(c).alias(f"b{c}") for c in (person, "_s", "_e", "_ord")])
+    # one explode gives both join sides: role 0 = the stint covering each
+    # year of [s, e] (only a stint with an end year covers anything), role 1 =
+    # the stint keyed on its start year.  A single shuffle on (company, year)
+    # feeds both sides of the join, so the stint table is computed once.
+    cover = F.when(F.col("_e").isNotNull() & (F.col("_e") >= F.col("_s")),
+                   F.sequence(F.col("_s"), F.col("_e"))).otherwise(F.array().cast("array<int>"))
+    keyed = F.concat(F.transform(cover, lambda y: F.struct(F.lit(0).alias("role"), y.cast("int").alias("_y"))),
+                     F.array(F.struct(F.lit(1).alias("role"), F.col("_s").cast("int").alias("_y"))))
+    x = (d.select(company, person, "_s", "_e", "_ord", F.explode(keyed).alias("k"))
+          .select(company, person, "_s", "_e", "_ord", "k.role", "k._y")
+          .repartition(company, "_y"))
+    a = x.where(F.col("role") == 0).select(F.col(company), F.col("_y"),
+                                           *[F.col(c).alias(f"a{c}") for c in (person, "_s", "_e", "_ord")])
+    b = x.where(F.col("role") == 1).select(F.col(company), F.col("_y"),
+                                           *[F.col(c).alias(f"b{c}") for c in (person, "_s", "_e", "_ord")])
     j = a.join(b, [company, "_y"])
     # a precedes b in row order: the s_a <= s_b branch, found here once
     fwd = (F.col("a_ord") < F.col("b_ord")) & (F.col("a_s") <= F.col("b_s"))
@@ -149,12 +158,19 @@ def shared_employers(stints: DataFrame, person: str = "person_id", company: str
     d = stints.where(F.col(start).isNotNull() & F.col(end).isNotNull()) \
               .select(person, company, start, end)
     # month buckets: the later-starting stint's start month lies in the
-    # earlier one's [start month, end month] whenever they overlap
+    # earlier one's [start month, end month] whenever they overlap.  As in
+    # coworker_links, one role-tagged explode and one shuffle feed both sides.
     ms = F.trunc(F.col(start), "month")
     me = F.greatest(ms, F.trunc(F.col(end), "month"))
-    a = (d.withColumn("_y", F.explode(F.sequence(ms, me, F.expr("interval 1 month"))))
-          .select(company, "_y", *[F.col(c).alias(f"a_{c}") for c in (person, start, end)]))
-    b = d.select(company, ms.alias("_y"), *[F.col(c).alias(f"b_{c}") for c in (person, start, end)])
+    keyed = F.concat(
+        F.transform(F.sequence(ms, me, F.expr("interval 1 month")),
+                    lambda m: F.struct(F.lit(0).alias("role"), m.alias("_y"))),
+        F.array(F.struct(F.lit(1).alias("role"), ms.alias("_y"))))
+    x = (d.select(person, company, start, end, F.explode(keyed).alias("k"))
+          .select(person, company, start, end, "k.role", "k._y")
+          .repartition(company, "_y"))
+    a = x.where(F.col("role") == 0).select(company, "_y", *[F.col(c).alias(f"a_{c}") for c in (person, start, end)])
+    b = x.where(F.col("role") == 1).select(company, "_y", *[F.col(c).alias(f"b_{c}") for c in (person, start, end)])
     j = a.join(b, [company, "_y"])
     sa, ea, sb, eb = (F.col(f"a_{start}"), F.col(f"a_{end}"), F.col(f"b_{start}"), F.col(f"b_{end}"))
     pa, pb = F.col(f"a_{person}"), F.col(f"b_{person}")
