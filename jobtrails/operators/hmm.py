@@ -111,19 +111,106 @@ def viterbi(obs: np.ndarray, pi: np.ndarray, A: np.ndarray, B: np.ndarray) -> np
     return path
 
 
+def _pad(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    lens = np.array([len(o) for o in seqs])
+    obs = np.zeros((len(seqs), int(lens.max())), dtype=np.int64)
+    for i, o in enumerate(seqs):
+        obs[i, :len(o)] = o
+    return obs, lens
+
+
+def batch_forward_backward(seqs: list[np.ndarray], pi: np.ndarray, A: np.ndarray, B: np.ndarray):
+    """Scaled forward-backward for many sequences at once (vectorised over
+    sequences, looping over time steps only).  Returns (summed
+    log-likelihood, start posteriors summed, xi summed, emission counts)."""
+    obs, lens = _pad(seqs)
+    N, T = obs.shape
+    S, V = B.shape
+    Bt = B.T                                   # (V, S)
+    alpha = np.zeros((N, T, S))
+    c = np.ones((N, T))
+    a = pi[None, :] * Bt[obs[:, 0]]
+    c[:, 0] = np.maximum(a.sum(axis=1), _TINY)
+    alpha[:, 0] = a / c[:, 0, None]
+    for t in range(1, T):
+        act = lens > t
+        a = (alpha[act, t - 1] @ A) * Bt[obs[act, t]]
+        ct = np.maximum(a.sum(axis=1), _TINY)
+        c[act, t] = ct
+        alpha[act, t] = a / ct[:, None]
+    beta = np.zeros((N, T, S))
+    beta[np.arange(N), lens - 1] = 1.0
+    xi = np.zeros((S, S))
+    for t in range(T - 2, -1, -1):
+        act = lens > t + 1
+        bb = Bt[obs[act, t + 1]] * beta[act, t + 1]            # (n, S)
+        beta[act, t] = (bb @ A.T) / c[act, t + 1, None]
+        xi += (alpha[act, t].T @ (bb / c[act, t + 1, None])) * A
+    gamma = alpha * beta
+    mask = np.arange(T)[None, :] < lens[:, None]
+    em = np.zeros((S, V))
+    np.add.at(em.T, obs[mask], gamma[mask])
+    ll = float(np.log(c[mask]).sum())
+    return ll, gamma[:, 0].sum(axis=0), xi, em
+
+
+def batch_loglik(seqs: list[np.ndarray], pi: np.ndarray, A: np.ndarray, B: np.ndarray) -> np.ndarray:
+    """F9 for many sequences at once: log P(sequence) each."""
+    obs, lens = _pad(seqs)
+    N, T = obs.shape
+    Bt = B.T
+    a = pi[None, :] * Bt[obs[:, 0]]
+    cs = np.maximum(a.sum(axis=1), _TINY)
+    ll = np.log(cs)
+    a = a / cs[:, None]
+    for t in range(1, T):
+        act = lens > t
+        x = (a[act] @ A) * Bt[obs[act, t]]
+        ct = np.maximum(x.sum(axis=1), _TINY)
+        ll[act] += np.log(ct)
+        a[act] = x / ct[:, None]
+    return ll
+
+
+def batch_last_state(seqs: list[np.ndarray], pi: np.ndarray, A: np.ndarray, B: np.ndarray) -> np.ndarray:
+    """Last state of each sequence's Viterbi path (max-product recursion;
+    only the final arg-max is needed, so no back-pointers are kept)."""
+    obs, lens = _pad(seqs)
+    N, T = obs.shape
+    with np.errstate(divide="ignore"):
+        lA, lBt, lpi = np.log(A), np.log(B).T, np.log(pi)
+    d = lpi[None, :] + lBt[obs[:, 0]]
+    for t in range(1, T):
+        act = lens > t
+        d[act] = (d[act][:, :, None] + lA[None, :, :]).max(axis=1) + lBt[obs[act, t]]
+    return d.argmax(axis=1)
+
+
+def _chunks(batches: Iterator[pd.DataFrame], seq: str, sym: str, size: int = 2048):
+    """Groups of up to ``size`` whole sequences: (keys, list of symbol arrays)."""
+    keys, seqs = [], []
+    for g in whole_sequences(batches, seq):
+        keys.append(g[seq].iloc[0])
+        seqs.append(g[sym].to_numpy(dtype=np.int64))
+        if len(seqs) >= size:
+            yield keys, seqs
+            keys, seqs = [], []
+    if seqs:
+        yield keys, seqs
+
+
 def _e_step(bc, seq: str, sym: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pi, A, B = bc.value
         S, V = B.shape
         st, tr, em, ll, n = np.zeros(S), np.zeros((S, S)), np.zeros((S, V)), 0.0, 0
-        for g in whole_sequences(batches, seq):
-            obs = g[sym].to_numpy(dtype=np.int64)
-            lls, gamma, xi = forward_backward(obs, pi, A, B)
-            st += gamma[0]
+        for _, seqs in _chunks(batches, seq, sym):
+            lls, g0, xi, e = batch_forward_backward(seqs, pi, A, B)
+            st += g0
             tr += xi
-            np.add.at(em.T, obs, gamma)
+            em += e
             ll += lls
-            n += 1
+            n += len(seqs)
         rows = [("start", i, 0, v) for i, v in enumerate(st) if v]
         rows += [("trans", i, j, v) for (i, j), v in np.ndenumerate(tr) if v]
         rows += [("emit", i, j, v) for (i, j), v in np.ndenumerate(em) if v]
@@ -165,41 +252,32 @@ def fit_em(encoded: DataFrame, n_states: int, n_symbols: int, n_iter: int = 15,
     return model
 
 
-def _per_sequence(bc, seq: str, sym: str, fn, schema: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pi, A, B = bc.value
-        out = []
-        for g in whole_sequences(batches, seq):
-            out.append(fn(g[seq].iloc[0], g[sym].to_numpy(dtype=np.int64), pi, A, B))
-            if len(out) >= 4096:
-                yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(",")])
-                out = []
-        if out:
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(",")])
-    return run
-
-
 def score(model: HmmModel, encoded: DataFrame, seq: str = "person_id", pos: str = "seq_pos",
           sym: str = "id") -> DataFrame:
     """log-likelihood of every sequence (sum them for the corpus score)."""
     data = by_sequence(encoded.select(seq, pos, F.col(sym).cast("long").alias(sym)), seq, pos)
-    schema = f"{seq} long, loglik double"
-    fn = lambda k, obs, pi, A, B: (int(k), forward_loglik(obs, pi, A, B))
     bc = encoded.sparkSession.sparkContext.broadcast((model.pi, model.A, model.B))
-    return data.mapInPandas(_per_sequence(bc, seq, sym, fn, schema), schema)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pi, A, B = bc.value
+        for keys, seqs in _chunks(batches, seq, sym):
+            yield pd.DataFrame({seq: np.asarray(keys, dtype=np.int64), "loglik": batch_loglik(seqs, pi, A, B)})
+    return data.mapInPandas(run, f"{seq} long, loglik double")
 
 
 def decode_next(model: HmmModel, encoded: DataFrame, seq: str = "person_id", pos: str = "seq_pos",
                 sym: str = "id") -> DataFrame:
-    """Viterbi path of each sequence; the next state is the arg-max of
-    the last state's transition row, the predicted symbol the arg-max of
-    that state's emission row."""
+    """last state of each sequence's Viterbi path; the next state is the
+    arg-max of that state's transition row, the predicted symbol the arg-max
+    of the next state's emission row."""
     data = by_sequence(encoded.select(seq, pos, F.col(sym).cast("long").alias(sym)), seq, pos)
-    schema = f"{seq} long, last_state int, next_state int, next_id long"
-
-    def fn(k, obs, pi, A, B):
-        last = int(viterbi(obs, pi, A, B)[-1])
-        nxt = int(A[last].argmax())
-        return int(k), last, nxt, int(B[nxt].argmax())
     bc = encoded.sparkSession.sparkContext.broadcast((model.pi, model.A, model.B))
-    return data.mapInPandas(_per_sequence(bc, seq, sym, fn, schema), schema)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pi, A, B = bc.value
+        for keys, seqs in _chunks(batches, seq, sym):
+            last = batch_last_state(seqs, pi, A, B)
+            nxt = A[last].argmax(axis=1)
+            yield pd.DataFrame({seq: np.asarray(keys, dtype=np.int64), "last_state": last.astype("int32"),
+                                "next_state": nxt.astype("int32"), "next_id": B[nxt].argmax(axis=1).astype("int64")})
+    return data.mapInPandas(run, f"{seq} long, last_state int, next_state int, next_id long")

@@ -151,3 +151,22 @@ def test_gibbs_scores_on_fixture_views(spark):
     import __spark_entry__ as E
     got = E.queries()["state_seq_loglik"](spark, SF01)
     assert got.count() == 5000
+
+
+def test_batched_kernels_match_single_sequence():
+    rng = np.random.default_rng(3)
+    seqs = [rng.integers(0, 4, size=int(rng.integers(1, 12))) for _ in range(40)]
+    pi, A, B = TRUE_PI, TRUE_A, TRUE_B
+    ll = HM.batch_loglik(seqs, pi, A, B)
+    assert np.allclose(ll, [HM.forward_loglik(o, pi, A, B) for o in seqs])
+    last = HM.batch_last_state(seqs, pi, A, B)
+    assert list(last) == [int(HM.viterbi(o, pi, A, B)[-1]) for o in seqs]
+    tot, g0, xi, em = HM.batch_forward_backward(seqs, pi, A, B)
+    ref = [HM.forward_backward(o, pi, A, B) for o in seqs]
+    assert tot == pytest.approx(sum(r[0] for r in ref))
+    assert np.allclose(g0, sum(r[1][0] for r in ref))
+    assert np.allclose(xi, sum(r[2] for r in ref))
+    em_ref = np.zeros_like(B)
+    for o, r in zip(seqs, ref):
+        np.add.at(em_ref.T, o, r[1])
+    assert np.allclose(em, em_ref)
