@@ -44,6 +44,12 @@ def stopword_array() -> Column:
     return F.array(*[F.lit(w) for w in STOPWORDS])
 
 
+def is_stopword(w: Column, stops: list[str] | None = None) -> Column:
+    """Membership test; ``isin`` over many literals is planned as a hash-set
+    lookup (InSet), not a scan of the list per token."""
+    return w.isin(*(STOPWORDS if stops is None else stops))
+
+
 def strip_ws(c: Column) -> Column:
     """Strip ASCII whitespace at both ends (``trim`` strips only spaces)."""
     return F.regexp_replace(c, _EDGE_SPACE, "")
@@ -98,9 +104,8 @@ def whitespace_tokens(c: Column) -> Column:
 
 def tokens_nostop(c: Column) -> Column:
     """Whitespace tokens, lower-cased, stop-words removed."""
-    stops = stopword_array()
     return F.filter(F.transform(whitespace_tokens(c), lambda w: F.lower(w)),
-                    lambda w: ~F.array_contains(stops, w))
+                    lambda w: ~is_stopword(w))
 
 
 def tokens_nostop_alpha(c: Column) -> Column:

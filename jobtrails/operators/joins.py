@@ -116,15 +116,15 @@ def coworker_links(stints: DataFrame, person: str = "person_id", order: Sequence
                .where(F.col("_s").isNotNull()))
     # one explode gives both join sides: role 0 = the stint covering each
     # year of [s, e] (only a stint with an end year covers anything), role 1 =
-    # the stint keyed on its start year.  A single shuffle on (company, year)
-    # feeds both sides of the join, so the stint table is computed once.
+    # the stint keyed on its start year.  Both sides come from the same
+    # exchange of the stint table, which is therefore computed once; the join
+    # strategy (sort-merge, or broadcast when one side is small) is AQE's.
     cover = F.when(F.col("_e").isNotNull() & (F.col("_e") >= F.col("_s")),
                    F.sequence(F.col("_s"), F.col("_e"))).otherwise(F.array().cast("array<int>"))
     keyed = F.concat(F.transform(cover, lambda y: F.struct(F.lit(0).alias("role"), y.cast("int").alias("_y"))),
                      F.array(F.struct(F.lit(1).alias("role"), F.col("_s").cast("int").alias("_y"))))
     x = (d.select(company, person, "_s", "_e", "_ord", F.explode(keyed).alias("k"))
-          .select(company, person, "_s", "_e", "_ord", "k.role", "k._y")
-          .repartition(company, "_y"))
+          .select(company, person, "_s", "_e", "_ord", "k.role", "k._y"))
     a = x.where(F.col("role") == 0).select(F.col(company), F.col("_y"),
                                            *[F.col(c).alias(f"a{c}") for c in (person, "_s", "_e", "_ord")])
     b = x.where(F.col("role") == 1).select(F.col(company), F.col("_y"),
@@ -159,7 +159,7 @@ def shared_employers(stints: DataFrame, person: str = "person_id", company: str
               .select(person, company, start, end)
     # month buckets: the later-starting stint's start month lies in the
     # earlier one's [start month, end month] whenever they overlap.  As in
-    # coworker_links, one role-tagged explode and one shuffle feed both sides.
+    # coworker_links, one role-tagged explode feeds both sides.
     ms = F.trunc(F.col(start), "month")
     me = F.greatest(ms, F.trunc(F.col(end), "month"))
     keyed = F.concat(
@@ -167,8 +167,7 @@ def shared_employers(stints: DataFrame, person: str = "person_id", company: str
                     lambda m: F.struct(F.lit(0).alias("role"), m.alias("_y"))),
         F.array(F.struct(F.lit(1).alias("role"), ms.alias("_y"))))
     x = (d.select(person, company, start, end, F.explode(keyed).alias("k"))
-          .select(person, company, start, end, "k.role", "k._y")
-          .repartition(company, "_y"))
+          .select(person, company, start, end, "k.role", "k._y"))
     a = x.where(F.col("role") == 0).select(company, "_y", *[F.col(c).alias(f"a_{c}") for c in (person, start, end)])
     b = x.where(F.col("role") == 1).select(company, "_y", *[F.col(c).alias(f"b_{c}") for c in (person, start, end)])
     j = a.join(b, [company, "_y"])

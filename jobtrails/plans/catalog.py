@@ -433,8 +433,10 @@ def q_shared_employers(spark, sf_dir):
         F.struct(F.col("person1").alias("person_id"), F.col("person2").alias("other")),
         F.struct(F.col("person2").alias("person_id"), F.col("person1").alias("other")))).alias("e"),
         "company").select("e.*", "company")
-    return ends.groupBy("person_id").agg(F.count_distinct("other").alias("n_partners"),
-                                         F.count(F.lit(1)).alias("n_links"))
+    # links are distinct (pair, company) rows: count per partner, then per person
+    per_partner = ends.groupBy("person_id", "other").agg(F.count(F.lit(1)).alias("_k"))
+    return per_partner.groupBy("person_id").agg(F.count(F.lit(1)).alias("n_partners"),
+                                                F.sum("_k").alias("n_links"))
 
 
 @query("gazetteer_geocode")
@@ -758,7 +760,9 @@ from jobtrails.operators import hmm as HM  # noqa: E402
 def _hmm_data(spark, sf_dir, n_train: int = 600):
     """Title sequences split into train / held-out, encoded with the
     training vocabulary (titles unseen in training encode as 0)."""
-    s = _split_titles(spark, sf_dir, n_train)
+    # the split sequences feed the vocabulary, both encodings and the fit:
+    # materialise them once in the checkpoint folder
+    s = _split_titles(spark, sf_dir, n_train).checkpoint()
     train, test = s.where("split = 'train'"), s.where("split = 'test'")
     t = V.titles_v(_t(spark, sf_dir))
     tr_people = train.select("person_id").distinct()
