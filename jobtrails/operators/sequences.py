@@ -115,8 +115,22 @@ NULL_JOB = -1
 
 
 def prev_next_links(df: DataFrame, seq: str = "person_id", pos: str = "pos",
-                    job: str = "job_id", sentinel: int = NULL_JOB) -> DataFrame:
-    """Previous and next job of every job in its sequence (sentinel at the ends)."""
+                    job: str = "job_id", sentinel: int = NULL_JOB, dense: bool = False) -> DataFrame:
+    """Previous and next job of every job in its sequence (sentinel at the ends).
+
+    ``dense=True`` (positions are 1..n) finds both neighbours with
+    equi-joins on (sequence, position -/+ 1) -- hash-partitioned on both
+    keys, so one very long sequence does not land in a single task.
+    """
+    if dense:
+        base = df.select(seq, pos, job)
+        nb = df.select(F.col(seq).alias("_s"), F.col(pos).alias("_p"), F.col(job).alias("_j"))
+        prev = base.join(nb, (base[seq] == nb["_s"]) & (base[pos] - 1 == nb["_p"]), "left") \
+                   .select(base[seq], base[pos], base[job], F.col("_j").alias("prev_job"))
+        nxt = nb.select(F.col("_s").alias("_s2"), F.col("_p").alias("_p2"), F.col("_j").alias("next_job"))
+        out = prev.join(nxt, (prev[seq] == nxt["_s2"]) & (prev[pos] + 1 == nxt["_p2"]), "left")
+        return out.select(seq, pos, job, F.coalesce("prev_job", F.lit(sentinel)).alias("prev_job"),
+                          F.coalesce("next_job", F.lit(sentinel)).alias("next_job"))
     w = Window.partitionBy(seq).orderBy(pos)
     return df.select(seq, pos, job,
                      F.coalesce(F.lag(job).over(w), F.lit(sentinel)).alias("prev_job"),

@@ -17,12 +17,26 @@ from jobtrails.operators.sequences import topk_per_group
 
 
 def successor_pairs(df: DataFrame, seq: str, order: Sequence[Column | str], symbol: str,
-                    keep: Sequence[str] = ()) -> DataFrame:
+                    keep: Sequence[str] = (), dense_pos: str | None = None) -> DataFrame:
     """(symbol, next symbol) for each consecutive pair inside a sequence.
 
     A null symbol is a value like any other; only the last element of a
     sequence has no pair (``lead`` of a struct is null only there).
+
+    With ``dense_pos`` (a 1..n position column defining the order), the
+    successor is found by an equi-join on (sequence, position + 1) instead of
+    a window: rows are hash-partitioned on both keys, so a sequence holding a
+    large share of all rows is spread over every task.
     """
+    if dense_pos is not None:
+        cols = [symbol, *keep]
+        a = df.select(seq, dense_pos, *cols)
+        b = df.select(F.col(seq).alias("_s"), (F.col(dense_pos) - 1).alias("_p"),
+                      F.struct(*[F.col(c) for c in cols]).alias("_nxt"))
+        j = a.join(b, (a[seq] == b["_s"]) & (a[dense_pos] == b["_p"]))
+        return j.select(a[seq], *[a[k] for k in keep], a[symbol].alias("title"),
+                        F.col(f"_nxt.{symbol}").alias("next_title"),
+                        *[F.col(f"_nxt.{k}").alias(f"next_{k}") for k in keep])
     w = Window.partitionBy(seq).orderBy(*order)
     nxt = F.lead(F.struct(*[F.col(c) for c in (symbol, *keep)])).over(w)
     out = df.select(seq, *keep, F.col(symbol), nxt.alias("_nxt"))
@@ -34,7 +48,7 @@ def successor_pairs(df: DataFrame, seq: str, order: Sequence[Column | str], symb
 
 def transition_counts(df: DataFrame, seq: str = "person_id",
                       order: Sequence[Column | str] | None = None,
-                      symbol: str = "title") -> DataFrame:
+                      symbol: str = "title", dense_pos: str | None = None) -> DataFrame:
     """Count of (title -> next title) over all sequences.
 
     Default order is the reference's: start year compared as text, then the
@@ -43,7 +57,7 @@ def transition_counts(df: DataFrame, seq: str = "person_id",
     if order is None:
         order = [F.col("start_year").cast("string").asc_nulls_first(),
                  F.col(symbol).asc_nulls_first()]
-    pairs = successor_pairs(df, seq, order, symbol)
+    pairs = successor_pairs(df, seq, order, symbol, dense_pos=dense_pos)
     return pairs.groupBy("title", "next_title").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -70,12 +84,13 @@ def transition_probs(counts: DataFrame, num_states: int | None = None,
 
 
 def next_title_top3(df: DataFrame, seq: str = "person_id", order: Sequence[Column | str] = ("pos",),
-                    symbol: str = "title", k: int = 3, gamma: float = 1.0) -> DataFrame:
+                    symbol: str = "title", k: int = 3, gamma: float = 1.0,
+                    dense_pos: str | None = None) -> DataFrame:
     """Up to k most frequent successors of every title, with the smoothed
     transition probability; a title never seen with a successor gets one row
     with null prediction ("unseen").  Ties: count desc, then successor name.
     """
-    counts = transition_counts(df, seq, list(order), symbol)
+    counts = transition_counts(df, seq, list(order), symbol, dense_pos=dense_pos)
     asked = df.select(F.col(symbol).alias("title")).where(F.col("title").isNotNull()).distinct()
     num_states = (df.select(symbol).where(F.col(symbol).isNotNull())
                     .agg(F.count_distinct(symbol).alias("k")).first()["k"])

@@ -970,3 +970,7 @@ from (select job_id, {_preprocess_sql('location')} as q from locs_v) t""", "locs
 
 add("title_distinct", """
 select count(distinct title) as n_titles, count(*) as n_jobs from titles_v""", "titles_v")
+
+add("value_sample", """
+select resume_id, salary from cust_v
+order by md5(cast(resume_id as varchar) || '|7'), resume_id limit 100""", "cust_v")

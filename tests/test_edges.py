@@ -296,3 +296,15 @@ def test_replace_bigrams_matches_slow_form():
         pairs = {(rng.choice(vocab), rng.choice(vocab)) for _ in range(rng.randint(0, 6))}
         scores = {p: float(rng.choice([1, 2, 2, 3, 5])) for p in pairs}
         assert replace_bigrams(toks, scores) == _replace_slow(toks, scores), (toks, scores)
+
+
+def test_dense_join_neighbours_equal_window_form(spark):
+    from tests.conftest import SF001
+    from jobtrails.sources import tables as V
+    ev = V.events_v(V.Tables(spark, SF001))
+    a = sorted(tuple(r) for r in SQ.prev_next_links(ev).collect())
+    b = sorted(tuple(r) for r in SQ.prev_next_links(ev, dense=True).collect())
+    assert a == b and len(a) == ev.count()
+    c1 = sorted(tuple(r) for r in TR.next_title_top3(ev).collect())
+    c2 = sorted(tuple(r) for r in TR.next_title_top3(ev, dense_pos="pos").collect())
+    assert c1 == c2
