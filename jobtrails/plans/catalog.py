@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from jobtrails.operators import transitions as TR
+from jobtrails.session import checkpoint_dir
 from jobtrails.sources import tables as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +27,9 @@ def query(name: str):
 
 
 def _t(spark: SparkSession, sf_dir: str) -> V.Tables:
+    # every query may checkpoint or stage a table: make sure the session's
+    # shared checkpoint folder is known to the SparkContext
+    checkpoint_dir(spark)
     return V.Tables(spark, sf_dir)
 
 
