@@ -749,7 +749,7 @@ from t""")
 add("split_files", "select cast(c_custkey as integer) as resume_id from customer where c_custkey % 2 = 1")
 
 _ETL_SRC = """
-etl_src as (select cast(person_id as integer) as person_id, pos - 1 as pos, start_dt, end_dt,
+etl_src as (select cast(person_id as integer) as person_id, cast(pos - 1 as integer) as pos, start_dt, end_dt,
                    coalesce(""" + _clean_name_sql('company') + """, '') as company,
                    """ + _clean_name_sql('location') + """ as location,
                    """ + _clean_name_sql('title') + """ as title,
@@ -791,7 +791,8 @@ with l as (select person_id, count(*) as n, max(len(embedding)) as width from to
 r as (select *, coalesce(sum(n) over (order by person_id rows between unbounded preceding and 1 preceding), 0)
                as before from l),
 k as (select * from r where before <= 1000)
-select cast(count(*) as bigint) as n_seqs, cast(sum(n) as bigint) as n_entries, arg_max(width, person_id) as width
+select cast(count(*) as bigint) as n_seqs, cast(sum(n) as bigint) as n_entries,
+       cast(arg_max(width, person_id) as integer) as width
 from k""", "topics_v")
 
 add("trace_latest", """
