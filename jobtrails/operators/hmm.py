@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobtrails.operators.seqbatch import by_sequence, whole_sequences
+from jobtrails.operators.seqbatch import by_sequence, seeded_rng, whole_sequences
 
 _TINY = 1e-300
 STATS_SCHEMA = "kind string, i int, j int, v double"
@@ -266,10 +266,12 @@ def score(model: HmmModel, encoded: DataFrame, seq: str = "person_id", pos: str
 
 
 def decode_next(model: HmmModel, encoded: DataFrame, seq: str = "person_id", pos: str = "seq_pos",
-                sym: str = "id") -> DataFrame:
+                sym: str = "id", draw_seed: int | None = None) -> DataFrame:
     """last state of each sequence's Viterbi path; the next state is the
     arg-max of that state's transition row, the predicted symbol the arg-max
-    of the next state's emission row."""
+    of the next state's emission row -- or, with ``draw_seed``, a draw from
+    that row with a generator seeded by (seed, sequence), so a retried task
+    draws the same symbols."""
     data = by_sequence(encoded.select(seq, pos, F.col(sym).cast("long").alias(sym)), seq, pos)
     bc = encoded.sparkSession.sparkContext.broadcast((model.pi, model.A, model.B))
 
@@ -278,6 +280,11 @@ def decode_next(model: HmmModel, encoded: DataFrame, seq: str = "person_id", pos
         for keys, seqs in _chunks(batches, seq, sym):
             last = batch_last_state(seqs, pi, A, B)
             nxt = A[last].argmax(axis=1)
+            if draw_seed is None:
+                emit = B[nxt].argmax(axis=1)
+            else:
+                emit = np.array([seeded_rng(draw_seed, int(k)).choice(B.shape[1], p=B[s])
+                                 for k, s in zip(keys, nxt)], dtype=np.int64)
             yield pd.DataFrame({seq: np.asarray(keys, dtype=np.int64), "last_state": last.astype("int32"),
-                                "next_state": nxt.astype("int32"), "next_id": B[nxt].argmax(axis=1).astype("int64")})
+                                "next_state": nxt.astype("int32"), "next_id": emit.astype("int64")})
     return data.mapInPandas(run, f"{seq} long, last_state int, next_state int, next_id long")

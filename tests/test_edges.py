@@ -183,6 +183,16 @@ def test_shared_employers_brute_force(spark):
     assert got == sorted(want)
 
 
+def test_shared_employers_exclude_identical_company_sets(spark):
+    rows = [(1, "x", D(2000, 1, 1), D(2002, 1, 1)), (2, "x", D(2001, 1, 1), D(2003, 1, 1)),   # same set {x}
+            (3, "x", D(2001, 6, 1), D(2004, 1, 1)), (3, "y", D(1990, 1, 1), D(1991, 1, 1))]  # set {x, y}
+    df = spark.createDataFrame(rows, "person_id int, company string, start_dt date, end_dt date")
+    all_pairs = sorted(tuple(r) for r in JN.shared_employers(df).collect())
+    kept = sorted(tuple(r) for r in JN.shared_employers(df, exclude_dups=True).collect())
+    assert all_pairs == [(1, 2, "x"), (1, 3, "x"), (2, 3, "x")]
+    assert kept == [(1, 3, "x"), (2, 3, "x")]
+
+
 # ---------------------------------------------------------------- D1
 def test_match_by_fingerprint_edges(spark):
     t = [(1, 1, "j1", "a"), (1, 2, "j2", "b"),      # owner of {a, b}

@@ -73,6 +73,9 @@ def test_em_monotone_and_beats_shuffled(spark):
     assert good > bad
     nxt = HM.decode_next(model, hdf).collect()
     assert len(nxt) == 100 and all(0 <= r["next_state"] < 3 for r in nxt)
+    d1 = sorted(tuple(r) for r in HM.decode_next(model, hdf, draw_seed=5).collect())
+    d2 = sorted(tuple(r) for r in HM.decode_next(model, hdf.repartition(3), draw_seed=5).collect())
+    assert d1 == d2 and all(0 <= r[3] < 4 for r in d1)
 
 
 def _gibbs_fixture(spark, n_seqs=40, seed=0):
