@@ -32,8 +32,32 @@ def topk_per_group(df: DataFrame, group: str | Sequence[str], order: Sequence[Co
               .where(F.col(rank_col) <= k))
 
 
+def range_row_number(df: DataFrame, group: str, order: Sequence[Column | str],
+                     out: str = "rn") -> DataFrame:
+    """1-based row number within ``group`` under ``order``, computed without
+    putting a group into one task.
+
+    A global sort range-partitions the rows (sampled bounds split a hot group
+    over many partitions); the sorted table is checkpointed so partition ids
+    and ``monotonically_increasing_id`` are stable; then each (partition,
+    group) run gets its offset from the counts of the same group in earlier
+    partitions (a running sum over a table with one row per run).
+    """
+    order = [F.col(o) if isinstance(o, str) else o for o in order]
+    srt = (df.orderBy(F.col(group), *order)
+             .withColumn("_pid", F.spark_partition_id())
+             .withColumn("_mid", F.monotonically_increasing_id())
+             .checkpoint())
+    runs = srt.groupBy("_pid", group).agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    j = srt.join(runs, ["_pid", group])
+    return (j.withColumn(out, (F.col("_off") + F.col("_mid") - F.col("_first") + 1).cast("bigint"))
+             .drop("_pid", "_mid", "_first", "_n", "_off"))
+
+
 def stint_fill(df: DataFrame, person: str = "person_id", pos: str = "pos",
-               start: str = "start_dt", end: str = "end_dt") -> DataFrame:
+               start: str = "start_dt", end: str = "end_dt", skew_safe: bool = False) -> DataFrame:
     """Repair missing stint dates within each person's history.
 
     Stints without any date are dropped; the rest are stably sorted by
@@ -43,39 +67,40 @@ def stint_fill(df: DataFrame, person: str = "person_id", pos: str = "pos",
     after the start (else the start), a missing start the largest date before
     the end (else the end).  Output ``seq_pos`` is the new 1-based order.
 
-    The "next date after" / "last date before" lookups are running min/max
-    windows over the stints interleaved with their own dates, so each person
-    is one streaming pass, however many stints it has.
+    No step needs a person's stints in one task except the output position:
+    the first/last stint come from a per-person min/max aggregate; the date
+    lookups run over the person's *distinct* dates (bounded by the calendar,
+    not by the number of stints) and are joined back on (person, date).  With
+    ``skew_safe`` the position too is computed by ``range_row_number``.
     """
     s, e = F.col(start), F.col(end)
     d = df.where(s.isNotNull() | e.isNotNull())
-    w = Window.partitionBy(person).orderBy(F.coalesce(s, e), F.col(pos))
-    d = (d.withColumn("seq_pos", F.row_number().over(w).cast("bigint"))
-          .withColumn("_first", F.lag(F.lit(1)).over(w).isNull())
-          .withColumn("_last", F.lead(F.lit(1)).over(w).isNull()))
-    s1 = F.when(F.col("_first") & s.isNull(), e).otherwise(s)
-    d = d.withColumn("_s", s1)
-    d = d.withColumn("_e", F.when(F.col("_last") & e.isNull(), F.col("_s")).otherwise(e))
-    # each stint row (kind 1) plus one row (kind 0) per known date
-    v = F.when(F.col("_e").isNull(), F.col("_s")).when(F.col("_s").isNull(), F.col("_e"))
-    rows = F.array(
-        F.struct(F.lit(1).alias("kind"), v.alias("v"), F.lit(None).cast("date").alias("d")),
-        F.struct(F.lit(0).alias("kind"), F.col("_s").alias("v"), F.col("_s").alias("d")),
-        F.struct(F.lit(0).alias("kind"), F.col("_e").alias("v"), F.col("_e").alias("d")),
-    )
-    x = d.select("*", F.explode(rows).alias("_r")).select("*", "_r.*").drop("_r")
-    x = x.where((F.col("kind") == 1) | F.col("d").isNotNull())
-    after = Window.partitionBy(person).orderBy(F.col("v").desc_nulls_last(), F.col("kind").desc()) \
-                  .rowsBetween(*_RUNNING)
-    before = Window.partitionBy(person).orderBy(F.col("v").asc_nulls_last(), F.col("kind").desc()) \
-                   .rowsBetween(*_RUNNING)
-    x = (x.withColumn("_next", F.min("d").over(after))
-          .withColumn("_prev", F.max("d").over(before))
-          .where(F.col("kind") == 1))
-    new_end = F.when(F.col("_e").isNull(), F.coalesce(F.col("_next"), F.col("_s"))).otherwise(F.col("_e"))
-    new_start = F.when(F.col("_s").isNull(), F.coalesce(F.col("_prev"), F.col("_e"))).otherwise(F.col("_s"))
+    key = F.struct(F.coalesce(s, e).alias("k"), F.col(pos).alias("p"))
+    d = d.withColumn("_key", key)
+    ends = d.groupBy(person).agg(F.min("_key").alias("_kmin"), F.max("_key").alias("_kmax"))
+    d = d.join(ends, person)
+    d = d.withColumn("_s", F.when((F.col("_key") == F.col("_kmin")) & s.isNull(), e).otherwise(s))
+    d = d.withColumn("_e", F.when((F.col("_key") == F.col("_kmax")) & e.isNull(), F.col("_s")).otherwise(e))
+    # the person's distinct known dates, each with its neighbours
+    dates = (d.select(person, F.explode(F.array("_s", "_e")).alias("_d")).where(F.col("_d").isNotNull())
+              .groupBy(person, "_d").agg(F.count(F.lit(1)).alias("_c")))
+    wd = Window.partitionBy(person).orderBy("_d")
+    dates = dates.select(person, "_d", F.lead("_d").over(wd).alias("_after"),
+                         F.lag("_d").over(wd).alias("_before"))
+    nxt = dates.select(F.col(person).alias("_p1"), F.col("_d").alias("_d1"), "_after")
+    prv = dates.select(F.col(person).alias("_p2"), F.col("_d").alias("_d2"), "_before")
+    d = (d.join(nxt, (F.col(person) == F.col("_p1")) & F.col("_e").isNull() & (F.col("_s") == F.col("_d1")), "left")
+          .join(prv, (F.col(person) == F.col("_p2")) & F.col("_s").isNull() & (F.col("_e") == F.col("_d2")), "left"))
+    new_end = F.when(F.col("_e").isNull(), F.coalesce(F.col("_after"), F.col("_s"))).otherwise(F.col("_e"))
+    new_start = F.when(F.col("_s").isNull(), F.coalesce(F.col("_before"), F.col("_e"))).otherwise(F.col("_s"))
     keep = [c for c in df.columns if c not in (start, end)]
-    return x.select(*keep, "seq_pos", new_start.alias(start), new_end.alias(end))
+    out = d.select(*keep, "_key", new_start.alias(start), new_end.alias(end))
+    if skew_safe:
+        out = range_row_number(out, person, ["_key"], "seq_pos")
+    else:
+        out = out.withColumn("seq_pos", F.row_number().over(
+            Window.partitionBy(person).orderBy("_key")).cast("bigint"))
+    return out.select(*keep, "seq_pos", start, end)
 
 
 def run_grouping(df: DataFrame, stream: str | None, order: Sequence[str], key: str) -> DataFrame:

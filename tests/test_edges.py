@@ -318,3 +318,24 @@ def test_dense_join_neighbours_equal_window_form(spark):
     c1 = sorted(tuple(r) for r in TR.next_title_top3(ev).collect())
     c2 = sorted(tuple(r) for r in TR.next_title_top3(ev, dense_pos="pos").collect())
     assert c1 == c2
+
+
+def test_stint_fill_skew_safe_equals_window_form(spark):
+    from tests.conftest import SF001
+    from jobtrails.sources import tables as V
+    j = V.jobs_v(V.Tables(spark, SF001))
+    a = sorted(tuple(r) for r in SQ.stint_fill(j).collect())
+    b = sorted(tuple(r) for r in SQ.stint_fill(j.repartition(5), skew_safe=True).collect())
+    assert a == b and len(a) > 0
+
+
+def test_range_row_number_splits_a_hot_group(spark):
+    rows = [(1, i) for i in range(3000)] + [(2, i) for i in range(50)] + [(3, 7)]
+    df = spark.createDataFrame(rows, "g int, v int").repartition(7)
+    spark.conf.set("spark.sql.shuffle.partitions", "6")
+    try:
+        got = SQ.range_row_number(df, "g", ["v"]).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert sorted((r["g"], r["v"], r["rn"]) for r in got) == \
+        sorted((g, v, v + 1 if g != 3 else 1) for g, v in rows)
