@@ -75,31 +75,39 @@ def stint_fill(df: DataFrame, person: str = "person_id", pos: str = "pos",
     """
     s, e = F.col(start), F.col(end)
     d = df.where(s.isNotNull() | e.isNotNull())
-    key = F.struct(F.coalesce(s, e).alias("k"), F.col(pos).alias("p"))
-    d = d.withColumn("_key", key)
-    ends = d.groupBy(person).agg(F.min("_key").alias("_kmin"), F.max("_key").alias("_kmax"))
-    d = d.join(ends, person)
-    d = d.withColumn("_s", F.when((F.col("_key") == F.col("_kmin")) & s.isNull(), e).otherwise(s))
-    d = d.withColumn("_e", F.when((F.col("_key") == F.col("_kmax")) & e.isNull(), F.col("_s")).otherwise(e))
-    # the person's distinct known dates, each with its neighbours
+    d = d.withColumn("_key", F.struct(F.coalesce(s, e).alias("k"), F.col(pos).alias("p")))
+    if skew_safe:
+        ends = d.groupBy(person).agg(F.min("_key").alias("_kmin"), F.max("_key").alias("_kmax"))
+        d = d.join(ends, person)
+        first, last = F.col("_key") == F.col("_kmin"), F.col("_key") == F.col("_kmax")
+    else:
+        w = Window.partitionBy(person).orderBy("_key")
+        d = (d.withColumn("seq_pos", F.row_number().over(w).cast("bigint"))
+              .withColumn("_nextrow", F.lead(F.lit(1)).over(w)))
+        first, last = F.col("seq_pos") == 1, F.col("_nextrow").isNull()
+    d = d.withColumn("_s", F.when(first & s.isNull(), e).otherwise(s))
+    d = d.withColumn("_e", F.when(last & e.isNull(), F.col("_s")).otherwise(e))
+    # the person's distinct known dates, each with its neighbours (a table
+    # bounded by the calendar, not by the number of stints)
     dates = (d.select(person, F.explode(F.array("_s", "_e")).alias("_d")).where(F.col("_d").isNotNull())
               .groupBy(person, "_d").agg(F.count(F.lit(1)).alias("_c")))
     wd = Window.partitionBy(person).orderBy("_d")
-    dates = dates.select(person, "_d", F.lead("_d").over(wd).alias("_after"),
+    dates = dates.select(F.col(person).alias("_lp"), "_d", F.lead("_d").over(wd).alias("_after"),
                          F.lag("_d").over(wd).alias("_before"))
-    nxt = dates.select(F.col(person).alias("_p1"), F.col("_d").alias("_d1"), "_after")
-    prv = dates.select(F.col(person).alias("_p2"), F.col("_d").alias("_d2"), "_before")
-    d = (d.join(nxt, (F.col(person) == F.col("_p1")) & F.col("_e").isNull() & (F.col("_s") == F.col("_d1")), "left")
-          .join(prv, (F.col(person) == F.col("_p2")) & F.col("_s").isNull() & (F.col("_e") == F.col("_d2")), "left"))
+    # one lookup per stint: its start when the end is missing, its end when
+    # the start is missing, else its own start (matched but unused) -- never a
+    # null key, so complete stints do not pile up in one partition
+    look = F.when(F.col("_s").isNull(), F.col("_e")).when(F.col("_e").isNull(), F.col("_s")).otherwise(F.col("_s"))
+    d = d.withColumn("_look", look)
+    d = d.join(dates, (F.col(person) == F.col("_lp")) & (F.col("_look") == F.col("_d")), "left")
     new_end = F.when(F.col("_e").isNull(), F.coalesce(F.col("_after"), F.col("_s"))).otherwise(F.col("_e"))
     new_start = F.when(F.col("_s").isNull(), F.coalesce(F.col("_before"), F.col("_e"))).otherwise(F.col("_s"))
     keep = [c for c in df.columns if c not in (start, end)]
-    out = d.select(*keep, "_key", new_start.alias(start), new_end.alias(end))
     if skew_safe:
+        out = d.select(*keep, "_key", new_start.alias(start), new_end.alias(end))
         out = range_row_number(out, person, ["_key"], "seq_pos")
     else:
-        out = out.withColumn("seq_pos", F.row_number().over(
-            Window.partitionBy(person).orderBy("_key")).cast("bigint"))
+        out = d.select(*keep, "seq_pos", new_start.alias(start), new_end.alias(end))
     return out.select(*keep, "seq_pos", start, end)
 
 
