@@ -92,11 +92,6 @@ def align_positional(left: DataFrame, right: DataFrame, seq: str, pos: str,
 
 
 # ---------------------------------------------------------------- D3-D5 interval self-joins
-def _year_cover(df: DataFrame, s: str, e: str) -> DataFrame:
-    """Replicate each stint over the (integer) years it covers."""
-    return df.withColumn("_y", F.explode(F.sequence(F.col(s), F.greatest(F.col(s), F.col(e)))))
-
-
 def coworker_links(stints: DataFrame, person: str = "person_id", order: Sequence[str] = ("person_id", "pos"),
                    company: str = "company", start_year: str = "start_year",
                    end_year: str = "end_year") -> DataFrame:
