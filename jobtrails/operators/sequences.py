@@ -56,6 +56,44 @@ def range_row_number(df: DataFrame, group: str, order: Sequence[Column | str],
              .drop("_pid", "_mid", "_first", "_n", "_off"))
 
 
+def range_forward_fill(df: DataFrame, group: str, order: Sequence[Column | str],
+                       fills: dict[str, Column], out_rank: str | None = None) -> DataFrame:
+    """Carry the last non-null value of each ``fills`` expression forward in
+    ``order`` within ``group`` (``last(x, ignorenulls)`` over a running
+    frame), without putting a group into one task.
+
+    Rows are globally sorted (range partitioning splits a hot group), the
+    sort is checkpointed so partition ids are stable, values are filled
+    within each (partition, group) run, and each run takes the last value
+    carried out of the same group's earlier partitions from a summary table
+    with one row per run.  ``out_rank`` also adds the row number in ``order``.
+    """
+    order = [F.col(o) if isinstance(o, str) else o for o in order]
+    base = df.select("*", *[c.alias(f"_v_{k}") for k, c in fills.items()])
+    srt = (base.orderBy(F.col(group), *order)
+               .withColumn("_pid", F.spark_partition_id())
+               .withColumn("_mid", F.monotonically_increasing_id())
+               .checkpoint())
+    run = Window.partitionBy("_pid", group).orderBy("_mid").rowsBetween(Window.unboundedPreceding, 0)
+    for k in fills:
+        srt = srt.withColumn(f"_l_{k}", F.last(f"_v_{k}", ignorenulls=True).over(run))
+    aggs = [F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n")]
+    aggs += [F.max_by(F.col(f"_v_{k}"), F.when(F.col(f"_v_{k}").isNotNull(), F.col("_mid"))).alias(f"_o_{k}")
+             for k in fills]
+    runs = srt.groupBy("_pid", group).agg(*aggs)
+    before = Window.partitionBy(group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    for k in fills:
+        runs = runs.withColumn(f"_c_{k}", F.last(f"_o_{k}", ignorenulls=True).over(before))
+    j = srt.join(runs.select("_pid", group, "_first", "_off", *[f"_c_{k}" for k in fills]), ["_pid", group])
+    for k in fills:
+        j = j.withColumn(k, F.coalesce(F.col(f"_l_{k}"), F.col(f"_c_{k}")))
+    if out_rank:
+        j = j.withColumn(out_rank, (F.col("_off") + F.col("_mid") - F.col("_first") + 1).cast("bigint"))
+    drop = ["_pid", "_mid", "_first", "_off"] + [f"_{p}_{k}" for k in fills for p in ("v", "l", "c")]
+    return j.drop(*drop)
+
+
 def stint_fill(df: DataFrame, person: str = "person_id", pos: str = "pos",
                start: str = "start_dt", end: str = "end_dt", skew_safe: bool = False) -> DataFrame:
     """Repair missing stint dates within each person's history.
@@ -172,9 +210,28 @@ def prev_next_links(df: DataFrame, seq: str = "person_id", pos: str = "pos",
 
 def _carry_sequences(df: DataFrame, seq: str, pos: str, year: Column, value: Column,
                      present: Column, blank: Column | None, min_jobs: int = 2,
-                     carry: bool = True) -> DataFrame:
+                     carry: bool = True, skew_safe: bool = False) -> DataFrame:
     """Shared body of C6/C7: carry value and year forward in document order,
-    stably sort by year, drop missing values, keep sequences of >= 2."""
+    stably sort by year, drop missing values, keep sequences of >= 2.
+
+    ``skew_safe`` replaces every per-history window by range-partitioned
+    forms (``range_forward_fill``, ``range_row_number``) and per-history
+    counts by aggregates joined back."""
+    if skew_safe:
+        n_jobs = df.groupBy(seq).agg(F.count(F.lit(1)).alias("_n_jobs"))
+        d = df.join(n_jobs, seq).where(F.col("_n_jobs") >= min_jobs)
+        if carry:
+            d = range_forward_fill(d, seq, [pos], {"_v": F.when(present, value), "_y": year})
+            d = d.withColumn("_y", F.coalesce(F.col("_y"), F.lit(0)))
+        else:
+            d = d.withColumn("_v", F.when(present, value)).withColumn("_y", F.coalesce(year, F.lit(0)))
+        keep = F.col("_v").isNotNull()
+        if blank is not None:
+            keep = keep & ~blank
+        d = d.where(keep)
+        d = range_row_number(d, seq, ["_y", pos], "seq_pos")
+        lens = d.groupBy(seq).agg(F.count(F.lit(1)).cast("bigint").alias("seq_len"))
+        return d.join(lens, seq).where(F.col("seq_len") >= 2)
     w_doc = Window.partitionBy(seq).orderBy(pos)
     run = w_doc.rowsBetween(*_RUNNING)
     d = (df.withColumn("_n_jobs", F.count(F.lit(1)).over(Window.partitionBy(seq)))
@@ -196,7 +253,7 @@ def _carry_sequences(df: DataFrame, seq: str, pos: str, year: Column, value: Col
 
 def title_sequences(df: DataFrame, seq: str = "person_id", pos: str = "pos",
                     year: str = "start_year", title: str = "title",
-                    carry_forward: bool = True) -> DataFrame:
+                    carry_forward: bool = True, skew_safe: bool = False) -> DataFrame:
     """Cleaned title sequences of multi-job histories.
 
     A missing title (and a missing start year, initially 0) carries the
@@ -207,18 +264,20 @@ def title_sequences(df: DataFrame, seq: str = "person_id", pos: str = "pos",
     present = raw.isNotNull() & (raw != "")
     cleaned = T.clean_title(raw)
     d = _carry_sequences(df, seq, pos, F.col(year), cleaned, present,
-                         blank=(F.col("_v") == ""), carry=carry_forward)
+                         blank=(F.col("_v") == ""), carry=carry_forward, skew_safe=skew_safe)
     return d.select(seq, "seq_pos", F.col("_y").cast("bigint").alias("start_year"),
                     F.col("_v").alias("title"), "seq_len")
 
 
 def desc_sequences(df: DataFrame, seq: str = "person_id", pos: str = "pos",
-                   year: str | None = None, desc: str = "description") -> DataFrame:
+                   year: str | None = None, desc: str = "description",
+                   skew_safe: bool = False) -> DataFrame:
     """Stop-word-free token lists of each job, carried forward like C6
     (an empty list is kept; only a missing description carries)."""
     raw = F.col(desc)
     y = F.col(year) if year else F.lit(None).cast("bigint")
-    d = _carry_sequences(df, seq, pos, y, T.tokens_nostop(raw), raw.isNotNull(), blank=None)
+    d = _carry_sequences(df, seq, pos, y, T.tokens_nostop(raw), raw.isNotNull(), blank=None,
+                         skew_safe=skew_safe)
     return d.select(seq, "seq_pos", F.col("_v").alias("tokens"), "seq_len")
 
 

@@ -339,3 +339,27 @@ def test_range_row_number_splits_a_hot_group(spark):
         spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert sorted((r["g"], r["v"], r["rn"]) for r in got) == \
         sorted((g, v, v + 1 if g != 3 else 1) for g, v in rows)
+
+
+def test_carry_sequences_skew_safe_equal_window_form(spark):
+    from tests.conftest import SF001
+    from jobtrails.sources import tables as V
+    t = V.Tables(spark, SF001)
+    tv = V.titles_v(t)
+    a = sorted(tuple(r) for r in SQ.title_sequences(tv).collect())
+    b = sorted(tuple(r) for r in SQ.title_sequences(tv.repartition(5), skew_safe=True).collect())
+    assert a == b and len(a) > 0
+    dv = V.docs_v(t)
+    c = sorted((r[0], r[1], tuple(r[2]), r[3]) for r in SQ.desc_sequences(dv).collect())
+    d = sorted((r[0], r[1], tuple(r[2]), r[3]) for r in SQ.desc_sequences(dv, skew_safe=True).collect())
+    assert c == d
+
+
+def test_range_forward_fill_hot_group(spark):
+    rows = [(1, i, (i if i % 7 == 0 else None)) for i in range(2000)] + [(2, 0, None), (2, 1, 5)]
+    df = spark.createDataFrame(rows, "g int, p int, v int").repartition(6)
+    got = {(r["g"], r["p"]): r["f"] for r in
+           SQ.range_forward_fill(df, "g", ["p"], {"f": F.col("v")}).collect()}
+    for g, p, _ in rows:
+        prev = [v for gg, pp, v in rows if gg == g and pp <= p and v is not None]
+        assert got[(g, p)] == (prev[-1] if prev else None)
