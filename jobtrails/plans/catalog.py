@@ -12,9 +12,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from jobtrails.functions import dates as DT
+from jobtrails.functions import location as LOC
+from jobtrails.functions import text as TX
+from jobtrails.operators import gibbs as GB
+from jobtrails.operators import hmm as HM
+from jobtrails.operators import joins as JN
+from jobtrails.operators import sequences as SQ
+from jobtrails.operators import stats as ST
+from jobtrails.operators import text as TXT
+from jobtrails.operators import topics as TOP
 from jobtrails.operators import transitions as TR
 from jobtrails.session import checkpoint_dir
+from jobtrails.session import stage_path
+from jobtrails.sources import resume_xml as RX
+from jobtrails.sources import sequences_io as SIO
+from jobtrails.sources import splits as SP
 from jobtrails.sources import tables as V
+from jobtrails.sources.gazetteer import gazetteer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -60,10 +75,6 @@ ROWS_ONLY: set[str] = {"xml_schema_paths", "bigram_replace", "clean_descriptions
 
 
 # ---------------------------------------------------------------- B: scalar functions
-from jobtrails.functions import dates as DT  # noqa: E402
-from jobtrails.functions import location as LOC  # noqa: E402
-from jobtrails.functions import text as TX  # noqa: E402
-from jobtrails.operators import sequences as SQ  # noqa: E402
 
 
 def _fingerprint(tokens) -> list:
@@ -226,7 +237,6 @@ def q_topk_per_group(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- E: statistics
-from jobtrails.operators import stats as ST  # noqa: E402
 
 
 def _comp_tit(spark, sf_dir):
@@ -363,8 +373,6 @@ def q_merge_counts(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- D: joins
-from jobtrails.operators import joins as JN  # noqa: E402
-from jobtrails.sources.gazetteer import gazetteer  # noqa: E402
 
 
 def _filled_jobs(spark, sf_dir, blank_loc_every: int | None = None):
@@ -509,10 +517,6 @@ def q_unseen_anti(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- A: sources and sinks
-from jobtrails.session import stage_path  # noqa: E402
-from jobtrails.sources import resume_xml as RX  # noqa: E402
-from jobtrails.sources import sequences_io as SIO  # noqa: E402
-from jobtrails.sources import splits as SP  # noqa: E402
 
 _XML_SHARDS: dict[tuple[int, str], list[str]] = {}
 
@@ -673,8 +677,6 @@ def q_upsert_attrs(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- text and topic models
-from jobtrails.operators import text as TXT  # noqa: E402
-from jobtrails.operators import topics as TOP  # noqa: E402
 
 
 def _docs(spark, sf_dir):
@@ -757,8 +759,6 @@ def q_state_topic_mix(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- iterative models
-from jobtrails.operators import gibbs as GB  # noqa: E402
-from jobtrails.operators import hmm as HM  # noqa: E402
 
 
 def _hmm_data(spark, sf_dir, n_train: int = 600):
