@@ -48,15 +48,24 @@ def successor_pairs(df: DataFrame, seq: str, order: Sequence[Column | str], symb
 
 def transition_counts(df: DataFrame, seq: str = "person_id",
                       order: Sequence[Column | str] | None = None,
-                      symbol: str = "title", dense_pos: str | None = None) -> DataFrame:
+                      symbol: str = "title", dense_pos: str | None = None,
+                      skew_safe: bool = False) -> DataFrame:
     """Count of (title -> next title) over all sequences.
 
     Default order is the reference's: start year compared as text, then the
     title itself (both nulls first, as Python 2 sorts ``None`` lowest).
+
+    ``skew_safe`` numbers each sequence in that order with the
+    range-partitioned ``range_row_number`` and pairs neighbours by the
+    dense-position equi-join, so no sequence has to fit one task.
     """
     if order is None:
         order = [F.col("start_year").cast("string").asc_nulls_first(),
                  F.col(symbol).asc_nulls_first()]
+    if skew_safe and dense_pos is None:
+        from jobtrails.operators.sequences import range_row_number
+        df = range_row_number(df, seq, order, "_rank")
+        dense_pos = "_rank"
     pairs = successor_pairs(df, seq, order, symbol, dense_pos=dense_pos)
     return pairs.groupBy("title", "next_title").agg(F.count(F.lit(1)).alias("n"))
 

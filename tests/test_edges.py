@@ -363,3 +363,13 @@ def test_range_forward_fill_hot_group(spark):
     for g, p, _ in rows:
         prev = [v for gg, pp, v in rows if gg == g and pp <= p and v is not None]
         assert got[(g, p)] == (prev[-1] if prev else None)
+
+
+def test_transition_counts_skew_safe_equals_window_form(spark):
+    from tests.conftest import SF001
+    from jobtrails.sources import tables as V
+    tv = V.titles_v(V.Tables(spark, SF001))
+    from collections import Counter
+    a = Counter(tuple(r) for r in TR.transition_counts(tv).collect())
+    b = Counter(tuple(r) for r in TR.transition_counts(tv.repartition(4), skew_safe=True).collect())
+    assert a == b and len(a) > 0
