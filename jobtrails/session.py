@@ -39,6 +39,34 @@ def get_spark(master: str | None = None, app: str = "jobtrails",
     return spark
 
 
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``jobtrails`` importable by the Python workers.
+
+    Functions run by ``mapInPandas`` are pickled by reference to their module,
+    so every executor must be able to import the package.  It is zipped once
+    per SparkContext and distributed with ``addPyFile`` (Spark's own file
+    distribution), which works whatever the driver's working directory.
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    if id(sc) in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="jobtrails-pkg-"), "jobtrails.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.join("jobtrails", os.path.relpath(full, pkg)))
+    sc.addPyFile(out)
+    _SHIPPED.add(id(sc))
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and stage outputs.
 
@@ -52,6 +80,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", path)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(path)
+    ship_package(spark)
     return path
 
 
