@@ -518,13 +518,13 @@ def q_unseen_anti(spark, sf_dir):
 
 # ---------------------------------------------------------------- A: sources and sinks
 
-_XML_SHARDS: dict[tuple[int, str], list[str]] = {}
+_XML_SHARDS: dict[tuple[str, str], list[str]] = {}
 
 
 def xml_shards(spark, sf_dir) -> list[str]:
     """The xml_v fixture: résumé XML shards derived from the driver tables by
     a Spark job, written once per session under the checkpoint folder."""
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _XML_SHARDS:
         t = _t(spark, sf_dir)
         frame = RX.resume_frame(V.jobs_v(t), t.customer, t.nation)

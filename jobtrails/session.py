@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -39,7 +40,7 @@ def get_spark(master: str | None = None, app: str = "jobtrails",
     return spark
 
 
-_SHIPPED: set[int] = set()
+_SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -53,7 +54,7 @@ def ship_package(spark: SparkSession) -> None:
     import zipfile
 
     sc = spark.sparkContext
-    if id(sc) in _SHIPPED:
+    if sc.applicationId in _SHIPPED:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
     out = os.path.join(tempfile.mkdtemp(prefix="jobtrails-pkg-"), "jobtrails.zip")
@@ -64,18 +65,23 @@ def ship_package(spark: SparkSession) -> None:
                     full = os.path.join(root, f)
                     z.write(full, os.path.join("jobtrails", os.path.relpath(full, pkg)))
     sc.addPyFile(out)
-    _SHIPPED.add(id(sc))
+    _SHIPPED.add(sc.applicationId)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and stage outputs.
 
-    On a cluster this is whatever ``spark.checkpoint.dir`` names (a shared
-    file system).  Only when the setting is absent -- local runs and tests --
-    do we create a private temporary folder and register it.
+    This is whatever ``spark.checkpoint.dir`` names (a shared file system).
+    Only a ``local`` master may go without it -- there the executors are this
+    process, so a private temporary folder serves; on a cluster executors
+    would each write to their own disk, so an unset folder is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster "
+                             f"(master {master})")
         path = tempfile.mkdtemp(prefix="jobtrails-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if not spark.sparkContext.getCheckpointDir():
@@ -85,16 +91,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def stage_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the checkpoint dir for a written stage table."""
-    base = checkpoint_dir(spark)
-    return os.path.join(base, f"{name}-{os.getpid()}-{next(_counter)}")
-
-
-def _count():
-    i = 0
-    while True:
-        i += 1
-        yield i
-
-
-_counter = _count()
+    """A fresh sub-folder of the checkpoint dir for a written stage table.
+    The random part keeps applications that share the folder apart."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
