@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobtrails.llm import host_quality, langid, sharding, toxicity, url_trie
+from jobtrails.llm import host_quality, langid, sharding, simhash, toxicity, url_trie
 from jobtrails.llm.common import table
 from jobtrails.llm.oracles import ORACLES  # noqa: F401
 
@@ -42,6 +42,11 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_trie.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+@query("op6_simhash")
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
+
+
 @query("op7_language")
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents")).select(
