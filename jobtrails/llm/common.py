@@ -70,3 +70,10 @@ def arrow_schema(ddl: str) -> pa.Schema:
              "binary": pa.binary(), "boolean": pa.bool_(), "array<bigint>": pa.list_(pa.int64()),
              "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64())}
     return pa.schema([(n, kinds[t]) for n, t in (x.strip().split(" ", 1) for x in ddl.split(","))])
+
+
+def shield(docs: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with every column but text renamed, so that a method's own
+    columns can't clash with the caller's, and the columns that undo it."""
+    names = {c: c if c == "text" else f"__in_{c}" for c in docs.columns}
+    return docs.withColumnsRenamed(names), [F.col(f"`{n}`").alias(c) for c, n in names.items()]

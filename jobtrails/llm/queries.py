@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobtrails.llm import host_quality, langid, sharding, simhash, toxicity, url_trie
+from jobtrails.llm import decontam, host_quality, langid, pfp_dedup, sharding, simhash, toxicity, url_trie
 from jobtrails.llm.common import table
 from jobtrails.llm.oracles import ORACLES  # noqa: F401
 
@@ -30,6 +30,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "held_out", "score", "predicted", "evidence", F.size("seg_score").alias("n_segments"))
 
 
+@query("op2_decontaminate")
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op3_host_quality")
 def op3_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = host_quality.quality_filter(table(spark, sf_dir, "documents"))
@@ -58,3 +63,9 @@ def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = sharding.shard_by_bytes(table(spark, sf_dir, "documents"), 24)
     return d.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                     F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op10_repeats")
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pfp_dedup.remove_repeats(table(spark, sf_dir, "documents"), 200).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
