@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobtrails.llm import decontam, host_quality, langid, pfp_dedup, sharding, simhash, toxicity, url_trie
+from jobtrails.llm import decontam, host_quality, langid, packing, pfp_dedup, sharding, simhash, toxicity, url_trie
 from jobtrails.llm.common import table
 from jobtrails.llm.oracles import ORACLES  # noqa: F401
 
@@ -42,6 +42,17 @@ def op3_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "kept")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op4_pack")
+def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), 1024)
+
+
 @query("op5_url_filter")
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_trie.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
