@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobtrails.llm import decontam, host_quality, langid, packing, pfp_dedup, sharding, simhash, toxicity, url_trie
+from jobtrails.llm import decontam, gru_lm, host_quality, langid, packing, pfp_dedup, sharding, simhash, toxicity, url_trie
 from jobtrails.llm.common import table
 from jobtrails.llm.oracles import ORACLES  # noqa: F401
 
@@ -76,6 +76,11 @@ def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query("op9_language_model")
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gru_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 @query("op10_repeats")
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfp_dedup.remove_repeats(table(spark, sf_dir, "documents"), 200).select(
