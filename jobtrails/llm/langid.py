@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobtrails.llm.common import arrow_schema, batch, folds, slices, utf8
+from jobtrails.llm.common import arrow_schema, batch, folds, shield, slices, utf8
 
 N_BUCKETS = 1 << 18
 GRAM = 4
@@ -174,7 +174,7 @@ def fit(docs: DataFrame, is_train: Column) -> Model:
 def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The columns ``keep`` and lang_pred, score, margin, ambiguous."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    src = docs.select(*keep, F.col("text").alias("__text"))
+    src = docs.select(*keep, *([] if "text" in keep else ["text"]))
     out = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double").add(
         "margin", "double").add("ambiguous", "boolean")
     schema = pa.schema([("lang_pred", pa.string()), ("score", pa.float64()), ("margin", pa.float64()),
@@ -183,7 +183,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            texts = b["__text"]
+            texts = b["text"]
             letter = pc.match_substring_regex(texts.fill_null("").cast(pa.string()), r"\p{L}").to_numpy(zero_copy_only=False)
             n = b.num_rows
             lang, score, margin = np.full(n, "und", object), np.zeros(n), np.zeros(n)
@@ -197,13 +197,18 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             lang[~letter], score[~letter], margin[~letter] = "und", 0.0, 0.0
             found = batch(schema, lang_pred=lang.tolist(), score=score, margin=margin,
                           ambiguous=(margin < MIN_MARGIN) | (lang == "und"))
-            rest = [i for i, name in enumerate(b.schema.names) if name != "__text"]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in rest), *found.columns],
-                                             names=[*(b.schema.names[i] for i in rest), *schema.names])
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in keep), *found.columns], names=[*keep, *schema.names])
 
     return src.mapInArrow(run, out)
 
 
+def keep_identified(docs: DataFrame, n_folds: int = 5) -> DataFrame:
+    """``docs`` without texts that are ``und`` or ambiguous."""
+    model = fit(docs, folds(F.col("doc_id"), n_folds) != 0)
+    plain, back = shield(docs)
+    return predict(plain, model, plain.columns).where(~F.col("ambiguous")).select(*back)
+
+
 def identify(docs: DataFrame, n_folds: int = 5) -> DataFrame:
     """doc_id, held_out, lang_pred, score, margin, ambiguous of every document;
     learned from the rows of the folds other than 0."""

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from jobtrails.llm.common import arrow_schema, batch, materialise
+from jobtrails.llm.common import arrow_schema, batch, materialise, shield
 from jobtrails.llm.components import components
 
 SHINGLE = 4
@@ -224,14 +224,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
 def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """``docs`` with one document of each component: that of the smallest
     doc_id (nulls last, then by text hash); of equal rows one stays."""
-    names = docs.columns
-    key = docs.withColumn("__th", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    marked = materialise(fingerprints(key, ["doc_id", "__th"], shingle), "simhash")
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("__th").alias("th"))
+    plain, back = shield(docs)
+    key = plain.withColumns({"th": F.xxhash64(F.coalesce(F.col("text"), F.lit(""))), "doc_id": F.col("__in_doc_id")})
+    marked = materialise(fingerprints(key, ["doc_id", "th"], shingle), "simhash")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
     stay = group_near_copies(marked, max_bits).groupBy("root").agg(F.min(rank).alias("k")).select(
-        F.col("k.doc_id").alias("__doc"), F.col("k.th").alias("__hash"))
-    kept = key.join(stay, key["doc_id"].eqNullSafe(stay["__doc"]) & (key["__th"] == stay["__hash"]), "left_semi")
-    if marked.groupBy("doc_id", "__th").count().where("count > 1").limit(1).count():
-        kept = kept.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id", "__th").orderBy(F.lit(0)))
-                               ).where("__n = 1")
-    return kept.select(*names)
+        F.col("k.doc_id").alias("stay_id"), F.col("k.th").alias("stay_th"))
+    kept = key.join(stay, F.col("doc_id").eqNullSafe(F.col("stay_id")) & (F.col("th") == F.col("stay_th")), "left_semi")
+    if marked.groupBy("doc_id", "th").count().where("count > 1").limit(1).count():
+        one = Window.partitionBy("doc_id", "th").orderBy(F.lit(0))
+        kept = kept.withColumn("nth", F.row_number().over(one)).where("nth = 1")
+    return kept.select(*back)
