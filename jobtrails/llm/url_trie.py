@@ -103,11 +103,11 @@ def _by_join(pages: DataFrame, rules: DataFrame, default: str) -> DataFrame:
     r = rules.select(F.lower(F.substring_index("rule", "/", 1)).alias("rh"), "rule", "verdict",
                      F.expr("substr(rule, instr(rule, '/'))").alias("rp"))
     r = r.groupBy("rh", "rp").agg(F.max_by("rule", "verdict").alias("rule"), F.max("verdict").alias("verdict"))
-    lengths = r.agg(F.collect_set(F.length("rp"))).scalar()
+    # a number for each different length of a rule's path
+    lengths = F.lit([x[0] for x in r.select(F.length("rp")).distinct().collect()]).cast("array<int>")
     urls = pages.select("host", "path").distinct()
     labels = F.split("host", r"\.")
-    cand = urls.select("host", "path", F.explode(F.sequence(F.lit(1), F.size(labels))).alias("depth"),
-                       F.lit(0).alias("_")).select(
+    cand = urls.select("host", "path", F.explode(F.sequence(F.lit(1), F.size(labels))).alias("depth")).select(
         "host", "path", "depth", F.array_join(F.slice(labels, -F.col("depth"), F.col("depth")), ".").alias("rh"),
         F.explode(F.filter(lengths, lambda n: n <= F.length("path"))).alias("n"))
     cand = cand.withColumn("rp", F.expr("substr(path, 1, n)"))
