@@ -3,8 +3,9 @@
 * Fingerprint matching keys each history by an order-independent 128-bit
   multiset hash built with ``sum`` aggregates -- no per-person list is ever
   collected, so a huge history costs one partial aggregate, not one array.
-* Interval self-joins (co-workers, shared employers) never enumerate all
-  pairs of a company: each stint is replicated over the years it covers and
+* Co-worker and shared-employer totals are counted from running sums over a
+  company's years or dates, without a pair.  The pair lists, for chosen people
+  or companies, come from interval joins: each stint is replicated over the years it covers and
   joined to the stints that *start* in that year, so the join emits only
   candidate pairs that already overlap (work ~ output), and the hot
   (company, year) keys are split by AQE's skew-join handling.
@@ -30,8 +31,10 @@ def history_fingerprint(stints: DataFrame, seq: str, fields: Sequence[Column]) -
     """Order-independent key of each history: (n, h1, h2), where h1/h2 sum
     two independently salted 64-bit hashes of each stint (as decimals, so
     the sums cannot overflow).  Equal multisets of stints give equal keys."""
-    h1 = F.xxhash64(F.lit("fp1"), *fields).cast("decimal(38,0)")
-    h2 = F.xxhash64(F.lit("fp2"), *fields).cast("decimal(38,0)")
+    # the hash skips nulls: a flag for each field keeps (null, x) from (x, null)
+    marked = [c for f in fields for c in (f.isNull(), f)]
+    h1 = F.xxhash64(F.lit("fp1"), *marked).cast("decimal(38,0)")
+    h2 = F.xxhash64(F.lit("fp2"), *marked).cast("decimal(38,0)")
     return (stints.groupBy(seq)
                   .agg(F.count(F.lit(1)).alias("fp_n"), F.sum(h1).alias("fp_h1"),
                        F.sum(h2).alias("fp_h2")))
@@ -135,19 +138,138 @@ def coworker_links(stints: DataFrame, person: str = "person_id", order: Sequence
     return j.select(id1.alias("id1"), id2.alias("id2"), F.col(company))
 
 
-def coworker_degree(links: DataFrame, n: int = 50) -> DataFrame:
-    """Links per person (both ends, every company), top n (ties: id asc)."""
-    deg = (links.select(F.explode(F.array("id1", "id2")).alias("person_id"))
-                .groupBy("person_id").agg(F.count(F.lit(1)).alias("degree")))
+def _cover_parts(stints: DataFrame, person: str, order: Sequence[str], company: str, start_year: str,
+                 end_year: str) -> tuple[DataFrame, DataFrame]:
+    """What coworker_links would emit, counted without a pair.
+
+    A stint a covers a stint b that starts strictly inside a's years, or in
+    a's first or last year with b later in row order.  Strict covers follow
+    from running totals over a company's years; the two touching years from
+    running counts inside (company, year).
+
+    Returns (company, _s, _e) groups with their size, the strict covers of one
+    member (``inside``) and the strict covers that hold it (``around``); and
+    one row for each stint and year it touches with ``covers`` and ``covered``.
+    """
+    s = F.coalesce(F.col(start_year), F.col(end_year))
+    d = (stints.select(person, company, s.alias("_s"), F.col(end_year).alias("_e"),
+                       F.struct(*[F.col(c) for c in order]).alias("_ord"))
+               .where(F.col("_s").isNotNull() & F.col(company).isNotNull())
+               .withColumn("_ok", F.coalesce(F.col("_e") >= F.col("_s"), F.lit(False))))
+    groups = d.groupBy(company, "_s", "_e", "_ok").agg(F.count(F.lit(1)).alias("size"))
+
+    # a company's years: starts, valid starts, valid ends and one-year stints
+    n, ok = F.col("size"), F.col("_ok")
+    years = groups.select(company, F.explode(F.array(
+        F.struct(F.col("_s").alias("y"), n.alias("p"), F.when(ok, n).otherwise(0).alias("v"),
+                 F.lit(0).cast("bigint").alias("x"), F.when(ok & (F.col("_s") == F.col("_e")), n).otherwise(0).alias("z")),
+        F.struct(F.col("_e").alias("y"), F.lit(0).cast("bigint").alias("p"), F.lit(0).cast("bigint").alias("v"),
+                 F.when(ok, n).otherwise(0).alias("x"), F.lit(0).cast("bigint").alias("z")))).alias("k")
+    ).select(company, "k.*").where(F.col("y").isNotNull()).groupBy(company, "y").agg(
+        *[F.sum(c).alias(c) for c in "pvxz"])
+    to = Window.partitionBy(company).orderBy("y")
+    years = years.select(company, "y", "p", "v", F.sum("p").over(to).alias("pp"), F.sum("v").over(to).alias("vv"),
+                         F.sum("x").over(to).alias("xx"), "z")
+    at_s = years.select(company, F.col("y").alias("_s"), F.col("pp").alias("P_s"), (F.col("vv") - F.col("v")).alias("V_s"),
+                        F.col("xx").alias("X_s"), F.col("z").alias("z_s"))
+    at_e = years.select(company, F.col("y").alias("_e"), (F.col("pp") - F.col("p")).alias("P_e"))
+    groups = groups.join(at_s, [company, "_s"]).join(at_e, [company, "_e"], "left").select(
+        company, "_s", "_e", "size",
+        F.when(F.col("_ok"), F.greatest(F.col("P_e") - F.col("P_s"), F.lit(0))).otherwise(0).alias("inside"),
+        (F.col("V_s") - F.col("X_s") + F.col("z_s")).alias("around"))
+
+    # touching years: members start there, closers end there (and started before)
+    touch = d.select(company, person, "_ord", "_ok", F.explode(F.array(
+        F.struct(F.col("_s").alias("_y"), F.lit(1).alias("member")),
+        F.struct(F.when(F.col("_ok") & (F.col("_e") > F.col("_s")), F.col("_e")).alias("_y"), F.lit(0).alias("member"))
+    )).alias("k")).select(company, person, "_ord", "_ok", "k._y", "k.member").where(F.col("_y").isNotNull())
+    w = Window.partitionBy(company, "_y").orderBy("_ord")
+    after = F.coalesce(F.sum("member").over(w.rowsBetween(1, Window.unboundedFollowing)), F.lit(0))
+    opens = F.when((F.col("member") == 0) | F.col("_ok"), 1).otherwise(0)
+    before = F.coalesce(F.sum(opens).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    touch = touch.select(company, person, F.when(opens == 1, after).otherwise(0).alias("covers"),
+                         F.when(F.col("member") == 1, before).otherwise(0).alias("covered"))
+    return groups, touch
+
+
+def coworker_link_counts(stints: DataFrame, person: str = "person_id", order: Sequence[str] = ("person_id", "pos"),
+                         company: str = "company", start_year: str = "start_year",
+                         end_year: str = "end_year") -> DataFrame:
+    """D3: number of co-worker links of each company that has one, from
+    totals by year (work linear in the stints, see ``_cover_parts``)."""
+    groups, touch = _cover_parts(stints, person, order, company, start_year, end_year)
+    strict = groups.groupBy(company).agg(F.sum(F.col("size") * F.col("inside")).alias("n"))
+    edge = touch.groupBy(company).agg(F.sum("covers").alias("n"))
+    return (strict.union(edge).groupBy(company).agg(F.sum("n").cast("bigint").alias("n_links"))
+            .where(F.col("n_links") > 0))
+
+
+def coworker_person_counts(stints: DataFrame, person: str = "person_id", order: Sequence[str] = ("person_id", "pos"),
+                           company: str = "company", start_year: str = "start_year",
+                           end_year: str = "end_year") -> DataFrame:
+    """Links of each person, both ends counted, without listing them."""
+    groups, touch = _cover_parts(stints, person, order, company, start_year, end_year)
+    own = stints.select(F.col(person), F.col(company), F.coalesce(F.col(start_year), F.col(end_year)).alias("_s"),
+                        F.col(end_year).alias("_e")).groupBy(person, company, "_s", "_e").agg(
+        F.count(F.lit(1)).alias("n"))
+    g = groups.select(F.col(company).alias("_c"), F.col("_s").alias("_gs"), F.col("_e").alias("_ge"), "inside", "around")
+    strict = own.join(g, (F.col(company) == F.col("_c")) & (F.col("_s") == F.col("_gs"))
+                      & F.col("_e").eqNullSafe(F.col("_ge"))).groupBy(person).agg(
+        F.sum(F.col("n") * (F.col("inside") + F.col("around"))).alias("degree"))
+    edge = touch.groupBy(person).agg(F.sum(F.col("covers") + F.col("covered")).alias("degree"))
+    return strict.union(edge).groupBy(F.col(person).alias("person_id")).agg(
+        F.sum("degree").cast("bigint").alias("degree")).where(F.col("degree") > 0)
+
+
+def coworker_degree(degrees: DataFrame, n: int = 50) -> DataFrame:
+    """The ``n`` people with most links (ties: id asc)."""
     order = [F.col("degree").desc(), F.col("person_id").asc()]
-    top = deg.orderBy(*order).limit(n)
+    top = degrees.orderBy(*order).limit(n)
     return top.select(F.row_number().over(Window.orderBy(*order)).cast("bigint").alias("rank"),
                       "person_id", "degree")
 
 
+def merged_stints(stints: DataFrame, person: str, company: str, start: str, end: str) -> DataFrame:
+    """Each person's strictly overlapping stints at a company as one interval."""
+    d = stints.where(F.col(start).isNotNull() & F.col(end).isNotNull() & F.col(company).isNotNull()
+                     & (F.col(end) >= F.col(start)))
+    w = Window.partitionBy(person, company).orderBy(start, end)
+    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    # a gap starts where nothing before reaches beyond the start
+    d = d.withColumn("_new", F.when(reach > F.col(start), 0).otherwise(1))
+    d = d.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return d.groupBy(person, company, "_run").agg(F.min(start).alias("_s"), F.max(end).alias("_e")).drop("_run")
+
+
+def shared_employer_counts(stints: DataFrame, person: str = "person_id", company: str = "company",
+                           start: str = "start_dt", end: str = "end_dt") -> DataFrame:
+    """D5 by company: people, their merged intervals and the number of
+    strictly overlapping pairs of intervals, without listing them: of all
+    pairs, those where one ends no later than the other starts are left out,
+    counted from running totals over the company's dates."""
+    m = merged_stints(stints, person, company, start, end)
+    one = (F.col("_s") == F.col("_e")).cast("bigint")
+    dates = m.select(company, F.explode(F.array(
+        F.struct(F.col("_s").alias("d"), F.lit(1).cast("bigint").alias("s"), F.lit(0).cast("bigint").alias("e"),
+                 one.alias("z")),
+        F.struct(F.col("_e").alias("d"), F.lit(0).cast("bigint").alias("s"), F.lit(1).cast("bigint").alias("e"),
+                 F.lit(0).cast("bigint").alias("z")))).alias("k")).select(company, "k.*").groupBy(company, "d").agg(
+        *[F.sum(c).alias(c) for c in "sez"])
+    ended = F.sum("e").over(Window.partitionBy(company).orderBy("d"))
+    # a one-day interval ends at its own start; two on one day are apart both ways
+    apart = dates.withColumn("n", F.col("s") * ended - F.col("z") - F.col("z") * (F.col("z") - 1) / 2)
+    apart = apart.groupBy(company).agg(F.sum("n").alias("apart"), F.sum("s").alias("k"))
+    people = m.groupBy(company).agg(F.count_distinct(person).alias("n_people"))
+    return apart.join(people, company).select(
+        company, "n_people", F.col("k").cast("bigint").alias("n_intervals"),
+        (F.col("k") * (F.col("k") - 1) / 2 - F.col("apart")).cast("bigint").alias("n_overlaps"))
+
+
 def shared_employers(stints: DataFrame, person: str = "person_id", company: str = "company",
                      start: str = "start_dt", end: str = "end_dt", exclude_dups: bool = False) -> DataFrame:
-    """Per pair of people, the companies where they held strictly
+    """D5 for a chosen part of the stints (some people or companies; the pairs
+    grow with the square of a company, see ``shared_employer_counts`` for all):
+    per pair of people, the companies where they held strictly
     overlapping stints (s2 < e1 and s1 < e2); optionally skip pairs whose
     whole company sets are equal.  Output (person1 < person2, company)."""
     d = stints.where(F.col(start).isNotNull() & F.col(end).isNotNull()) \
@@ -176,7 +298,7 @@ def shared_employers(stints: DataFrame, person: str = "person_id", company: str
     if exclude_dups:
         sets = (stints.select(person, company).distinct()
                       .groupBy(person).agg(F.count(F.lit(1)).alias("_n"),
-                                           F.sum(F.xxhash64(F.col(company)).cast("decimal(38,0)")).alias("_h")))
+                                           F.sum(F.xxhash64(F.col(company).isNull(), F.col(company)).cast("decimal(38,0)")).alias("_h")))
         s1 = sets.select(F.col(person).alias("person1"), F.col("_n").alias("_n1"), F.col("_h").alias("_h1"))
         s2 = sets.select(F.col(person).alias("person2"), F.col("_n").alias("_n2"), F.col("_h").alias("_h2"))
         out = (out.join(s1, "person1").join(s2, "person2")

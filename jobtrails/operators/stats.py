@@ -27,8 +27,8 @@ def _count() -> Column:
 def top_labels(df: DataFrame, labels: Sequence[str], n: int = 50) -> DataFrame:
     """The n most frequent label (tuples) with count and share of all rows.
     Ties: labels ascending."""
-    total = df.select(_count()).scalar()
     counts = df.groupBy(*labels).agg(_count().alias("n"))
+    total = counts.select(F.sum("n")).scalar()
     order = [F.col("n").desc()] + [F.col(c).asc_nulls_first() for c in labels]
     w = Window.orderBy(*order)
     top = counts.orderBy(*order).limit(n)
@@ -219,7 +219,3 @@ def merge_counts(*counters: DataFrame, key: str = "title", n: str = "n") -> Data
     for c in counters[1:]:
         u = u.unionByName(c)
     return u.groupBy(key).agg(F.sum(n).cast("bigint").alias(n))
-
-
-def topk(df: DataFrame, group: str, order: Sequence[Column], k: int) -> DataFrame:
-    return topk_per_group(df, group, order, k)

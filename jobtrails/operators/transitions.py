@@ -70,7 +70,7 @@ def transition_counts(df: DataFrame, seq: str = "person_id",
     return pairs.groupBy("title", "next_title").agg(F.count(F.lit(1)).alias("n"))
 
 
-def transition_probs(counts: DataFrame, num_states: int | None = None,
+def transition_probs(counts: DataFrame, num_states: int | Column | None = None,
                      gamma: float = 1.0, s1: str = "title", s2: str = "next_title",
                      n: str = "n") -> DataFrame:
     """(n_ij + g) / sum_k (n_ik + g) over *all* states k.
@@ -82,9 +82,10 @@ def transition_probs(counts: DataFrame, num_states: int | None = None,
     """
     if num_states is None:
         num_states = (counts.select(F.col(s1).alias("s")).union(counts.select(F.col(s2)))
-                      .agg(F.count_distinct("s").alias("k")).first()["k"])
+                      .agg(F.count_distinct("s").alias("k")).scalar())
+    states = num_states if isinstance(num_states, Column) else F.lit(num_states)
     w = Window.partitionBy(s1)
-    total = F.sum(F.col(n)).over(w) + F.lit(float(num_states) * gamma)
+    total = F.sum(F.col(n)).over(w) + states.cast("double") * F.lit(float(gamma))
     return counts.select(
         F.col(s1), F.col(s2), F.col(n),
         F.round((F.col(n) + F.lit(gamma)) / total, 6).alias("prob"),
@@ -102,7 +103,7 @@ def next_title_top3(df: DataFrame, seq: str = "person_id", order: Sequence[Colum
     counts = transition_counts(df, seq, list(order), symbol, dense_pos=dense_pos)
     asked = df.select(F.col(symbol).alias("title")).where(F.col("title").isNotNull()).distinct()
     num_states = (df.select(symbol).where(F.col(symbol).isNotNull())
-                    .agg(F.count_distinct(symbol).alias("k")).first()["k"])
+                    .agg(F.count_distinct(symbol).alias("k")).scalar())
     probs = transition_probs(counts, num_states=num_states, gamma=gamma)
     top = topk_per_group(probs, "title", [F.col("n").desc(), F.col("next_title").asc_nulls_first()],
                          k, rank_col="rank")

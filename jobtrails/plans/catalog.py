@@ -69,6 +69,9 @@ def q_next_title_top3(spark, sf_dir):
 
 # Queries checked by invariants (tests) rather than by an SQL oracle:
 # iterative or randomised models.
+#: share of the people (by hash) that models are fitted on
+TRAIN_PCT = 80
+
 ROWS_ONLY: set[str] = {"xml_schema_paths", "bigram_replace", "clean_descriptions",
                        "lda_topics", "lda_topic_words", "lda_transform_heldout", "hmm_fit_em",
                        "hmm_score", "hmm_decode_next", "gibbs_hmm_fit", "gibbs_resume"}
@@ -365,11 +368,8 @@ def q_vocab_encoded_sequences(spark, sf_dir):
 def q_merge_counts(spark, sf_dir):
     d = V.docs_v(_t(spark, sf_dir))
     toks = d.select("lang", F.explode(TX.tokens_nostop(F.col("description"))).alias("title"))
-    shards = [toks.where(F.col("lang") == lang).groupBy("title").agg(F.count(F.lit(1)).alias("n"))
-              for lang in ("en", "de", "fr", "es")]
-    rest = toks.where(~F.col("lang").isin("en", "de", "fr", "es")) \
-               .groupBy("title").agg(F.count(F.lit(1)).alias("n"))
-    return ST.merge_counts(*shards, rest)
+    # a shard for each language, null included, from one pass over the texts
+    return ST.merge_counts(toks.groupBy("lang", "title").agg(F.count(F.lit(1)).alias("n")))
 
 
 # ---------------------------------------------------------------- D: joins
@@ -421,34 +421,25 @@ def q_align_positional(spark, sf_dir):
     return JN.align_positional(left, right, "person_id", "seq_pos", "start_dt", "end_dt")
 
 
-def _coworker_links(spark, sf_dir):
+def _coworker_stints(spark, sf_dir):
     j = V.jobs_v(_t(spark, sf_dir))
-    st = j.select("person_id", "pos", "company", F.year("start_dt").alias("start_year"),
-                  F.year("end_dt").alias("end_year"))
-    return JN.coworker_links(st)
+    return j.select("person_id", "pos", "company", F.year("start_dt").alias("start_year"),
+                    F.year("end_dt").alias("end_year"))
 
 
 @query("coworker_links")
 def q_coworker_links(spark, sf_dir):
-    return _coworker_links(spark, sf_dir).groupBy("company").agg(F.count(F.lit(1)).alias("n_links"))
+    return JN.coworker_link_counts(_coworker_stints(spark, sf_dir))
 
 
 @query("coworker_degree")
 def q_coworker_degree(spark, sf_dir):
-    return JN.coworker_degree(_coworker_links(spark, sf_dir), 50)
+    return JN.coworker_degree(JN.coworker_person_counts(_coworker_stints(spark, sf_dir)), 50)
 
 
 @query("shared_employers")
 def q_shared_employers(spark, sf_dir):
-    pairs = JN.shared_employers(_filled_jobs(spark, sf_dir))
-    ends = pairs.select(F.explode(F.array(
-        F.struct(F.col("person1").alias("person_id"), F.col("person2").alias("other")),
-        F.struct(F.col("person2").alias("person_id"), F.col("person1").alias("other")))).alias("e"),
-        "company").select("e.*", "company")
-    # links are distinct (pair, company) rows: count per partner, then per person
-    per_partner = ends.groupBy("person_id", "other").agg(F.count(F.lit(1)).alias("_k"))
-    return per_partner.groupBy("person_id").agg(F.count(F.lit(1)).alias("n_partners"),
-                                                F.sum("_k").alias("n_links"))
+    return JN.shared_employer_counts(_filled_jobs(spark, sf_dir))
 
 
 @query("gazetteer_geocode")
@@ -469,7 +460,7 @@ def q_job_transition_probs(spark, sf_dir):
     means = ST.trace_mean(V.trace_v(t), ["s1", "s2"]).select(
         F.col("s1").alias("title"), F.col("s2").alias("next_title"), F.col("mean").alias("n"))
     ev = V.events_v(t).withColumnRenamed("title", "state")
-    k = ev.agg(F.count_distinct("state")).first()[0]
+    k = ev.agg(F.count_distinct("state")).scalar()
     probs = TR.transition_probs(means, num_states=k)
     out = JN.job_transition_probs(ev, probs)
     return out.select("job_id1", "job_id2", "state1", "state2", "trans_prob")
@@ -493,22 +484,21 @@ def q_state_word_mix(spark, sf_dir):
     return JN.state_word_mix(_state_topics(t), _topic_word_weights(t), n_words=10)
 
 
-def _split_titles(spark, sf_dir, n_train: int = 50):
-    """A15 on the title sequences: the first ``n_train`` people train."""
-    seqs = SQ.title_sequences(V.titles_v(_t(spark, sf_dir)))
-    from jobtrails.sources import splits
-    return splits.split_sequences(seqs, "person_id", n_train)
+def _title_seqs(spark, sf_dir):
+    return SQ.title_sequences(V.titles_v(_t(spark, sf_dir)))
 
 
 @query("split_sequences")
 def q_split_sequences(spark, sf_dir):
-    s = _split_titles(spark, sf_dir)
+    """The first 50 people train."""
+    s = SP.split_sequences(_title_seqs(spark, sf_dir), "person_id", 50)
     return s.select("person_id", "seq_pos", "split")
 
 
 @query("unseen_anti")
 def q_unseen_anti(spark, sf_dir):
-    s = _split_titles(spark, sf_dir)
+    # few train, so that titles are left unseen
+    s = SP.split_by_hash(_title_seqs(spark, sf_dir), "person_id", 2)
     train = s.where(F.col("split") == "train")
     vocab, _ = ST.vocab_encode(train.select("title"), train)
     held = s.where(F.col("split") == "test")
@@ -573,16 +563,13 @@ def q_xml_schema_paths(spark, sf_dir):
 def q_parse_flags(spark, sf_dir):
     r = _raw_resumes(spark, sf_dir)
     return r.select(F.col("ResumeID").try_cast("int").alias("resume_id"),
-                    *[RX.parse_flag(F.col(t)).alias(RX.decamel(t)) for t in RX.FLAG_TAGS])
+                    *[RX.parse_flag(F.col(t)).alias(RX.COLUMN_OF[t]) for t in RX.FLAG_TAGS])
 
 
 @query("snake_columns")
 def q_snake_columns(spark, sf_dir):
-    tags = (spark.read.format("xml").option("rowTag", "resume")
-                 .option("inferSchema", "false").load(xml_shards(spark, sf_dir)).columns)
-    d = spark.createDataFrame([(t,) for t in tags], "tag string")
-    s1 = F.regexp_replace(F.col("tag"), "(.)([A-Z][a-z]+)", "$1_$2")
-    return d.select("tag", F.lower(F.regexp_replace(s1, "([a-z0-9])([A-Z])", "$1_$2")).alias("column"))
+    r = _raw_resumes(spark, sf_dir)
+    return RX.column_fill(r)
 
 
 @query("state_list")
@@ -761,12 +748,12 @@ def q_state_topic_mix(spark, sf_dir):
 # ---------------------------------------------------------------- iterative models
 
 
-def _hmm_data(spark, sf_dir, n_train: int = 600):
-    """Title sequences split into train / held-out, encoded with the
+def _hmm_data(spark, sf_dir):
+    """Title sequences split into train / held-out by person, encoded with the
     training vocabulary (titles unseen in training encode as 0)."""
     # the split sequences feed the vocabulary, both encodings and the fit:
     # materialise them once in the checkpoint folder
-    s = _split_titles(spark, sf_dir, n_train).checkpoint()
+    s = SP.split_by_hash(_title_seqs(spark, sf_dir), "person_id", TRAIN_PCT).checkpoint()
     train, test = s.where("split = 'train'"), s.where("split = 'test'")
     t = V.titles_v(_t(spark, sf_dir))
     tr_people = train.select("person_id").distinct()

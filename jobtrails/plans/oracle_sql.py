@@ -582,13 +582,17 @@ from deg order by degree desc, person_id asc limit 50""", "jobs_v")
 add("shared_employers", f"""
 with {_stint_fill_ctes('jobs_v')},
 t as ({_stint_fill_sql('jobs_v')}),
-pairs as (select distinct least(a.person_id, b.person_id) as p1, greatest(a.person_id, b.person_id) as p2, a.company
-          from t a join t b on a.company = b.company and a.person_id <> b.person_id
-          where b.start_dt < a.end_dt and a.start_dt < b.end_dt),
-ends as (select p1 as person_id, p2 as other, company from pairs
-         union all select p2, p1, company from pairs)
-select person_id, count(distinct other) as n_partners, count(*) as n_links from ends group by person_id""",
-    "jobs_v")
+o as (select *, max(end_dt) over (partition by person_id, company order by start_dt, end_dt
+                                  rows between unbounded preceding and 1 preceding) as reach
+      from t where start_dt is not null and end_dt >= start_dt and company is not null),
+g as (select *, sum(case when reach > start_dt then 0 else 1 end) over (
+               partition by person_id, company order by start_dt, end_dt rows unbounded preceding) as run from o),
+m as (select person_id, company, min(start_dt) as s, max(end_dt) as e from g group by person_id, company, run),
+pairs as (select a.company, count(*) as n from m a join m b on a.company = b.company and a.person_id < b.person_id
+          and b.s < a.e and a.s < b.e group by a.company)
+select m.company, count(distinct person_id) as n_people, count(*) as n_intervals,
+       cast(coalesce(max(pairs.n), 0) as bigint) as n_overlaps
+from m left join pairs on pairs.company = m.company group by m.company""", "jobs_v")
 
 
 def _gazetteer_sql() -> str:
@@ -672,22 +676,27 @@ s as (select seqs.*, case when person_id <= cut then 'train' else 'test' end as
 
 add("split_sequences", f"with {_TITLE_SEQS}\nselect person_id, seq_pos, split from s", "titles_v")
 add("unseen_anti", f"""
-with {_TITLE_SEQS}
-select title, count(*) as n from s
-where split = 'test' and title not in (select title from s where split = 'train')
+with {_TITLE_SEQS},
+h as (select person_id, title, case when cast('0x' || substr(md5(cast(person_id as varchar)), 1, 4) as integer) % 100 < 2
+                                    then 'train' else 'test' end as split from seqs)
+select title, count(*) as n from h
+where split = 'test' and title not in (select title from h where split = 'train')
 group by title""", "titles_v")
 
 
 # ---------------------------------------------------------------- A: sources and sinks
+_FLAG_COLUMNS = ["wants_permanent", "wants_contract", "wants_intern", "wants_temp", "wants_full_time",
+                 "wants_part_time", "wants_per_diem", "wants_overtime", "wants_weekends", "prefer_weekends",
+                 "wants_seasonal", "will_relocate"]
+
+
 def _xml_people_sql() -> str:
     from jobtrails.functions.location import STATE_CODES
-    from jobtrails.sources.resume_xml import FLAG_TAGS
     flag_vals = ["true", "false", "true", "false", "true", "null"]
     flags = []
-    for i, tag in enumerate(FLAG_TAGS):
-        from jobtrails.sources.resume_xml import decamel
+    for i, column in enumerate(_FLAG_COLUMNS):
         cases = " ".join(f"when {j} then {v}" for j, v in enumerate(flag_vals))
-        flags.append(f"case (c_custkey + {i}) % 6 {cases} end as {decamel(tag)}")
+        flags.append(f"case (c_custkey + {i}) % 6 {cases} end as {column}")
     codes = _sql_list(STATE_CODES)
     return f"""
 people as (
@@ -736,15 +745,14 @@ select cast(c_custkey as integer) as resume_id,
             else code end as state
 from people""")
 
-add("snake_columns", """
-with t(tag) as (values ('CommuteDistance'), ('CurrencyName'), ('DateCreated'), ('DateModified'),
-  ('DesiredJobTitle'), ('PreferWeekends'), ('ResumeID'), ('ResumeTitle'), ('Salary'), ('WantsContract'),
-  ('WantsFullTime'), ('WantsIntern'), ('WantsOvertime'), ('WantsPartTime'), ('WantsPerDiem'),
-  ('WantsPermanent'), ('WantsSeasonal'), ('WantsTemp'), ('WantsWeekends'), ('WillRelocate'),
-  ('WillingnessToTravelInternalName'), ('education'), ('experience'), ('locations'))
-select tag, lower(regexp_replace(regexp_replace(tag, '(.)([A-Z][a-z]+)', '\\1_\\2', 'g'),
-                                 '([a-z0-9])([A-Z])', '\\1_\\2', 'g')) as column
-from t""")
+add("snake_columns", f"""
+with {_xml_people_sql()}
+{" union all ".join(f"""select '{c}' as "column", count({c}) as n from people""" for c in _FLAG_COLUMNS)}
+{"".join(f""" union all select '{c}', count(*) from people""" for c in
+         ("resume_id", "currency_name", "resume_title", "date_created", "date_modified", "desired_job_title", "salary",
+          "commute_distance"))}
+union all select 'additional_info', 0 union all select 'summary', 0
+union all select 'willingness_to_travel_internal_name', count(*) from people where c_custkey % 5 = 0""")
 
 add("split_files", "select cast(c_custkey as integer) as resume_id from customer where c_custkey % 2 = 1")
 

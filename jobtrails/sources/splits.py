@@ -17,6 +17,13 @@ def split_sequences(seqs: DataFrame, seq: str, n_train: int) -> DataFrame:
     return seqs.withColumn("split", F.when(F.col(seq) <= cut, "train").otherwise("test"))
 
 
+def split_by_hash(seqs: DataFrame, seq: str, train_pct: int) -> DataFrame:
+    """``train`` for about ``train_pct`` of a hundred sequences by a hash of
+    the key, the rest ``test``: a share that grows with the data, without a sort."""
+    bucket = F.conv(F.substring(F.md5(F.col(seq).cast("string")), 1, 4), 16, 10).cast("int") % 100
+    return seqs.withColumn("split", F.when(F.coalesce(bucket, F.lit(99)) < train_pct, "train").otherwise("test"))
+
+
 def split_files(paths: list[str], skip: int, n: int) -> list[str]:
     """Shards [skip, skip + n) of the sorted listing (train or held-out)."""
     return sorted(paths, key=os.path.basename)[skip:skip + n]
