@@ -8,11 +8,12 @@ score S among n tokens is judged by the extreme-value law
 E = K n exp(-lambda S): lambda solves sum p exp(lambda s) = 1 over the clean
 token distribution and K comes from the mean largest segment of clean training
 documents.  A document's evidence is the best sum over its r best segments,
-sum(lambda S_i) - r ln(K n) + ln r!; a logistic curve fitted on all training
+sum(lambda S_i) - r ln(K n) + ln r!; a logistic curve fitted on the training
 documents (in bins of the evidence) turns it into a probability.
 
 Tokens and stems are hashed into a fixed number of buckets, so the model has
-one size for any corpus; all labelled training rows are counted.
+one size for any corpus.  It is fitted on at most ``MAX_LABELS`` labelled rows;
+all documents are scored.
 
 Edge cases: a null or empty text has no tokens, no segment and the score of no
 evidence.  Several labels of a document: toxic if one says so.  A null id has no
@@ -44,6 +45,9 @@ STEM_PRIOR = 30.0
 #: taken from every token's score so that clean text drifts down
 DRIFT = 0.5
 MIN_K = 0.01
+#: labelled rows that the classifier is fitted on at most (16 bytes each go to every task);
+#: beyond this a share of them by a hash of the id
+MAX_LABELS = 1_000_000
 MEMO = 400_000
 BIN = 0.25
 LOWEST, HIGHEST = -12.0, 120.0
@@ -121,6 +125,11 @@ def _labelled(docs: DataFrame, labels: DataFrame, n_folds: int) -> tuple[DataFra
     """Training labels, one row a document, and the training texts."""
     truth = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (folds(F.col("doc_id"), n_folds) != 0)
                          ).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    n = truth.count()
+    if n > MAX_LABELS:
+        share = int(0.99 * MAX_LABELS / n * (1 << 30))
+        truth = truth.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share)
+    truth = F.broadcast(truth)  # so that the texts stay where they are
     texts = docs.where(F.col("text").isNotNull() & (folds(F.col("doc_id"), n_folds) != 0)).select("doc_id", "text")
     return truth, texts.join(truth, "doc_id").select("text", "toxic")
 
