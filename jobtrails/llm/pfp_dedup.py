@@ -13,10 +13,11 @@ their trigger (the bytes that every string of the phrase holds) and then by the
 phrase with its whole continuation; the order uses fingerprints, since only
 equal neighbours matter, not which is less.  Neighbours with an equal
 continuation repeat with all their starts.  Neighbours that share only what
-follows the trigger are phrases at the rim of a repeat: their strings are
-hashed one by one and put in order likewise.  Whatever stands alone in the
-order can't hold a repeated string.  In repetitive text nearly everything is
-settled by phrases, a row for some 60 bytes.
+follows the trigger are phrases at the rim of a repeat: they are cut into
+blocks of ``BLOCK`` starts, which are put in order likewise, and what is at a
+rim again is settled start by start.  Whatever stands alone in an order can't
+hold a repeated string.  In repetitive text nearly everything is settled by
+phrases, a row for some 60 bytes.
 
 Edge cases: a null text is empty; texts shorter than ``length`` have nothing
 to remove.  Equal texts, repeated rows included, remove each other wholly if
@@ -43,14 +44,16 @@ GRAM = 8
 #: places among which a string's trigger is chosen; a power of two
 REACH = 128
 SLICE_BYTES = 1 << 20
-_LOW24 = (1 << 24) - 1
+#: starts of a block; the string of each holds the same length - BLOCK + 1 bytes
+BLOCK = 16
+_SIZE = (1 << 17) - 1
 FULL, RIM, WITNESS = 0, 1, 2
 
 
 def text_key(text: Column) -> tuple[Column, Column]:
-    """What names a text: a 64-bit hash and 24 bits of its size."""
+    """What names a text: a 64-bit hash and 17 bits of its size."""
     text = F.coalesce(text, F.lit(""))
-    return F.xxhash64(text).alias("h"), (F.octet_length(text).bitwiseAND(F.lit(_LOW24))).cast("bigint").alias("n24")
+    return F.xxhash64(text).alias("h"), (F.octet_length(text).bitwiseAND(F.lit(_SIZE))).cast("bigint").alias("size")
 
 
 def triggers(data: np.ndarray) -> np.ndarray:
@@ -92,6 +95,7 @@ PHRASES_DDL = "k bigint, ctx bigint, h bigint, pos bigint, copies int"
 
 
 def _parse(length: int):
+    """pos: first start << 32 | starts - 1 << 24 | way to the trigger << 17 | size."""
     shared = length - REACH + 1  # bytes after the trigger that all strings of a phrase hold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,8 +113,8 @@ def _parse(length: int):
                 k = np.array([digest(raw[x:x + shared]) for x in at.tolist()], np.uint64)
                 ctx = np.array([digest(raw[x:y + length]) for x, y in zip(i1.tolist(), i2.tolist(), strict=True)],
                                np.uint64)
-                size = np.diff(o)[row] & _LOW24
-                pos = ((i1 - o[row]) << 32) | ((i2 - i1) << 24) | size
+                size = np.diff(o)[row] & _SIZE
+                pos = ((i1 - o[row]) << 32) | ((i2 - i1) << 24) | ((at - i1) << 17) | size
                 yield batch(schema, k=k.view(np.int64), ctx=ctx.view(np.int64), h=names[one[a:z]][row], pos=pos,
                             copies=copies[a:z][row].astype(np.int32))
 
@@ -125,7 +129,7 @@ def _neighbours(columns: list[str], ddl: str, judge):
         for b in batches:
             if not b.num_rows:
                 continue
-            new = {c: b[c].to_numpy() for c in columns}
+            new = {c: b[c].to_numpy(zero_copy_only=False) for c in columns}
             rows = new if held is None else {c: np.concatenate([held[c], new[c]]) for c in columns}
             last = len(rows[columns[0]]) - 1  # waits for its neighbour
             if last > seen:
@@ -148,75 +152,121 @@ def _same(rows: dict[str, np.ndarray], cols: list[str], lo: int, hi: int) -> tup
     return eq[lo:hi], eq[lo + 1:hi + 1]
 
 
-def _judge_phrases(rows: dict[str, np.ndarray], lo: int, hi: int) -> dict[str, np.ndarray]:
+def _standing(rows: dict[str, np.ndarray], lo: int, hi: int, copies: np.ndarray | None = None
+              ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows that repeat wholly; rows that share only their key; rows that
+    repeat and stand beside others of their key."""
     key_before, key_after = _same(rows, ["k"], lo, hi)
     before, after = _same(rows, ["k", "ctx"], lo, hi)
-    h, pos = rows["h"][lo:hi], rows["pos"][lo:hi]
-    full = before | after | (rows["copies"][lo:hi] > 1)
-    other = (key_before & ~before) | (key_after & ~after)  # beside a different phrase of the same trigger
-    rim, witness = other & ~full, other & full
-    some = [np.flatnonzero(x) for x in (full, rim, witness)]
+    full = before | after
+    if copies is not None:
+        full = full | (copies[lo:hi] > 1)
+    other = (key_before & ~before) | (key_after & ~after)
+    return full, other & ~full, other & full
+
+
+def _judge_phrases(rows: dict[str, np.ndarray], lo: int, hi: int) -> dict[str, np.ndarray]:
+    some = [np.flatnonzero(x) for x in _standing(rows, lo, hi, rows["copies"])]
     kind = np.repeat(np.array([FULL, RIM, WITNESS], np.int32), [len(x) for x in some])
-    some = np.concatenate(some)
-    return {"h": h[some], "pos": pos[some], "kind": kind}
+    at = np.concatenate(some) + lo
+    return {"h": rows["h"][at], "pos": rows["pos"][at], "kind": kind}
 
 
-def _hash_strings(length: int):
-    """Rows h, n24, start, kind and a 128-bit hash of every string of the
-    phrases listed for a text."""
-    ddl = "w1 bigint, w2 bigint, h bigint, n24 bigint, start bigint, kind int"
+BLOCKS_DDL = "k bigint, ctx bigint, h bigint, pos bigint, kind int, rim binary"
 
+
+def _cut_blocks(length: int):
+    """The blocks of the phrases listed for a text.  A block holds the starts
+    whose way to the trigger has the same quotient by BLOCK; ``rim`` is the
+    number of its bytes before and the bytes before and after what all have."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema, digest = arrow_schema(ddl), xxhash.xxh3_128_digest
+        schema, digest = arrow_schema(BLOCKS_DDL), xxhash.xxh3_64_intdigest
         for b in batches:
             off, data = utf8(b["text"])
-            for i, (h, n24, listed) in enumerate(zip(b["h"].to_pylist(), b["n24"].to_pylist(), b["listed"].to_pylist(),
-                                                     strict=True)):
+            rows = []
+            for i, (h, size, listed) in enumerate(zip(b["h"].to_pylist(), b["size"].to_pylist(),
+                                                      b["listed"].to_pylist(), strict=True)):
                 raw = data[off[i]:off[i + 1]].tobytes()
-                listed = np.array(listed, np.int64)
-                first, span, kind = listed >> 32, (listed >> 24) & 127, listed & 3
-                start = np.repeat(first - (np.cumsum(span + 1) - (span + 1)), span + 1) + np.arange((span + 1).sum())
-                w = np.frombuffer(b"".join([digest(raw[s:s + length]) for s in start.tolist()]), "<i8").reshape(-1, 2)
-                n = len(start)
-                yield batch(schema, w1=w[:, 0], w2=w[:, 1], h=np.full(n, h), n24=np.full(n, n24), start=start,
-                            kind=np.repeat(kind, span + 1).astype(np.int32))
+                for x in listed:
+                    first, span, way, kind = x >> 32, (x >> 24) & 127, (x >> 17) & 127, x & 3
+                    at = first + way
+                    for q in range((way - span) // BLOCK, way // BLOCK + 1):
+                        high, low = min(way, q * BLOCK + BLOCK - 1), max(way - span, q * BLOCK)
+                        a, z, core = at - high, at - low, at - q * BLOCK
+                        end = core + length - BLOCK + 1
+                        rows.append((digest(raw[core:end], q), digest(raw[a:z + length], high << 8 | low), h,
+                                     a << 32 | (z - a) << 24 | size, kind,
+                                     bytes([core - a]) + raw[a:core] + raw[end:z + length]))
+            if rows:
+                k, ctx, h, pos, kind, rim = zip(*rows, strict=True)
+                yield batch(schema, k=np.array(k, np.uint64).view(np.int64), ctx=np.array(ctx, np.uint64).view(np.int64),
+                            h=list(h), pos=list(pos), kind=list(kind), rim=list(rim))
+
+    return run
 
-    return run, ddl
 
+STARTS_DDL = "k bigint, w bigint, h bigint, pos bigint, kind int"
 
-def _judge_strings(rows: dict[str, np.ndarray], lo: int, hi: int) -> dict[str, np.ndarray]:
-    before, after = _same(rows, ["w1", "w2"], lo, hi)
-    some = np.flatnonzero((before | after) & (rows["kind"][lo:hi] == RIM)) + lo
-    return {"h": rows["h"][some], "n24": rows["n24"][some], "start": rows["start"][some]}
 
+def _judge_blocks(rows: dict[str, np.ndarray], lo: int, hi: int) -> dict[str, np.ndarray]:
+    """Repeated blocks as they are, and the single starts of blocks at a rim
+    (k and w name the string of a start)."""
+    full, rim, witness = _standing(rows, lo, hi)
+    k, h, pos, kind = (rows[c][lo:hi] for c in ("k", "h", "pos", "kind"))
+    done = np.flatnonzero(full & (kind == RIM))
+    out: list[list] = [k[done].tolist(), pos[done].tolist(), h[done].tolist(), pos[done].tolist(), [FULL] * len(done)]
+    digest = xxhash.xxh3_64_intdigest
+    for i in np.flatnonzero(rim | witness).tolist():
+        around = rows["rim"][lo + i]
+        left, first, size = around[0], int(pos[i]) >> 32, int(pos[i]) & _SIZE
+        role = RIM if rim[i] and kind[i] == RIM else WITNESS
+        for j in range((int(pos[i]) >> 24 & 127) + 1):  # the j-th start has left - j bytes before the core
+            string = around[1 + j:1 + j + BLOCK - 1]  # what of it is before and after the core
+            out[0].append(int(k[i]))
+            out[1].append(np.uint64(digest(string, left - j)).astype(np.int64).item())
+            out[2].append(int(h[i]))
+            out[3].append((first + j) << 32 | size)
+            out[4].append(role)
+    return dict(zip(("k", "w", "h", "pos", "kind"), out, strict=True))
 
-def repeated_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """h, n24 (see text_key) and starts: runs (first << 8 | number - 1) of the
-    places of a text at which repeated strings start."""
+
+def _judge_starts(rows: dict[str, np.ndarray], lo: int, hi: int) -> dict[str, np.ndarray]:
+    before, after = _same(rows, ["k", "w"], lo, hi)
+    kind = rows["kind"][lo:hi]
+    some = np.flatnonzero((kind == FULL) | ((before | after) & (kind == RIM))) + lo
+    return {"h": rows["h"][some], "pos": rows["pos"][some]}
+
+
+def _with_starts(docs: DataFrame, length: int) -> DataFrame:
+    """``docs`` with the columns __h, __size (see text_key) and __starts: runs
+    (first << 8 | number - 1) of the places at which repeated strings start,
+    or null."""
     if length < REACH + GRAM:
         raise ValueError(f"length must be {REACH + GRAM} at least")
-    text = F.coalesce(F.col("text"), F.lit("")).alias("text")
-    texts = docs.select(text, *text_key(F.col("text"))).where(F.octet_length("text") >= length)
-    parsed = texts.select("text", "h").mapInArrow(_parse(length), PHRASES_DDL)
-    found = parsed.repartition("k").sortWithinPartitions("k", "ctx").mapInArrow(
-        _neighbours(["k", "ctx", "h", "pos", "copies"], "h bigint, pos bigint, kind int", _judge_phrases),
-        "h bigint, pos bigint, kind int")
-    size = F.col("pos").bitwiseAND(F.lit(_LOW24)).alias("n24")
-    run = F.col("pos") - size  # first << 32 | span << 24
-    found = materialise(found.distinct().select("h", size, run.alias("run"), "kind"), "repeats")
-
-    rim = found.where(F.col("kind") != FULL).groupBy("h", "n24").agg(
-        F.collect_list(F.col("run") + F.col("kind")).alias("listed"))
-    hashing, ddl = _hash_strings(length)
-    strings = texts.join(rim, ["h", "n24"]).dropDuplicates(["h", "n24"]).select("text", "h", "n24", "listed"
-                                                                               ).mapInArrow(hashing, ddl)
-    columns = ["w1", "w2", "h", "n24", "start", "kind"]
-    rim_starts = strings.repartition("w1").sortWithinPartitions("w1", "w2").mapInArrow(
-        _neighbours(columns, "h bigint, n24 bigint, start bigint", _judge_strings),
-        "h bigint, n24 bigint, start bigint").select("h", "n24", (F.col("start") * 256).alias("run"))
-    full = found.where(F.col("kind") == FULL).select(
-        "h", "n24", F.shiftright("run", 24).alias("run"))  # first << 8 | span
-    return full.union(rim_starts).groupBy("h", "n24").agg(F.collect_list("run").alias("starts"))
+    h, size = text_key(F.col("text"))
+    keyed = docs.withColumns({"__h": h, "__size": size})
+    texts = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text"), h).where(F.octet_length("text") >= length)
+    small = "h bigint, pos bigint, kind int"
+    found = texts.mapInArrow(_parse(length), PHRASES_DDL).repartition("k").sortWithinPartitions("k", "ctx").mapInArrow(
+        _neighbours(["k", "ctx", "h", "pos", "copies"], small, _judge_phrases), small).distinct()
+    found = materialise(found, "repeats")
+    of_text = [F.col("h").alias("__h"), F.col("pos").bitwiseAND(F.lit(_SIZE)).alias("__size")]
+
+    # the place without the size leaves room for the kind
+    place = F.col("pos") - F.col("pos").bitwiseAND(F.lit(_SIZE))
+    rims = found.where(F.col("kind") != FULL).groupBy(*of_text).agg(F.collect_list(place + F.col("kind")).alias("listed"))
+    # all columns of ``keyed`` go in, so that this and the last join are fed by one and the same exchange
+    blocks = keyed.join(rims, ["__h", "__size"]).dropDuplicates(["__h", "__size"]).withColumnsRenamed(
+        {"__h": "h", "__size": "size"}).mapInArrow(_cut_blocks(length), BLOCKS_DDL)
+    starts = blocks.repartition("k").sortWithinPartitions("k", "ctx").mapInArrow(
+        _neighbours(["k", "ctx", "h", "pos", "kind", "rim"], STARTS_DDL, _judge_blocks), STARTS_DDL)
+    starts = starts.repartition("k").sortWithinPartitions("k", "w").mapInArrow(
+        _neighbours(["k", "w", "h", "pos", "kind"], "h bigint, pos bigint", _judge_starts), "h bigint, pos bigint")
+    span = F.shiftright("pos", 24).bitwiseAND(F.lit(127))
+    run = (F.shiftright("pos", 32) * 256 + span).alias("run")
+    starts = found.where(F.col("kind") == FULL).select(*of_text, run).union(starts.select(*of_text, run)).groupBy(
+        "__h", "__size").agg(F.collect_list("run").alias("__starts"))
+    return keyed.join(starts, ["__h", "__size"], "left")
 
 
 def removed_runs(starts: list[int] | None, length: int) -> list[tuple[int, int]]:
@@ -230,14 +280,6 @@ def removed_runs(starts: list[int] | None, length: int) -> list[tuple[int, int]]
     return list(zip(a[first].tolist(), z[np.append(first[1:], len(x)) - 1].tolist(), strict=True))
 
 
-def _with_starts(docs: DataFrame, length: int) -> DataFrame:
-    """``docs`` with the column __starts (null: nothing repeats)."""
-    h, n24 = text_key(F.col("text"))
-    found = repeated_starts(docs, length).select(F.col("h").alias("__h"), F.col("n24").alias("__n24"),
-                                                 F.col("starts").alias("__starts"))
-    return docs.withColumns({"__h": h, "__n24": n24}).join(found, ["__h", "__n24"], "left")
-
-
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (from << 32 | to) of every document."""
     ddl = "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<bigint>"
@@ -283,7 +325,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` with the repeated runs cut out of text (a column n_chars follows
     it).  Texts without repeats stay as they are."""
     plain, back = shield(docs)
-    src = _with_starts(plain, length).drop("__h", "__n24")
+    src = _with_starts(plain, length).drop("__h", "__size")
     out = plain.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
