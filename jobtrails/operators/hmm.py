@@ -172,29 +172,46 @@ def batch_loglik(seqs: list[np.ndarray], pi: np.ndarray, A: np.ndarray, B: np.nd
     return ll
 
 
-def batch_last_state(seqs: list[np.ndarray], pi: np.ndarray, A: np.ndarray, B: np.ndarray) -> np.ndarray:
-    """Last state of each sequence's Viterbi path (max-product recursion;
-    only the final arg-max is needed, so no back-pointers are kept)."""
+def batch_paths(seqs: list[np.ndarray], pi: np.ndarray, A: np.ndarray, B: np.ndarray) -> list[np.ndarray]:
+    """Most likely state path of each sequence (max-product recursion and
+    back-pointers, all sequences of the chunk together)."""
     obs, lens = _pad(seqs)
     N, T = obs.shape
     with np.errstate(divide="ignore"):
         lA, lBt, lpi = np.log(A), np.log(B).T, np.log(pi)
+    back = np.zeros((T, N, len(pi)), dtype=np.int32)
     d = lpi[None, :] + lBt[obs[:, 0]]
     for t in range(1, T):
+        act = np.flatnonzero(lens > t)
+        m = d[act][:, :, None] + lA[None, :, :]
+        back[t, act] = m.argmax(axis=1)
+        d[act] = m.max(axis=1) + lBt[obs[act, t]]
+    path = np.zeros((N, T), dtype=np.int32)
+    state = d.argmax(axis=1)
+    for t in range(T - 1, -1, -1):
         act = lens > t
-        d[act] = (d[act][:, :, None] + lA[None, :, :]).max(axis=1) + lBt[obs[act, t]]
-    return d.argmax(axis=1)
+        path[act, t] = state[act]
+        if t:
+            state[act] = back[t, act, state[act]]
+    return [p[:n] for p, n in zip(path, lens)]
+
+
+CELLS = 1 << 19
 
 
 def _chunks(batches: Iterator[pd.DataFrame], seq: str, sym: str, size: int = 2048):
-    """Groups of up to ``size`` whole sequences: (keys, list of symbol arrays)."""
-    keys, seqs = [], []
+    """Groups of whole sequences: (keys, list of symbol arrays).  A group pads
+    to at most ``CELLS`` cells (or is one sequence), so that a long history
+    doesn't inflate short ones."""
+    keys, seqs, longest = [], [], 0
     for g in whole_sequences(batches, seq):
+        new = max(longest, len(g))
+        if seqs and (len(seqs) >= size or new * (len(seqs) + 1) > CELLS):
+            yield keys, seqs
+            keys, seqs, new = [], [], len(g)
         keys.append(g[seq].iloc[0])
         seqs.append(g[sym].to_numpy(dtype=np.int64))
-        if len(seqs) >= size:
-            yield keys, seqs
-            keys, seqs = [], []
+        longest = new
     if seqs:
         yield keys, seqs
 
@@ -267,7 +284,7 @@ def score(model: HmmModel, encoded: DataFrame, seq: str = "person_id", pos: str
 
 def decode_next(model: HmmModel, encoded: DataFrame, seq: str = "person_id", pos: str = "seq_pos",
                 sym: str = "id", draw_seed: int | None = None) -> DataFrame:
-    """last state of each sequence's Viterbi path; the next state is the
+    """the Viterbi path of each sequence and its last state; the next state is the
     arg-max of that state's transition row, the predicted symbol the arg-max
     of the next state's emission row -- or, with ``draw_seed``, a draw from
     that row with a generator seeded by (seed, sequence), so a retried task
@@ -278,7 +295,8 @@ def decode_next(model: HmmModel, encoded: DataFrame, seq: str = "person_id", pos
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pi, A, B = bc.value
         for keys, seqs in _chunks(batches, seq, sym):
-            last = batch_last_state(seqs, pi, A, B)
+            paths = batch_paths(seqs, pi, A, B)
+            last = np.array([p[-1] for p in paths])
             nxt = A[last].argmax(axis=1)
             if draw_seed is None:
                 emit = B[nxt].argmax(axis=1)
@@ -286,5 +304,6 @@ def decode_next(model: HmmModel, encoded: DataFrame, seq: str = "person_id", pos
                 emit = np.array([seeded_rng(draw_seed, int(k)).choice(B.shape[1], p=B[s])
                                  for k, s in zip(keys, nxt)], dtype=np.int64)
             yield pd.DataFrame({seq: np.asarray(keys, dtype=np.int64), "last_state": last.astype("int32"),
-                                "next_state": nxt.astype("int32"), "next_id": emit.astype("int64")})
-    return data.mapInPandas(run, f"{seq} long, last_state int, next_state int, next_id long")
+                                "next_state": nxt.astype("int32"), "next_id": emit.astype("int64"),
+                                "path": paths})
+    return data.mapInPandas(run, f"{seq} long, last_state int, next_state int, next_id long, path array<int>")

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobtrails.operators.sequences import topk_per_group
+from jobtrails.operators.sequences import range_row_number, topk_per_group
 
 LABEL_OTHER = "* other *"
 LABEL_MISSING = "* missing *"
@@ -196,16 +196,15 @@ def vocab_encode(counted: DataFrame, sequences: DataFrame, title: str = "title",
     histories); ``sequences``: the kept title sequences.  Titles counted
     fewer than ``min_count`` times get id 0; other titles occurring in a kept
     sequence get 1..V (by count desc, then title); any other counted title 0.
-    The dense numbering is a window over the *distinct-title* table only.
+    The dense numbering is a range-partitioned sort of the distinct titles.
     """
     counts = counted.groupBy(title).agg(_count().alias("count"))
     used = sequences.select(title).distinct().withColumn("_used", F.lit(True))
     v = counts.join(used, title, "left")
     frequent = (F.col("count") >= min_count) & F.col("_used").isNotNull()
-    ranked = (v.where(frequent)
-               .withColumn("id", F.row_number().over(Window.orderBy(F.col("count").desc(),
-                                                                    F.col(title).asc()))
-                           .cast("bigint")))
+    # numbered over a range-partitioned sort: the vocabulary is never in one task
+    ranked = range_row_number(v.where(frequent).withColumn("_all", F.lit(0)), "_all",
+                              [F.col("count").desc(), F.col(title).asc()], "id")
     vocab = (ranked.select(title, "count", "id")
                    .unionByName(v.where(~frequent).select(title, "count", F.lit(0).cast("bigint").alias("id"))))
     encoded = sequences.join(vocab.select(title, "id"), title, "left") \

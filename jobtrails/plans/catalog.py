@@ -51,14 +51,14 @@ def _t(spark: SparkSession, sf_dir: str) -> V.Tables:
 # ---------------------------------------------------------------- E1, E2, E12
 @query("transition_counts")
 def q_transition_counts(spark, sf_dir):
-    return TR.transition_counts(V.titles_v(_t(spark, sf_dir)))
+    return TR.transition_counts(V.titles_v(_t(spark, sf_dir)), skew_safe=True)
 
 
 @query("transition_probs")
 def q_transition_probs(spark, sf_dir):
     ev = V.events_v(_t(spark, sf_dir))
     counts = TR.transition_counts(ev, order=["pos"])
-    k = ev.where(F.col("title").isNotNull()).agg(F.count_distinct("title").alias("k")).first()["k"]
+    k = ev.where(F.col("title").isNotNull()).agg(F.count_distinct("title").alias("k")).scalar()
     return TR.transition_probs(counts, num_states=k)
 
 
@@ -67,11 +67,11 @@ def q_next_title_top3(spark, sf_dir):
     return TR.next_title_top3(V.events_v(_t(spark, sf_dir)))
 
 
-# Queries checked by invariants (tests) rather than by an SQL oracle:
-# iterative or randomised models.
 #: share of the people (by hash) that models are fitted on
 TRAIN_PCT = 80
 
+# Queries checked by invariants (tests) rather than by an SQL oracle:
+# iterative or randomised models.
 ROWS_ONLY: set[str] = {"xml_schema_paths", "bigram_replace", "clean_descriptions",
                        "lda_topics", "lda_topic_words", "lda_transform_heldout", "hmm_fit_em",
                        "hmm_score", "hmm_decode_next", "gibbs_hmm_fit", "gibbs_resume"}
@@ -176,7 +176,7 @@ def q_standardize_location(spark, sf_dir):
 # ---------------------------------------------------------------- C: sequences and windows
 @query("stint_fill")
 def q_stint_fill(spark, sf_dir):
-    return SQ.stint_fill(V.jobs_v(_t(spark, sf_dir)))
+    return SQ.stint_fill(V.jobs_v(_t(spark, sf_dir)), skew_safe=True)
 
 
 @query("run_grouping")
@@ -210,12 +210,12 @@ def q_prev_next_links(spark, sf_dir):
 
 @query("title_sequences")
 def q_title_sequences(spark, sf_dir):
-    return SQ.title_sequences(V.titles_v(_t(spark, sf_dir)))
+    return SQ.title_sequences(V.titles_v(_t(spark, sf_dir)), skew_safe=True)
 
 
 @query("desc_sequences")
 def q_desc_sequences(spark, sf_dir):
-    s = SQ.desc_sequences(V.docs_v(_t(spark, sf_dir)))
+    s = SQ.desc_sequences(V.docs_v(_t(spark, sf_dir)), skew_safe=True)
     return s.select("person_id", "seq_pos", *_fingerprint(F.col("tokens")), "seq_len")
 
 
@@ -695,33 +695,38 @@ def q_clean_descriptions(spark, sf_dir):
     return TXT.clean_descriptions(_docs(spark, sf_dir), "job_id", "description", num=1000)
 
 
-def _lda(spark, sf_dir, k=8, max_iter=10):
-    d = _docs(spark, sf_dir).select("job_id", "description")
-    return TOP.fit_lda(d, "description", k=k, max_iter=max_iter, seed=11)
+def _lda(spark, sf_dir, docs=None, k=8, max_iter=6):
+    d = _docs(spark, sf_dir) if docs is None else docs
+    return TOP.fit_lda(d.select("job_id", "description"), "job_id", "description", k=k, max_iter=max_iter, seed=11)
 
 
 @query("lda_topics")
 def q_lda_topics(spark, sf_dir):
-    cv, model, feats = _lda(spark, sf_dir)
-    return TOP.lda_doc_topics(model, feats, "job_id", normalized=False,
-                              vocab=TOP.vocabulary_frame(spark, cv))
+    d = _docs(spark, sf_dir)
+    return TOP.lda_doc_topics(_lda(spark, sf_dir), d, "job_id", "description", normalized=False)
 
 
 @query("lda_topic_words")
 def q_lda_topic_words(spark, sf_dir):
-    cv, model, _ = _lda(spark, sf_dir)
-    return TOP.lda_topic_words(model, TOP.vocabulary_frame(spark, cv), threshold=0.5)
+    return TOP.lda_topic_words(_lda(spark, sf_dir), threshold=0.5)
+
+
+@query("lda_topic_mass")
+def q_lda_topic_mass(spark, sf_dir):
+    """Weight of every word over all topics: its tokens plus the prior, as
+    each pass reads every document."""
+    model = _lda(spark, sf_dir, max_iter=3)
+    return model.weights.select("word", F.round(sum(F.col(c) for c in model.columns), 4).alias("mass"))
 
 
 @query("lda_transform_heldout")
 def q_lda_transform_heldout(spark, sf_dir):
     d = _docs(spark, sf_dir).select("job_id", "description")
-    s = SP.split_sequences(d, "job_id", 800)
-    cv, model, _ = TOP.fit_lda(s.where("split = 'train'").drop("split"), "description", k=8,
-                               max_iter=10, seed=11)
+    s = SP.split_by_hash(d, "job_id", TRAIN_PCT)
+    model = _lda(spark, sf_dir, docs=s.where("split = 'train'"))
     path = stage_path(spark, "lda_model")
-    TOP.save_models(cv, model, path)
-    return TOP.lda_transform_heldout(spark, path, s.where("split = 'test'").drop("split"), "job_id")
+    TOP.save_model(model, path)
+    return TOP.lda_transform_heldout(spark, path, s.where("split = 'test'"), "job_id", "description")
 
 
 def _norm_topics(spark, sf_dir):

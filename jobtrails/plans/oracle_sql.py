@@ -863,6 +863,11 @@ _NORM_TOPICS = """
 nt as (select job_id, list_transform(embedding, lambda x: x / list_sum(embedding)) as v from topics_v),
 tw as (select topic, word, cast(n as double) / sum(n) over (partition by topic) as weight from topic_words_v)"""
 
+add("lda_topic_mass", """
+select term as word, round(count(*) + 8 * (1.0 / 8), 4) as mass
+from (select unnest(regexp_extract_all(lower(description), '[\\p{L}\\p{N}_]{2,}', 0)) as term from docs_v) t
+group by term""", "docs_v")
+
 add("doc_top_topics", f"""
 with {_NORM_TOPICS},
 x as (select job_id, unnest(v) as weight, generate_subscripts(v, 1) - 1 as topic from nt),

@@ -138,16 +138,35 @@ def test_resample_restores_counts():
 
 def test_lda_empty_and_unknown_documents(spark):
     train = spark.createDataFrame([(1, "alpha beta gamma alpha"), (2, "beta gamma delta beta"),
-                                   (3, "gamma delta alpha delta")], "job_id long, text string")
-    cv, model, feats = TOP.fit_lda(train, "text", k=2, max_iter=5, seed=1)
-    new = spark.createDataFrame([(7, ""), (8, "zzz yyy")], "job_id long, text string")
-    vocab = TOP.vocabulary_frame(spark, cv)
-    out = {r["job_id"]: r["topics"] for r in TOP.lda_doc_topics(model, cv.transform(new), "job_id",
-                                                                normalized=False, vocab=vocab).collect()}
-    alpha = list(model.estimatedDocConcentration().toArray())
-    assert out[7] == pytest.approx(alpha) and out[8] == pytest.approx(alpha)
-    norm = TOP.lda_doc_topics(model, feats, "job_id").collect()
-    assert all(sum(r["topics"]) == pytest.approx(1.0) for r in norm)
+                                   (3, "gamma delta alpha delta"), (4, None)], "job_id long, text string")
+    model = TOP.fit_lda(train, "job_id", "text", k=2, max_iter=5, seed=1)
+    # every token of every document is in the weights, next to the prior
+    mass = {r["word"]: r["w0"] + r["w1"] for r in model.weights.collect()}
+    assert mass == pytest.approx({w: 3 + 2 * 0.5 for w in ("alpha", "beta", "gamma", "delta")})
+    new = spark.createDataFrame([(7, ""), (8, "zzz yyy"), (9, None), (10, "alpha alpha zzz")],
+                                "job_id long, text string")
+    out = {r["job_id"]: r["topics"] for r in TOP.lda_doc_topics(model, new, "job_id", "text", normalized=False).collect()}
+    assert out[7] == out[8] == out[9] == pytest.approx([0.5, 0.5])
+    assert sum(out[10]) == pytest.approx(2 + 1)
+    norm = TOP.lda_doc_topics(model, train, "job_id", "text").collect()
+    assert len(norm) == 4 and all(sum(r["topics"]) == pytest.approx(1.0) for r in norm)
+
+
+def test_lda_separates_topics_whatever_the_blocks(spark, monkeypatch, tmp_path):
+    rng = np.random.default_rng(5)
+    pools = [[f"{c}{x}" for x in "abcdefgh"] for c in ("sun", "sea")]
+    docs = [(i, " ".join(rng.choice(pools[i % 2], 30))) for i in range(60)]
+    df = spark.createDataFrame(docs, "job_id long, text string")
+    model = TOP.fit_lda(df, "job_id", "text", k=2, max_iter=15, seed=3)
+    TOP.save_model(model, str(tmp_path / "m"))
+    one = {r["job_id"]: r["topics"] for r in
+           TOP.lda_transform_heldout(spark, str(tmp_path / "m"), df, "job_id", "text").collect()}
+    side = {i % 2: int(np.argmax(t)) for i, t in one.items()}
+    assert side[0] != side[1] and all(int(np.argmax(t)) == side[i % 2] for i, t in one.items())
+    monkeypatch.setattr(TOP, "BLOCK_DOCS", 7)
+    two = {r["job_id"]: r["topics"] for r in TOP.lda_doc_topics(
+        TOP.fit_lda(df, "job_id", "text", k=2, max_iter=15, seed=3), df, "job_id", "text").collect()}
+    assert all(np.allclose(one[i], two[i], atol=1e-2) for i in one)
 
 
 def test_gibbs_scores_on_fixture_views(spark):
@@ -162,8 +181,8 @@ def test_batched_kernels_match_single_sequence():
     pi, A, B = TRUE_PI, TRUE_A, TRUE_B
     ll = HM.batch_loglik(seqs, pi, A, B)
     assert np.allclose(ll, [HM.forward_loglik(o, pi, A, B) for o in seqs])
-    last = HM.batch_last_state(seqs, pi, A, B)
-    assert list(last) == [int(HM.viterbi(o, pi, A, B)[-1]) for o in seqs]
+    paths = HM.batch_paths(seqs, pi, A, B)
+    assert all(list(p) == list(HM.viterbi(o, pi, A, B)) for p, o in zip(paths, seqs))
     tot, g0, xi, em = HM.batch_forward_backward(seqs, pi, A, B)
     ref = [HM.forward_backward(o, pi, A, B) for o in seqs]
     assert tot == pytest.approx(sum(r[0] for r in ref))
