@@ -4,6 +4,7 @@ checked against a direct (brute-force) reading of the rule."""
 import datetime as dt
 import random
 import string
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -163,6 +164,53 @@ def test_coworker_links_brute_force(spark):
             if a[2] == b[2] and _overlap(a[3], a[4], b[3], b[4]):
                 want.append((a[0], b[0], a[2]))
     assert got == sorted(want)
+    # the totals, counted without the pairs
+    by_company, by_person = Counter(w[2] for w in want), Counter(p for w in want for p in w[:2])
+    assert dict(map(tuple, JN.coworker_link_counts(df).collect())) == by_company
+    assert dict(map(tuple, JN.coworker_person_counts(df).collect())) == by_person
+
+
+def test_shared_employer_counts_brute_force(spark):
+    rng = random.Random(11)
+    rows = [(1, "x", D(2000, 1, 1), D(2000, 1, 1)), (2, "x", D(2000, 1, 1), D(2000, 1, 1)),  # one day, twice
+            (3, "x", D(1999, 1, 1), D(2001, 1, 1)), (3, "x", D(2001, 1, 1), D(2002, 1, 1)),  # touching
+            (4, "x", None, D(2001, 1, 1)), (5, None, D(1999, 1, 1), D(2001, 1, 1))]
+    for p in range(10, 40):
+        for _ in range(rng.randint(1, 5)):
+            a = D(rng.randint(1995, 2003), rng.randint(1, 12), 1)
+            rows.append((p, rng.choice("xyz"), a, D(a.year + rng.randint(0, 3), 12, 1) if rng.random() < .8 else a))
+    df = spark.createDataFrame(rows, "person_id int, company string, start_dt date, end_dt date")
+    got = {r["company"]: (r["n_people"], r["n_intervals"], r["n_overlaps"])
+           for r in JN.shared_employer_counts(df).collect()}
+    merged = {}
+    for p, c, s, e in sorted((r for r in rows if all(x is not None for x in r)), key=lambda r: (r[0], r[1], r[2], r[3])):
+        runs = merged.setdefault((p, c), [])
+        if runs and runs[-1][1] > s:
+            runs[-1] = (runs[-1][0], max(runs[-1][1], e))
+        else:
+            runs.append((s, e))
+    want = {}
+    for c in "xyz":
+        own = [(p, s, e) for (p, k), runs in merged.items() if k == c for s, e in runs]
+        n = sum(b[1] < a[2] and a[1] < b[2] for i, a in enumerate(own) for b in own[i + 1:])
+        want[c] = (len({p for p, _, _ in own}), len(own), n)
+    assert got == want
+
+
+def test_fingerprint_tells_nulls_apart(spark):
+    rows = [(1, None, "x"), (2, "x", None), (3, "x", None)]
+    df = spark.createDataFrame(rows, "person_id int, a string, b string")
+    fp = {r["person_id"]: tuple(r)[1:] for r in
+          JN.history_fingerprint(df, "person_id", [F.col("a"), F.col("b")]).collect()}
+    assert fp[1] != fp[2] == fp[3]
+
+
+def test_hash_split_is_a_share(spark):
+    from jobtrails.sources.splits import split_by_hash
+    got = split_by_hash(spark.range(4000).union(spark.sql("select cast(null as bigint)")), "id", 80)
+    n = {r["split"]: r["count"] for r in got.groupBy("split").count().collect()}
+    assert sum(n.values()) == 4001 and 3050 < n["train"] < 3350
+    assert got.where("id is null").first()["split"] == "test"
 
 
 def test_shared_employers_brute_force(spark):
