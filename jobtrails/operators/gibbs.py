@@ -281,7 +281,7 @@ def fit_gibbs(docs: DataFrame, priors: Priors, n_iter: int, seed: int = 0, key:
     cur = by_sequence(cur.select(seq, pos, key, vec, F.col("z").cast("int").alias("z")), seq, pos).checkpoint()
     n_seqs = cur.select(seq).distinct().count()
     n_docs = cur.count()
-    rates = []
+    rates, held = [], None
     schema = cur.select(seq, pos, key, vec, "z").schema.add("changed", T.IntegerType())
     for it in range(start_iter, start_iter + n_iter):
         counts = collect_counts(state_tables(cur, seq, pos, "z", vec), n_seqs,
@@ -289,8 +289,14 @@ def fit_gibbs(docs: DataFrame, priors: Priors, n_iter: int, seed: int = 0, key:
         bc = spark.sparkContext.broadcast((counts, priors))
         nxt = cur.mapInPandas(_sweep(bc, seq, pos, key, vec, seed, it), schema)
         # the new assignment keeps the by-sequence layout of its input
-        nxt = nxt.checkpoint() if (it - start_iter + 1) % checkpoint_every == 0 else nxt.cache()
-        rates.append(nxt.agg(F.sum("changed")).first()[0] / max(n_docs, 1))
+        checkpointed = (it - start_iter + 1) % checkpoint_every == 0
+        nxt = nxt.checkpoint() if checkpointed else nxt.cache()
+        rates.append((nxt.agg(F.sum("changed")).first()[0] or 0) / max(n_docs, 1))
+        if held is not None and checkpointed:  # nothing reads the sweeps before a checkpoint again
+            held.unpersist()
+            held = None
+        if not checkpointed:
+            held = nxt
         cur = nxt.drop("changed")
         if store is not None and (it % lag == 0 or it == start_iter + n_iter - 1):
             save_iteration(store, cur, it, seq, pos, key, vec)

@@ -252,7 +252,7 @@ def fit_em(encoded: DataFrame, n_states: int, n_symbols: int, n_iter: int = 15,
         bc = spark.sparkContext.broadcast((model.pi, model.A, model.B))
         stats = (data.mapInPandas(_e_step(bc, seq, sym), STATS_SCHEMA)
                      .groupBy("kind", "i", "j").agg(F.sum("v").alias("v")).collect())
-        bc.unpersist()
+        bc.destroy()
         st, tr, em = np.zeros(n_states), np.zeros((n_states, n_states)), np.zeros((n_states, n_symbols))
         ll = 0.0
         for r in stats:

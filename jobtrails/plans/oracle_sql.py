@@ -436,6 +436,15 @@ add("locations_by_size", """
 select location, count(*) as n from locs_v where location is not null and location like '% %'
 group by location order by n desc, location asc limit 5""", "locs_v")
 
+_COUNTRY_LOCS = """
+with l as (select lower(c_mktsegment) || ' ' || lower(n_name) as location,
+                  case when c_custkey % 4 <> 0 then n_name end as country
+           from customer join nation on c_nationkey = n_nationkey)
+select location, count(*) as n from l where """
+
+add("locations_blank_country", _COUNTRY_LOCS + "country is null group by location")
+add("locations_other_country", _COUNTRY_LOCS + "country <> 'UNITED STATES' group by location")
+
 add("max_id_where", "select max(job_id) as max_id from locs_v where location like '%new york%'", "locs_v")
 
 _TRACE_MEAN = """
@@ -731,6 +740,26 @@ select cast(c_custkey as integer) as resume_id,
             else code end as state
 from people""")
 
+def _schema_paths_sql() -> str:
+    """The elements of the résumé documents, by parent."""
+    tree = {
+        "resume": "CommuteDistance CurrencyName DateCreated DateModified DesiredJobTitle PreferWeekends ResumeID "
+                  "ResumeTitle Salary WantsContract WantsFullTime WantsIntern WantsOvertime WantsPartTime WantsPerDiem "
+                  "WantsPermanent WantsSeasonal WantsTemp WantsWeekends WillRelocate WillingnessToTravelInternalName "
+                  "education experience locations",
+        "resume/education": "schoolrecord",
+        "resume/education/schoolrecord": "City CompleteMonth CompleteYear GPA School SchoolId State",
+        "resume/experience": "experiencerecord",
+        "resume/experience/experiencerecord": "Company Description EndMonth EndYear Location StartMonth StartYear Title",
+        "resume/locations": "location",
+        "resume/locations/location": "StateAbbrev",
+    }
+    rows = ", ".join(f"('{parent}/{tag}', '{parent}')" for parent, tags in tree.items() for tag in tags.split())
+    return f"select * from (values {rows}) t(path, parent)"
+
+
+add("xml_schema_paths", _schema_paths_sql())
+
 add("parse_flags", f"""
 with {_xml_people_sql()}
 select cast(c_custkey as integer) as resume_id, wants_permanent, wants_contract, wants_intern, wants_temp,
@@ -784,7 +813,8 @@ from customer join nation on c_nationkey = n_nationkey""")
 
 add("seq_jsonl_roundtrip", f"""
 with {_stint_fill_ctes('jobs_v')}
-select person_id, seq_pos, start_dt, end_dt, company, title as description
+select person_id, seq_pos, start_dt, end_dt, company, title as description,
+       cast(seq_pos as double) / 4 as t0, cast(length(title) as double) as t1
 from ({_stint_fill_sql('jobs_v')}) x""", "jobs_v")
 
 add("seq_load_limit", """
