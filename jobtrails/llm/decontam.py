@@ -33,7 +33,7 @@ from pyspark.sql.types import StructType
 from jobtrails.llm.common import shield, slices, utf8
 
 Q = 8
-WINDOW = 96
+WINDOW = 64
 EDIT_SHARE = 0.1
 MIN_BYTES = 32
 BLOCK_BYTES = 8 << 20
