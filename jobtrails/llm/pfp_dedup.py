@@ -91,10 +91,50 @@ def phrases(off: np.ndarray, data: np.ndarray, length: int) -> tuple[np.ndarray,
     return row[first], start[first], start[last], at[first]
 
 
-PHRASES_DDL = "k bigint, ctx bigint, h bigint, pos bigint, copies int"
-
-
-def _parse(length: int):
+#: what is known of a row: it repeats; it stands beside others of its key; it is settled
+#: (a repeat that a row of its own stands for); it only stands for others of its key
+REPEATS, BESIDE, SETTLED, GHOST = 1, 2, 4, 8
+#: continuations of a key in one batch from which its rows are dealt apart
+HOT = 64
+PHRASES_DDL = "deal bigint, k bigint, ctx bigint, h bigint, pos bigint, mark int"
+
+
+def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = (a.view(np.uint64) ^ (b.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ (x >> np.uint64(31))).view(np.int64)
+
+
+def _deal(hot_from: int, k: np.ndarray, ctx: np.ndarray, h: np.ndarray, pos: np.ndarray, mark: np.ndarray
+          ) -> dict[str, np.ndarray]:
+    """Rows of a batch before the shuffle, so that no key is hot in it.
+
+    Equal continuations of the batch repeat: one row goes on for them, the
+    others are settled and dealt anywhere.  A key with many continuations is
+    known to stand beside others: its rows are dealt by the continuation too,
+    and a ghost stands for them among the rows of that key from elsewhere.
+    """
+    order = np.lexsort((ctx, k))
+    k, ctx, h, pos, mark = (x[order] for x in (k, ctx, h, pos, mark))
+    new_k = np.concatenate([[True], k[1:] != k[:-1]])
+    new = new_k | np.concatenate([[True], ctx[1:] != ctx[:-1]])
+    first = np.flatnonzero(new)
+    many = np.diff(np.append(first, len(k))) > 1
+    mark[first[many]] |= REPEATS
+    number = np.cumsum(new_k) - 1
+    hot = (np.bincount(number[first]) >= hot_from)[number] & new
+    mark[hot] |= BESIDE
+    mark[~new] = SETTLED
+    deal = np.where(hot, _mix(k, ctx), k)
+    apart = _mix(h, pos)
+    deal, k, ctx = (np.where(new, x, apart) for x in (deal, k, ctx))
+    ghost = k[hot & new_k]
+    n = len(ghost)
+    return {"deal": np.append(deal, ghost), "k": np.append(k, ghost), "ctx": np.append(ctx, _mix(ghost, ghost)),
+            "h": np.append(h, np.zeros(n, np.int64)), "pos": np.append(pos, np.zeros(n, np.int64)),
+            "mark": np.append(mark, np.full(n, GHOST)).astype(np.int32)}
+
+
+def _parse(length: int, hot: int):
     """pos: first start << 32 | starts - 1 << 24 | way to the trigger << 17 | size."""
     shared = length - REACH + 1  # bytes after the trigger that all strings of a phrase hold
 
@@ -104,19 +144,20 @@ def _parse(length: int):
             # equal texts of a batch are parsed once
             names = b["h"].to_numpy()
             _, one, copies = np.unique(names, return_index=True, return_counts=True)
-            texts = b["text"].take(pa.array(one))
-            off, data = utf8(texts)
+            off, data = utf8(b["text"].take(pa.array(one)))
+            parts = []
             for a, z in slices(off, SLICE_BYTES):
                 o, d = off[a:z + 1] - off[a], data[off[a]:off[z]]
                 row, i1, i2, at = phrases(o, d, length)
                 raw = d.tobytes()
-                k = np.array([digest(raw[x:x + shared]) for x in at.tolist()], np.uint64)
+                k = np.array([digest(raw[x:x + shared]) for x in at.tolist()], np.uint64).view(np.int64)
                 ctx = np.array([digest(raw[x:y + length]) for x, y in zip(i1.tolist(), i2.tolist(), strict=True)],
-                               np.uint64)
+                               np.uint64).view(np.int64)
                 size = np.diff(o)[row] & _SIZE
                 pos = ((i1 - o[row]) << 32) | ((i2 - i1) << 24) | ((at - i1) << 17) | size
-                yield batch(schema, k=k.view(np.int64), ctx=ctx.view(np.int64), h=names[one[a:z]][row], pos=pos,
-                            copies=copies[a:z][row].astype(np.int32))
+                parts.append((k, ctx, names[one[a:z]][row], pos, np.where(copies[a:z][row] > 1, REPEATS, 0)))
+            if sum(len(x[0]) for x in parts):
+                yield batch(schema, **_deal(hot, *map(np.concatenate, zip(*parts, strict=True))))
 
     return run
 
@@ -152,27 +193,27 @@ def _same(rows: dict[str, np.ndarray], cols: list[str], lo: int, hi: int) -> tup
     return eq[lo:hi], eq[lo + 1:hi + 1]
 
 
-def _standing(rows: dict[str, np.ndarray], lo: int, hi: int, copies: np.ndarray | None = None
-              ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _standing(rows: dict[str, np.ndarray], lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows that repeat wholly; rows that share only their key; rows that
-    repeat and stand beside others of their key."""
+    repeat and stand beside others of their key (one of equal ones at least)."""
+    mark = rows["mark"][lo:hi]
     key_before, key_after = _same(rows, ["k"], lo, hi)
     before, after = _same(rows, ["k", "ctx"], lo, hi)
-    full = before | after
-    if copies is not None:
-        full = full | (copies[lo:hi] > 1)
-    other = (key_before & ~before) | (key_after & ~after)
-    return full, other & ~full, other & full
+    full = before | after | (mark & (REPEATS | SETTLED) > 0)
+    other = (key_before & ~before) | (key_after & ~after) | ((mark & BESIDE > 0) & ~before)
+    other &= mark & SETTLED == 0
+    real = mark & GHOST == 0
+    return full & real, other & ~full & real, other & full & real
 
 
 def _judge_phrases(rows: dict[str, np.ndarray], lo: int, hi: int) -> dict[str, np.ndarray]:
-    some = [np.flatnonzero(x) for x in _standing(rows, lo, hi, rows["copies"])]
+    some = [np.flatnonzero(x) for x in _standing(rows, lo, hi)]
     kind = np.repeat(np.array([FULL, RIM, WITNESS], np.int32), [len(x) for x in some])
     at = np.concatenate(some) + lo
     return {"h": rows["h"][at], "pos": rows["pos"][at], "kind": kind}
 
 
-BLOCKS_DDL = "k bigint, ctx bigint, h bigint, pos bigint, kind int, rim binary"
+BLOCKS_DDL = "k bigint, ctx bigint, h bigint, pos bigint, kind int, mark int, rim binary"
 
 
 def _cut_blocks(length: int):
@@ -199,8 +240,21 @@ def _cut_blocks(length: int):
                                      bytes([core - a]) + raw[a:core] + raw[end:z + length]))
             if rows:
                 k, ctx, h, pos, kind, rim = zip(*rows, strict=True)
-                yield batch(schema, k=np.array(k, np.uint64).view(np.int64), ctx=np.array(ctx, np.uint64).view(np.int64),
-                            h=list(h), pos=list(pos), kind=list(kind), rim=list(rim))
+                k, ctx = np.array(k, np.uint64).view(np.int64), np.array(ctx, np.uint64).view(np.int64)
+                h, pos, kind = np.array(h, np.int64), np.array(pos, np.int64), np.array(kind, np.int32)
+                # equal blocks of a batch repeat: a witness stands for them, and those asked for are settled
+                _, first, group, n = np.unique(np.stack([k, ctx]), axis=1, return_index=True, return_inverse=True,
+                                               return_counts=True)
+                many = np.ravel(n[np.ravel(group)]) > 1
+                stand, done = first[n > 1], np.flatnonzero(many & (kind == RIM))
+                alone = np.flatnonzero(~many)
+                at = np.concatenate([alone, stand, done])
+                apart = _mix(h[done], pos[done])
+                yield batch(schema, k=np.concatenate([k[alone], k[stand], apart]),
+                            ctx=np.concatenate([ctx[alone], ctx[stand], apart]), h=h[at], pos=pos[at],
+                            kind=np.concatenate([kind[alone], np.full(len(stand), WITNESS), kind[done]]).astype(np.int32),
+                            mark=np.repeat(np.array([0, REPEATS, SETTLED], np.int32), [len(alone), len(stand), len(done)]),
+                            rim=[rim[i] for i in at])
 
     return run
 
@@ -247,9 +301,13 @@ def _with_starts(docs: DataFrame, length: int) -> DataFrame:
     keyed = docs.withColumns({"__h": h, "__size": size})
     texts = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text"), h).where(F.octet_length("text") >= length)
     small = "h bigint, pos bigint, kind int"
-    found = texts.mapInArrow(_parse(length), PHRASES_DDL).repartition("k").sortWithinPartitions("k", "ctx").mapInArrow(
-        _neighbours(["k", "ctx", "h", "pos", "copies"], small, _judge_phrases), small).distinct()
-    found = materialise(found, "repeats")
+    found = texts.mapInArrow(_parse(length, HOT), PHRASES_DDL).repartition("deal").sortWithinPartitions("k", "ctx").mapInArrow(
+        _neighbours(["k", "ctx", "h", "pos", "mark"], small, _judge_phrases), small)
+    # the same phrase of equal texts, dealt apart, may come twice as a rim: it repeats, and stands for others
+    kinds = F.when((F.col("kind") == RIM) & (F.col("n") > 1), F.array(F.lit(FULL), F.lit(WITNESS))
+                   ).otherwise(F.array("kind"))
+    found = materialise(found.groupBy("h", "pos", "kind").agg(F.count(F.lit(1)).alias("n")).select(
+        "h", "pos", F.explode(kinds).alias("kind")), "repeats")
     of_text = [F.col("h").alias("__h"), F.col("pos").bitwiseAND(F.lit(_SIZE)).alias("__size")]
 
     # the place without the size leaves room for the kind
@@ -259,8 +317,8 @@ def _with_starts(docs: DataFrame, length: int) -> DataFrame:
     blocks = keyed.join(rims, ["__h", "__size"]).dropDuplicates(["__h", "__size"]).withColumnsRenamed(
         {"__h": "h", "__size": "size"}).mapInArrow(_cut_blocks(length), BLOCKS_DDL)
     starts = blocks.repartition("k").sortWithinPartitions("k", "ctx").mapInArrow(
-        _neighbours(["k", "ctx", "h", "pos", "kind", "rim"], STARTS_DDL, _judge_blocks), STARTS_DDL)
-    starts = starts.repartition("k").sortWithinPartitions("k", "w").mapInArrow(
+        _neighbours(["k", "ctx", "h", "pos", "kind", "mark", "rim"], STARTS_DDL, _judge_blocks), STARTS_DDL)
+    starts = starts.repartition("k", "w").sortWithinPartitions("k", "w").mapInArrow(
         _neighbours(["k", "w", "h", "pos", "kind"], "h bigint, pos bigint", _judge_starts), "h bigint, pos bigint")
     span = F.shiftright("pos", 24).bitwiseAND(F.lit(127))
     run = (F.shiftright("pos", 32) * 256 + span).alias("run")

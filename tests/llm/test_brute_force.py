@@ -399,7 +399,9 @@ def brute_repeats(texts, length):
     return out
 
 
-def test_repeats(spark):
+@pytest.mark.parametrize("hot", [pfp_dedup.HOT, 2])
+def test_repeats(spark, monkeypatch, hot):
+    monkeypatch.setattr(pfp_dedup, "HOT", hot)
     rng = random.Random(10)
     passages = [" ".join(words(rng, n)) for n in (30, 60, 200)] + ["é" * 150, "ab" * 200, "z" * 199, "y" * 200, "w" * 201]
     texts = [None, "", "short", "ñ" * 99, "ñ" * 100, "q" * 200, "q" * 200]
@@ -410,8 +412,10 @@ def test_repeats(spark):
             a = rng.randrange(20)
             parts += [p[a:len(p) - rng.randrange(20)], " ".join(words(rng, 9))]
         texts.append(" ".join(parts))
-    texts += texts[10:20] + [texts[30] * 2]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    line = " ".join(words(rng, 16)) + "\n"   # many different texts around it
+    texts += [" ".join(words(rng, 30)) + line + " ".join(words(rng, 30)) for _ in range(30)]
+    texts += texts[10:20] + [texts[30] * 2] + texts[70:90]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(7)
     got = {r["doc_id"]: tuple(r)[1:5] for r in pfp_dedup.remove_repeats(docs, 200).collect()}
     assert got == dict(enumerate(brute_repeats(texts, 200)))
     kept = {r["doc_id"]: r["text"] for r in pfp_dedup.cut_repeats(docs, 200).collect()}
