@@ -35,7 +35,7 @@ from jobtrails.llm.common import arrow_schema, batch, materialise
 
 CAPACITY = 1024
 END = 2
-MEMO = 700_000
+MEMO = 1_400_000
 #: exchanges that the search weighs at most, whatever the corpus
 SEARCH = 20_000_000
 
@@ -69,30 +69,35 @@ class Chunks(dict):
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
-        """``chunk`` stands after a space."""
+        """``chunk`` stands after a space; it must not be empty or begin with white space."""
+        if not chunk or chunk[0].isspace():
+            raise _Odd
         if len(self) >= MEMO:
             self.clear()
-        word, mark = (chunk[:-1], self.marks[chunk[-1]]) if chunk[-1] in self.marks else (chunk, b"")
-        if word.isalpha() and max(word) < "ɐ":
-            tokens = self.tokenizer.model.tokenize((" " + word).translate(self.alphabet))
-            ids = np.array([t.id for t in tokens], "<u4").tobytes() + mark
+        if chunk[-1] in self.marks and chunk[:-1].isalpha():
+            ids = self[chunk[:-1]] + self.marks[chunk[-1]]
         else:
-            ids = self._ids(" " + chunk)
+            ids = self._piece(" " + chunk, chunk)
         self[chunk] = ids
         return ids
 
+    def _piece(self, text: str, word: str) -> bytes:
+        if word.isalpha() and max(word) < "ɐ":
+            return np.array([t.id for t in self.tokenizer.model.tokenize(text.translate(self.alphabet))], "<u4").tobytes()
+        return self._ids(text)
+
     def encode(self, text: str) -> bytes:
         first, *rest = text.split(" ")
-        if not rest:
+        if not rest or not first or first[-1].isspace():
+            return self._ids(text)
+        try:
+            return self._piece(first, first) + b"".join(map(self.__getitem__, rest))
+        except _Odd:  # two spaces together, one at the end, or other white space after one
             return self._ids(text)
-        # plain: no two spaces together, none at an end, no other white space after one
-        if first and not first[-1].isspace() and all(rest) and not any(map(_odd, rest)):
-            return self._ids(first) + b"".join(map(self.__getitem__, rest))
-        return self._ids(text)
 
 
-def _odd(chunk: str) -> bool:
-    return chunk[0].isspace()
+class _Odd(Exception):
+    """The text can't be cut at its spaces."""
 
 
 PIECES_DDL = ("doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part bigint, nth bigint")
