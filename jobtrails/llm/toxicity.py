@@ -3,7 +3,8 @@
 A token's score is its log-odds in toxic against clean documents under
 Dirichlet priors: a token's counts are shrunk to those of its stem (first
 bytes), a stem's to the corpus shares, so that rare inflections of a toxic stem
-score like the stem.  A linear scan finds all maximal segments.  A segment of
+score like the stem; in a text the r-th of equal tokens counts 1/r of a positive
+score.  A linear scan finds all maximal segments.  A segment of
 score S among n tokens is judged by the extreme-value law
 E = K n exp(-lambda S): lambda solves sum p exp(lambda s) = 1 over the clean
 token distribution and K comes from the mean largest segment of clean training
@@ -192,7 +193,12 @@ def score_segments(docs: DataFrame, model: Scores, keep: list[str]) -> DataFrame
             texts = pc.cast(pc.utf8_lower(b["__text"].fill_null("").cast(pa.string())), pa.binary()).to_pylist()
             count, starts, ends, values = [], [], [], []
             for text in texts:
-                s = np.array(list(map(memo.__getitem__, tokens(text))), float)
+                words = tokens(text)
+                s = np.array(list(map(memo.__getitem__, words)), float)
+                seen: dict[bytes, int] = {}
+                for i in np.flatnonzero(s > 0).tolist():  # a word says less each time it is repeated
+                    seen[words[i]] = r = seen.get(words[i], 0) + 1
+                    s[i] /= r
                 # K is MIN_K at least, so what falls below this is insignificant for any K
                 least = log(max(len(s), 1) * MIN_K)
                 found = [(a, z, x * m.scale) for a, z, x in segments(s) if x * m.scale > least]
