@@ -421,3 +421,16 @@ def test_transition_counts_skew_safe_equals_window_form(spark):
     a = Counter(tuple(r) for r in TR.transition_counts(tv).collect())
     b = Counter(tuple(r) for r in TR.transition_counts(tv.repartition(4), skew_safe=True).collect())
     assert a == b and len(a) > 0
+
+
+# ---------------------------------------------------------------- A2-A4
+def test_malformed_records_go_to_their_own_table(spark, tmp_path):
+    from jobtrails.sources import resume_xml as RX
+    (tmp_path / "r.xml").write_text(
+        "<resumes><resume><ResumeID>1</ResumeID><ResumeTitle>ok</ResumeTitle></resume>\n"
+        "<resume><ResumeID>3</ResumeID></resume>\n"
+        "<resume><ResumeID>2</ResumeID><ResumeTitle>broken</WrongTag></resume></resumes>")
+    raw = RX.read_resumes(spark, str(tmp_path / "r.xml"))
+    assert sorted(r["resume_id"] for r in RX.etl_resumes(raw).collect()) == [1, 3]
+    bad = RX.corrupt_records(raw).collect()
+    assert len(bad) == 1 and "broken" in bad[0]["record"]
