@@ -432,5 +432,6 @@ def test_malformed_records_go_to_their_own_table(spark, tmp_path):
         "<resume><ResumeID>2</ResumeID><ResumeTitle>broken</WrongTag></resume></resumes>")
     raw = RX.read_resumes(spark, str(tmp_path / "r.xml"))
     assert sorted(r["resume_id"] for r in RX.etl_resumes(raw).collect()) == [1, 3]
+    assert RX.etl_resumes(raw).count() == 2
     bad = RX.corrupt_records(raw).collect()
     assert len(bad) == 1 and "broken" in bad[0]["record"]
