@@ -1,19 +1,25 @@
 """Benchmark decontamination by q-gram filtering and banded alignment.
 
 Texts are squashed: lower case, ASCII letters, digits and non-ASCII bytes only.
-A benchmark item is cut into windows of ``WINDOW`` bytes (half overlapping; a
-shorter item is one window).  A passage within k edits of a window of n bytes
+Windows of ``WINDOW`` bytes start at every word of a benchmark item and at every
+``STEP``-th byte (a shorter item is one window), and ``PHRASE`` words that are
+shorter than that are windows too, so that a quote of ``PHRASE`` words holds a
+whole window wherever it begins.  A passage within k edits of a window of n bytes
 shares at least n - q + 1 - k q of its q-grams with it (the q-gram lemma), and
-they lie on diagonals at most k apart.  So shared q-grams are counted in
-diagonal bands of twice the width B > k that overlap by half; bands that reach
-the bound are aligned within the band, and a window matches if at most k edits
-are left.
+they lie on diagonals at most k apart.  So shared q-grams of a text and an item
+are counted in diagonal bands of twice the width B > k that overlap by half, then
+by window in the bands that can reach a bound; windows that reach theirs are
+aligned within the band, and one matches if at most k edits are left.  Windows
+that can't be better than a match of the same item in the text aren't aligned.
+
+What is shorter than ``MIN_BYTES`` (a whole item, or ``PHRASE`` words of one)
+matches the same words only, with no edits, from word to word.
 
 The benchmark is the query set.  It is sent to the tasks in blocks of at most
 ``BLOCK_BYTES``, one pass over the documents for each block.
 
-Edge cases: a null or empty text matches nothing.  A null item or one of fewer
-than ``MIN_BYTES`` squashed bytes can't be told from chance and is skipped.
+Edge cases: a null or empty text matches nothing.  A null item or one without a
+letter or digit is skipped; an item of one word matches every text with that word.
 Repeated documents are each judged, repeated items count once per item_id.  No
 items: no document is contaminated; no documents: an empty table.
 """
@@ -34,19 +40,26 @@ from jobtrails.llm.common import shield, slices, utf8
 
 Q = 8
 WINDOW = 64
+STEP = 8
+PHRASE = 13
 EDIT_SHARE = 0.1
 MIN_BYTES = 32
 BLOCK_BYTES = 8 << 20
 SLICE_BYTES = 2 << 20
+HITS = 1 << 16
 _FILTER_BITS = 22
 _KEEP = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
+_DROP = bytes(np.flatnonzero(~_KEEP).tolist())
 
 
-def squash(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets and bytes of the squashed texts."""
+def squash(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Offsets and bytes of the squashed texts, and whether a word begins at a byte."""
     off, data = utf8(pc.utf8_lower(texts.fill_null("").cast(pa.string())))
     keep = _KEEP[data]
-    return np.concatenate([[0], np.cumsum(keep)])[off], data[keep]
+    off, at = np.concatenate([[0], np.cumsum(keep)])[off], np.flatnonzero(keep)
+    head = np.diff(at, prepend=-2) > 1
+    head[off[off < len(head)]] = True
+    return off, data[keep], head
 
 
 def qgrams(data: np.ndarray) -> np.ndarray:
@@ -60,47 +73,83 @@ def qgrams(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def _spans(text: str, size: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """First and last places of an item's windows, and of its short phrases."""
+    words = [n for w in pc.utf8_lower(text).as_py().encode().split() if (n := len(w.translate(None, _DROP)))]
+    at = np.cumsum([0, *words]).tolist()
+    if size < MIN_BYTES:
+        return [], [(0, size)]
+    last = max(size - WINDOW, 0)
+    windows = {(a, min(a + WINDOW, size)) for a in [*range(0, last, STEP), *(a for a in at if a < last), last]}
+    phrases = {(a, z) for a, z in zip(at, at[PHRASE:], strict=False) if z - a < WINDOW} - windows
+    short = {x for x in phrases if x[1] - x[0] < MIN_BYTES}
+    return sorted(windows | phrases - short), sorted(short)
+
+
 @dataclass
 class Block:
-    """Windows of some items: bytes, their item and the index of their q-grams."""
+    """Some items, the index of their q-grams, their windows and short phrases."""
 
-    item: np.ndarray      # item_id of each window
+    ids: np.ndarray       # item_id of each item
+    least: np.ndarray     # and the fewest shared q-grams of its windows
+    item: np.ndarray      # item of each window, ascending
+    start: np.ndarray     # place in the item, ascending within it
+    size: np.ndarray
     text: list[np.ndarray]
     budget: np.ndarray    # edits
     need: np.ndarray      # shared q-grams
     grams: np.ndarray     # distinct, sorted
     first: np.ndarray     # postings of gram i: first[i] .. first[i + 1]
-    window: np.ndarray
+    owner: np.ndarray     # item and place of each posting
     place: np.ndarray
     filter: np.ndarray
     band: int
+    longest: int
+    short: dict[tuple[bytes, bytes], list[int]]   # bytes and word beginnings -> item_ids
+    heads: dict[int, np.ndarray]                  # size -> distinct first bytes
 
     @classmethod
     def of(cls, items: list[tuple[int, str]]) -> Block | None:
-        ids, windows = [], []
-        off, data = squash(pa.array([t for _, t in items], pa.string()))
-        for i, (item, _) in enumerate(items):
-            x = data[off[i]:off[i + 1]]
-            if len(x) < MIN_BYTES:
+        ids, owner, start, budget, windows, whole, short = [], [], [], [], [], [], {}
+        off, data, head = squash(pa.array([t for _, t in items], pa.string()))
+        for i, (item, text) in enumerate(items):
+            x, begins = data[off[i]:off[i + 1]], head[off[i]:off[i + 1]]
+            if not len(x):
                 continue
-            starts = range(0, max(len(x) - WINDOW, 0), WINDOW // 2)
-            for a in [*starts, max(len(x) - WINDOW, 0)]:
+            spans, phrases = _spans(text, len(x))
+            for a, z in phrases:
+                short.setdefault((x[a:z].tobytes(), begins[a:z].tobytes()), []).append(item)
+            for a, z in spans:
+                n = z - a
+                owner.append(len(ids))
+                start.append(a)
+                windows.append(x[a:z])
+                # a phrase keeps as many shared q-grams as a window of full size
+                budget.append(int(min(n * EDIT_SHARE, (n - 2 * Q) // Q if n < min(WINDOW, len(x)) else n)))
+            if spans:
                 ids.append(item)
-                windows.append(x[a:a + WINDOW])
-        if not windows:
+                whole.append(x)
+        if not ids and not short:
             return None
-        n = np.array([len(w) for w in windows])
-        budget = (n * EDIT_SHARE).astype(np.int64)
-        g = [qgrams(w) for w in windows]
-        size = np.array([len(x) for x in g])
+        heads: dict[int, set[int]] = {}
+        for x, _ in short:
+            heads.setdefault(len(x), set()).add(int.from_bytes(x[:Q], "little"))
+        owner, budget = np.array(owner, np.int64), np.array(budget, np.int64)
+        bytes_ = np.array([len(w) for w in windows], np.int64)
+        need = bytes_ - Q + 1 - budget * Q
+        least = np.full(len(ids), WINDOW)
+        np.minimum.at(least, owner, need)
+        g = [qgrams(x) for x in whole]
+        size = np.array([len(x) for x in g], np.int64)
         at = np.repeat(np.arange(len(g)), size)
         place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        flat = np.concatenate(g)
+        flat = np.concatenate([np.empty(0, np.uint64), *g])
         order = np.argsort(flat, kind="stable")
         grams, first = np.unique(flat[order], return_index=True)
-        block = cls(np.array(ids, np.int64), windows, budget, n - Q + 1 - budget * Q, grams,
+        block = cls(np.array(ids, np.int64), least, owner, np.array(start, np.int64), bytes_, windows, budget, need, grams,
                     np.append(first, len(flat)), at[order], place[order], np.zeros(1 << _FILTER_BITS, bool),
-                    int(budget.max()) + 1)
+                    int(budget.max(initial=0)) + 1, max(map(len, whole), default=0), short,
+                    {n: np.array(sorted(x), np.uint64) for n, x in heads.items()})
         block.filter[_slot(grams)] = True
         return block
 
@@ -109,8 +158,9 @@ def _slot(grams: np.ndarray) -> np.ndarray:
     return (grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _FILTER_BITS)
 
 
-def candidates(block: Block, off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, window, first diagonal) of the bands with enough shared q-grams."""
+def candidates(block: Block, off: np.ndarray, data: np.ndarray
+               ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, window, first diagonal, shared q-grams) of the bands with enough of them."""
     g = qgrams(data)
     at = np.flatnonzero(block.filter[_slot(g)])
     i = np.searchsorted(block.grams, g[at])
@@ -121,15 +171,38 @@ def candidates(block: Block, off: np.ndarray, data: np.ndarray) -> tuple[np.ndar
     at, i, row = at[inside], i[inside], row[inside]
     n = block.first[i + 1] - block.first[i]
     post = np.repeat(block.first[i] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    window, diagonal = block.window[post], np.repeat(at, n) - block.place[post]
-    band = (diagonal + WINDOW) // block.band  # shifted: a window may start before the first text
+    item, place = block.owner[post], block.place[post]
+    shift = block.longest + block.band  # an item may start before the first text
+    band = (np.repeat(at, n) - place + shift) // block.band
     base = int(band.max(initial=0)) + 2
-    key = (np.repeat(row, n) * len(block.item) + window) * base + band
-    key, count = np.unique(np.concatenate([key, key - 1]), return_counts=True)  # bands are two wide
-    window = key // base % len(block.item)
-    some = count >= block.need[window]
-    key, window = key[some], window[some]
-    return key // base // len(block.item), window, key % base * block.band - WINDOW
+    key = (np.repeat(row, n) * len(block.ids) + item) * base + band
+    key, place = np.concatenate([key, key - 1]), np.concatenate([place, place])  # bands are two wide
+    order = np.argsort(key, kind="stable")
+    key, place = key[order], place[order]
+    run = np.flatnonzero(np.diff(key, prepend=-1))
+    size = np.diff(run, append=len(key))
+    some = size >= block.least[key[run] // base % len(block.ids)]
+    run, size = run[some], size[some]
+    # the windows that hold each q-gram of these bands, some bands at a time
+    wide = block.longest + WINDOW
+    windows = block.item * wide + block.start
+    out = [[np.empty(0, np.int64)] * 4]
+    for part in np.split(np.arange(len(run)), np.flatnonzero(np.diff(np.cumsum(size) // HITS)) + 1):
+        m = size[part]
+        band = np.repeat(part, m)
+        hits = np.repeat(run[part] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+        s, item = place[hits], key[hits] // base % len(block.ids)
+        low = np.searchsorted(windows, item * wide + np.maximum(s + Q - WINDOW, 0), "left")
+        n = np.searchsorted(windows, item * wide + s, "right") - low
+        w = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        inside = np.repeat(s, n) + Q <= block.start[w] + block.size[w]
+        pair, count = np.unique(np.repeat(band, n)[inside] * len(windows) + w[inside], return_counts=True)
+        w, k = pair % len(windows), key[run[pair // len(windows)]]
+        some = count >= block.need[w]
+        w, k = w[some], k[some]
+        out.append([k // base // len(block.ids), w, k % base * block.band - shift + block.start[w], count[some]])
+    row, window, diagonal, count = map(np.concatenate, zip(*out, strict=True))
+    return row, window, diagonal, count
 
 
 def align(block: Block, off: np.ndarray, data: np.ndarray, row: np.ndarray, window: np.ndarray,
@@ -161,6 +234,45 @@ def align(block: Block, off: np.ndarray, data: np.ndarray, row: np.ndarray, wind
     return best
 
 
+def matches(block: Block, off: np.ndarray, data: np.ndarray) -> list[tuple[int, int, int]]:
+    """(text, item_id, least edits) of the items that a window of each text matches."""
+    if not len(block.ids):
+        return []
+    row, window, diagonal, count = candidates(block, off, data)
+    pair, group = np.unique(row * len(block.ids) + block.item[window], return_inverse=True)
+    fewest = -(-(block.size[window] - Q + 1 - count) // Q)  # edits, by the lemma
+    best = np.full(len(pair), WINDOW)
+    order = np.lexsort([fewest, group])
+    order = order[np.diff(group[order], prepend=-1) > 0]  # the likeliest of each pair, then what may be better
+    for turn in range(2):
+        some = np.setdiff1d(np.flatnonzero(fewest < best[group]), order) if turn else order
+        edits = align(block, off, data, row[some], window[some], diagonal[some])
+        good = edits <= block.budget[window[some]]
+        np.minimum.at(best, group[some][good], edits[good])
+    found = np.flatnonzero(best < WINDOW)
+    row, item = pair[found] // len(block.ids), block.ids[pair[found] % len(block.ids)]
+    return list(zip(row.tolist(), item.tolist(), best[found].tolist(), strict=True))
+
+
+def phrases(block: Block, off: np.ndarray, data: np.ndarray, head: np.ndarray) -> list[tuple[int, int, int]]:
+    """(text, item_id, 0) of the short items and phrases that a text holds word by word."""
+    out = []
+    if not block.heads:
+        return out
+    at = np.flatnonzero(head)
+    row = np.searchsorted(off, at, "right") - 1
+    g = qgrams(np.concatenate([data, np.zeros(Q, np.uint8)]))[at]
+    ends = np.append(head, True)
+    for n, first in block.heads.items():
+        some = np.flatnonzero(at + n <= off[row + 1])
+        some = some[ends[at[some] + n]]
+        x = g[some] & np.uint64((1 << 8 * min(n, Q)) - 1)
+        some = some[first[np.minimum(np.searchsorted(first, x), len(first) - 1)] == x]
+        for a, r in zip(at[some].tolist(), row[some].tolist(), strict=True):
+            out += [(r, i, 0) for i in block.short.get((data[a:a + n].tobytes(), head[a:a + n].tobytes()), [])]
+    return out
+
+
 def match(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> DataFrame:
     """The columns ``keep``, item_ids (sorted) and least_edits (null: no match) of every document."""
     spark = docs.sparkSession
@@ -186,15 +298,12 @@ def _one_block(docs: DataFrame, shared) -> DataFrame:
         block = shared.value
         for b in batches:
             ids, least = b["item_ids"].to_pylist(), b["least_edits"].to_pylist()
-            off, data = squash(b["text"])
+            off, data, head = squash(b["text"])
             for a, z in slices(off, SLICE_BYTES):
-                o, d = off[a:z + 1] - off[a], data[off[a]:off[z]]
-                row, window, diagonal = candidates(block, o, d)
-                edits = align(block, o, d, row, window, diagonal)
-                for r, w, e in zip(row.tolist(), window.tolist(), edits.tolist(), strict=True):
-                    if e <= block.budget[w]:
-                        ids[a + r] = sorted({*ids[a + r], int(block.item[w])})
-                        least[a + r] = e if least[a + r] is None else min(e, least[a + r])
+                o, d, h = off[a:z + 1] - off[a], data[off[a]:off[z]], head[off[a]:off[z]]
+                for r, item, e in matches(block, o, d) + phrases(block, o, d, h):
+                    ids[a + r] = sorted({*ids[a + r], item})
+                    least[a + r] = e if least[a + r] is None else min(e, least[a + r])
             cols = {n: b.column(i) for i, n in enumerate(b.schema.names)}
             cols["item_ids"], cols["least_edits"] = pa.array(ids, pa.list_(pa.int64())), pa.array(least, pa.int32())
             yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))

@@ -106,6 +106,33 @@ def test_leaks_with_edits_are_found(spark):
     assert got == {k: [k % 10 % 3] if k < 30 else [] for k in texts}
 
 
+@pytest.mark.parametrize("n", [13, 15, 18, 20])
+def test_quotes_of_some_words_are_found_at_every_offset(spark, n):
+    rng = random.Random(n)
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF01}/benchmark.parquet").collect()]
+    items.append((-1, " ".join(rng.choice("ab") + str(rng.randrange(9)) for _ in range(60))))  # 13 words of 26 bytes
+    block = decontam.Block.of(items)
+    texts, want = [], []
+    for item, text in items:
+        w = text.split()
+        for i in range(len(w) - n + 1):
+            texts.append(" ".join(["0zq"] * rng.randrange(9) + w[i:i + n] + ["qz0"] * 3))
+            want.append(item)
+    off, data, head = decontam.squash(pa.array(texts))
+    found = defaultdict(set)
+    for r, item, _ in decontam.matches(block, off, data) + decontam.phrases(block, off, data, head):
+        found[r].add(item)
+    assert len(texts) > 500 and [i for i, item in enumerate(want) if item not in found[i]] == []
+
+
+def test_short_items_match_whole_words(spark):
+    docs = {1: "So: Kalo, MITU!", 2: "so kalomitu", 3: "skalo mitu", 4: "kalo mitus", 5: "kalo", 6: "kalo mitu", 7: None}
+    got = decontam.decontaminate(spark.createDataFrame(list(docs.items()), "doc_id bigint, text string"),
+                                 spark.createDataFrame([(3, "kalo mitu"), (4, "?!")], "item_id bigint, text string"))
+    assert {r["doc_id"]: (r["item_ids"], r["least_edits"]) for r in got.collect()} == {
+        i: ([3], 0) if i in (1, 6) else ([], None) for i in docs}
+
+
 def test_blocks_give_the_same(spark, monkeypatch):
     docs, bench = (spark.read.parquet(f"{SF001}/{t}.parquet") for t in ("documents", "benchmark"))
     one = sorted(map(tuple, decontam.decontaminate(docs, bench).select("doc_id", "item_ids").collect()))
