@@ -400,6 +400,16 @@ def test_model_is_a_distribution_with_right_gradients():
         assert (value[0] - value[1]) / (2 * step) == pytest.approx(grad[k][at], rel=0.05, abs=1e-5), k
 
 
+def test_every_training_token_gives_a_gradient():
+    v = gru_lm.Vocabulary([str(i).encode() for i in range(gru_lm.WORDS)], np.ones(gru_lm.WORDS), gru_lm.WORDS,
+                          gru_lm.WORDS, np.ones(gru_lm.TAILS), np.ones(gru_lm.TAILS))
+    first = gru_lm.initial(v)
+    p = {k: x.copy() for k, x in first.items()}
+    docs = [np.arange(5 * gru_lm.WINDOW, dtype=np.int32)]  # each symbol once, window after window
+    assert gru_lm.train(p, gru_lm.Adam(p), docs) == 5
+    assert (p["E"] != first["E"]).any(1)[:5 * gru_lm.WINDOW - 1].all()
+
+
 def test_streams_keep_documents_whole():
     rng = np.random.default_rng(2)
     docs = [rng.integers(0, 1000, n).astype(np.int32) for n in rng.integers(1, 200, 90)]
