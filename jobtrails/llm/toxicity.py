@@ -3,12 +3,14 @@
 A token's score is its log-odds in toxic against clean documents under
 Dirichlet priors: a token's counts are shrunk to those of its stem (first
 bytes), a stem's to the corpus shares, so that rare inflections of a toxic stem
-score like the stem; in a text the r-th of equal tokens counts 1/r of a positive
-score.  A linear scan finds all maximal segments.  A segment of
+score like the stem.  A linear scan finds all maximal segments; what a passage
+scores doesn't depend on what stands before it.  A segment of
 score S among n tokens is judged by the extreme-value law
 E = K n exp(-lambda S): lambda solves sum p exp(lambda s) = 1 over the clean
 token distribution and K comes from the mean largest segment of clean training
-documents.  A document's evidence is the best sum over its r best segments,
+documents.  As evidence a segment counts what its best part scores if the r-th of
+equal tokens in the segment has 1/r of a positive score.  A document's evidence is
+the best sum over its r best segments,
 sum(lambda S_i) - r ln(K n) + ln r!; a logistic curve fitted on the training
 documents (in bins of the evidence) turns it into a probability.
 
@@ -122,6 +124,20 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, b, r - left) for a, b, left, r, _ in found]
 
 
+def damped(words: list[bytes], scores: np.ndarray) -> float:
+    """Best sum of neighbours in a segment whose r-th of equal words counts 1/r
+    of a positive score."""
+    seen: dict[bytes, int] = {}
+    best = total = 0.0
+    for word, x in zip(words, scores.tolist(), strict=True):
+        if x > 0:
+            seen[word] = r = seen.get(word, 0) + 1
+            x /= r
+        total = max(total + x, 0.0)
+        best = max(best, total)
+    return best
+
+
 def _labelled(docs: DataFrame, labels: DataFrame, n_folds: int) -> tuple[DataFrame, DataFrame]:
     """Training labels, one row a document, and the training texts."""
     truth = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (folds(F.col("doc_id"), n_folds) != 0)
@@ -177,12 +193,13 @@ def fit_scores(rows: DataFrame) -> Scores | None:
     return Scores(n1, n0, stem, share, (low + high) / 2)
 
 
-SEGMENTS_DDL = ("n_tokens bigint, seg_start array<int>, seg_end array<int>, seg_score array<double>")
+SEGMENTS_DDL = ("n_tokens bigint, seg_start array<int>, seg_end array<int>, seg_score array<double>, "
+                "seg_weight array<double>")
 
 
 def score_segments(docs: DataFrame, model: Scores, keep: list[str]) -> DataFrame:
     """The columns ``keep``, n_tokens and every segment that can be significant
-    (token places and lambda * score) of each document."""
+    (token places, lambda * score and what of it counts as evidence) of each document."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     out = StructType(docs.select(*keep).schema.fields + StructType.fromDDL(SEGMENTS_DDL).fields)
 
@@ -191,14 +208,10 @@ def score_segments(docs: DataFrame, model: Scores, keep: list[str]) -> DataFrame
         memo = _Memo(m.of)
         for b in batches:
             texts = pc.cast(pc.utf8_lower(b["__text"].fill_null("").cast(pa.string())), pa.binary()).to_pylist()
-            count, starts, ends, values = [], [], [], []
+            count, starts, ends, values, weights = [], [], [], [], []
             for text in texts:
                 words = tokens(text)
                 s = np.array(list(map(memo.__getitem__, words)), float)
-                seen: dict[bytes, int] = {}
-                for i in np.flatnonzero(s > 0).tolist():  # a word says less each time it is repeated
-                    seen[words[i]] = r = seen.get(words[i], 0) + 1
-                    s[i] /= r
                 # K is MIN_K at least, so what falls below this is insignificant for any K
                 least = log(max(len(s), 1) * MIN_K)
                 found = [(a, z, x * m.scale) for a, z, x in segments(s) if x * m.scale > least]
@@ -206,7 +219,9 @@ def score_segments(docs: DataFrame, model: Scores, keep: list[str]) -> DataFrame
                 starts.append([x[0] for x in found])
                 ends.append([x[1] for x in found])
                 values.append([x[2] for x in found])
-            found = batch(schema, n_tokens=count, seg_start=starts, seg_end=ends, seg_score=values)
+                weights.append([damped(words[a:z], s[a:z]) * m.scale for a, z, _ in found])
+            found = batch(schema, n_tokens=count, seg_start=starts, seg_end=ends, seg_score=values,
+                          seg_weight=weights)
             rest = [i for i, name in enumerate(b.schema.names) if name != "__text"]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in rest), *found.columns],
                                              names=[*(b.schema.names[i] for i in rest), *schema.names])
@@ -216,7 +231,7 @@ def score_segments(docs: DataFrame, model: Scores, keep: list[str]) -> DataFrame
 
 def evidence(log_k: float) -> Column:
     """Best sum statistic over the r best segments of a row."""
-    best = F.reverse(F.array_sort("seg_score"))
+    best = F.reverse(F.array_sort("seg_weight"))
     cost = F.log(F.greatest(F.col("n_tokens"), F.lit(1))) + log_k
     start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("r"), F.lit(float(LOWEST)).alias("best"))
 
@@ -262,7 +277,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, n_folds: int = 5) -> Data
     found = materialise(score_segments(d, model, ["doc_id", "held_out"]), "toxic-segments")
 
     known = found.where(~F.col("held_out")).join(truth, "doc_id").where(F.col("n_tokens") > 0)
-    largest = F.coalesce(F.array_max("seg_score"), F.lit(0.0)) - F.log("n_tokens")
+    largest = F.coalesce(F.array_max("seg_weight"), F.lit(0.0)) - F.log("n_tokens")
     mean = known.where(F.col("toxic") == 0).agg(F.avg(largest)).first()[0]
     log_k = max(log(MIN_K), (mean if mean is not None else 0.0) - _EULER)
     bins = known.select((F.round(evidence(log_k) / BIN) * BIN).alias("x"), "toxic").groupBy("x").agg(

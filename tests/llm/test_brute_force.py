@@ -82,6 +82,27 @@ def test_toxic_documents_are_found(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got)
 
 
+def test_a_passage_scores_alike_wherever_it_stands(spark):
+    rng, rows = random.Random(4), []
+    bad = [f"{a}{b}" for a in ("vile", "scorn", "hate") for b in ("ful", "s", "ed")]
+    for i in range(300):
+        w = words(rng, 60)
+        if i % 6 == 0:
+            w[20:28] = rng.sample(bad, 8)
+        rows.append((" ".join(w), int(i % 6 == 0)))
+    model = toxicity.fit_scores(spark.createDataFrame(rows, "text string, toxic int"))
+    clean = lambda n: rng.choices(" ".join(t for t, x in rows if not x).split(), k=n)
+    passage, scattered = bad[:8], [w for _ in range(5) for x in bad[:8] for w in [x, *clean(80)]]
+    texts = [clean(300) + passage + clean(300), scattered + passage, [*passage, *clean(300)] * 3]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in toxicity.score_segments(docs, model, ["doc_id"]).collect()}
+    alone = [x for x in got[0]["seg_score"] if x > 10]
+    assert len(alone) == 1
+    for k, at in ((1, [len(scattered)]), (2, [0, 308, 616])):
+        found = {a: (z - a, x) for a, z, x in zip(got[k]["seg_start"], got[k]["seg_end"], got[k]["seg_score"], strict=True)}
+        assert [found.get(a) for a in at] == [(8, pytest.approx(alone[0]))] * len(at)
+
+
 # ---------------------------------------------------------------- 2
 
 def test_leaks_with_edits_are_found(spark):
