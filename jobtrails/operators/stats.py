@@ -66,6 +66,25 @@ def attr_histograms(df: DataFrame, key: str, attrs: Sequence[str], topn: int = 1
                .select("attr", "value", F.col("n").cast("bigint").alias("n")))
 
 
+def element_histograms(rows: DataFrame, topn: int = 10) -> DataFrame:
+    """E4 over (element, attr, value) rows, where each element has one row with
+    no attr: the topn-1 most frequent values of each attribute, the rest as
+    "* other *", elements without the attribute as "* missing *"."""
+    counts = rows.groupBy("element", "attr", "value").agg(_count().alias("n"))
+    total = counts.where(F.col("attr").isNull()).select("element", F.col("n").alias("_t"))
+    counts = counts.where(F.col("attr").isNotNull())
+    top = topk_per_group(counts, ["element", "attr"], [F.col("n").desc(), F.col("value").asc_nulls_first()],
+                         topn - 1, rank_col="_r").select("element", "attr", "value", "n")
+    present = counts.groupBy("element", "attr").agg(F.sum("n").alias("_p"))
+    kept = top.groupBy("element", "attr").agg(F.sum("n").alias("_k"))
+    other = (present.join(kept, ["element", "attr"]).where(F.col("_p") > F.col("_k"))
+                    .select("element", "attr", F.lit(LABEL_OTHER).alias("value"), (F.col("_p") - F.col("_k")).alias("n")))
+    missing = (present.join(total, "element").where(F.col("_p") < F.col("_t"))
+                      .select("element", "attr", F.lit(LABEL_MISSING).alias("value"), (F.col("_t") - F.col("_p")).alias("n")))
+    return (top.unionByName(other).unionByName(missing)
+               .select("element", "attr", "value", F.col("n").cast("bigint").alias("n")))
+
+
 def jobs_per_resume(jobs: DataFrame, person: str = "person_id", max_jobs: int = 21) -> DataFrame:
     """E5: number of jobs per person, keeping counts below ``max_jobs``."""
     return (jobs.groupBy(person).agg(_count().alias("n_jobs"))

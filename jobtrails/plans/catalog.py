@@ -74,7 +74,8 @@ TRAIN_PCT = 80
 # iterative or randomised models.
 ROWS_ONLY: set[str] = {"bigram_replace", "clean_descriptions",
                        "lda_topics", "lda_topic_words", "lda_transform_heldout", "hmm_fit_em",
-                       "hmm_score", "hmm_decode_next", "gibbs_hmm_fit", "gibbs_resume"}
+                       "hmm_score", "hmm_decode_next", "gibbs_hmm_fit", "gibbs_resume",
+                       "attr_histograms_xml"}
 
 
 # ---------------------------------------------------------------- B: scalar functions
@@ -559,6 +560,11 @@ def q_src_xml_resumes(spark, sf_dir):
                     _n(F.col("locations.location")).alias("n_locations"))
 
 
+@query("attr_histograms_xml")
+def q_attr_histograms_xml(spark, sf_dir):
+    return ST.element_histograms(RX.attr_rows(_raw_resumes(spark, sf_dir)), topn=10)
+
+
 @query("etl_resumes")
 def q_etl_resumes(spark, sf_dir):
     return RX.etl_resumes(_raw_resumes(spark, sf_dir))

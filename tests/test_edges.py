@@ -435,3 +435,34 @@ def test_malformed_records_go_to_their_own_table(spark, tmp_path):
     assert RX.etl_resumes(raw).count() == 2
     bad = RX.corrupt_records(raw).collect()
     assert len(bad) == 1 and "broken" in bad[0]["record"]
+
+
+def test_xml_attribute_histograms(spark, tmp_path):
+    import xml.etree.ElementTree as ET
+    from collections import Counter
+
+    from jobtrails.operators import stats
+    from jobtrails.sources import resume_xml
+
+    job = "<experiencerecord><Company>c{0}</Company>{1}</experiencerecord>"
+    text = "<resumes>" + "".join(
+        f"<resume><ResumeID>{i}</ResumeID>" + (f"<Salary>{i % 2}</Salary>" if i % 3 else "")
+        + ("<experience>" + "".join(job.format(k, "<Title>t</Title>" * (k % 2)) for k in range(i % 4 + 1)) + "</experience>"
+           if i % 5 else "") + "</resume>" for i in range(24)) + "</resumes>"
+    (tmp_path / "a.xml").write_text(text)
+    raw = resume_xml.read_resumes(spark, str(tmp_path / "a.xml"))
+    got = {(r["element"], r["attr"], r["value"]): r["n"]
+           for r in stats.element_histograms(resume_xml.attr_rows(raw), topn=10).collect()}
+    want = Counter()
+    for element in ("resume", "experiencerecord"):
+        elements, hists = list(ET.fromstring(text).iter(element)), {}
+        for e in elements:
+            for x in e:
+                name, value = (f"{x.tag}.{x[0].tag}_count", str(len(x))) if len(x) else (x.tag, x.text)
+                hists.setdefault(name, Counter())[value] += 1
+        for name, h in hists.items():
+            top = sorted(h.items(), key=lambda y: (-y[1], y[0]))[:9]
+            want.update({(element, name, v): n for v, n in top})
+            rest, none = sum(h.values()) - sum(n for _, n in top), len(elements) - sum(h.values())
+            want.update({(element, name, v): n for v, n in (("* other *", rest), ("* missing *", none)) if n})
+    assert got == dict(want) and ("resume", "experience.experiencerecord_count", "* missing *") in got
