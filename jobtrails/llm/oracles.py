@@ -61,3 +61,40 @@ WITH u AS (
 )
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM u LEFT JOIN hit USING (host, path)
 """
+
+ORACLES["op11_filter_audit"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents
+), w AS (
+  SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY t) AS original FROM d
+), f AS (
+  SELECT doc_id, part, (len(ws) < 200)::INT + 2 * (100 * len(list_distinct(ws)) < 50 * len(ws))::INT
+         + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t))::INT
+         + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > original, FALSE)::INT AS bits FROM w
+), l AS (
+  SELECT doc_id, max(coalesce(quality = 1, FALSE)::INT) AS good, max(coalesce(toxic = 1, FALSE)::INT) AS toxic
+  FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+), h AS (
+  SELECT part, bits, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+  FROM f LEFT JOIN l USING (doc_id) GROUP BY part, bits
+), filters(name, bit) AS (
+  VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)
+), orders AS (
+  SELECT a.name || b.name || c.name || d.name || e.name AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bs
+  FROM filters a, filters b, filters c, filters d, filters e
+  WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31
+), steps AS (
+  SELECT filter_order, step, bs[step] AS bit, coalesce(list_sum(bs[1:step - 1]), 0)::INT AS earlier
+  FROM orders, (SELECT unnest(range(1, 6))::INT AS step)
+), counted AS (
+  SELECT part, filter_order, step, bit, sum(CASE WHEN bits & (earlier | bit) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+         sum(CASE WHEN bits & earlier = 0 AND bits & bit <> 0 THEN n ELSE 0 END)::BIGINT AS removed,
+         sum(CASE WHEN bits & earlier <> 0 AND bits & bit <> 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+         sum(CASE WHEN bits = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+         sum(CASE WHEN bits & earlier = 0 AND bits & bit <> 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+         sum(CASE WHEN bits & earlier = 0 AND bits & bit <> 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM h, steps GROUP BY part, filter_order, step, bit
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       sum(removed) OVER (PARTITION BY part, bit)::BIGINT AS shapley FROM counted
+"""

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobtrails.llm import decontam, gru_lm, host_quality, langid, packing, pfp_dedup, sharding, simhash, toxicity, url_trie
+from jobtrails.llm import (decontam, filter_audit, gru_lm, host_quality, langid, packing, pfp_dedup, sharding, simhash,
+                           toxicity, url_trie, whitening, zstd_quality)
 from jobtrails.llm.common import table
 from jobtrails.llm.oracles import ORACLES  # noqa: F401
 
@@ -85,3 +86,21 @@ def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfp_dedup.remove_repeats(table(spark, sf_dir, "documents"), 200).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query("op11_filter_audit")
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op12_compression_quality")
+def op12_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = zstd_quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return d.select("doc_id", "held_out", "score", "predicted", "n_bytes", "good_bytes", "bad_bytes")
+
+
+@query("op13_whitening")
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = whitening.whiten(table(spark, sf_dir, "embeddings"), components=4)
+    # a long by contract: null where the exact square sum is beyond one
+    return d.withColumn("deviation", F.col("deviation").try_cast("bigint"))

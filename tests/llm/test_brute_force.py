@@ -36,7 +36,7 @@ def test_sql(spark, duck, name):
 
 def test_every_operator_is_registered():
     found = {int(m[1]) for n in E.LLM_QUERIES if (m := re.match(r"op(\d+)_", n))}
-    assert found == set(range(1, 11)) and "pipeline" in E.LLM_QUERIES
+    assert found == set(range(1, 14)) and "pipeline" in E.LLM_QUERIES
 
 
 # ---------------------------------------------------------------- 1
