@@ -836,12 +836,8 @@ def _gibbs_docs(spark, sf_dir):
 
 def _gibbs_setup(spark, sf_dir):
     docs = _gibbs_docs(spark, sf_dir)
-    n_states = int(docs.agg(F.max("state")).first()[0]) + 1
-    n_topics = int(docs.agg(F.max(F.size("x"))).first()[0])
-    priors = GB.Priors(n_states, n_topics)
-    n_seqs = docs.select("person_id").distinct().count()
-    counts = GB.collect_counts(GB.state_tables(docs), n_seqs, n_states, n_topics)
-    return docs, priors, counts
+    n_states, n_topics, n_seqs = docs.agg(F.max("state") + 1, F.max(F.size("x")), F.count_distinct("person_id")).first()
+    return docs, GB.Priors(int(n_states), int(n_topics)), int(n_seqs)
 
 
 @query("gibbs_state_tables")
@@ -852,14 +848,26 @@ def q_gibbs_state_tables(spark, sf_dir):
 
 @query("state_topic_loglik")
 def q_state_topic_loglik(spark, sf_dir):
-    docs, priors, counts = _gibbs_setup(spark, sf_dir)
-    return GB.loo_scores(docs, counts, priors, part="topic")
+    docs, priors, n_seqs = _gibbs_setup(spark, sf_dir)
+    return GB.loo_scores(docs, GB.state_tables(docs), n_seqs, priors, part="topic")
 
 
 @query("state_seq_loglik")
 def q_state_seq_loglik(spark, sf_dir):
-    docs, priors, counts = _gibbs_setup(spark, sf_dir)
-    return GB.loo_scores(docs, counts, priors, part="trans")
+    docs, priors, n_seqs = _gibbs_setup(spark, sf_dir)
+    return GB.loo_scores(docs, GB.state_tables(docs), n_seqs, priors, part="trans")
+
+
+@query("gibbs_init_totals")
+def q_gibbs_init_totals(spark, sf_dir):
+    """Counts of the first pass summed over the states: whatever the draws,
+    each history has one start, each pair of neighbours one transition, and
+    each topic the mass of all jobs."""
+    docs, priors, _ = _gibbs_setup(spark, sf_dir)
+    states, _ = GB.init_states(docs, priors, seed=5)
+    t = GB.state_tables(states, state="z")
+    j = F.when(F.col("kind") == "topic", F.col("j")).otherwise(F.lit(0))
+    return t.groupBy("kind", j.alias("j")).agg(F.round(F.sum("value"), 6).alias("value"))
 
 
 @query("gibbs_hmm_fit")

@@ -946,6 +946,17 @@ select 'topic', z, cast(t as integer), round(sum(v), 6) from xs group by z, t
 union all
 select 'total', z, 0, round(sum(len), 6) from gd group by z""", "topics_v")
 
+add("gibbs_init_totals", f"""
+with {_GIBBS_DOCS},
+xs as (select unnest(x) as v, generate_subscripts(x, 1) - 1 as t from gd)
+select 'start' as kind, 0 as j, round(cast(count(distinct person_id) as double), 6) as value from gd
+union all
+select 'trans', 0, round(cast(count(*) - count(distinct person_id) as double), 6) from gd
+union all
+select 'topic', cast(t as integer), round(sum(v), 6) from xs group by t
+union all
+select 'total', 0, round(sum(len), 6) from gd""", "topics_v")
+
 add("state_topic_loglik", f"""
 with {_GIBBS_DOCS},
 nt as (select max(len(x)) as t from gd),

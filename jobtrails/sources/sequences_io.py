@@ -6,13 +6,16 @@
   the running entry count *before* each is within the budget.  The running
   sum is taken over at most ``max_entries`` histories (each holds >= 1
   entry), picked by a bounded top-k, so no window spans the whole table.
-* Trace store: one Parquet table per model array, partitioned by ``iter``.
+* Trace store: one Parquet table per model array and commit, partitioned by
+  ``iter``, and a list of commits that says which of them count.
 """
 
 from __future__ import annotations
 
 import os
+import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -90,7 +93,17 @@ def add_column(df: DataFrame, name: str, dtype: str) -> DataFrame:
 
 
 class TraceStore:
-    """Sampler snapshots, one Parquet table per array, by ``iter``."""
+    """Sampler snapshots, one Parquet table per array, by ``iter``.
+
+    Every append writes its tables into folders of its own and then adds one
+    file to ``commits``, with the iterations of each of its tables.  That
+    file appears as a whole or not at all, so an append counts as a whole or not
+    at all: what a failed one has left behind is in no commit and is never read.
+    An iteration is read from the newest commit that holds it, so a repeated
+    append replaces.  One writer at a time.
+    """
+
+    COMMIT = "number bigint, folder string, erase boolean, name string, iters array<bigint>"
 
     def __init__(self, root: str):
         self.root = root
@@ -98,20 +111,59 @@ class TraceStore:
     def path(self, table: str) -> str:
         return os.path.join(self.root, table)
 
+    def commits(self, spark: SparkSession) -> DataFrame:
+        """The commits that count: those since the last that erased."""
+        try:
+            c = spark.read.schema(self.COMMIT).json(self.path("commits"))
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return spark.createDataFrame([], self.COMMIT)
+        erased = c.where("erase").agg(F.coalesce(F.max("number"), F.lit(0))).scalar()
+        return c.where(F.col("number") >= erased)
+
     def append(self, tables: dict[str, DataFrame], erase: bool = False) -> None:
-        """Write each table (which carries an ``iter`` column); ``erase``
-        replaces what was stored, otherwise new iterations are added."""
+        """Write each table (which carries an ``iter`` column), then commit;
+        ``erase`` replaces what was stored, otherwise iterations are added, or
+        replaced where they were stored before."""
+        spark = next(iter(tables.values())).sparkSession
+        number = 1 + (self.commits(spark).agg(F.max("number")).first()[0] or 0)
+        folder = f"commit={number}-{uuid.uuid4().hex}"
+        rows = []
         for name, df in tables.items():
-            df.write.mode("overwrite" if erase else "append").partitionBy("iter").parquet(self.path(name))
+            at = os.path.join(self.path(name), folder)
+            df.write.partitionBy("iter").parquet(at)
+            iters = spark.read.schema(df.schema).parquet(at).agg(
+                F.sort_array(F.collect_set(F.col("iter").cast("bigint")))).first()[0]  # a number for each iteration
+            rows.append((number, folder, erase, name, iters))
+        # one task: one file, renamed into place
+        spark.createDataFrame(rows, self.COMMIT).coalesce(1).write.mode("append").json(self.path("commits"))
+
+    def held(self, spark: SparkSession, table: str) -> dict[int, str]:
+        """Folder of every iteration of a table: a row for each iteration."""
+        c = self.commits(spark).where(F.col("name") == table)
+        c = c.select("number", "folder", F.explode("iters").alias("iter")).groupBy("iter").agg(
+            F.max_by("folder", "number").alias("folder"))
+        return {r["iter"]: r["folder"] for r in c.collect()}
+
+    def _load(self, spark: SparkSession, table: str, held: dict[int, str]) -> DataFrame:
+        root = self.path(table)
+        # only the folders of these iterations are listed and scanned
+        paths = [os.path.join(root, folder, f"iter={i}") for i, folder in sorted(held.items())]
+        return spark.read.option("basePath", root).parquet(*paths).drop("commit")
 
     def read(self, spark: SparkSession, table: str) -> DataFrame:
-        return spark.read.parquet(self.path(table))
+        """Every iteration of a table."""
+        held = self.held(spark, table)
+        if not held:
+            raise ValueError(f"no committed iteration of {table} in {self.root}")
+        return self._load(spark, table, held)
 
     def latest(self, spark: SparkSession, tables: list[str]) -> dict[str, DataFrame]:
-        """The last snapshot of every table; all must end at the same iteration."""
-        last = {t: self.read(spark, t).agg(F.max("iter")).first()[0] for t in tables}
-        if len(set(last.values())) != 1:
-            raise ValueError(f"trace tables disagree on the last iteration: {last}")
-        it = next(iter(last.values()))
-        # partition pruning: only the last iter folder is scanned
-        return {t: self.read(spark, t).where(F.col("iter") == it) for t in tables}
+        """The last iteration that all the tables have."""
+        held = {t: self.held(spark, t) for t in tables}
+        common = set.intersection(*(set(h) for h in held.values()))
+        if not common:
+            raise ValueError(f"no iteration common to {tables} in {self.root}")
+        last = max(common)
+        return {t: self._load(spark, t, {last: h[last]}) for t, h in held.items()}

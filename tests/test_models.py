@@ -106,34 +106,90 @@ def test_state_table_invariants(spark):
     assert len(rates) == 2 and all(0 <= r <= 1 for r in rates)
 
 
-def test_gibbs_independent_of_partitioning(spark):
+def test_gibbs_independent_of_partitioning(spark, monkeypatch):
+    """First pass and ten sweeps, bit for bit."""
+    monkeypatch.setattr(GB, "BASE", 8)
+    monkeypatch.setattr(GB, "CHUNK", 4)
     docs = _gibbs_fixture(spark, seed=5)
     pri = GB.Priors(4, 6)
-    a, _ = GB.fit_gibbs(docs.repartition(2), pri, n_iter=2, seed=11)
-    b, _ = GB.fit_gibbs(docs.repartition(5), pri, n_iter=2, seed=11)
-    za = {r["job_id"]: r["z"] for r in a.select("job_id", "z").collect()}
-    zb = {r["job_id"]: r["z"] for r in b.select("job_id", "z").collect()}
-    assert za == zb
+
+    def fit(n):
+        final, rates = GB.fit_gibbs(docs.repartition(n), pri, n_iter=10, seed=11)
+        tables = GB.state_tables(final, state="z").collect()
+        return {r["job_id"]: r["z"] for r in final.select("job_id", "z").collect()}, rates, sorted(map(tuple, tables))
+
+    assert fit(2) == fit(5) == fit(13)
+
+
+def test_first_pass_in_order(spark, monkeypatch):
+    """The distributed pass against a plain loop over blocks, chunks and
+    histories; its counts are those of its states."""
+    monkeypatch.setattr(GB, "BASE", 4)
+    monkeypatch.setattr(GB, "CHUNK", 2)
+    docs = _gibbs_fixture(spark, seed=7)
+    pri = GB.Priors(4, 6)
+    states, counts = GB.init_states(docs.repartition(5), pri, seed=3)
+    got = {r["job_id"]: r["z"] for r in states.collect()}
+
+    by = {}
+    for r in sorted(docs.collect(), key=lambda r: (r["person_id"], r["pos"])):
+        by.setdefault(r["person_id"], []).append(r)
+    people = sorted(by)
+    want, total, first = {}, GB.Counts.zeros(pri, len(people)), 0
+    while first < len(people):
+        size = first + 4                       # 4, 8, 16, ...
+        new = GB.Counts.zeros(pri, len(people))
+        for a in range(first, min(first + size, len(people)), 2):
+            c = total.copy()
+            for person in people[a:min(a + 2, first + size)]:
+                X = np.array([r["x"] for r in by[person]])
+                z = GB.draw_sequence(X, X.sum(axis=1), c, pri, GB.seeded_rng(3, -1, person))
+                want |= {r["job_id"]: int(s) for r, s in zip(by[person], z)}
+                new.start[z[0]] += 1
+                np.add.at(new.trans, (z[:-1], z[1:]), 1)
+                np.add.at(new.topics, z, X.round(12))
+                np.add.at(new.totals, z, X.sum(axis=1))
+        new.tots = new.trans.sum(axis=1)
+        total.add(new)
+        first += size
+    assert got == want
+    for name in ("start", "trans", "tots", "topics", "totals"):
+        assert np.allclose(getattr(counts, name), getattr(total, name), rtol=1e-9)
+    assert counts.start.sum() == len(people) and len(set(got.values())) > 1
 
 
 def test_resample_restores_counts():
+    """Bit for bit, also where subtracting and adding again would not."""
     rng = np.random.default_rng(0)
     S, T = 3, 5
-    c = GB.Counts(np.full(S, 5.0), np.full((S, S), 4.0), np.full(S, 12.0),
-                  np.full((S, T), 3.0), np.full(S, 15.0), 15)
-    X = rng.gamma(1.0, 1.0, size=(3, T))
-    z = np.array([1, 1, 1])                       # equal previous / own / next state
-    GB._add_sequence(c, z, X, X.sum(axis=1), 1.0)  # global counts include the history itself
-    before = [a.copy() for a in (c.start, c.trans, c.tots, c.topics, c.totals)]
-    z_new, _ = GB.resample_sequence(z, X, X.sum(axis=1), c, GB.Priors(S, T), rng)
-    for a, b in zip(before, (c.start, c.trans, c.tots, c.topics, c.totals)):
-        assert np.allclose(a, b)
-    assert z_new.shape == (3,)
-    # a one-job and a two-job history also run
-    for zz in (np.array([0]), np.array([0, 2])):
+    c = GB.Counts(np.full(S, 5.0), np.full((S, S), 4.0), np.full(S, 12.0), np.full((S, T), 1e9 / 3), np.full(S, 1e9 / 7), 15)
+    X = rng.gamma(1.0, 1e-3, size=(3, T))
+    for zz in (np.array([1, 1, 1]), np.array([0]), np.array([0, 2])):
+        before = c.copy()
         k = len(zz)
-        GB._add_sequence(c, zz, X[:k], X[:k].sum(axis=1), 1.0)
-        GB.resample_sequence(zz, X[:k], X[:k].sum(axis=1), c, GB.Priors(S, T), rng)
+        for _ in range(10):
+            z_new, _ = GB.resample_sequence(zz, X[:k], X[:k].sum(axis=1), c, GB.Priors(S, T), rng)
+            assert z_new.shape == (k,)
+        for name in ("start", "trans", "tots", "topics", "totals"):
+            assert np.array_equal(getattr(c, name), getattr(before, name))
+
+
+def test_lgamma_expression(spark):
+    from math import lgamma
+
+    from jobtrails.functions.special import lgamma as column
+
+    values = [1e-9, 0.3, 1.0, 1.5, 7.9, 15.999, 16.0, 170.0, 1e6, 1e15]
+    d = spark.createDataFrame([(v,) for v in values], "x double")
+    for r in d.select("x", column(F.col("x")).alias("y")).collect():
+        assert r["y"] == pytest.approx(lgamma(r["x"]), rel=1e-12, abs=1e-12)
+
+
+def test_scores_run_without_python(spark):
+    import __spark_entry__ as E
+    for name in ("state_topic_loglik", "state_seq_loglik"):
+        plan = E.queries()[name](spark, SF01)._jdf.queryExecution().toString()
+        assert not any(x in plan for x in ("Pandas", "Arrow", "Python"))
 
 
 def test_lda_empty_and_unknown_documents(spark):
