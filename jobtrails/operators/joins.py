@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from jobtrails.functions import location as LOC
 from jobtrails.functions import text as TX
+from jobtrails.operators.sequences import normalise, range_running
 
 
 # ---------------------------------------------------------------- D1/D2 matching
@@ -145,7 +146,7 @@ def _cover_parts(stints: DataFrame, person: str, order: Sequence[str], company:
     A stint a covers a stint b that starts strictly inside a's years, or in
     a's first or last year with b later in row order.  Strict covers follow
     from running totals over a company's years; the two touching years from
-    running counts inside (company, year).
+    running counts inside (company, year), split by ranges.
 
     Returns (company, _s, _e) groups with their size, the strict covers of one
     member (``inside``) and the strict covers that hold it (``around``); and
@@ -183,12 +184,12 @@ def _cover_parts(stints: DataFrame, person: str, order: Sequence[str], company:
         F.struct(F.col("_s").alias("_y"), F.lit(1).alias("member")),
         F.struct(F.when(F.col("_ok") & (F.col("_e") > F.col("_s")), F.col("_e")).alias("_y"), F.lit(0).alias("member"))
     )).alias("k")).select(company, person, "_ord", "_ok", "k._y", "k.member").where(F.col("_y").isNotNull())
-    w = Window.partitionBy(company, "_y").orderBy("_ord")
-    after = F.coalesce(F.sum("member").over(w.rowsBetween(1, Window.unboundedFollowing)), F.lit(0))
+    # running counts over a range-partitioned sort: a company's year may span many tasks
     opens = F.when((F.col("member") == 0) | F.col("_ok"), 1).otherwise(0)
-    before = F.coalesce(F.sum(opens).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    touch = range_running(touch, [company, "_y"], ["_ord"], {"_members": F.col("member"), "_opens": opens})
+    after = F.col("_members_total") - F.col("_members") - F.col("member")
     touch = touch.select(company, person, F.when(opens == 1, after).otherwise(0).alias("covers"),
-                         F.when(F.col("member") == 1, before).otherwise(0).alias("covered"))
+                         F.when(F.col("member") == 1, F.col("_opens")).otherwise(0).alias("covered"))
     return groups, touch
 
 
@@ -409,8 +410,7 @@ def state_word_mix(state_topics: DataFrame, topic_words: DataFrame, n_words: int
 
     ``state_topics``: (state, topic, mass); ``topic_words``: (topic, word, weight).
     """
-    share = state_topics.withColumn(
-        "share", F.col("mass") / F.sum("mass").over(Window.partitionBy("state")))
+    share = normalise(state_topics, "state", "mass", out="share")
     wt = Window.partitionBy("topic").orderBy(F.col("weight").desc(), F.col("word").desc())
     tw = topic_words.withColumn("_r", F.row_number().over(wt)).where(F.col("_r") <= words_per_topic)
     scores = (share.join(tw, "topic")

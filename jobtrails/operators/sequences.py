@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobtrails.functions import text as T
@@ -94,6 +94,48 @@ def range_forward_fill(df: DataFrame, group: str, order: Sequence[Column | str],
     return j.drop(*drop)
 
 
+def range_running(df: DataFrame, group: str | Sequence[str], order: Sequence[Column | str],
+                  sums: dict[str, Column], rank: str | None = None) -> DataFrame:
+    """Weighted prefix sums: for each name in ``sums`` the sum of its expression
+    over the rows of the group that stand before the row in ``order`` (0 at the
+    start), and as ``<name>_total`` that over the whole group; ``rank`` also
+    adds the row number.  No group has to fit one task.
+
+    Rows are globally sorted (range partitioning splits a hot group) and
+    checkpointed, so that partition ids are stable; sums run inside each
+    (partition, group) run, and a table with a row for each run carries the
+    totals of the runs before it.  A null group is a group.
+    """
+    group = [group] if isinstance(group, str) else list(group)
+    order = [F.col(o) if isinstance(o, str) else o for o in order]
+    srt = (df.select("*", *[c.alias(f"_v_{k}") for k, c in sums.items()])
+             .orderBy(*group, *order)
+             .withColumn("_pid", F.spark_partition_id())
+             .withColumn("_mid", F.monotonically_increasing_id())
+             .checkpoint())
+    run = Window.partitionBy("_pid", *group).orderBy("_mid").rowsBetween(Window.unboundedPreceding, -1)
+    for k in sums:
+        srt = srt.withColumn(f"_r_{k}", F.sum(f"_v_{k}").over(run))
+    own = [F.col(g).alias(f"_g{i}") for i, g in enumerate(group)]
+    runs = srt.groupBy(F.col("_pid").alias("_p"), *own).agg(
+        F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"), *[F.sum(f"_v_{k}").alias(f"_s_{k}") for k in sums])
+    whole = Window.partitionBy(*[f"_g{i}" for i in range(len(group))])  # a row for each run
+    before = whole.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select("_p", *[f"_g{i}" for i in range(len(group))], "_first",
+                       F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
+                       *[F.coalesce(F.sum(f"_s_{k}").over(before), F.lit(0)).alias(f"_c_{k}") for k in sums],
+                       *[F.sum(f"_s_{k}").over(whole).alias(f"{k}_total") for k in sums])
+    same = F.col("_pid") == F.col("_p")
+    for i, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    j = srt.join(runs, same)
+    if rank:
+        j = j.withColumn(rank, (F.col("_off") + F.col("_mid") - F.col("_first") + 1).cast("bigint"))
+    return j.select(*df.columns, *([rank] if rank else []),
+                    *[(F.coalesce(F.col(f"_r_{k}"), F.lit(0)) + F.col(f"_c_{k}")).alias(k) for k in sums],
+                    *[f"{k}_total" for k in sums])
+
+
 def stint_fill(df: DataFrame, person: str = "person_id", pos: str = "pos",
                start: str = "start_dt", end: str = "end_dt", skew_safe: bool = False) -> DataFrame:
     """Repair missing stint dates within each person's history.
@@ -298,19 +340,16 @@ def length_histogram(lengths: DataFrame, n: str = "n", cap: int = 20) -> DataFra
 def mass_cutoff(df: DataFrame, group: str, item: str, weight: str,
                 threshold: float = 0.5) -> DataFrame:
     """Per group, items by weight desc (then item desc) kept until the
-    cumulative mass *exceeds* the threshold; the crossing item is kept."""
-    w = Window.partitionBy(group).orderBy(F.col(weight).desc(), F.col(item).desc())
-    before = F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return (df.withColumn("_before", F.coalesce(before, F.lit(0.0)))
-              .where(F.col("_before") <= threshold)
-              .withColumn("rank", F.row_number().over(w).cast("bigint"))
-              .drop("_before"))
+    cumulative share of the group's weight *exceeds* the threshold; the crossing
+    item is kept.  Weights may be counts, which are summed exactly, or shares."""
+    d = range_running(df, group, [F.col(weight).desc(), F.col(item).desc()], {"_before": F.col(weight)}, rank="rank")
+    return d.where(F.col("_before") <= F.col("_before_total") * F.lit(threshold)).drop("_before", "_before_total")
 
 
 def normalise(df: DataFrame, group: str, n: str, out: str = "weight") -> DataFrame:
-    """Row-normalise counts within each group."""
-    return df.withColumn(out, F.col(n) / F.sum(n).over(Window.partitionBy(group)))
-
-
-def spark_of(df: DataFrame) -> SparkSession:
-    return df.sparkSession
+    """Row-normalise counts within each group: totals by partial aggregation,
+    joined back (one row for each group, so adaptive execution broadcasts them
+    when they measure small)."""
+    totals = df.groupBy(group).agg(F.sum(n).alias("_total"))
+    return df.join(totals.withColumnRenamed(group, "_group"), F.col(group).eqNullSafe(F.col("_group"))) \
+             .withColumn(out, F.col(n) / F.col("_total")).select(*[c for c in df.columns if c != out], out)

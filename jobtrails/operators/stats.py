@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobtrails.operators.sequences import range_row_number, topk_per_group
+from jobtrails.operators.sequences import range_row_number, range_running, topk_per_group
 
 LABEL_OTHER = "* other *"
 LABEL_MISSING = "* missing *"
@@ -91,17 +91,33 @@ def jobs_per_resume(jobs: DataFrame, person: str = "person_id", max_jobs: int =
                 .where(F.col("n_jobs") < max_jobs))
 
 
+def exact_median(df: DataFrame, col: str) -> Column:
+    """Median (mid-point of the middle two) as a scalar sub-query: the distinct
+    values are counted, sorted over ranges and summed up with carried totals, so
+    no task holds them all; null for an empty column."""
+    counts = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("_value")).agg(_count().alias("_n"))
+    d = range_running(counts.withColumn("_all", F.lit(0)), "_all", ["_value"], {"_before": F.col("_n")})
+    total, first = F.col("_before_total"), F.col("_before")
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((first <= rank) & (rank < first + F.col("_n")), F.col("_value")))
+
+    return d.agg(((at(F.floor((total - 1) / 2)).cast("double") + at(F.floor(total / 2)).cast("double")) / 2)
+                 .alias("median")).scalar()
+
+
 def count_stats(df: DataFrame, col: str, threshold: int = 0) -> DataFrame:
     """(mean, median, #above threshold, N) when threshold > 0, else
     (mean, median, min, max).  Median is exact (mid-point of the middle two)."""
     c = F.col(col)
-    base = [F.round(F.avg(c), 6).alias("mean"), F.round(F.median(c), 6).alias("median")]
     if threshold > 0:
         extra = [F.count_if(c > threshold).cast("bigint").alias("n_above"),
                  _count().cast("bigint").alias("n")]
     else:
         extra = [F.min(c).alias("min"), F.max(c).alias("max")]
-    return df.agg(*base, *extra)
+    names = ["n_above", "n"] if threshold > 0 else ["min", "max"]
+    return df.agg(F.round(F.avg(c), 6).alias("mean"), *extra).select(
+        "mean", F.round(exact_median(df, col), 6).alias("median"), *names)
 
 
 def salary_stats(people: DataFrame, currency: str = "USD", salary: str = "salary",
@@ -188,11 +204,8 @@ def state_mobility(means: DataFrame, s1: str = "s1", s2: str = "s2", value: str
     threshold; the n most and n least mobile states.  A state with no
     outgoing mass gets null."""
     d = means.where(F.col(s1) != F.col(s2))
-    w = Window.partitionBy(s1).orderBy(F.col(value).desc(), F.col(s2).asc())
-    total = F.sum(value).over(Window.partitionBy(s1))
-    before = F.coalesce(F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    d = d.withColumn("_before_share", before / total)
-    counts = (d.where(F.col("_before_share") <= threshold)
+    d = range_running(d, s1, [F.col(value).desc(), F.col(s2).asc()], {"_before": F.col(value)})
+    counts = (d.where(F.col("_before") <= F.col("_before_total") * threshold)
                .groupBy(s1).agg(F.when(F.max(F.col(value)) > 0, _count()).cast("bigint")
                                 .alias("n_states")))
     most = counts.orderBy(F.col("n_states").desc_nulls_last(), F.col(s1).asc()).limit(n)

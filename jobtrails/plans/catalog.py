@@ -229,7 +229,7 @@ def q_length_histogram(spark, sf_dir):
 @query("mass_cutoff")
 def q_mass_cutoff(spark, sf_dir):
     tw = SQ.normalise(V.topic_words_v(_t(spark, sf_dir)), "topic", "n")
-    out = SQ.mass_cutoff(tw, "topic", "word", "weight", threshold=0.5)
+    out = SQ.mass_cutoff(tw, "topic", "word", "n", threshold=0.5)
     return out.select("topic", "word", "n", F.round("weight", 6).alias("weight"), "rank")
 
 

@@ -365,13 +365,13 @@ select length, cast(n_seqs as bigint) as n_seqs, round(n_seqs / sum(n_seqs) over
     "events_v")
 
 add("mass_cutoff", """
-with t as (select topic, word, n, cast(n as double) / sum(n) over (partition by topic) as weight
-           from topic_words_v),
-r as (select *, coalesce(sum(weight) over (partition by topic order by weight desc, word desc
-                                           rows between unbounded preceding and 1 preceding), 0) as before,
-             row_number() over (partition by topic order by weight desc, word desc) as rank
-      from t)
-select topic, word, n, round(weight, 6) as weight, cast(rank as bigint) as rank from r where before <= 0.5""",
+with r as (select topic, word, n, sum(n) over (partition by topic) as total,
+             coalesce(sum(n) over (partition by topic order by n desc, word desc
+                                   rows between unbounded preceding and 1 preceding), 0) as before,
+             row_number() over (partition by topic order by n desc, word desc) as rank
+      from topic_words_v)
+select topic, word, n, round(cast(n as double) / total, 6) as weight, cast(rank as bigint) as rank
+from r where 2 * before <= total""",
     "topic_words_v")
 
 add("topk_per_group", """
