@@ -29,6 +29,7 @@ from jobtrails.sources import resume_xml as RX
 from jobtrails.sources import sequences_io as SIO
 from jobtrails.sources import splits as SP
 from jobtrails.sources import tables as V
+from jobtrails.sources import xml_tags as XT
 from jobtrails.sources.gazetteer import gazetteer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,8 +75,7 @@ TRAIN_PCT = 80
 # iterative or randomised models.
 ROWS_ONLY: set[str] = {"bigram_replace", "clean_descriptions",
                        "lda_topics", "lda_topic_words", "lda_transform_heldout", "hmm_fit_em",
-                       "hmm_score", "hmm_decode_next", "gibbs_hmm_fit", "gibbs_resume",
-                       "attr_histograms_xml"}
+                       "hmm_score", "hmm_decode_next", "gibbs_hmm_fit", "gibbs_resume"}
 
 
 # ---------------------------------------------------------------- B: scalar functions
@@ -562,7 +562,19 @@ def q_src_xml_resumes(spark, sf_dir):
 
 @query("attr_histograms_xml")
 def q_attr_histograms_xml(spark, sf_dir):
-    return ST.element_histograms(RX.attr_rows(_raw_resumes(spark, sf_dir)), topn=10)
+    return ST.element_histograms(XT.attr_rows(XT.tag_counts(spark, xml_shards(spark, sf_dir))), topn=10)
+
+
+def _broken_shard(spark, sf_dir) -> str:
+    return RX.write_broken_shard(_t(spark, sf_dir).customer, stage_path(spark, "xml_broken"))
+
+
+@query("xml_bad_records")
+def q_xml_bad_records(spark, sf_dir):
+    """Records that the reader can't parse; those around them stay."""
+    raw = RX.read_resumes(spark, _broken_shard(spark, sf_dir))
+    sound = RX.sound_records(raw).select("ResumeID", F.lit(None).cast("string").alias("record"))
+    return RX.corrupt_records(raw).unionByName(sound).withColumnRenamed("ResumeID", "resume_id")
 
 
 @query("etl_resumes")
@@ -582,7 +594,7 @@ def q_etl_schools(spark, sf_dir):
 
 @query("xml_schema_paths")
 def q_xml_schema_paths(spark, sf_dir):
-    return RX.xml_schema_paths(spark, xml_shards(spark, sf_dir))
+    return XT.schema_paths(XT.tag_counts(spark, xml_shards(spark, sf_dir)))
 
 
 @query("parse_flags")

@@ -743,14 +743,16 @@ from people""")
 def _schema_paths_sql() -> str:
     """The elements of the résumé documents, by parent."""
     tree = {
-        "resume": "CommuteDistance CurrencyName DateCreated DateModified DesiredJobTitle PreferWeekends ResumeID "
+        "resume": "Badge CommuteDistance CurrencyName DateCreated DateModified DesiredJobTitle PreferWeekends ResumeID "
                   "ResumeTitle Salary WantsContract WantsFullTime WantsIntern WantsOvertime WantsPartTime WantsPerDiem "
                   "WantsPermanent WantsSeasonal WantsTemp WantsWeekends WillRelocate WillingnessToTravelInternalName "
-                  "education experience locations",
+                  "education experience extras locations",
         "resume/education": "schoolrecord",
         "resume/education/schoolrecord": "City CompleteMonth CompleteYear GPA School SchoolId State",
         "resume/experience": "experiencerecord",
         "resume/experience/experiencerecord": "Company Description EndMonth EndYear Location StartMonth StartYear Title",
+        "resume/extras": "extra",
+        "resume/extras/extra": "Kind Level",
         "resume/locations": "location",
         "resume/locations/location": "StateAbbrev",
     }
@@ -760,6 +762,76 @@ def _schema_paths_sql() -> str:
 
 add("xml_schema_paths", _schema_paths_sql())
 
+def _attr_histograms_xml_sql() -> str:
+    """Every element with its children's values, by the fixture's formulas."""
+    flag_values = "['True', 'False', '1', '0', 'TRUE', NULL]"
+    tags = ("WantsPermanent WantsContract WantsIntern WantsTemp WantsFullTime WantsPartTime WantsPerDiem WantsOvertime "
+            "WantsWeekends PreferWeekends WantsSeasonal WillRelocate").split()
+    k = "c_custkey"
+    half = f"case when {k} % 2 = 0 then 'AM' else 'PM' end"
+    created = f"({k} % 12 + 1) || '/' || ({k} % 28 + 1) || '/' || (2000 + {k} % 10) || ' ' || ({k} % 12 + 1) || ':05:00 ' || {half}"
+    of = {  # (element, source): (attr, value) of its children, a null value where there is none
+        ("resume", "people left join nj on nj.person_id = c_custkey"): [
+            ("ResumeID", f"cast({k} as varchar)"),
+            *[(t, f"{flag_values}[({k} + {i}) % 6 + 1]") for i, t in enumerate(tags)],
+            ("Salary", "cast(c_acctbal as varchar)"), ("CurrencyName", "c_mktsegment"),
+            ("CommuteDistance", "cast(c_nationkey as varchar)"), ("DesiredJobTitle", "c_name || '!'"), ("ResumeTitle", "c_name"),
+            ("WillingnessToTravelInternalName", f"case when {k} % 5 = 0 then 'Up to 25% travel' end"),
+            ("DateCreated", created), ("DateModified", created),
+            ("locations.location_count", f"case when {k} % 3 = 0 then '3' else '2' end"),
+            ("experience.experiencerecord_count", "cast(nj.n as varchar)"), ("education.schoolrecord_count", "'1'"),
+            ("Badge", f"case when {k} % 4 = 0 then 'badge ' || ({k} % 7) end"),
+            ("extras.extra_count", f"case when {k} % 3 = 0 then '2' end")],
+        ("resume/locations", "people, (select unnest([1, 2, 3]) as i) where i < 3 or c_custkey % 3 = 0"): [
+            ("location.StateAbbrev_count", "'1'")],
+        ("resume/locations/location", "people, (select unnest([1, 2, 3]) as i) where i < 3 or c_custkey % 3 = 0"): [
+            ("StateAbbrev", "case when i < 3 then code else 'MA' end")],
+        ("resume/education", "people"): [("schoolrecord.City_count", "'7'")],
+        ("resume/education/schoolrecord", "people"): [
+            ("City", "n_name"), ("State", "'Region'"), ("School", "'School of ' || n_name"), ("SchoolId", "cast(n_nationkey as varchar)"),
+            ("CompleteYear", f"cast(1970 + {k} % 30 as varchar)"), ("CompleteMonth", f"cast({k} % 13 as varchar)"),
+            ("GPA", f"printf('%.2f', ({k} % 400) / 100.0)")],
+        ("resume/experience", "jobs"): [
+            ("experiencerecord.Company_count", "cast(3 + (pos % 6 <> 0)::int + 2 * (start_dt is not null)::int"
+                                               " + 2 * (end_dt is not null)::int as varchar)")],
+        ("resume/experience/experiencerecord", "jobs"): [
+            ("Company", "company"), ("Location", "location"), ("Title", "title"),
+            ("Description", "case when pos % 6 <> 0 then title || ' work at ' || company end"),
+            ("StartYear", "cast(year(start_dt) as varchar)"), ("StartMonth", "cast(month(start_dt) as varchar)"),
+            ("EndYear", "cast(year(end_dt) as varchar)"), ("EndMonth", "cast(month(end_dt) as varchar)")],
+        ("resume/extras", "people, (select unnest([1, 2]) as i) where c_custkey % 3 = 0"): [
+            ("extra." + "Kind_count", "case when i = 1 then '2' else '1' end")],
+        ("resume/extras/extra", "people, (select unnest([1, 2]) as i) where c_custkey % 3 = 0"): [
+            ("Kind", "case when i = 1 then 'club' else 'prize' end"), ("Level", f"case when i = 1 then cast({k} % 5 as varchar) end")],
+    }
+    rows = " union all ".join(f"select '{e}' as element, '{a}' as attr, {v} as value from {src}"
+                              for (e, src), kids in of.items() for a, v in kids)
+    total = {"resume": "people", "resume/locations": "people", "resume/education": "people",
+             "resume/experience": "(select distinct person_id from jobs)",
+             "resume/extras": "(select 1 from people where c_custkey % 3 = 0)"}
+    totals = " union all ".join(f"select '{e}' as element, (select count(*) from {total.get(e, src)}) as t" for e, src in of)
+    return f"""
+with {_xml_people_sql()},
+jobs as (select j.* from jobs_v j join people p on p.c_custkey = j.person_id),
+nj as (select person_id, count(*) as n from jobs group by person_id),
+l as (select * from ({rows}) where value is not null),
+tt as ({totals}),
+c as (select element, attr, value, count(*) as n from l group by all),
+r as (select *, row_number() over (partition by element, attr order by n desc, value asc) as rk from c),
+f as (select element, attr, case when rk < 10 then value else '* other *' end as value, sum(n) as n from r group by all),
+p as (select element, attr, sum(n) as p from c group by all)
+select element, attr, value, cast(n as bigint) as n from f
+union all
+select element, attr, '* missing *', cast(t - p as bigint) from p join tt using (element) where p < t"""
+
+
+add("attr_histograms_xml", _attr_histograms_xml_sql(), "jobs_v")
+
+add("xml_bad_records", """
+select case when c_custkey % 3 <> 0 then cast(c_custkey as varchar) end as resume_id,
+       case when c_custkey % 3 = 0 then '<resume><ResumeID>' || c_custkey || '</Resume></resume>' end as record
+from customer""")
+
 add("parse_flags", f"""
 with {_xml_people_sql()}
 select cast(c_custkey as integer) as resume_id, wants_permanent, wants_contract, wants_intern, wants_temp,

@@ -437,32 +437,75 @@ def test_malformed_records_go_to_their_own_table(spark, tmp_path):
     assert len(bad) == 1 and "broken" in bad[0]["record"]
 
 
+def test_malformed_record_in_the_middle_costs_only_itself(spark, tmp_path):
+    from jobtrails.sources import resume_xml as RX
+    (tmp_path / "r.xml").write_text("<resumes>" + "".join(
+        f"<resume><ResumeID>{i}</Resume{'ID' * (i % 4 != 1)}></resume>\n" for i in range(40)) + "</resumes>")
+    raw = RX.read_resumes(spark, str(tmp_path / "r.xml"))
+    assert sorted(r["resume_id"] for r in RX.etl_resumes(raw).collect()) == [i for i in range(40) if i % 4 != 1]
+    assert len(RX.corrupt_records(raw).collect()) == 10
+
+
+def test_xml_records_are_cut_one_by_one():
+    from jobtrails.sources import xml_tags as XT
+
+    def cut(chunk):
+        return [(text, tree is not None) for text, tree in XT.records(chunk, "resume")]
+
+    assert cut("<resumes>\n<resume a='1'><A>x</A>") == [("<resume a='1'><A>x</A></resume>", True)]
+    assert cut("\n</resumes>") == [] and cut("") == []
+    assert cut("<resume><A>1</B>") == [("<resume><A>1</B></resume>", False)]
+    # one that was never closed, then a sound one
+    assert cut("<resume><A>1</A>\n<resume><B/>") == [("<resume><A>1</A>\n", False), ("<resume><B/></resume>", True)]
+    assert cut("<resume /><resume>") == [("<resume />", True), ("<resume></resume>", True)]
+
+
 def test_xml_attribute_histograms(spark, tmp_path):
+    """Every tag of the data, also those that no schema names, in plain and
+    gzip files; malformed records leave the others alone."""
+    import gzip
     import xml.etree.ElementTree as ET
     from collections import Counter
 
     from jobtrails.operators import stats
-    from jobtrails.sources import resume_xml
+    from jobtrails.sources import xml_tags as XT
 
     job = "<experiencerecord><Company>c{0}</Company>{1}</experiencerecord>"
-    text = "<resumes>" + "".join(
-        f"<resume><ResumeID>{i}</ResumeID>" + (f"<Salary>{i % 2}</Salary>" if i % 3 else "")
+    texts = ["<resumes>" + "".join(
+        f"<resume id='{i}'><ResumeID>{i}</ResumeID>" + (f"<Salary>{i % 2}</Salary>" if i % 3 else "<Salary/>")
+        + (f"<Odd><Thing><Deep>{i % 3}</Deep></Thing><Other>&amp; é</Other></Odd>" if i % 7 == part else "")
         + ("<experience>" + "".join(job.format(k, "<Title>t</Title>" * (k % 2)) for k in range(i % 4 + 1)) + "</experience>"
-           if i % 5 else "") + "</resume>" for i in range(24)) + "</resumes>"
-    (tmp_path / "a.xml").write_text(text)
-    raw = resume_xml.read_resumes(spark, str(tmp_path / "a.xml"))
+           if i % 5 else "") + "</resume>" for i in range(24)) + "</resumes>" for part in (0, 1)]
+    broken = "<resume><ResumeID>7</Wrong></resume><resume><Never>closed</Never>\n"
+    (tmp_path / "a.xml").write_text(texts[0].replace("<resume id='5'>", broken + "<resume id='5'>"))
+    with gzip.open(tmp_path / "b.xml.gz", "wt") as f:
+        f.write(texts[1])
+    counts = XT.tag_counts(spark, str(tmp_path))
     got = {(r["element"], r["attr"], r["value"]): r["n"]
-           for r in stats.element_histograms(resume_xml.attr_rows(raw), topn=10).collect()}
+           for r in stats.element_histograms(XT.attr_rows(counts), topn=10).collect()}
+    assert sorted(r["record"] for r in XT.bad_records(spark, str(tmp_path)).collect()) == [
+        "<resume><Never>closed</Never>\n", "<resume><ResumeID>7</Wrong></resume>"]
+
+    elements, paths = {}, set()
+    for text in texts:
+        todo = [(e, "resume") for e in ET.fromstring(text)]
+        while todo:
+            e, path = todo.pop()
+            elements.setdefault(path, []).append(e)
+            for x in e:
+                paths.add((f"{path}/{x.tag}", path))
+                todo.append((x, f"{path}/{x.tag}"))
     want = Counter()
-    for element in ("resume", "experiencerecord"):
-        elements, hists = list(ET.fromstring(text).iter(element)), {}
-        for e in elements:
+    for element, found in elements.items():
+        hists = {}
+        for e in found:
             for x in e:
                 name, value = (f"{x.tag}.{x[0].tag}_count", str(len(x))) if len(x) else (x.tag, x.text)
                 hists.setdefault(name, Counter())[value] += 1
         for name, h in hists.items():
-            top = sorted(h.items(), key=lambda y: (-y[1], y[0]))[:9]
+            top = sorted(h.items(), key=lambda y: (-y[1], y[0] is not None, y[0] or ""))[:9]
             want.update({(element, name, v): n for v, n in top})
-            rest, none = sum(h.values()) - sum(n for _, n in top), len(elements) - sum(h.values())
-            want.update({(element, name, v): n for v, n in (("* other *", rest), ("* missing *", none)) if n})
-    assert got == dict(want) and ("resume", "experience.experiencerecord_count", "* missing *") in got
+            rest, none = sum(h.values()) - sum(n for _, n in top), len(found) - sum(h.values())
+            want.update({(element, name, v): n for v, n in (("* other *", rest), ("* missing *", none)) if n > 0})
+    assert got == dict(want) and ("resume/Odd", "Thing.Deep_count", "1") in got
+    assert {tuple(r) for r in XT.schema_paths(counts).collect()} == paths
