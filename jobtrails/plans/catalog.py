@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -75,7 +76,8 @@ TRAIN_PCT = 80
 # iterative or randomised models.
 ROWS_ONLY: set[str] = {"bigram_replace", "clean_descriptions",
                        "lda_topics", "lda_topic_words", "lda_transform_heldout", "hmm_fit_em",
-                       "hmm_score", "hmm_decode_next", "gibbs_hmm_fit", "gibbs_resume"}
+                       "hmm_score", "hmm_decode_next", "hmm_topics_next", "gibbs_hmm_fit",
+                       "gibbs_resume"}
 
 
 # ---------------------------------------------------------------- B: scalar functions
@@ -811,13 +813,12 @@ def _hmm_data(spark, sf_dir):
     vocab, enc_train = ST.vocab_encode(counted, train)
     enc_test = test.join(vocab.select("title", "id"), "title", "left") \
                    .withColumn("id", F.coalesce("id", F.lit(0).cast("bigint")))
-    n_symbols = int(vocab.agg(F.max("id")).first()[0] or 0) + 1
-    return vocab, enc_train, enc_test, n_symbols
+    return vocab, enc_train, enc_test
 
 
 def _hmm_model(spark, sf_dir, n_states=8, n_iter=8):
-    vocab, enc_train, enc_test, v = _hmm_data(spark, sf_dir)
-    model = HM.fit_em(enc_train, n_states, v, n_iter=n_iter, seed=3)
+    vocab, enc_train, enc_test = _hmm_data(spark, sf_dir)
+    model = HM.fit_em(enc_train, n_states, n_iter=n_iter, seed=3)
     return model, vocab, enc_test
 
 
@@ -841,6 +842,83 @@ def q_hmm_decode_next(spark, sf_dir):
     return nxt.join(labels, "next_id", "left")
 
 
+def _numbered(df, label: str):
+    """The rows with an id from 0 for each distinct label, in label order."""
+    ids = SQ.range_row_number(df.select(label).distinct().withColumn("_all", F.lit(0)), "_all", [label], "id")
+    return df.join(ids.select(label, (F.col("id") - 1).alias("id")), label)
+
+
+def _given_model(spark, encoded, n_states=3) -> HM.HmmModel:
+    """A model by formula over the symbols of ``encoded``, so that SQL has it too."""
+    weight = lambda i, j: 1 + ((7 * i + 3 * j + 1) ** 2 * 0.1234567) % 1 + 2 * (i == j)
+    A = np.array([[weight(i, j) for j in range(n_states)] for i in range(n_states)])
+    pi = np.array([1.0 + i for i in range(n_states)])
+    cs = [(1 + ((F.lit(5 * i + 2) + 3 * F.col("sym")) * (F.lit(5 * i + 2) + 3 * F.col("sym")) * 0.7654321) % 1).alias(f"c{i}")
+          for i in range(n_states)]
+    symbols = encoded.select(F.col("id").alias("sym")).distinct().select("sym", *cs)
+    return HM.HmmModel(pi / pi.sum(), A / A.sum(axis=1, keepdims=True), HM._emission_table(symbols, n_states))
+
+
+def _given_events(spark, sf_dir):
+    enc = _numbered(V.events_v(_t(spark, sf_dir)).select("person_id", "pos", "title"), "title")
+    return enc, _given_model(spark, enc)
+
+
+@query("hmm_em_step")
+def q_hmm_em_step(spark, sf_dir):
+    """F8: one step of the fit, from a given model over the event histories."""
+    enc, model = _given_events(spark, sf_dir)
+    new = HM.fit_em(enc, model.n_states, n_iter=1, pos="pos", model=model)
+    return new.to_frame(spark).withColumn("value", F.round("value", 6))
+
+
+@query("hmm_score_events")
+def q_hmm_score_events(spark, sf_dir):
+    """F9 with a given model."""
+    enc, model = _given_events(spark, sf_dir)
+    return HM.score(model, enc, pos="pos").withColumn("loglik", F.round("loglik", 6))
+
+
+@query("hmm_path_events")
+def q_hmm_path_events(spark, sf_dir):
+    """the most likely states with a given model."""
+    enc, model = _given_events(spark, sf_dir)
+    return HM.decode_paths(model, enc, pos="pos").select("person_id", "pos", "state")
+
+
+@query("hmm_decode_events")
+def q_hmm_decode_events(spark, sf_dir):
+    """last and next state and the next event with a given model."""
+    enc, model = _given_events(spark, sf_dir)
+    titles = enc.select(F.col("id").alias("next_id"), F.col("title").alias("next_title")).distinct()
+    return HM.decode_next(model, enc, pos="pos").join(titles, "next_id").drop("next_id")
+
+
+def _topic_histories(spark, sf_dir):
+    """Each job's dominant topic as its symbol (labels 0..n-1)."""
+    tv = V.topics_v(_t(spark, sf_dir))
+    top = TOP.dominant_topic(tv, "job_id", "embedding").withColumnRenamed("label", "id")
+    return tv.select("job_id", "person_id", (F.col("pos") + 1).alias("pos")).join(top, "job_id")
+
+
+@query("hmm_topics_next")
+def q_hmm_topics_next(spark, sf_dir):
+    """F8-F10 on dominant topics: fitted on the training people, the topic that
+    each held-out history is expected to go on with."""
+    s = SP.split_by_hash(_topic_histories(spark, sf_dir), "person_id", TRAIN_PCT).checkpoint()
+    model = HM.fit_em(s.where("split = 'train'"), 6, n_iter=6, seed=3, pos="pos")
+    nxt = HM.decode_next(model, s.where("split = 'test'"), pos="pos")
+    topics = s.select(F.col("id").alias("next_id"), F.col("topic").alias("next_topic")).distinct()
+    return nxt.join(topics, "next_id").drop("next_id")
+
+
+@query("hmm_topics_path")
+def q_hmm_topics_path(spark, sf_dir):
+    """F10 on dominant topics with a given model."""
+    enc = _topic_histories(spark, sf_dir)
+    return HM.decode_paths(_given_model(spark, enc), enc, pos="pos").select("person_id", "pos", "state")
+
+
 def _gibbs_docs(spark, sf_dir):
     tv = V.topics_v(_t(spark, sf_dir))
     return tv.select("job_id", "person_id", "pos", "state", F.col("embedding").alias("x"))

@@ -1000,6 +1000,91 @@ select state, cast(t_rank as bigint) as t_rank, sh.topic, round(share, 6) as sha
 from sh join w on sh.topic = w.topic where t_rank <= 10 and w_rank <= 6""", "topics_v", "topic_words_v")
 
 
+# ---------------------------------------------------------------- hidden Markov model with given parameters
+def _hmm_ctes(source: str, label: str) -> tuple[str, list[list[float]]]:
+    """The given model (three states) and, for every position of every history
+    of ``source`` (person_id, pos, label), the recursions of the model."""
+    S = range(3)
+    w = [[1 + ((7 * i + 3 * j + 1) ** 2 * 0.1234567) % 1 + 2 * (i == j) for j in S] for i in S]
+    A = [[x / sum(row) for x in row] for row in w]
+    pi = [(1 + i) / 6 for i in S]
+    num = lambda x: f"cast({x!r} as double)"
+    into = [" + ".join(f"f.a{i} * {num(A[i][j])}" for i in S) for j in S]
+    best = [f"greatest({', '.join(f'f.d{i} + ln({num(A[i][j])})' for i in S)})" for j in S]
+    came = [" ".join(f"when f.d{i} + ln({num(A[i][j])}) = {best[j]} then {i}" for i in S) for j in S]
+    beta = [" + ".join(f"{num(A[i][j])} * f.b{j} * f.e{j}" for j in S) for i in S]
+    cols = lambda f: ", ".join(f(i) for i in S)
+    return f"""
+sy as (select {label} as label, row_number() over (order by {label}) - 1 as id from (select distinct {label} from {source}) z),
+sw as (select label, id, {cols(lambda i: f"1 + ((({5 * i + 2} + 3 * id) * ({5 * i + 2} + 3 * id)) * cast(0.7654321 as double)) % 1 as w{i}")} from sy),
+sb as (select label, id, {cols(lambda i: f"w{i} / sum(w{i}) over () as b{i}")} from sw),
+ob as (select person_id, pos, id, b0, b1, b2, count(*) over (partition by person_id) as n from {source} join sb on sb.label = {label}),
+fw as (
+  select person_id, pos, n, id, {cols(lambda j: f"{num(pi[j])} * b{j} / c as a{j}")}, c, {cols(lambda j: f"ln({num(pi[j])}) + ln(b{j}) as d{j}")},
+         {cols(lambda j: f"-1 as k{j}")}, b0 as e0, b1 as e1, b2 as e2
+  from (select *, {' + '.join(f"{num(pi[j])} * b{j}" for j in S)} as c from ob where pos = 1) z
+  union all
+  select person_id, pos, n, id, {cols(lambda j: f"p{j} / c as a{j}")}, c, d0, d1, d2, k0, k1, k2, e0, e1, e2
+  from (select *, p0 + p1 + p2 as c from (
+    select o.person_id, o.pos, o.n, o.id, {cols(lambda j: f"({into[j]}) * o.b{j} as p{j}")},
+           {cols(lambda j: f"{best[j]} + ln(o.b{j}) as d{j}")}, {cols(lambda j: f"case {came[j]} end as k{j}")},
+           o.b0 as e0, o.b1 as e1, o.b2 as e2
+    from fw f join ob o on o.person_id = f.person_id and o.pos = f.pos + 1) y) z),
+bw as (
+  select person_id, pos, cast(1 as double) as b0, cast(1 as double) as b1, cast(1 as double) as b2, e0, e1, e2, c from fw where pos = n
+  union all
+  select f.person_id, g.pos, {cols(lambda i: f"({beta[i]}) / f.c")}, g.e0, g.e1, g.e2, g.c
+  from bw f join fw g on g.person_id = f.person_id and g.pos = f.pos - 1),
+vp as (
+  select person_id, pos, case when d0 >= d1 and d0 >= d2 then 0 when d1 >= d2 then 1 else 2 end as state from fw where pos = n
+  union all
+  select v.person_id, v.pos - 1, [g.k0, g.k1, g.k2][v.state + 1]
+  from vp v join fw g on g.person_id = v.person_id and g.pos = v.pos where v.pos > 1)""", A
+
+
+def _recursive(body: str, *views: str) -> str:
+    return "with recursive" + with_views(body, *views).removeprefix("with")
+
+
+_EV_CTES, _EV_A = _hmm_ctes("events_v", "title")
+
+ORACLES["hmm_score_events"] = _recursive(f"""
+with {_EV_CTES}
+select person_id, round(sum(ln(c)), 6) as loglik from fw group by person_id""", "events_v")
+
+ORACLES["hmm_path_events"] = _recursive(f"""
+with {_EV_CTES}
+select person_id, pos, state from vp""", "events_v")
+
+ORACLES["hmm_decode_events"] = _recursive(f"""
+with {_EV_CTES},
+x as (select person_id, state as last_state, {[max(range(3), key=lambda j: row[j]) for row in _EV_A]}[state + 1] as next_state
+      from vp join (select distinct person_id, n as pos from ob) using (person_id, pos)),
+t as (select 0 as next_state, arg_max(label, b0) as next_title from sb union all select 1, arg_max(label, b1) from sb
+      union all select 2, arg_max(label, b2) from sb)
+select person_id, last_state, next_state, next_title from x join t using (next_state)""", "events_v")
+
+ORACLES["hmm_em_step"] = _recursive(f"""
+with {_EV_CTES},
+g as (select fw.id, fw.pos, {", ".join(f"fw.a{i} * bw.b{i} as g{i}" for i in range(3))} from fw join bw using (person_id, pos)),
+gl as ({" union all ".join(f"select id, pos, {i} as i, g{i} as g from g" for i in range(3))}),
+xi as ({" union all ".join(f"select {i} as i, {j} as j, sum(f.a{i} * cast({_EV_A[i][j]!r} as double) * b.e{j} * b.b{j} / b.c) as x "
+                           "from fw f join bw b on b.person_id = f.person_id and b.pos = f.pos + 1"
+                           for i in range(3) for j in range(3))}),
+r as (select 'start' as kind, i, 0 as j, sum(g) / (select sum(g) from gl where pos = 1) as value from gl where pos = 1 group by i
+      union all
+      select 'trans', i, j, x / sum(x) over (partition by i) from xi
+      union all
+      select 'emit', i, id, g / sum(g) over (partition by i) from (select i, id, sum(g) as g from gl group by i, id) z)
+select kind, cast(i as integer) as i, cast(j as integer) as j, round(value, 6) as value from r""", "events_v")
+
+_TOPIC_CTES, _ = _hmm_ctes("th", "topic")
+ORACLES["hmm_topics_path"] = _recursive(f"""
+with th as (select person_id, pos + 1 as pos, list_position(embedding, list_max(embedding)) - 1 as topic from topics_v),
+{_TOPIC_CTES}
+select person_id, pos, state from vp""", "topics_v")
+
+
 # ---------------------------------------------------------------- state-model tables and scores
 _GIBBS_DOCS = """
 gd as (select job_id, person_id, pos, state as z, embedding as x,

@@ -28,7 +28,36 @@ TRUE_A = np.array([[0.8, 0.15, 0.05], [0.1, 0.8, 0.1], [0.05, 0.15, 0.8]])
 TRUE_B = np.array([[0.7, 0.2, 0.05, 0.05], [0.05, 0.7, 0.2, 0.05], [0.05, 0.05, 0.2, 0.7]])
 
 
-def test_forward_and_viterbi_match_brute_force():
+def plain_counts(obs, pi, A, B):
+    """Textbook scaled forward-backward of one sequence: log-likelihood, state
+    posteriors, summed transition posteriors."""
+    T, S = len(obs), len(pi)
+    alpha, c = np.empty((T, S)), np.empty(T)
+    for t in range(T):
+        a = (pi if t == 0 else alpha[t - 1] @ A) * B[:, obs[t]]
+        c[t] = a.sum()
+        alpha[t] = a / c[t]
+    beta, xi = np.ones((T, S)), np.zeros((S, S))
+    for t in range(T - 2, -1, -1):
+        bb = B[:, obs[t + 1]] * beta[t + 1]
+        beta[t] = A @ bb / c[t + 1]
+        xi += np.outer(alpha[t], bb) * A / c[t + 1]
+    return np.log(c).sum(), alpha * beta, xi
+
+
+def plain_path(obs, pi, A, B):
+    d, back = np.log(pi) + np.log(B[:, obs[0]]), []
+    for o in obs[1:]:
+        m = d[:, None] + np.log(A)
+        back.append(m.argmax(axis=0))
+        d = m.max(axis=0) + np.log(B[:, o])
+    path = [int(d.argmax())]
+    for k in reversed(back):
+        path.append(int(k[path[-1]]))
+    return path[::-1]
+
+
+def test_plain_recursions_match_brute_force():
     rng = np.random.default_rng(0)
     for T in range(1, 5):
         obs = rng.integers(0, 4, size=T)
@@ -39,25 +68,96 @@ def test_forward_and_viterbi_match_brute_force():
             for t in range(1, T):
                 p *= TRUE_A[path[t - 1], path[t]] * TRUE_B[path[t], obs[t]]
             probs.append(p)
-        assert HM.forward_loglik(obs, TRUE_PI, TRUE_A, TRUE_B) == pytest.approx(np.log(sum(probs)), rel=1e-10)
-        assert tuple(HM.viterbi(obs, TRUE_PI, TRUE_A, TRUE_B)) == paths[int(np.argmax(probs))]
-        ll, gamma, xi = HM.forward_backward(obs, TRUE_PI, TRUE_A, TRUE_B)
-        assert np.allclose(gamma.sum(axis=1), 1.0)
-        # posterior of the first state by enumeration
+        ll, gamma, xi = plain_counts(obs, TRUE_PI, TRUE_A, TRUE_B)
+        assert ll == pytest.approx(np.log(sum(probs)), rel=1e-10)
+        assert tuple(plain_path(obs, TRUE_PI, TRUE_A, TRUE_B)) == paths[int(np.argmax(probs))]
         post0 = np.zeros(3)
         for path, p in zip(paths, probs):
             post0[path[0]] += p
-        assert np.allclose(gamma[0], post0 / sum(probs))
+        assert np.allclose(gamma[0], post0 / sum(probs)) and xi.sum() == pytest.approx(T - 1)
+
+
+def true_model(spark):
+    rows = [(o, TRUE_B[:, o].tolist()) for o in range(4)]
+    return HM.HmmModel(TRUE_PI, TRUE_A, spark.createDataFrame(rows, "sym bigint, b array<double>"))
+
+
+@pytest.mark.parametrize("segment,lengths", [(1024, [1, 2, 9, 30]), (16, [1200, 1, 16, 17, 33, 250, 64])])
+def test_distributed_recursions_match_plain_ones(spark, monkeypatch, segment, lengths):
+    """Histories of one segment, and of up to 75 in a tree of four levels whose
+    rows come from 50 partitions in many blocks."""
+    monkeypatch.setattr(HM, "SEGMENT", segment)
+    monkeypatch.setattr(HM, "FAN", 4)
+    monkeypatch.setattr(HM, "BLOCK_TOKENS", 100)
+    rng = np.random.default_rng(8)
+    seqs = {2**60 + i: rng.integers(0, 4, size=n) for i, n in enumerate(lengths)}
+    df = spark.createDataFrame([(k, t + 1, int(o)) for k, obs in seqs.items() for t, o in enumerate(obs)],
+                               "person_id long, seq_pos long, id long").repartition(50)
+    # no two products of these are equal, so that every best path is the only one
+    pi, A, B = (x / x.sum(axis=-1, keepdims=True) for x in (TRUE_PI + rng.random(3) / 9, TRUE_A + rng.random((3, 3)) / 9,
+                                                            TRUE_B + rng.random((3, 4)) / 9))
+    model = HM.HmmModel(pi, A, spark.createDataFrame([(o, B[:, o].tolist()) for o in range(4)], "sym bigint, b array<double>"))
+    want = {k: plain_counts(o, pi, A, B) for k, o in seqs.items()}
+    got = {r["person_id"]: r["loglik"] for r in HM.score(model, df).collect()}
+    assert got == pytest.approx({k: w[0] for k, w in want.items()}, rel=1e-9)
+
+    new = HM.fit_em(df, 3, n_iter=1, model=model)
+    start = sum(w[1][0] for w in want.values())
+    trans = sum(w[2] for w in want.values())
+    emit = np.zeros((3, 4))
+    for k, w in want.items():
+        np.add.at(emit.T, seqs[k], w[1])
+    assert np.allclose(new.pi, start / start.sum()) and np.allclose(new.A, trans / trans.sum(axis=1, keepdims=True))
+    b = {r["sym"]: r["b"] for r in new.emissions.collect()}
+    assert np.allclose([b[o] for o in range(4)], (emit / emit.sum(axis=1, keepdims=True)).T)
+    assert new.loglik == pytest.approx([sum(w[0] for w in want.values())])
+
+    paths = {}
+    for r in HM.decode_paths(model, df).collect():
+        paths.setdefault(r["person_id"], []).append((r["seq_pos"], r["state"], r["is_last"]))
+    for k, obs in seqs.items():
+        found = sorted(paths[k])
+        assert [x[1] for x in found] == plain_path(obs, pi, A, B)
+        assert [x[2] for x in found] == [False] * (len(obs) - 1) + [True]
+    nxt = {r["person_id"]: (r["last_state"], r["next_state"], r["next_id"]) for r in HM.decode_next(model, df).collect()}
+    for k, obs in seqs.items():
+        last = plain_path(obs, pi, A, B)[-1]
+        assert nxt[k] == (last, A[last].argmax(), B[A[last].argmax()].argmax())
+
+
+def test_hmm_of_unseen_symbols_text_keys_and_empty_tables(spark, tmp_path):
+    HM.save_model(true_model(spark), str(tmp_path / "m"))
+    model = HM.load_model(spark, str(tmp_path / "m"))
+    df = spark.createDataFrame([("a", 1, 0), ("a", 2, 99), ("b", 1, None), ("c", 1, 3)], "p string, seq_pos long, id long")
+    got = {r["p"]: r["loglik"] for r in HM.score(model, df, seq="p").collect()}
+    assert got["c"] == pytest.approx(np.log(TRUE_PI @ TRUE_B[:, 3]))
+    assert got["b"] == pytest.approx(np.log(1e-300)) and got["a"] < np.log(1e-300) + 1
+    assert HM.decode_next(model, df, seq="p").count() == 3
+    none = df.limit(0)
+    assert HM.score(model, none, seq="p").collect() == [] and HM.decode_next(model, none, seq="p").collect() == []
+    fitted = HM.fit_em(none, 2, n_iter=1, seq="p")
+    assert fitted.emissions.collect() == [] and np.allclose(fitted.A.sum(axis=1), 1)
+
+
+def test_drawn_symbols_follow_the_emissions(spark):
+    model = true_model(spark)
+    asked = spark.range(6000).select(F.col("id").alias("person_id"), (F.col("id") % 3).cast("int").alias("s"))
+    got = HM.draw_symbols(model, asked, "person_id", "s", 7).join(asked, "person_id").groupBy("s", "sym").count().collect()
+    share = np.zeros((3, 4))
+    for r in got:
+        share[r["s"], r["sym"]] = r["count"] / 2000
+    assert np.abs(share - TRUE_B).max() < 0.04
 
 
 def test_em_monotone_and_beats_shuffled(spark):
     rng = np.random.default_rng(1)
     rows = _sample_hmm(300, rng, TRUE_PI, TRUE_A, TRUE_B)
     df = spark.createDataFrame(rows, "person_id long, seq_pos long, id long")
-    model = HM.fit_em(df, 3, 4, n_iter=12, seed=2)
+    model = HM.fit_em(df, 3, n_iter=12, seed=2)
     ll = np.array(model.loglik)
     assert np.all(np.diff(ll) > -1e-6), ll
-    for m in (model.pi[None, :], model.A, model.B):
+    B = np.array([r["b"] for r in model.emissions.collect()]).T
+    for m in (model.pi[None, :], model.A, B):
         assert np.allclose(m.sum(axis=1), 1.0)
     held = _sample_hmm(100, np.random.default_rng(9), TRUE_PI, TRUE_A, TRUE_B)
     hdf = spark.createDataFrame(held, "person_id long, seq_pos long, id long")
@@ -229,22 +329,3 @@ def test_gibbs_scores_on_fixture_views(spark):
     import __spark_entry__ as E
     got = E.queries()["state_seq_loglik"](spark, SF01)
     assert got.count() == 5000
-
-
-def test_batched_kernels_match_single_sequence():
-    rng = np.random.default_rng(3)
-    seqs = [rng.integers(0, 4, size=int(rng.integers(1, 12))) for _ in range(40)]
-    pi, A, B = TRUE_PI, TRUE_A, TRUE_B
-    ll = HM.batch_loglik(seqs, pi, A, B)
-    assert np.allclose(ll, [HM.forward_loglik(o, pi, A, B) for o in seqs])
-    paths = HM.batch_paths(seqs, pi, A, B)
-    assert all(list(p) == list(HM.viterbi(o, pi, A, B)) for p, o in zip(paths, seqs))
-    tot, g0, xi, em = HM.batch_forward_backward(seqs, pi, A, B)
-    ref = [HM.forward_backward(o, pi, A, B) for o in seqs]
-    assert tot == pytest.approx(sum(r[0] for r in ref))
-    assert np.allclose(g0, sum(r[1][0] for r in ref))
-    assert np.allclose(xi, sum(r[2] for r in ref))
-    em_ref = np.zeros_like(B)
-    for o, r in zip(seqs, ref):
-        np.add.at(em_ref.T, o, r[1])
-    assert np.allclose(em, em_ref)
