@@ -933,9 +933,13 @@ c as (select job_id, term, count(*) as n from t group by job_id, term)
 select term, cast(sum(n) as bigint) as n, cast(count(*) as bigint) as n_docs from c group by term""", "docs_v")
 
 
-def _bigram_sql() -> str:
+def _bigram_stops() -> str:
     from jobtrails.functions.text import STOPWORDS
-    stops = _sql_list(STOPWORDS)
+    return _sql_list(STOPWORDS)
+
+
+def _bigram_sql() -> str:
+    stops = _bigram_stops()
     cont = ["n_ii", "n_oi", "n_io", "n_oo"]
     terms = []
     for i in range(4):
@@ -961,6 +965,35 @@ select w1, w2, n, round(score, 6) as score from s order by score desc, w1, w2 li
 
 add("bigram_llr", _bigram_sql(), "docs_v")
 
+def _joined_sql() -> str:
+    """CTEs to ``jd`` (job_id, toks): each document as a string of marked
+    tokens, over which its bigrams are replaced one after another, best first."""
+    a, z = "chr(1)", "chr(2)"
+    w1, w2 = "split_part(p, ' ', 1)", "split_part(p, ' ', 2)"
+    body, _, _ = _bigram_sql().rpartition("\nselect")
+    return body + f""",
+bg as (select w1, w2, round(score, 6) as score from s order by s.score desc, w1, w2 limit 1000),
+hit as (select a.job_id, a.w || ' ' || b.w as p, bg.score, min(a.i) as i
+        from pos a join pos b on a.job_id = b.job_id and b.i = a.i + 1 join bg on bg.w1 = a.w and bg.w2 = b.w
+        group by all),
+rk as (select job_id, list(p order by score desc, i) as ps from hit group by job_id),
+jd as (select tk.job_id, t, string_split(replace(replace(list_reduce(list_concat(
+         [array_to_string(list_transform(t, lambda w: {a} || w || {z}), '')], coalesce(ps, [])),
+         lambda d, p: replace(d, {a} || {w1} || {z} || {a} || {w2} || {z}, {a} || {w1} || '_' || {w2} || {z})),
+         {z} || {a}, {z}), {a}, ''), {z}) as parts
+       from tk left join rk using (job_id)),
+jt as (select job_id, case when len(coalesce(t, [])) = 0 then [] else parts[:-2] end as toks from jd)"""
+
+
+add("bigram_replace", f"""{_joined_sql()}
+select job_id, cast(len(toks) as bigint) as n_tokens, md5(array_to_string(toks, ' ')) as tokens_md5 from jt""", "docs_v")
+
+add("clean_descriptions", f"""{_joined_sql()},
+fm as (select list(w1 || '_' || w2) as forms from bg)
+select job_id, array_to_string(list_filter(toks, lambda w: (regexp_matches(w, '^\\p{{L}}+$') or list_contains(forms, w))
+                               and not list_contains({{_stops}}, w)), ' ') as clean_text from jt, fm""".replace(
+    "{_stops}", _bigram_stops()), "docs_v")
+
 _NORM_TOPICS = """
 nt as (select job_id, list_transform(embedding, lambda x: x / list_sum(embedding)) as v from topics_v),
 tw as (select topic, word, cast(n as double) / sum(n) over (partition by topic) as weight from topic_words_v)"""

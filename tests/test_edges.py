@@ -6,6 +6,7 @@ import random
 import string
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from jobtrails.functions import dates as DT
@@ -345,16 +346,27 @@ def _replace_slow(tokens, scores):
     return out
 
 
-def test_replace_bigrams_matches_slow_form():
-    from jobtrails.operators.text import replace_bigrams
-    rng = random.Random(11)
-    vocab = ["a", "b", "c", "a_b", "d"]
-    for _ in range(3000):
-        toks = [rng.choice(vocab) for _ in range(rng.randint(0, 14))]
-        pairs = {(rng.choice(vocab), rng.choice(vocab)) for _ in range(rng.randint(0, 6))}
-        scores = {p: float(rng.choice([1, 2, 2, 3, 5])) for p in pairs}
-        assert replace_bigrams(toks, scores) == _replace_slow(toks, scores), (toks, scores)
+def test_replace_bigrams_matches_slow_form(spark):
+    """Runs of competing pairs, equal scores, repeated words, words that hold the delimiter."""
+    import random
 
+    from jobtrails.operators.text import bigram_replace
+    rng = random.Random(3)
+    for _ in range(4):
+        alphabet = "abcd"[:rng.randint(1, 4)] + "ef"
+        scores = {(x, y): float(rng.randint(1, 3)) for x in alphabet for y in alphabet if rng.random() < 0.6}
+        docs = [[rng.choice([*alphabet, "x_y"] if rng.random() < 0.9 else ["a", "b"]) for _ in range(rng.randint(0, 14))]
+                for _ in range(150)] + [["a"] * n for n in range(6)] + [None]
+        df = spark.createDataFrame(list(enumerate(docs)), "id int, toks array<string>")
+        got = {r["id"]: r["toks"] for r in bigram_replace(df, "id", "toks", scores).collect()}
+        for i, toks in enumerate(docs):
+            assert got[i] == _replace_slow(toks or [], scores), (toks, scores)
+    # linear in the tokens
+    long = spark.createDataFrame([(1, ["a", "b", "c"] * 100_000)], "id int, toks array<string>")
+    out = bigram_replace(long, "id", "toks", {("a", "b"): 1.0, ("b", "c"): 2.0}).first()["toks"]
+    assert out == ["a", "b_c"] * 100_000
+    with pytest.raises(ValueError):
+        bigram_replace(df, "id", "toks", {("a_b", "c"): 1.0})
 
 def test_dense_join_neighbours_equal_window_form(spark):
     from tests.conftest import SF001
