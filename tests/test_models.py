@@ -319,7 +319,7 @@ def test_lda_separates_topics_whatever_the_blocks(spark, monkeypatch, tmp_path):
            TOP.lda_transform_heldout(spark, str(tmp_path / "m"), df, "job_id", "text").collect()}
     side = {i % 2: int(np.argmax(t)) for i, t in one.items()}
     assert side[0] != side[1] and all(int(np.argmax(t)) == side[i % 2] for i, t in one.items())
-    monkeypatch.setattr(TOP, "BLOCK_DOCS", 7)
+    monkeypatch.setattr(TOP, "BLOCK_ROWS", 60)
     two = {r["job_id"]: r["topics"] for r in TOP.lda_doc_topics(
         TOP.fit_lda(df, "job_id", "text", k=2, max_iter=15, seed=3), df, "job_id", "text").collect()}
     assert all(np.allclose(one[i], two[i], atol=1e-2) for i in one)
@@ -329,3 +329,34 @@ def test_gibbs_scores_on_fixture_views(spark):
     import __spark_entry__ as E
     got = E.queries()["state_seq_loglik"](spark, SF01)
     assert got.count() == 5000
+
+
+def test_long_documents_in_parts(spark, monkeypatch):
+    """A document cut into parts gets the weights of the whole one, and the
+    model the same words; rows of a block stay few."""
+    rng = np.random.default_rng(6)
+    pools = [[f"{c}{i}" for i in range(60)] for c in ("sun", "sea")]
+    docs = [(i, " ".join(rng.choice(pools[i % 2], 40))) for i in range(40)]
+    docs += [(100 + i, " ".join(rng.choice(pools[i], 900))) for i in range(2)] + [(200, None)]
+    df = spark.createDataFrame(docs, "job_id long, text string")
+
+    def fit():
+        model = TOP.fit_lda(df, "job_id", "text", k=2, max_iter=15, seed=3)
+        found = TOP.lda_doc_topics(model, df, "job_id", "text", normalized=False)
+        return model, {r["job_id"]: r["topics"] for r in found.collect()}
+
+    _, whole = fit()
+    monkeypatch.setattr(TOP, "PART_TERMS", 45)
+    monkeypatch.setattr(TOP, "BLOCK_ROWS", 200)
+    corpus = TOP._corpus(df, "job_id", "text", 0)
+    assert corpus.parts.select("key").distinct().count() == 2 and corpus.tokens.where("parted").count() == 120
+    assert corpus.parts.count() > 2
+    model, parted = fit()
+    assert {r["word"] for r in model.weights.collect()} == {w for pool in pools for w in pool}
+    mass = model.weights.agg(F.sum(F.col("w0") + F.col("w1"))).first()[0]
+    assert mass == pytest.approx(40 * 40 + 1800 + 120 * 2 * 0.5)
+    assert set(parted) == set(whole) and parted[200] == whole[200]
+    for i, topics in whole.items():
+        if i != 200:
+            assert np.argmax(topics) == np.argmax(parted[i]) and sum(topics) == pytest.approx(sum(parted[i]))
+            assert np.allclose(topics, parted[i], rtol=0.05, atol=0.5)
