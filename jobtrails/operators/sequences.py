@@ -9,12 +9,16 @@ PRECEDING``) are evaluated incrementally -- never an O(n^2) per-row array.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobtrails.functions import text as T
+from jobtrails.session import stage_path
+
+#: rows of a sequence above which it is split over tasks
+HOT_ROWS = 1_000_000
 
 _RUNNING = (Window.unboundedPreceding, Window.currentRow)
 
@@ -136,6 +140,23 @@ def range_running(df: DataFrame, group: str | Sequence[str], order: Sequence[Col
                     *[f"{k}_total" for k in sums])
 
 
+def by_size(df: DataFrame, seq: str, plain: Callable[[DataFrame], DataFrame],
+            ranged: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``plain`` (windows by sequence: one shuffle) for the sequences of up to
+    HOT_ROWS rows, ``ranged`` (sorted ranges: no sequence in one task) for the
+    others; both give the same rows.  The input is written once, so that its
+    plan runs once."""
+    path = stage_path(df.sparkSession, "sequences")
+    df.write.parquet(path)
+    df = df.sparkSession.read.schema(df.schema).parquet(path)
+    hot = df.groupBy(seq).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_ROWS).select(seq)
+    if hot.isEmpty():
+        return plain(df)
+    hot = hot.checkpoint()
+    few, many = (df.join(hot, seq, how).select(*df.columns) for how in ("left_anti", "left_semi"))
+    return plain(few).unionByName(ranged(many))
+
+
 def stint_fill(df: DataFrame, person: str = "person_id", pos: str = "pos",
                start: str = "start_dt", end: str = "end_dt", skew_safe: bool = False) -> DataFrame:
     """Repair missing stint dates within each person's history.
@@ -151,12 +172,20 @@ def stint_fill(df: DataFrame, person: str = "person_id", pos: str = "pos",
     the first/last stint come from a per-person min/max aggregate; the date
     lookups run over the person's *distinct* dates (bounded by the calendar,
     not by the number of stints) and are joined back on (person, date).  With
-    ``skew_safe`` the position too is computed by ``range_row_number``.
+    ``skew_safe`` the position of people of very many stints too is computed by
+    ``range_row_number``.
     """
+    if skew_safe:
+        return by_size(df, person, lambda d: _stint_fill(d, person, pos, start, end, False),
+                       lambda d: _stint_fill(d, person, pos, start, end, True))
+    return _stint_fill(df, person, pos, start, end, False)
+
+
+def _stint_fill(df: DataFrame, person: str, pos: str, start: str, end: str, ranged: bool) -> DataFrame:
     s, e = F.col(start), F.col(end)
     d = df.where(s.isNotNull() | e.isNotNull())
     d = d.withColumn("_key", F.struct(F.coalesce(s, e).alias("k"), F.col(pos).alias("p")))
-    if skew_safe:
+    if ranged:
         ends = d.groupBy(person).agg(F.min("_key").alias("_kmin"), F.max("_key").alias("_kmax"))
         d = d.join(ends, person)
         first, last = F.col("_key") == F.col("_kmin"), F.col("_key") == F.col("_kmax")
@@ -183,7 +212,7 @@ def stint_fill(df: DataFrame, person: str = "person_id", pos: str = "pos",
     new_end = F.when(F.col("_e").isNull(), F.coalesce(F.col("_after"), F.col("_s"))).otherwise(F.col("_e"))
     new_start = F.when(F.col("_s").isNull(), F.coalesce(F.col("_before"), F.col("_e"))).otherwise(F.col("_s"))
     keep = [c for c in df.columns if c not in (start, end)]
-    if skew_safe:
+    if ranged:
         out = d.select(*keep, "_key", new_start.alias(start), new_end.alias(end))
         out = range_row_number(out, person, ["_key"], "seq_pos")
     else:
@@ -256,10 +285,22 @@ def _carry_sequences(df: DataFrame, seq: str, pos: str, year: Column, value: Col
     """Shared body of C6/C7: carry value and year forward in document order,
     stably sort by year, drop missing values, keep sequences of >= 2.
 
-    ``skew_safe`` replaces every per-history window by range-partitioned
-    forms (``range_forward_fill``, ``range_row_number``) and per-history
+    ``skew_safe`` replaces, for histories of very many jobs, every window by
+    range-partitioned forms (``range_forward_fill``, ``range_row_number``) and
     counts by aggregates joined back."""
     if skew_safe:
+        how = (seq, pos, year, value, present, blank, min_jobs, carry)
+        return by_size(df, seq, lambda d: _carried(d, *how, ranged=False), lambda d: _carried(d, *how, ranged=True))
+    return _carried(df, seq, pos, year, value, present, blank, min_jobs, carry, ranged=False)
+
+
+def _carried(df: DataFrame, seq: str, pos: str, year: Column, value: Column, present: Column, blank: Column | None,
+             min_jobs: int, carry: bool, ranged: bool) -> DataFrame:
+    keep = ["_v", "_y", "seq_pos", "seq_len"]
+    present_value = F.col("_v").isNotNull()
+    if blank is not None:
+        present_value = present_value & ~blank
+    if ranged:
         n_jobs = df.groupBy(seq).agg(F.count(F.lit(1)).alias("_n_jobs"))
         d = df.join(n_jobs, seq).where(F.col("_n_jobs") >= min_jobs)
         if carry:
@@ -267,13 +308,10 @@ def _carry_sequences(df: DataFrame, seq: str, pos: str, year: Column, value: Col
             d = d.withColumn("_y", F.coalesce(F.col("_y"), F.lit(0)))
         else:
             d = d.withColumn("_v", F.when(present, value)).withColumn("_y", F.coalesce(year, F.lit(0)))
-        keep = F.col("_v").isNotNull()
-        if blank is not None:
-            keep = keep & ~blank
-        d = d.where(keep)
+        d = d.where(present_value)
         d = range_row_number(d, seq, ["_y", pos], "seq_pos")
         lens = d.groupBy(seq).agg(F.count(F.lit(1)).cast("bigint").alias("seq_len"))
-        return d.join(lens, seq).where(F.col("seq_len") >= 2)
+        return d.join(lens, seq).where(F.col("seq_len") >= 2).select(seq, *keep)
     w_doc = Window.partitionBy(seq).orderBy(pos)
     run = w_doc.rowsBetween(*_RUNNING)
     d = (df.withColumn("_n_jobs", F.count(F.lit(1)).over(Window.partitionBy(seq)))
@@ -282,15 +320,12 @@ def _carry_sequences(df: DataFrame, seq: str, pos: str, year: Column, value: Col
                        if carry else F.when(present, value))
            .withColumn("_y", F.coalesce(F.last(year, ignorenulls=True).over(run), F.lit(0))
                        if carry else F.coalesce(year, F.lit(0))))
-    keep = F.col("_v").isNotNull()
-    if blank is not None:
-        keep = keep & ~blank
-    d = d.where(keep)
+    d = d.where(present_value)
     w_year = Window.partitionBy(seq).orderBy("_y", pos)
     d = (d.withColumn("seq_pos", F.row_number().over(w_year).cast("bigint"))
           .withColumn("seq_len", F.count(F.lit(1)).over(Window.partitionBy(seq)).cast("bigint"))
           .where(F.col("seq_len") >= 2))
-    return d
+    return d.select(seq, *keep)
 
 
 def title_sequences(df: DataFrame, seq: str = "person_id", pos: str = "pos",

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobtrails.operators.sequences import topk_per_group
+from jobtrails.operators.sequences import by_size, range_row_number, topk_per_group
 
 
 def successor_pairs(df: DataFrame, seq: str, order: Sequence[Column | str], symbol: str,
@@ -55,18 +55,19 @@ def transition_counts(df: DataFrame, seq: str = "person_id",
     Default order is the reference's: start year compared as text, then the
     title itself (both nulls first, as Python 2 sorts ``None`` lowest).
 
-    ``skew_safe`` numbers each sequence in that order with the
-    range-partitioned ``range_row_number`` and pairs neighbours by the
-    dense-position equi-join, so no sequence has to fit one task.
+    ``skew_safe`` numbers very long sequences in that order with the
+    range-partitioned ``range_row_number`` and pairs their neighbours by the
+    dense-position equi-join, so no such sequence has to fit one task.
     """
     if order is None:
         order = [F.col("start_year").cast("string").asc_nulls_first(),
                  F.col(symbol).asc_nulls_first()]
     if skew_safe and dense_pos is None:
-        from jobtrails.operators.sequences import range_row_number
-        df = range_row_number(df, seq, order, "_rank")
-        dense_pos = "_rank"
-    pairs = successor_pairs(df, seq, order, symbol, dense_pos=dense_pos)
+        pairs = by_size(df, seq, lambda d: successor_pairs(d, seq, order, symbol),
+                        lambda d: successor_pairs(range_row_number(d, seq, order, "_rank"), seq, order, symbol,
+                                                  dense_pos="_rank"))
+    else:
+        pairs = successor_pairs(df, seq, order, symbol, dense_pos=dense_pos)
     return pairs.groupBy("title", "next_title").agg(F.count(F.lit(1)).alias("n"))
 
 

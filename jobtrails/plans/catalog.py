@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobtrails.functions import dates as DT
@@ -367,11 +367,14 @@ def q_state_mobility(spark, sf_dir):
 
 def _title_vocab(spark, sf_dir):
     t = V.titles_v(_t(spark, sf_dir))
-    multi = t.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("person_id"))).where("_n >= 2")
-    counted = multi.where(F.col("title").isNotNull() & (F.col("title") != "")) \
-                   .select(TX.clean_title(F.col("title")).alias("title"))
-    seqs = SQ.title_sequences(t)
-    return ST.vocab_encode(counted, seqs)
+    return ST.vocab_encode(_counted_titles(t), SQ.title_sequences(t, skew_safe=True))
+
+
+def _counted_titles(t):
+    """Cleaned titles of the people with several jobs (counted by an aggregate, not in a window)."""
+    several = t.groupBy("person_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("person_id")
+    return t.where(F.col("title").isNotNull() & (F.col("title") != "")).join(several, "person_id", "left_semi") \
+            .select(TX.clean_title(F.col("title")).alias("title"))
 
 
 @query("vocab_encode")
@@ -403,7 +406,7 @@ def _filled_jobs(spark, sf_dir, blank_loc_every: int | None = None):
         # the other copy lost the locations of some people's jobs
         j = j.withColumn("location", F.when(F.col("person_id") % blank_loc_every == 0, F.lit(""))
                          .otherwise(F.col("location")))
-    return SQ.stint_fill(j)
+    return SQ.stint_fill(j, skew_safe=True)
 
 
 def _fingerprint_match(spark, sf_dir):
@@ -439,7 +442,7 @@ def q_align_positional(spark, sf_dir):
     j = (j.withColumn("start_dt", F.when(F.col("pos") % 13 == 0, None).otherwise(F.col("start_dt")))
           .withColumn("end_dt", F.when(F.col("pos") % 13 == 0, None)
                       .when(F.col("pos") % 5 == 0, None).otherwise(F.col("end_dt"))))
-    right = SQ.stint_fill(j)
+    right = SQ.stint_fill(j, skew_safe=True)
     return JN.align_positional(left, right, "person_id", "seq_pos", "start_dt", "end_dt")
 
 
@@ -507,7 +510,7 @@ def q_state_word_mix(spark, sf_dir):
 
 
 def _title_seqs(spark, sf_dir):
-    return SQ.title_sequences(V.titles_v(_t(spark, sf_dir)))
+    return SQ.title_sequences(V.titles_v(_t(spark, sf_dir)), skew_safe=True)
 
 
 @query("split_sequences")
@@ -627,7 +630,7 @@ def q_split_files(spark, sf_dir):
 
 @query("seq_jsonl_roundtrip")
 def q_seq_jsonl_roundtrip(spark, sf_dir):
-    filled = SQ.stint_fill(V.jobs_v(_t(spark, sf_dir)))
+    filled = SQ.stint_fill(V.jobs_v(_t(spark, sf_dir)), skew_safe=True)
     # a topic vector for each stint, written and read with it
     filled = filled.withColumn("topics", F.array((F.col("seq_pos") / 4).cast("double"),
                                                  F.length("title").cast("double")))
@@ -805,11 +808,7 @@ def _hmm_data(spark, sf_dir):
     train, test = s.where("split = 'train'"), s.where("split = 'test'")
     t = V.titles_v(_t(spark, sf_dir))
     tr_people = train.select("person_id").distinct()
-    counted = (t.join(tr_people, "person_id", "left_semi")
-                .withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("person_id"))).where("_n >= 2")
-                .where(F.col("title").isNotNull() & (F.col("title") != ""))
-                .select(TX.clean_title(F.col("title")).alias("title")))
-    vocab, enc_train = ST.vocab_encode(counted, train)
+    vocab, enc_train = ST.vocab_encode(_counted_titles(t.join(tr_people, "person_id", "left_semi")), train)
     enc_test = test.join(vocab.select("title", "id"), "title", "left") \
                    .withColumn("id", F.coalesce("id", F.lit(0).cast("bigint")))
     return vocab, enc_train, enc_test

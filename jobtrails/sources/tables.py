@@ -95,12 +95,13 @@ def events_v(t: Tables) -> DataFrame:
 
 
 def docs_v(t: Tables) -> DataFrame:
-    """Free-text descriptions; person = document source."""
-    w = Window.partitionBy("source").orderBy("doc_id")
+    """Free-text descriptions; person = document source, in order of doc_id
+    (``pos`` orders a person's documents, it doesn't number them: a source may
+    hold a third of all)."""
     return t.documents.select(
         F.col("doc_id").alias("job_id"),
         F.col("source").alias("person_id"),
-        F.row_number().over(w).cast("bigint").alias("pos"),
+        F.col("doc_id").alias("pos"),
         F.col("text").alias("description"),
         "lang",
     )

@@ -380,7 +380,9 @@ def test_dense_join_neighbours_equal_window_form(spark):
     assert c1 == c2
 
 
-def test_stint_fill_skew_safe_equals_window_form(spark):
+@pytest.mark.parametrize("hot", [0, 20, 10**6])
+def test_stint_fill_skew_safe_equals_window_form(spark, monkeypatch, hot):
+    monkeypatch.setattr(SQ, "HOT_ROWS", hot)  # all, some or none in ranges
     from tests.conftest import SF001
     from jobtrails.sources import tables as V
     j = V.jobs_v(V.Tables(spark, SF001))
@@ -401,7 +403,9 @@ def test_range_row_number_splits_a_hot_group(spark):
         sorted((g, v, v + 1 if g != 3 else 1) for g, v in rows)
 
 
-def test_carry_sequences_skew_safe_equal_window_form(spark):
+@pytest.mark.parametrize("hot", [0, 20, 10**6])
+def test_carry_sequences_skew_safe_equal_window_form(spark, monkeypatch, hot):
+    monkeypatch.setattr(SQ, "HOT_ROWS", hot)  # all, some or none in ranges
     from tests.conftest import SF001
     from jobtrails.sources import tables as V
     t = V.Tables(spark, SF001)
@@ -425,7 +429,9 @@ def test_range_forward_fill_hot_group(spark):
         assert got[(g, p)] == (prev[-1] if prev else None)
 
 
-def test_transition_counts_skew_safe_equals_window_form(spark):
+@pytest.mark.parametrize("hot", [0, 20, 10**6])
+def test_transition_counts_skew_safe_equals_window_form(spark, monkeypatch, hot):
+    monkeypatch.setattr(SQ, "HOT_ROWS", hot)  # all, some or none in ranges
     from tests.conftest import SF001
     from jobtrails.sources import tables as V
     tv = V.titles_v(V.Tables(spark, SF001))
