@@ -35,6 +35,7 @@ from jobtrails.llm.common import arrow_schema, batch, materialise
 
 CAPACITY = 1024
 END = 2
+#: chunks whose ids a worker keeps, some 230 bytes each
 MEMO = 1_400_000
 #: exchanges that the search weighs at most, whatever the corpus
 SEARCH = 20_000_000
@@ -53,8 +54,9 @@ class Chunks(dict):
     pieces that the model takes without the pattern.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo: int = MEMO):
         super().__init__()
+        self.memo = memo
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
@@ -72,7 +74,7 @@ class Chunks(dict):
         """``chunk`` stands after a space; it must not be empty or begin with white space."""
         if not chunk or chunk[0].isspace():
             raise _Odd
-        if len(self) >= MEMO:
+        if len(self) >= self.memo:
             self.clear()
         if chunk[-1] in self.marks and chunk[:-1].isalpha():
             ids = self[chunk[:-1]] + self.marks[chunk[-1]]
@@ -103,11 +105,11 @@ class _Odd(Exception):
 PIECES_DDL = ("doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part bigint, nth bigint")
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, memo: int = MEMO) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece, and part and nth:
     its task and its number among the task's pieces of its length."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema, chunks, part = arrow_schema(PIECES_DDL), _chunks(tokenizer), TaskContext.get().partitionId()
+        schema, chunks, part = arrow_schema(PIECES_DDL), _chunks(tokenizer, memo), TaskContext.get().partitionId()
         last, seen = np.array([end], "<u4").tobytes(), np.zeros(capacity + 1, np.int64)
         for b in batches:
             rows: list[tuple] = []
@@ -133,13 +135,15 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, PIECES_DDL)
 
 
-_LOADED: dict[str, Chunks] = {}
+_LOADED: dict[tuple[str, int], Chunks] = {}
 
 
-def _chunks(path: str) -> Chunks:
-    if path not in _LOADED:
-        _LOADED[path] = Chunks(path)
-    return _LOADED[path]
+def _chunks(path: str, memo: int = MEMO) -> Chunks:
+    """Those of the worker's last tokenizer, kept from task to task."""
+    if (path, memo) not in _LOADED:
+        _LOADED.clear()
+        _LOADED[path, memo] = Chunks(path, memo)
+    return _LOADED[path, memo]
 
 
 # ---------------------------------------------------------------- search
@@ -261,10 +265,11 @@ class Places:
         return self.first[at] + rank - (self.key[at] & ((1 << 40) - 1)), self.offset[at]
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece."""
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, memo: int = MEMO) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every
+    piece.  ``memo`` bounds what a worker keeps of the tokenizer's results."""
     spark = docs.sparkSession
-    cut = materialise(pieces(docs, tokenizer, capacity, end), "pieces")
+    cut = materialise(pieces(docs, tokenizer, capacity, end, memo), "pieces")
     counts = cut.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     histogram = {x["length"]: x["n"] for x in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     places = spark.sparkContext.broadcast(Places(local_search(best_fit(histogram, capacity), capacity)))
