@@ -41,7 +41,8 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 1024 tokens with their places in the sequences."""
     checkpoint_dir(spark)
-    return packing.pack(docs, tokenizer_path(), 1024)
+    # a worker serves all the stages: a smaller memo than that of packing alone
+    return packing.pack(docs, tokenizer_path(), 1024, memo=300_000)
 
 
 STAGES = [
