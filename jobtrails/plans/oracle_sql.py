@@ -7,6 +7,14 @@ same adapter views, which are spelled out here as CTE text.
 
 from __future__ import annotations
 
+from jobtrails.functions.location import STATE_ABBREV
+
+_states = sorted(STATE_ABBREV.items())
+_place_sql = f"""['springfield', 'salem', 'mount airy', 'fairview', 'new castle', 'saint paul', 'west point', 'north bend',
+              'Clinton', 'porto alegre', 'washington'][c_custkey * 7 % 11 + 1] as place,
+             {[n for n, _ in _states]}[c_custkey * 13 % {len(_states)} + 1] as state,
+             {[c for _, c in _states]}[c_custkey * 13 % {len(_states)} + 1] as code"""
+
 VIEWS = {
     "jobs_v": """
 select concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) as job_id,
@@ -48,21 +56,26 @@ where s2 is not null group by job_id % 20, title, s2""",
     "cust_v": """
 select c_custkey as resume_id, c_mktsegment as currency, c_acctbal as salary,
        c_nationkey as state_id from customer""",
-    "locs_v": """
-select c_custkey as job_id, loc as location
-from customer join (values (0,'boston ma'),(1,'new york new york'),(2,'New York, NY'),
- (3,'austin texas usa'),(4,'chapel hill north carolina'),(5,'old hickorytn'),(6,'paris'),
- (7,'chapelhill nc'),(8,''),(9,' san juan puerto rico '),(10,'washington dc'),
- (11,'charleston west virginia')) v(k, loc)
- on c_custkey % 12 = k""",
+    "locs_v": f"""
+select job_id, case when (job_id // 12) % 3 = 0 then fixed when job_id % 97 <> 0 then
+       [place || ' ' || lower(state), place || ', ' || code, place || lower(code), place, place || ' ' || state || ' USA',
+        ' ' || place || '  ' || lower(code) || ' '][job_id % 6 + 1] end as location
+from (select c_custkey as job_id, {_place_sql},
+             ['boston ma', 'new york new york', 'New York, NY', 'austin texas usa', 'chapel hill north carolina',
+              'old hickorytn', 'paris', 'chapelhill nc', '', ' san juan puerto rico ', 'washington dc',
+              'charleston west virginia'][c_custkey % 12 + 1] as fixed from customer) z""",
     "topic_words_v": """
 select l_partkey % 64 as topic, p_name as word, count(*) as n
 from lineitem join part on l_partkey = p_partkey group by l_partkey % 64, p_name""",
-    "addr_v": """
-select cast(n_nationkey as bigint) as job_id, addr as address
-from nation join (values (0,'Amherst, Hampshire, Massachusetts, 01002, USA'),
- (1,'Amherst, Hampshire, Massachusetts, USA'),
- (2,'Austin, Texas, USA'),(3,'Paris, France'),(4,'Canada')) v(k, addr) on n_nationkey % 5 = k""",
+    "addr_v": f"""
+select job_id, case job_id % 5
+         when 0 then place || ', ' || place || ' County, ' || state || ', ' || lpad(cast(job_id * 31 % 100000 as varchar), 5, '0')
+                     || ', ' || country
+         when 1 then place || ', ' || place || ' County, ' || state || ', ' || country
+         when 2 then place || ', ' || state || ', ' || country
+         when 3 then place || ', ' || country else country end as address
+from (select cast(c_custkey as bigint) as job_id, {_place_sql}, ['USA', 'Canada', 'France'][c_custkey % 3 + 1] as country
+      from customer) z""",
 }
 
 # which views each view needs first
@@ -605,9 +618,9 @@ from m left join pairs on pairs.company = m.company group by m.company""", "jobs
 
 
 def _gazetteer_sql() -> str:
-    from jobtrails.sources.gazetteer import ROWS
+    from jobtrails.sources.gazetteer import rows
     vals = ", ".join("(" + ", ".join(("'" + v.replace("'", "''") + "'") if isinstance(v, str) else f"cast({v!r} as double)"
-                                     for v in r) + ")" for r in ROWS)
+                                     for v in r) + ")" for r in rows())
     return f"gaz(key, city, state, country, latitude, longitude) as (values {vals})"
 
 

@@ -1,15 +1,19 @@
-"""A small literal gazetteer standing in for the live geocoding service.
+"""A gazetteer standing in for the live geocoding service.
 
 Keys are geocoder query strings (the output of ``preprocess_loc``).  It holds
-entries for about half of the fixture's normalised locations, so direct
-hits, fall-back hits and misses all occur.  On a real corpus this would be a
-gazetteer table read from storage; the join code does not change.
+some literal entries, and by rule the fixture's places in every other state,
+by the state's name and by a glued-on code, so direct hits, fall-back hits and
+misses all occur.  On a real corpus this would be a gazetteer table read from
+storage; the join code does not change.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from jobtrails.functions.location import COUNTRY_TAG, STATE_ABBREV, STATE_NAMES
+from jobtrails.sources.tables import PLACES
+
 SCHEMA = "key string, city string, state string, country string, latitude double, longitude double"
 
 # Gazetteer rows (query key, city, state, country, lat, lon).
@@ -29,5 +33,17 @@ ROWS = [
 ]
 
 
+def rows() -> list[tuple]:
+    """The literal rows, and those by rule."""
+    made = []
+    for i, place in enumerate(PLACES):
+        for j, name in enumerate(STATE_NAMES[::2]):
+            rest = (place.title(), name.title(), COUNTRY_TAG, 25.0 + i + j / 8, -70.0 - j)
+            made.append((f"{place.lower()} {name.lower()} {COUNTRY_TAG}", *rest))
+            glued = f"{place} {STATE_ABBREV[name]} {COUNTRY_TAG} {COUNTRY_TAG}".lower()
+            made.append((f"{glued} {COUNTRY_TAG}", *rest))
+    return ROWS + made
+
+
 def gazetteer(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(ROWS, SCHEMA)
+    return spark.createDataFrame(rows(), SCHEMA)

@@ -15,6 +15,8 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from jobtrails.functions.location import STATE_ABBREV, STATE_NAMES
+
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
@@ -148,24 +150,44 @@ LOCS_FIXTURE = [
     " san juan puerto rico ", "washington dc", "charleston west virginia",
 ]
 
-# The five comma addresses of the addr_v fixture, by key.
-ADDR_FIXTURE = [
-    "Amherst, Hampshire, Massachusetts, 01002, USA", "Amherst, Hampshire, Massachusetts, USA",
-    "Austin, Texas, USA", "Paris, France", "Canada",
-]
+# Places of the made-up locations and addresses, and the countries of some.
+PLACES = ["springfield", "salem", "mount airy", "fairview", "new castle", "saint paul", "west point", "north bend",
+          "Clinton", "porto alegre", "washington"]
+COUNTRIES = ["USA", "Canada", "France"]
+
+
+def _place(key: Column) -> tuple[Column, Column, Column]:
+    """Place, state name and state code of a key."""
+    state = (key * 13) % len(STATE_NAMES)
+    return (_pick((key * 7) % len(PLACES), PLACES), _pick(state, STATE_NAMES),
+            _pick(state, [STATE_ABBREV[n] for n in STATE_NAMES]))
 
 
 def locs_v(t: Tables) -> DataFrame:
+    """Location strings: every third dozen is the fixture's; the others put a
+    place and a state together in six ways; some are missing."""
+    key = F.col("c_custkey")
+    place, state, code = _place(key)
+    made = [F.concat(place, F.lit(" "), F.lower(state)), F.concat(place, F.lit(", "), code),
+            F.concat(place, F.lower(code)), place, F.concat(place, F.lit(" "), state, F.lit(" USA")),
+            F.concat(F.lit(" "), place, F.lit("  "), F.lower(code), F.lit(" "))]
+    form = F.coalesce(*[F.when(key % len(made) == i, c) for i, c in enumerate(made)])
     return t.customer.select(
-        F.col("c_custkey").alias("job_id"),
-        _pick(F.col("c_custkey") % 12, LOCS_FIXTURE).alias("location"),
+        key.alias("job_id"),
+        F.when(F.floor(key / 12) % 3 == 0, _pick(key % 12, LOCS_FIXTURE)).when(key % 97 != 0, form).alias("location"),
     )
 
 
 def addr_v(t: Tables) -> DataFrame:
-    return t.nation.select(
-        F.col("n_nationkey").cast("bigint").alias("job_id"),
-        _pick(F.col("n_nationkey") % 5, ADDR_FIXTURE).alias("address"),
+    """Comma addresses of one to five parts."""
+    key = F.col("c_custkey")
+    place, state, _ = _place(key)
+    country = _pick(key % len(COUNTRIES), COUNTRIES)
+    parts = [place, F.concat(place, F.lit(" County")), state, F.lpad((key * 31 % 100000).cast("string"), 5, "0"), country]
+    made = [parts, [*parts[:3], country], [place, state, country], [place, country], [country]]
+    return t.customer.select(
+        key.cast("bigint").alias("job_id"),
+        F.coalesce(*[F.when(key % len(made) == i, F.concat_ws(", ", *c)) for i, c in enumerate(made)]).alias("address"),
     )
 
 
