@@ -121,12 +121,15 @@ def _by_join(pages: DataFrame, rules: DataFrame, default: str) -> DataFrame:
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] | DataFrame, default: str = "allow",
                max_trie_bytes: int = MAX_TRIE_BYTES) -> DataFrame:
     """``rules``: (host/path, "allow" or "block") pairs, or a table of the
-    columns rule and verdict.  Returns page_id, host, path, rule, verdict."""
+    columns rule and verdict; one without a slash, or null, fits no url.
+    Returns page_id, host, path, rule, verdict."""
     spark = pages.sparkSession
     url = F.col("url")
     urls = pages.select(F.col("page_id").cast("bigint"), url_host(url).alias("host"), url_path(url).alias("path"))
     if not isinstance(rules, DataFrame):
         rules = spark.createDataFrame(rules, "rule string, verdict string")
+    # a rule without a slash names a host and no path: it fits none, like a null one
+    rules = rules.where(F.col("rule").contains("/") & F.col("verdict").isNotNull())
     size = rules.agg(F.sum(F.octet_length("rule") + 64)).first()[0] or 0
     if size <= max_trie_bytes:
         return _by_trie(urls, [tuple(x) for x in rules.select("rule", "verdict").collect()], default)

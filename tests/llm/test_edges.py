@@ -91,7 +91,8 @@ def test_shard_sizes_of_null_text(make, odd_rows):
 @pytest.mark.parametrize("limit", [1 << 20, 0])
 def test_urls(spark, limit):
     rules = [("net/", "block"), ("example.net/en/", "allow"), ("org/fr/a", "allow"), ("org/fr/", "block"),
-             ("a.org/fr/", "allow"), ("tie.com/", "allow"), ("tie.com/", "block")]
+             ("a.org/fr/", "allow"), ("tie.com/", "allow"), ("tie.com/", "block"), ("xnet", "block"), (None, "block"),
+             ("x.net/", None)]
     urls = {None: (None, "allow"), "no scheme": (None, "allow"), "": (None, "allow"),
             "http://EXAMPLE.net/en/x": ("example.net/en/", "allow"), "http://example.net/en": ("net/", "block"),
             "http://x.net": (None, "allow"), "http://x.net?q=/": (None, "allow"), "http://x.net/": ("net/", "block"),
