@@ -8,6 +8,8 @@ codegen'd projection with no shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,10 +39,6 @@ TWO_WORD_STATES = sorted(n for n in STATE_NAMES if " " in n)
 TWO_WORD_FIRSTS = sorted({n.split()[0] for n in TWO_WORD_STATES})
 
 
-def _lit_array(values) -> Column:
-    return F.array(*[F.lit(v) for v in values])
-
-
 def state_map() -> Column:
     return F.create_map(*[F.lit(x) for kv in sorted(STATE_ABBREV.items()) for x in kv])
 
@@ -103,26 +101,40 @@ def standardize_location(c: Column) -> Column:
     name is mapped to its code.  status: good / bad (no state) / empty.
     """
     toks = F.filter(F.split(F.upper(strip_ws(c)), r"\s+"), lambda x: F.length(x) > 0)
-    n = F.size(toks)
-    firsts = _lit_array(TWO_WORD_FIRSTS)
-    twos = _lit_array(TWO_WORD_STATES)
-    pos = F.array_max(F.transform(toks, lambda x, i: F.when(F.array_contains(firsts, x), i)
-                                  .otherwise(F.lit(-1))))
-    pair = F.concat_ws(" ", F.try_element_at(toks, F.when(pos >= 0, pos + 1)),
-                     F.try_element_at(toks, F.when(pos >= 0, pos + 2)))
-    do_merge = (pos >= 0) & (pos + 1 <= n - 1) & F.array_contains(twos, pair)
-    merged = F.filter(F.transform(toks, lambda x, i: F.when(i == pos, pair).otherwise(x)),
-                      lambda x, i: i != pos + 1)
-    t2 = F.when(do_merge, merged).otherwise(toks)
-    allst = _lit_array(STATE_NAMES + STATE_CODES)
-    spos = F.array_max(F.transform(t2, lambda x, i: F.when(F.array_contains(allst, x), i)
-                                   .otherwise(F.lit(-1))))
-    tok = F.try_element_at(t2, F.when(spos >= 0, spos + 1))
-    state = F.coalesce(F.try_element_at(state_map(), tok), tok)
-    m = F.size(t2)
-    city = F.array_join(F.slice(t2, 1, spos), " ")
-    country = F.array_join(F.slice(t2, spos + 2, F.greatest(m - spos - 1, F.lit(0))), " ")
-    good = (n > 0) & (spos >= 0)
-    status = F.when(n == 0, "empty").when(spos < 0, "bad").otherwise("good")
-    return F.struct(F.when(good, city).alias("city"), F.when(good, state).alias("state"),
-                    F.when(good, country).alias("country"), status.alias("status"))
+    return _let(toks, _merged_state)
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over a value that is computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _last_of(toks: Column, known: list[str]) -> Column:
+    """Place (from 0) of the last token among ``known``, else -1."""
+    return F.array_max(F.transform(toks, lambda x, i: F.when(x.isin(known), i).otherwise(F.lit(-1))))
+
+
+def _merged_state(toks: Column) -> Column:
+    def at(pos: Column) -> Column:
+        pair = F.concat_ws(" ", F.try_element_at(toks, F.when(pos >= 0, pos + 1)),
+                           F.try_element_at(toks, F.when(pos >= 0, pos + 2)))
+        do_merge = (pos >= 0) & (pos + 1 <= F.size(toks) - 1) & pair.isin(TWO_WORD_STATES)
+        merged = F.filter(F.transform(toks, lambda x, i: F.when(i == pos, pair).otherwise(x)),
+                          lambda x, i: i != pos + 1)
+        return _let(F.when(do_merge, merged).otherwise(toks), _parts)
+
+    return _let(_last_of(toks, TWO_WORD_FIRSTS), at)
+
+
+def _parts(toks: Column) -> Column:
+    def at(pos: Column) -> Column:
+        tok = F.try_element_at(toks, F.when(pos >= 0, pos + 1))
+        state = F.coalesce(F.try_element_at(state_map(), tok), tok)
+        city = F.array_join(F.slice(toks, 1, pos), " ")
+        country = F.array_join(F.slice(toks, pos + 2, F.greatest(F.size(toks) - pos - 1, F.lit(0))), " ")
+        good = (F.size(toks) > 0) & (pos >= 0)
+        status = F.when(F.size(toks) == 0, "empty").when(pos < 0, "bad").otherwise("good")
+        return F.struct(F.when(good, city).alias("city"), F.when(good, state).alias("state"),
+                        F.when(good, country).alias("country"), status.alias("status"))
+
+    return _let(_last_of(toks, STATE_NAMES + STATE_CODES), at)

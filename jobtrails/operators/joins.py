@@ -267,14 +267,22 @@ def shared_employer_counts(stints: DataFrame, person: str = "person_id", company
 
 
 def shared_employers(stints: DataFrame, person: str = "person_id", company: str = "company",
-                     start: str = "start_dt", end: str = "end_dt", exclude_dups: bool = False) -> DataFrame:
+                     start: str = "start_dt", end: str = "end_dt", exclude_dups: bool = False,
+                     people: DataFrame | None = None) -> DataFrame:
     """D5 for a chosen part of the stints (some people or companies; the pairs
     grow with the square of a company, see ``shared_employer_counts`` for all):
     per pair of people, the companies where they held strictly
     overlapping stints (s2 < e1 and s1 < e2); optionally skip pairs whose
-    whole company sets are equal.  Output (person1 < person2, company)."""
+    whole company sets are equal.  Output (person1 < person2, company).
+    With ``people`` (one column, the person's key) only the pairs that hold one
+    of them: no other pair is made on the way."""
     d = stints.where(F.col(start).isNotNull() & F.col(end).isNotNull()) \
               .select(person, company, start, end)
+    if people is None:
+        d = d.withColumn("_mine", F.lit(True))
+    else:
+        d = d.join(people.select(person).distinct().withColumn("_mine", F.lit(True)), person, "left")
+        d = d.withColumn("_mine", F.coalesce("_mine", F.lit(False)))
     # month buckets: the later-starting stint's start month lies in the
     # earlier one's [start month, end month] whenever they overlap.  As in
     # coworker_links, one role-tagged explode feeds both sides.
@@ -284,11 +292,13 @@ def shared_employers(stints: DataFrame, person: str = "person_id", company: str
         F.transform(F.sequence(ms, me, F.expr("interval 1 month")),
                     lambda m: F.struct(F.lit(0).alias("role"), m.alias("_y"))),
         F.array(F.struct(F.lit(1).alias("role"), ms.alias("_y"))))
-    x = (d.select(person, company, start, end, F.explode(keyed).alias("k"))
-          .select(person, company, start, end, "k.role", "k._y"))
-    a = x.where(F.col("role") == 0).select(company, "_y", *[F.col(c).alias(f"a_{c}") for c in (person, start, end)])
-    b = x.where(F.col("role") == 1).select(company, "_y", *[F.col(c).alias(f"b_{c}") for c in (person, start, end)])
-    j = a.join(b, [company, "_y"])
+    cols = (person, start, end, "_mine")
+    x = d.select(company, *cols, F.explode(keyed).alias("k")).select(company, *cols, "k.role", "k._y")
+    a = x.where(F.col("role") == 0).select(company, "_y", *[F.col(c).alias(f"a_{c}") for c in cols])
+    b = x.where(F.col("role") == 1).select(company, "_y", *[F.col(c).alias(f"b_{c}") for c in cols])
+    j = a.where("a__mine").join(b, [company, "_y"])
+    if people is not None:
+        j = j.unionByName(a.where("not a__mine").join(b.where("b__mine"), [company, "_y"]))
     sa, ea, sb, eb = (F.col(f"a_{start}"), F.col(f"a_{end}"), F.col(f"b_{start}"), F.col(f"b_{end}"))
     pa, pb = F.col(f"a_{person}"), F.col(f"b_{person}")
     # b is the later-starting stint (ties broken by person), strictly inside a's span

@@ -467,6 +467,14 @@ def q_shared_employers(spark, sf_dir):
     return JN.shared_employer_counts(_filled_jobs(spark, sf_dir))
 
 
+@query("shared_employer_pairs")
+def q_shared_employer_pairs(spark, sf_dir):
+    """D5 as pairs, for one person (all pairs grow with the square of a
+    company; see shared_employers for their numbers)."""
+    jobs = _filled_jobs(spark, sf_dir)
+    return JN.shared_employers(jobs, people=jobs.agg(F.min("person_id").alias("person_id")))
+
+
 @query("gazetteer_geocode")
 def q_gazetteer_geocode(spark, sf_dir):
     locs = V.locs_v(_t(spark, sf_dir))

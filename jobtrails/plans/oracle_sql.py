@@ -617,6 +617,15 @@ select m.company, count(distinct person_id) as n_people, count(*) as n_intervals
 from m left join pairs on pairs.company = m.company group by m.company""", "jobs_v")
 
 
+add("shared_employer_pairs", f"""
+with {_stint_fill_ctes('jobs_v')},
+sf as ({_stint_fill_sql('jobs_v')}),
+x as (select person_id, start_dt as s, end_dt as e, company from sf where start_dt is not null and end_dt is not null)
+select distinct least(a.person_id, b.person_id) as person1, greatest(a.person_id, b.person_id) as person2, a.company
+from x a join x b on a.person_id = (select min(person_id) from sf) and b.person_id <> a.person_id
+                 and a.company = b.company and b.s < a.e and a.s < b.e""", "jobs_v")
+
+
 def _gazetteer_sql() -> str:
     from jobtrails.sources.gazetteer import rows
     vals = ", ".join("(" + ", ".join(("'" + v.replace("'", "''") + "'") if isinstance(v, str) else f"cast({v!r} as double)"
