@@ -366,10 +366,17 @@ def q_state_mobility(spark, sf_dir):
 
 
 def _title_vocab(spark, sf_dir):
-    t = V.titles_v(_t(spark, sf_dir))
+    t = _kept(V.titles_v(_t(spark, sf_dir)), "titles")
     return ST.vocab_encode(_counted_titles(t), SQ.title_sequences(t, skew_safe=True))
 
 
+def _kept(df, name: str):
+    """Written once for several readers."""
+    path = stage_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _counted_titles(t):
     """Cleaned titles of the people with several jobs (counted by an aggregate, not in a window)."""
     several = t.groupBy("person_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("person_id")
@@ -749,15 +756,17 @@ def q_clean_descriptions(spark, sf_dir):
     return TXT.clean_descriptions(_docs(spark, sf_dir), "job_id", "description", num=1000)
 
 
-def _lda(spark, sf_dir, docs=None, k=8, max_iter=6):
+def _lda(spark, sf_dir, docs=None, k=8, max_iter=6, counts=None):
     d = _docs(spark, sf_dir) if docs is None else docs
-    return TOP.fit_lda(d.select("job_id", "description"), "job_id", "description", k=k, max_iter=max_iter, seed=11)
+    return TOP.fit_lda(d, "job_id", "description", k=k, max_iter=max_iter, seed=11, counts=counts)
 
 
 @query("lda_topics")
 def q_lda_topics(spark, sf_dir):
     d = _docs(spark, sf_dir)
-    return TOP.lda_doc_topics(_lda(spark, sf_dir), d, "job_id", "description", normalized=False)
+    counts = TOP.term_counts(d, "job_id", "description")
+    model = _lda(spark, sf_dir, counts=counts)
+    return TOP.lda_doc_topics(model, d, "job_id", "description", normalized=False, counts=counts)
 
 
 @query("lda_topic_words")
@@ -812,9 +821,10 @@ def _hmm_data(spark, sf_dir):
     training vocabulary (titles unseen in training encode as 0)."""
     # the split sequences feed the vocabulary, both encodings and the fit:
     # materialise them once in the checkpoint folder
-    s = SP.split_by_hash(_title_seqs(spark, sf_dir), "person_id", TRAIN_PCT).checkpoint()
+    t = _kept(V.titles_v(_t(spark, sf_dir)), "titles")
+    seqs = SQ.title_sequences(t, skew_safe=True)
+    s = _kept(SP.split_by_hash(seqs, "person_id", TRAIN_PCT), "title_sequences")
     train, test = s.where("split = 'train'"), s.where("split = 'test'")
-    t = V.titles_v(_t(spark, sf_dir))
     tr_people = train.select("person_id").distinct()
     vocab, enc_train = ST.vocab_encode(_counted_titles(t.join(tr_people, "person_id", "left_semi")), train)
     enc_test = test.join(vocab.select("title", "id"), "title", "left") \

@@ -348,7 +348,7 @@ def test_long_documents_in_parts(spark, monkeypatch):
     _, whole = fit()
     monkeypatch.setattr(TOP, "PART_TERMS", 45)
     monkeypatch.setattr(TOP, "BLOCK_ROWS", 200)
-    corpus = TOP._corpus(df, "job_id", "text", 0)
+    corpus = TOP._corpus(TOP.term_counts(df, "job_id", "text"), 0)
     assert corpus.parts.select("key").distinct().count() == 2 and corpus.tokens.where("parted").count() == 120
     assert corpus.parts.count() > 2
     model, parted = fit()
