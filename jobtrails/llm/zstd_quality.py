@@ -72,15 +72,14 @@ def sample_blocks(docs: DataFrame, truth: DataFrame) -> dict[int, list[bytes]]:
                     some = found[i:i + MAX_BLOCKS]
                     yield batch(schema, quality=[q] * len(some), block=some)
 
-    out = {}
-    for q in (0, 1):
-        # at most MAX_DOCS narrow rows: the texts stay where they are
-        some = truth.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_DOCS)
-        texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(
-            F.broadcast(some), "doc_id").select("text", "quality")
-        found = texts.mapInArrow(cut, "quality int, block binary").select("block").distinct()
-        out[q] = [bytes(r["block"]) for r in found.orderBy(F.xxhash64("block"), "block").limit(MAX_BLOCKS).collect()]
-    return out
+    # at most MAX_DOCS narrow rows a class: the texts stay where they are and are read once
+    first, second = (truth.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_DOCS)
+                     for q in (0, 1))
+    texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(
+        F.broadcast(first.unionByName(second)), "doc_id").select("text", "quality")
+    found = materialise(texts.mapInArrow(cut, "quality int, block binary").distinct(), "zstd-blocks")
+    return {q: [bytes(r["block"]) for r in found.where(F.col("quality") == q).select("block")
+                .orderBy(F.xxhash64("block"), "block").limit(MAX_BLOCKS).collect()] for q in (0, 1)}
 
 
 def train(samples: list[bytes], size: int = DICT_BYTES) -> bytes:
