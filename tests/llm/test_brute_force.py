@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -441,6 +442,24 @@ def test_streams_keep_documents_whole():
     assert gru_lm.log_likelihoods(p, docs) == pytest.approx(alone, rel=1e-4)
 
 
+def test_a_very_long_document_among_short_ones_pads_nothing():
+    rng = np.random.default_rng(4)
+    docs = [rng.integers(0, 1000, n).astype(np.int32) for n in [300_000, *[20] * 255]]
+    v = gru_lm.Vocabulary([b""], np.ones(1), 1, 1, np.ones(gru_lm.TAILS), np.ones(gru_lm.TAILS))
+    p = gru_lm.initial(v)
+    p["bw"][:] = 0
+    tracemalloc.start()
+    got = gru_lm.log_likelihoods(p, docs)
+    gru_lm.train({k: x.copy() for k, x in p.items()}, gru_lm.Adam(p), docs[1:])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20  # padded to the longest, the streams alone would take 900 MB
+    assert got[1:] == pytest.approx(gru_lm.log_likelihoods(p, docs[1:]), rel=1e-4)
+    laid = gru_lm.Streams.of(docs, 8)
+    places = np.concatenate([at for _, _, at in laid.windows()])
+    assert np.array_equal(np.sort(places), np.arange(sum(map(len, docs))))  # each token once
+
+
 # ---------------------------------------------------------------- 10
 
 def brute_repeats(texts, length):
