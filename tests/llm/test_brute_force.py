@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import tracemalloc
 import zlib
 from collections import Counter, defaultdict
@@ -155,6 +156,43 @@ def test_short_items_match_whole_words(spark):
         i: ([3], 0) if i in (1, 6) else ([], None) for i in docs}
 
 
+def test_repetitive_texts_and_items_take_bounded_work():
+    block = decontam.Block.of([(1, "lo" * 300), (2, " ".join(["lo"] * 300)), (3, "lo" * 40 + "xy" + "lo" * 40)])
+    assert len(block.owner) < 2000  # windows of equal bytes are one
+    off, data, _ = decontam.squash(pa.array(["lo" * 500_000, "lo" * 20]))
+    tracemalloc.start()
+    began = time.monotonic()
+    got = decontam.matches(block, off, data)
+    took, peak = time.monotonic() - began, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [(0, 1, 0), (0, 2, 0), (0, 3, 0)] and took < 60 and peak < 500 << 20
+
+
+@pytest.mark.parametrize("postings, size", [(1 << 18, 2 << 20), (50, 2 << 20), (1 << 18, 300), (50, 300)])
+def test_pieces_give_the_same(spark, monkeypatch, postings, size):
+    rng = random.Random(21)
+    items = [" ".join(words(rng, n)) for n in (15, 30, 200)]
+    texts = [" ".join(words(rng, 400)) for _ in range(6)]
+    for i, t in enumerate(texts[:4]):
+        a = rng.randrange(len(t))
+        texts[i] = t[:a] + " " + items[i % 3][:150].replace("k", "", i) + " " + t[a:]
+    texts[4] += " " + "abcdefgh" * 400 + " " + items[2]
+    docs = spark.createDataFrame([*enumerate(texts), (6, None), (0, texts[0])], "doc_id bigint, text string")
+    bench = spark.createDataFrame([*enumerate(items), (9, "abcdefgh" * 50)], "item_id bigint, text string")
+    want = sorted(map(tuple, decontam.decontaminate(docs, bench).collect()))
+    assert [x[2] for x in want] == [[0], [0], [1], [2], [0], [2, 9], [], []]
+    monkeypatch.setattr(decontam, "POSTINGS", postings)
+    monkeypatch.setattr(decontam, "SLICE_BYTES", size)
+    block = decontam.Block.of(sorted([*enumerate(items), (9, "abcdefgh" * 50)]))
+    off, data, _ = decontam.squash(pa.array(texts))
+    found = defaultdict(dict)
+    for a, z, x, y in decontam._pieces(off):
+        for r, item, e in decontam.matches(block, np.clip(off[a:z + 1], x, y) - x, data[x:y]):
+            found[a + r][item] = min(e, found[a + r].get(item, e))
+    assert {(r, tuple(sorted(x)), min(x.values())) for r, x in found.items()} == {
+        (x[0], tuple(x[2]), x[3]) for x in want if x[2]}
+
+
 def test_blocks_give_the_same(spark, monkeypatch):
     docs, bench = (spark.read.parquet(f"{SF001}/{t}.parquet") for t in ("documents", "benchmark"))
     one = sorted(map(tuple, decontam.decontaminate(docs, bench).select("doc_id", "item_ids").collect()))
