@@ -8,7 +8,8 @@ decreasing makes the first solution.  Local search then exchanges one piece for
 one, two for one or one for two, or moves a piece, between underfull bins
 wherever that raises the sum of squared fills, for as many bins of a type at
 once as there are; the emptiest bins go first and vanish when empty.  It ends
-at the least number of bins the tokens allow or when no exchange helps.
+at the least number of bins the tokens allow or when no exchange helps: a type
+that has none left is looked at again only if a new type can take from it.
 
 Each piece then needs its rank among the pieces of its length: its number
 within its task plus the counts of the tasks before.  Ranks are looked up in
@@ -37,8 +38,6 @@ CAPACITY = 1024
 END = 2
 #: chunks whose ids a worker keeps, some 230 bytes each
 MEMO = 1_400_000
-#: exchanges that the search weighs at most, whatever the corpus
-SEARCH = 20_000_000
 
 Types = dict[tuple[int, ...], int]
 
@@ -181,9 +180,11 @@ def best_fit(histogram: dict[int, int], capacity: int) -> Types:
 
 
 def _groups(lengths: tuple[int, ...]) -> dict[int, tuple[int, ...]]:
-    """Sums of one or two pieces of a bin, and the pieces."""
-    found = {a + b: (a, b) for a, b in combinations(lengths, 2)} if len(lengths) <= 64 else {}
-    return found | {a: (a,) for a in lengths}
+    """Sums of one or two pieces of a bin, and the pieces (by distinct lengths,
+    of which a bin has some forty at most, however many its pieces)."""
+    some = sorted(set(lengths))
+    twice = {2 * a: (a, a) for a in some if lengths.count(a) > 1}
+    return twice | {a + b: (a, b) for a, b in combinations(some, 2)} | {a: (a,) for a in some}
 
 
 def _without(lengths: tuple[int, ...], some: tuple[int, ...]) -> tuple[int, ...]:
@@ -193,53 +194,98 @@ def _without(lengths: tuple[int, ...], some: tuple[int, ...]) -> tuple[int, ...]
     return tuple(left)
 
 
-def local_search(types: Types, capacity: int, budget: int = SEARCH) -> Types:
+class _Bins:
+    """Underfull bin types, and a row for each group of pieces that one of them can
+    give or take: sum and number of the pieces (none: 0, 0), fill and place of the type."""
+
+    def __init__(self, types: Types, capacity: int):
+        self.capacity, self.names, self.at = capacity, [], {}
+        self.fill, self.count, self.done = (np.zeros(0, np.int64) for _ in range(3))
+        self.rows = np.zeros((4, 0), np.int64)
+        self.full: Types = {}
+        for t, n in sorted(types.items()):
+            self.add(t, n)
+
+    def add(self, t: tuple[int, ...], n: int) -> int | None:
+        """``n`` more bins of a type; its place if it is new."""
+        if sum(t) == self.capacity:
+            self.full[t] = self.full.get(t, 0) + n
+            return None
+        if t in self.at:
+            i = self.at[t]
+            self.count[i] += n
+            self.done[i] = 0  # its bins can exchange with each other now
+            return None
+        i = self.at[t] = len(self.names)
+        self.names.append(t)
+        self.fill, self.count, self.done = (np.append(x, v) for x, v in (
+            (self.fill, sum(t)), (self.count, n), (self.done, 0)))
+        new = [(0, 0), *((x, len(p)) for x, p in _groups(t).items())]
+        self.rows = np.concatenate([self.rows, [[x for x, _ in new], [k for _, k in new], [sum(t)] * len(new),
+                                                [i] * len(new)]], axis=1)
+        return i
+
+    def take(self, i: int, n: int) -> None:
+        self.count[i] -= n
+        if not self.count[i]:
+            del self.at[self.names[i]]
+            dead = self.count[self.rows[3]] == 0
+            if 2 * dead.sum() > len(dead):
+                self.rows = self.rows[:, ~dead]
+
+    def _gains(self, given: np.ndarray, taken: np.ndarray) -> np.ndarray:
+        """What the exchanges add to the sum of squared fills, those that fill a
+        bin before all others; 0: not allowed, or no gain."""
+        d, room = given[0] - taken[0], self.capacity - taken[2]
+        ok = (d > np.maximum(given[2] - taken[2], 0)) & (d <= room) & (given[1] + taken[1] <= 3) & (given[1] > 0)
+        return np.where(ok, d * (taken[2] - given[2] + d) + (d == room) * self.capacity ** 2, 0)
+
+    def best(self, giver: int) -> tuple[int, int, int] | None:
+        """Taker and the sums given and taken of the exchange that gains most."""
+        takers = self.rows[:, (self.count[self.rows[3]] > 0) & ((self.rows[3] != giver) | (self.count[giver] > 1))]
+        most, found = 0, None
+        for given in self.rows[:, self.rows[3] == giver].T[1:] if takers.size else ():
+            gain = self._gains(given, takers)
+            j = int(gain.argmax())
+            if gain[j] > most:
+                most, found = int(gain[j]), (int(takers[3, j]), int(given[0]), int(takers[0, j]))
+        return found
+
+    def wake(self, taker: int) -> None:
+        """Types that were done are open again if the new type ``taker`` can take from them."""
+        givers = self.rows[:, (self.done[self.rows[3]] > 0) & (self.count[self.rows[3]] > 0)]
+        for taken in self.rows[:, self.rows[3] == taker].T:
+            self.done[givers[3, self._gains(givers, taken) > 0]] = 0
+
+    def types(self) -> Types:
+        return self.full | {t: int(self.count[i]) for t, i in self.at.items()}
+
+
+def local_search(types: Types, capacity: int) -> Types:
     """Exchanges between underfull bins; see the module's text."""
-    types = dict(types)
-    tokens = sum(sum(t) * n for t, n in types.items())
-    least = -(-tokens // capacity)
-    number = sum(types.values())
-    groups: dict[tuple[int, ...], dict[int, tuple[int, ...]]] = {}
-    stuck: set[tuple[int, ...]] = set()
-    while number > least and budget > 0:
-        under = sorted((t for t in types if sum(t) < capacity), key=lambda t: (sum(t), t))
-        giver = next((t for t in under if t not in stuck), None)
-        if giver is None:
+    least = -(-sum(sum(t) * n for t, n in types.items()) // capacity)
+    number, bins = sum(types.values()), _Bins(types, capacity)
+    while number > least:
+        ready = np.flatnonzero((bins.count > 0) & (bins.done == 0))
+        if not len(ready):
             break
-        best = None  # gain, taker, pieces given, pieces taken
-        mine = groups.setdefault(giver, _groups(giver))
-        for taker in reversed(under):
-            if taker == giver and types[giver] < 2:
-                continue
-            room = capacity - sum(taker)
-            back = {0: ()} | groups.setdefault(taker, _groups(taker))
-            edge = max(0, sum(giver) - sum(taker))  # a smaller change would lower the squares
-            budget -= len(mine) * len(back)
-            for x, given in mine.items():
-                for y, taken in back.items():
-                    if edge < x - y <= room and len(given) + len(taken) <= 3:
-                        d = x - y
-                        gain = (d == room, d * (sum(taker) - sum(giver) + d))
-                        if best is None or gain > best[0]:
-                            best = (gain, taker, given, taken)
-            if best and best[0][0]:
-                break  # it fills a bin
-        if best is None:
-            stuck.add(giver)
+        giver = int(ready[bins.fill[ready].argmin()])  # the emptiest
+        found = bins.best(giver)
+        if found is None:
+            bins.done[giver] = 1
             continue
-        _, taker, given, taken = best
-        n = types[giver] // 2 if taker == giver else min(types[giver], types[taker])
-        for t, new in ((giver, _without(giver, given) + taken), (taker, _without(taker, taken) + given)):
-            types[t] -= n
-            if not types[t]:
-                del types[t]
-            if new:
-                new = tuple(sorted(new, reverse=True))
-                types[new] = types.get(new, 0) + n
-            else:
-                number -= n
-        stuck.clear()
-    return types
+        taker, x, y = found
+        a, b = bins.names[giver], bins.names[taker]
+        given, taken = _groups(a)[x], _groups(b)[y] if y else ()
+        n = int(bins.count[giver] // 2 if giver == taker else min(bins.count[giver], bins.count[taker]))
+        bins.take(giver, n)
+        bins.take(taker, n)
+        new = [tuple(sorted(t, reverse=True)) for t in (_without(a, given) + taken, _without(b, taken) + given)]
+        number -= n * new.count(())
+        for i in [bins.add(t, n) for t in new if t]:
+            if i is not None:
+                bins.wake(i)
+    return bins.types()
 
 
 # ---------------------------------------------------------------- placing
