@@ -28,7 +28,7 @@ def query(name: str):
 @query("op1_toxicity")
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return d.select("doc_id", "held_out", "score", "predicted", "evidence", F.size("seg_score").alias("n_segments"))
+    return d.select("doc_id", "held_out", "score", "predicted", "evidence", "n_segments")
 
 
 @query("op2_decontaminate")

@@ -8,11 +8,14 @@ scores doesn't depend on what stands before it.  A segment of
 score S among n tokens is judged by the extreme-value law
 E = K n exp(-lambda S): lambda solves sum p exp(lambda s) = 1 over the clean
 token distribution and K comes from the mean largest segment of clean training
-documents.  As evidence a segment counts what its best part scores if the r-th of
-equal tokens in the segment has 1/r of a positive score.  A document's evidence is
-the best sum over its r best segments,
-sum(lambda S_i) - r ln(K n) + ln r!; a logistic curve fitted on the training
-documents (in bins of the evidence) turns it into a probability.
+documents, of the same S.  A segment is significant if E is at most ``LEVEL``.
+
+As evidence a segment counts W, lambda times what its best part scores if the r-th
+of equal tokens in the segment has 1/r of a positive score, and these have a K of
+their own, from the mean largest W of clean training documents.  A document's
+evidence is the best sum over its r best segments, sum(W_i) - r ln(K n) + ln r!; a
+logistic curve fitted on the training documents (in bins of the evidence) turns it
+into a probability.
 
 Tokens and stems are hashed into a fixed number of buckets, so the model has
 one size for any corpus.  It is fitted on at most ``MAX_LABELS`` labelled rows;
@@ -48,6 +51,8 @@ STEM_PRIOR = 30.0
 #: taken from every token's score so that clean text drifts down
 DRIFT = 0.5
 MIN_K = 0.01
+#: a segment is significant if so few of its score are expected in a clean text of its length
+LEVEL = 0.01
 #: labelled rows that the classifier is fitted on at most (16 bytes each go to every task);
 #: beyond this a share of them by a hash of the id
 MAX_LABELS = 1_000_000
@@ -244,6 +249,14 @@ def evidence(log_k: float) -> Column:
     return F.least(F.greatest(found, F.lit(float(LOWEST))), F.lit(float(HIGHEST)))
 
 
+def _log_k(clean: DataFrame, values: str) -> float:
+    """ln K from the largest of ``values`` in clean documents: the mean of a
+    largest value among n tokens is ln(K n) plus Euler's constant."""
+    largest = F.coalesce(F.array_max(values), F.lit(0.0)) - F.log("n_tokens")
+    mean = clean.agg(F.avg(largest)).first()[0]
+    return max(log(MIN_K), (mean if mean is not None else 0.0) - _EULER)
+
+
 def _logistic(x: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> tuple[float, float]:
     """Slope and intercept by Newton's method on binned counts, ridge 1e-3."""
     w = np.zeros(2)
@@ -260,9 +273,10 @@ def _logistic(x: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> tuple[float, f
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, n_folds: int = 5) -> DataFrame:
-    """doc_id, held_out, score, predicted, evidence, n_tokens and the segments
-    (seg_start, seg_end, seg_score) of every document; learned from the labels
-    of the folds other than 0."""
+    """doc_id, held_out, score, predicted, evidence, n_tokens, the segments that
+    any K could make significant (seg_start, seg_end, seg_score: lambda S, seg_e: E)
+    and n_segments, the number of significant ones, of every document; learned
+    from the labels of the folds other than 0."""
     fold = folds(F.col("doc_id"), n_folds)
     truth, rows = _labelled(docs, labels, n_folds)
     model = fit_scores(rows)
@@ -271,20 +285,23 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, n_folds: int = 5) -> Data
         seen = truth.groupBy().agg(F.avg("toxic")).first()[0]
         flat = 0.0 if seen is None else float(seen)
         empty = [F.array().cast(t).alias(n) for n, t in
-                 (("seg_start", "array<int>"), ("seg_end", "array<int>"), ("seg_score", "array<double>"))]
+                 (("seg_start", "array<int>"), ("seg_end", "array<int>"), ("seg_score", "array<double>"),
+                  ("seg_e", "array<double>"))]
         return d.select("doc_id", "held_out", F.lit(flat).alias("score"), F.lit(int(flat >= 0.5)).alias("predicted"),
-                        F.lit(LOWEST).alias("evidence"), F.lit(0).cast("bigint").alias("n_tokens"), *empty)
+                        F.lit(LOWEST).alias("evidence"), F.lit(0).cast("bigint").alias("n_tokens"), *empty,
+                        F.lit(0).alias("n_segments"))
     found = materialise(score_segments(d, model, ["doc_id", "held_out"]), "toxic-segments")
 
     known = found.where(~F.col("held_out")).join(truth, "doc_id").where(F.col("n_tokens") > 0)
-    largest = F.coalesce(F.array_max("seg_weight"), F.lit(0.0)) - F.log("n_tokens")
-    mean = known.where(F.col("toxic") == 0).agg(F.avg(largest)).first()[0]
-    log_k = max(log(MIN_K), (mean if mean is not None else 0.0) - _EULER)
+    clean = known.where(F.col("toxic") == 0)
+    log_k, seg_log_k = _log_k(clean, "seg_weight"), _log_k(clean, "seg_score")
     bins = known.select((F.round(evidence(log_k) / BIN) * BIN).alias("x"), "toxic").groupBy("x").agg(
         F.sum((F.col("toxic") > 0).cast("int")).alias("pos"), F.sum((F.col("toxic") == 0).cast("int")).alias("neg")
     ).toPandas()  # at most (HIGHEST - LOWEST) / BIN + 1 rows
     slope, cut = _logistic(*(bins[c].to_numpy(float) for c in ("x", "pos", "neg")))
+    expected = F.transform("seg_score", lambda x: F.exp(F.log("n_tokens") + seg_log_k - x))
     return found.withColumn("evidence", evidence(log_k)).withColumn(
-        "score", 1 / (1 + F.exp(-(F.col("evidence") * slope + cut)))).select(
+        "score", 1 / (1 + F.exp(-(F.col("evidence") * slope + cut)))).withColumn("seg_e", expected).select(
         "doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence", "n_tokens",
-        "seg_start", "seg_end", "seg_score")
+        "seg_start", "seg_end", "seg_score", "seg_e",
+        F.size(F.filter("seg_e", lambda e: e <= LEVEL)).alias("n_segments"))

@@ -1,6 +1,7 @@
 """Operators against plain Python on small corpora with planted cases."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -105,6 +106,31 @@ def test_a_passage_scores_alike_wherever_it_stands(spark):
         assert [found.get(a) for a in at] == [(8, pytest.approx(alone[0]))] * len(at)
 
 
+def test_segments_have_the_expected_number_of_their_law(spark):
+    docs, labels = (spark.read.parquet(f"{SF01}/{t}.parquet") for t in ("documents", "labels"))
+    truth, rows = toxicity._labelled(docs, labels, 5)
+    model = toxicity.fit_scores(rows)
+    # lambda: the expectation of exp(lambda s) over the words of clean texts is 1
+    p = (model.n1 + toxicity.WORD_PRIOR * model.share) / (model.n1 + model.n0 + toxicity.WORD_PRIOR)
+    s = np.log(p / (1 - p)) - math.log(model.share / (1 - model.share)) - toxicity.DRIFT
+    assert (model.n0 / model.n0.sum()) @ np.exp(model.scale * s) == pytest.approx(1, abs=1e-6)
+    got = toxicity.score_toxicity(docs, labels).collect()
+    toxic = {r["doc_id"]: r["toxic"] for r in truth.collect()}
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    best, clean = {}, []
+    for i, text in texts.items():
+        w = toxicity.tokens(text.lower().encode())
+        x = [z * model.scale for _, _, z in toxicity.segments(np.array([model.of(t) for t in w], float))]
+        best[i] = sorted((z for z in x if z > math.log(max(len(w), 1) * toxicity.MIN_K)), reverse=True)
+        if toxic.get(i) == 0 and w:
+            clean.append((best[i] or [0])[0] - math.log(len(w)))
+    k = max(math.log(toxicity.MIN_K), sum(clean) / len(clean) - 0.5772156649)
+    for r in got:
+        want = [r["n_tokens"] * math.exp(k - x) for x in best[r["doc_id"]]]
+        assert sorted(r["seg_e"]) == pytest.approx(want, rel=1e-6)
+        assert r["n_segments"] == sum(e <= toxicity.LEVEL for e in r["seg_e"])
+
+
 # ---------------------------------------------------------------- 2
 
 def test_leaks_with_edits_are_found(spark):
@@ -259,6 +285,30 @@ def test_packing_round_trip(spark):
     assert len(by_seq) <= 1.03 * math.ceil(total / cap) + 1
 
 
+def left_over(types, cap):
+    """An exchange of at most three pieces between underfull bins that raises the squares."""
+    some = lambda t: [g for n in (1, 2) for g in itertools.combinations(t, n)]
+    under = {t: n for t, n in types.items() if sum(t) < cap}
+    for a in under:
+        for b in under:
+            if a == b and under[a] < 2:
+                continue
+            for x in some(a):
+                for y in [(), *some(b)]:
+                    d = sum(x) - sum(y)
+                    if len(x) + len(y) <= 3 and 0 < d <= cap - sum(b) and sum(b) - sum(a) + d > 0:
+                        return a, b, x, y
+
+
+def test_bins_of_many_pieces_exchange_two_for_one():
+    assert packing._groups((7, 5, 5) + (1,) * 80) == {
+        1: (1,), 2: (1, 1), 5: (5,), 6: (1, 5), 7: (7,), 8: (1, 7), 10: (5, 5), 12: (5, 7)}
+    # in the bin of 72 pieces only 3 + 3 leave room for the 7: two for one
+    many = (3, 3) + (2,) * 70
+    bins = packing._Bins({(7,): 1, many: 1}, 147)
+    assert bins.best(bins.at[7,]) == (bins.at[many], 7, 6)
+
+
 def test_local_search_keeps_pieces_and_saves_bins():
     rng = random.Random(1)
     for _ in range(30):
@@ -270,6 +320,8 @@ def test_local_search_keeps_pieces_and_saves_bins():
                                                      Counter()) == hist
             assert all(sum(t) <= 100 and n > 0 for t, n in types.items())
         assert sum(last.values()) <= sum(first.values())
+        if sum(last.values()) > math.ceil(sum(x * n for x, n in hist.items()) / 100):
+            assert not left_over(last, 100)
     # six of two kinds: best fit needs a third bin, an exchange empties it
     assert sum(packing.local_search({(60, 30): 1, (50, 40): 1, (10, 10): 1}, 100).values()) == 2
 
