@@ -360,3 +360,28 @@ def test_long_documents_in_parts(spark, monkeypatch):
         if i != 200:
             assert np.argmax(topics) == np.argmax(parted[i]) and sum(topics) == pytest.approx(sum(parted[i]))
             assert np.allclose(topics, parted[i], rtol=0.05, atol=0.5)
+
+
+def test_lda_blocks_are_packed_once(spark, monkeypatch):
+    """Each block is one row, which holds every count of its documents; null
+    keys keep the precision of the others; large corpora have larger blocks."""
+    df = spark.createDataFrame([(2 ** 53 + 1, "sun sun sea"), (None, "sun lake"), (7, "sea"), (7, "sea hill"), (8, None)],
+                               "job_id long, text string")
+    counts = TOP.term_counts(df, "job_id", "text")
+    monkeypatch.setattr(TOP, "BLOCK_ROWS", 3)
+    corpus = TOP._corpus(counts, 0)
+    rows = corpus.blocks.collect()
+    assert len(rows) == len({r["block"] for r in rows}) <= 2 == TOP._n_blocks(counts.count())
+    found = set()
+    for r in rows:
+        ids, at, n = (np.frombuffer(r[c], t) for c, t in (("ids", np.int64), ("at", np.int32), ("n", np.int64)))
+        keys = [k for k, m in zip(r["keys"], np.frombuffer(r["size"], np.int32), strict=True) for _ in range(m)]
+        found |= set(zip(keys, ids[at].tolist(), n.tolist(), strict=True))
+    assert found == {(r["key"], r["id"], r["n"]) for r in TOP._hashed(counts, 0).collect()} and len(found) == 6
+    assert {(r["block"], r["id"]) for r in corpus.terms.collect()} == {(r["block"], r["id"]) for r in corpus.tokens.collect()}
+    model = TOP.fit_lda(df, "job_id", "text", k=2, max_iter=2, seed=3)
+    assert model.weights.agg(F.sum(F.col("w0") + F.col("w1"))).first()[0] == pytest.approx(8 + 4 * 2 * 0.5)
+    topics = {r["job_id"]: r["topics"] for r in TOP.lda_doc_topics(model, df, "job_id", "text", normalized=False).collect()}
+    assert sum(topics[2 ** 53 + 1]) == pytest.approx(4) and sum(topics[7]) == pytest.approx(4) and topics[8] == [0.5, 0.5]
+    monkeypatch.setattr(TOP, "BLOCK_ROWS", 100)
+    assert [TOP._n_blocks(x) for x in (0, 100, 101, 9600, 9601, 38401)] == [1, 1, 2, 96, 96, 97]
