@@ -70,7 +70,9 @@ def element_histograms(rows: DataFrame, topn: int = 10) -> DataFrame:
     """E4 over counted (element, attr, value, n) rows, where each element has one
     with no attr: the topn-1 most frequent values of each attribute, the rest as
     "* other *", elements without the attribute as "* missing *"."""
-    counts = rows.groupBy("element", "attr", "value").agg(F.sum("n").alias("n"))
+    # counted once for the branches below: a filter in one of them would go
+    # beneath the aggregate and make it a second pass over the rows
+    counts = rows.groupBy("element", "attr", "value").agg(F.sum("n").alias("n")).checkpoint()
     total = counts.where(F.col("attr").isNull()).select("element", F.col("n").alias("_t"))
     counts = counts.where(F.col("attr").isNotNull())
     top = topk_per_group(counts, ["element", "attr"], [F.col("n").desc(), F.col("value").asc_nulls_first()],

@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import re
 import xml.etree.ElementTree as ET
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,39 +35,69 @@ def records(chunk: str, tag: str) -> Iterator[tuple[str, ET.Element | None]]:
             yield text, None
 
 
-def walk(root: ET.Element) -> Iterator[tuple[str, str | None, str | None, str | None]]:
-    """(path, parent, attr, value): a row with no attr for every element, and
-    one in it for each child, which is its text, or the number of its own
-    children as ``<tag>.<first child>_count``."""
-    todo = [(root, root.tag, None)]
+@dataclass(slots=True)
+class Tag:
+    """The elements of one path: their number, and how often which (attr,
+    value) occurs in them."""
+
+    path: str
+    parent: str | None
+    n: int = 0
+    values: dict[tuple[str, str | None], int] = field(default_factory=lambda: defaultdict(int))
+    tags: dict[str, Tag] = field(default_factory=dict)  # of the children
+
+    def rows(self) -> Iterator[tuple[str, str | None, str | None, str | None, int]]:
+        """(path, parent, attr, value, n) of this path and those below; no attr: the elements themselves."""
+        yield self.path, self.parent, None, None, self.n
+        for (attr, value), n in self.values.items():
+            yield self.path, self.parent, attr, value, n
+        for tag in self.tags.values():
+            yield from tag.rows()
+
+
+def add(root: ET.Element, tags: dict[str, Tag], values: bool = True) -> None:
+    """Counts every element of a record, and in it each child, whose value is
+    its text, or the number of its own children as ``<tag>.<first child>_count``."""
+    top = tags.get(root.tag)
+    if top is None:
+        top = tags[root.tag] = Tag(root.tag, None)
+    todo = [(root, top)]
     while todo:
-        e, path, parent = todo.pop()
-        yield path, parent, None, None
+        e, at = todo.pop()
+        at.n += 1
+        below, found = at.tags, at.values
         for child in e:
+            name = child.tag
+            tag = below.get(name)
+            if tag is None:
+                tag = below[name] = Tag(f"{at.path}/{name}", at.path)
             if len(child):
-                yield path, parent, f"{child.tag}.{child[0].tag}_count", str(len(child))
+                if values:
+                    found[f"{name}.{child[0].tag}_count", str(len(child))] += 1
+                todo.append((child, tag))
             else:
-                yield path, parent, child.tag, child.text
-            todo.append((child, f"{path}/{child.tag}", path))
+                if values:
+                    found[name, child.text] += 1
+                tag.n += 1
 
 
 def _chunks(spark: SparkSession, paths: str | list[str], tag: str) -> DataFrame:
     return spark.read.text(paths, lineSep=f"</{tag}>")
 
 
-def tag_counts(spark: SparkSession, paths: str | list[str], tag: str = "resume") -> DataFrame:
+def tag_counts(spark: SparkSession, paths: str | list[str], tag: str = "resume", values: bool = True) -> DataFrame:
     """path, parent, attr, value, n over all well-formed records; an element's
-    own rows have no attr.  The same key may come from several tasks."""
+    own rows have no attr (without ``values`` there are no others).  The same
+    key may come from several tasks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found: Counter = Counter()
+            found: dict[str, Tag] = {}
             for chunk in b["value"].to_pylist():
                 for _, tree in records(chunk, tag):
                     if tree is not None:
-                        found.update(walk(tree))
-            cols = list(zip(*found)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in cols),
-                                              pa.array(found.values(), pa.int64())], schema=_SCHEMA)
+                        add(tree, found, values)
+            cols = list(zip(*(row for top in found.values() for row in top.rows()))) or [()] * len(_SCHEMA)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _SCHEMA)], schema=_SCHEMA)
 
     return _chunks(spark, paths, tag).mapInArrow(run, TAGS)
 
