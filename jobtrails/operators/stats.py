@@ -234,14 +234,14 @@ def vocab_encode(counted: DataFrame, sequences: DataFrame, title: str = "title",
     """
     counts = counted.groupBy(title).agg(_count().alias("count"))
     used = sequences.select(title).distinct().withColumn("_used", F.lit(True))
-    v = counts.join(used, title, "left")
+    v = counts.join(used, title, "left").checkpoint()  # for both kinds of titles, counted once
     frequent = (F.col("count") >= min_count) & F.col("_used").isNotNull()
     # numbered over a range-partitioned sort: the vocabulary is never in one task
     ranked = range_row_number(v.where(frequent).withColumn("_all", F.lit(0)), "_all",
                               [F.col("count").desc(), F.col(title).asc()], "id")
     vocab = (ranked.select(title, "count", "id")
                    .unionByName(v.where(~frequent).select(title, "count", F.lit(0).cast("bigint").alias("id"))))
-    encoded = sequences.join(vocab.select(title, "id"), title, "left") \
+    encoded = sequences.join(ranked.select(title, "id"), title, "left") \
                        .withColumn("id", F.coalesce(F.col("id"), F.lit(0).cast("bigint")))
     return vocab, encoded
 

@@ -6,12 +6,25 @@ import glob
 
 from pyspark.sql import functions as F
 
+from jobtrails.functions import text as TX
 from jobtrails.operators import stats as ST
 from jobtrails.session import stage_path
 from jobtrails.sources import resume_xml as RX
 from jobtrails.sources import xml_tags as XT
 
 
+def _watched(df):
+    """The rows, and an accumulator of how many were read."""
+    seen = df.sparkSession.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    return df.mapInArrow(run, df.schema), seen
+
+
 def _xml(spark, tmp_path):
     text = "".join(f"<resume><a>{i % 3}</a><b><c>x</c><c>y</c></b></resume>" for i in range(20))
     (tmp_path / "r.xml").write_text(f"<resumes>{text}</resumes>")
@@ -39,3 +52,21 @@ def test_gzipped_shards_are_small_files(spark, monkeypatch):
     _, odd = RX.write_shards(rows, stage_path(spark, "xml_small"))
     assert len(glob.glob(odd.removeprefix("file://") + "/part-*.gz")) == 10
     assert RX.read_resumes(spark, odd).select("ResumeID").distinct().count() == 50
+
+
+def test_titles_are_counted_once_for_the_vocabulary(spark):
+    titles = [("a", 12), ("b", 15), ("c", 3), ("d", 11)]
+    rows = spark.createDataFrame([(t,) for t, n in titles for _ in range(n)], "title string")
+    counted, seen = _watched(rows)
+    seqs = spark.createDataFrame([(1, i + 1, t) for i, t in enumerate("abcz")], "person_id int, seq_pos int, title string")
+    vocab, enc = ST.vocab_encode(counted, seqs)
+    assert {r["title"]: r["id"] for r in vocab.collect()} == {"b": 1, "a": 2, "c": 0, "d": 0}
+    assert sorted((r["title"], r["id"]) for r in enc.collect()) == [("a", 2), ("b", 1), ("c", 0), ("z", 0)]
+    assert seen.value == 41
+
+
+def test_clean_title_keeps_letters_and_spaces(spark):
+    odd = ["", " ", "Ab-c 1", "ÀB\tc  d", "😀x\n", "123", None, "İstanbul K"]
+    df = spark.createDataFrame([(x,) for x in odd], "t string")
+    for r in df.select(TX.clean_title(F.col("t")).alias("a"), F.regexp_replace(F.lower("t"), "[^a-zA-Z ]", "").alias("b")).collect():
+        assert r["a"] == r["b"]
