@@ -7,6 +7,7 @@ import glob
 from pyspark.sql import functions as F
 
 from jobtrails.functions import text as TX
+from jobtrails.operators import joins as JN
 from jobtrails.operators import stats as ST
 from jobtrails.session import stage_path
 from jobtrails.sources import resume_xml as RX
@@ -65,6 +66,18 @@ def test_titles_are_counted_once_for_the_vocabulary(spark):
     assert seen.value == 41
 
 
+def test_pairs_of_some_people_read_the_stints_twice(spark):
+    rows = [(p, c, f"20{10 + p % 3}-01-01", "2015-01-01") for p in range(12) for c in ("x", "y", f"own{p}")]
+    rows += [(3, None, "2010-01-01", "2015-01-01"), (4, None, "2010-01-01", "2015-01-01")]
+    stints = spark.createDataFrame(rows, "person_id int, company string, s string, e string") \
+                  .select("person_id", "company", F.to_date("s").alias("start_dt"), F.to_date("e").alias("end_dt"))
+    every = {tuple(r) for r in JN.shared_employers(stints).collect()}
+    watched, seen = _watched(stints)
+    some = JN.shared_employers(watched, people=spark.createDataFrame([(3,)], "person_id int"))
+    assert {tuple(r) for r in some.collect()} == {x for x in every if 3 in x[:2]} != set()
+    assert seen.value <= 2 * len(rows)  # for the companies, and for the pairs
+
+
 def test_clean_title_keeps_letters_and_spaces(spark):
     odd = ["", " ", "Ab-c 1", "ÀB\tc  d", "😀x\n", "123", None, "İstanbul K"]
     df = spark.createDataFrame([(x,) for x in odd], "t string")
