@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import glob
+import random
 
 from pyspark.sql import functions as F
 
 from jobtrails.functions import text as TX
 from jobtrails.operators import joins as JN
 from jobtrails.operators import stats as ST
+from jobtrails.operators import text as TXT
 from jobtrails.session import stage_path
 from jobtrails.sources import resume_xml as RX
 from jobtrails.sources import xml_tags as XT
@@ -66,6 +68,13 @@ def test_titles_are_counted_once_for_the_vocabulary(spark):
     assert seen.value == 41
 
 
+def test_texts_are_cut_into_tokens_once_for_bigrams(spark):
+    docs, seen = _watched(spark.createDataFrame([(i, "red fox sat, red fox ran") for i in range(9)], "id int, text string"))
+    best = TXT.bigram_llr(docs, "id", "text", num=2)
+    assert [(r["w1"], r["w2"], r["n"]) for r in best.collect()] == [("red", "fox", 18), ("fox", "ran", 9)]
+    assert seen.value == 9
+
+
 def test_pairs_of_some_people_read_the_stints_twice(spark):
     rows = [(p, c, f"20{10 + p % 3}-01-01", "2015-01-01") for p in range(12) for c in ("x", "y", f"own{p}")]
     rows += [(3, None, "2010-01-01", "2015-01-01"), (4, None, "2010-01-01", "2015-01-01")]
@@ -83,3 +92,37 @@ def test_clean_title_keeps_letters_and_spaces(spark):
     df = spark.createDataFrame([(x,) for x in odd], "t string")
     for r in df.select(TX.clean_title(F.col("t")).alias("a"), F.regexp_replace(F.lower("t"), "[^a-zA-Z ]", "").alias("b")).collect():
         assert r["a"] == r["b"]
+
+
+def _joined(words, scores):
+    """The reference: best bigram first, each left to right without overlap."""
+    words = [w for w in words]
+    pairs = list(zip(words, words[1:]))
+    for p in sorted(set(pairs) & set(scores), key=lambda p: (-scores[p], pairs.index(p))):
+        out, i = [], 0
+        while i < len(words):
+            if tuple(words[i:i + 2]) == p:
+                out.append("_".join(p))
+                i += 2
+            else:
+                out.append(words[i])
+                i += 1
+        words = out
+    return words
+
+
+def test_bigrams_join_as_one_after_the_other(spark):
+    rng = random.Random(5)
+    scores = {(a, b): float(rng.randrange(4)) for a in "abcd" for b in "abcd" if rng.random() < 0.6}
+    texts = [[rng.choice("abcdefg") for _ in range(rng.randrange(40))] for _ in range(200)] + [[], ["a"], ["a"] * 7]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t array<string>")
+    got = {r["id"]: r["t"] for r in TXT.bigram_replace(df, "id", "t", scores).collect()}
+    assert got == {i: _joined(t, scores) for i, t in enumerate(texts)}
+
+
+def test_tokens_of_odd_texts(spark):
+    plain = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}]+"
+    odd = ["", " ", "Ab-c 1_x", "À,B\tc  d²", "😀x\n!?", None, "İ K\u00a0ß\u2003...", "日本 語①"]
+    df = spark.createDataFrame([(x,) for x in odd], "t string")
+    for r in df.select(TX.tokens_wordpunct(F.col("t")).alias("a"), F.regexp_extract_all(F.lower("t"), F.lit(plain), 0).alias("b")).collect():
+        assert r["a"] == r["b"]
