@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from jobtrails.session import shuffles_freed
+
 DATE_FMT = "yyyyMMdd"
 
 
@@ -27,7 +29,7 @@ def write_sequences_jsonl(stints: DataFrame, path: str, seq: str = "person_id",
                           start: str = "start_dt", end: str = "end_dt", company: str = "company",
                           desc: str = "description", vector: str | None = None) -> None:
     """A6 (write): one JSON record per history: ``[[stint, vector], ...]``
-    where a stint is (yyyyMMdd, yyyyMMdd, company, description)."""
+    where a stint is (yyyyMMdd, yyyyMMdd, company, description); gzipped."""
     stint = F.struct(F.date_format(F.col(start), DATE_FMT).alias("start"),
                      F.date_format(F.col(end), DATE_FMT).alias("end"),
                      F.col(company).alias("company"), F.col(desc).alias("desc"))
@@ -36,7 +38,8 @@ def write_sequences_jsonl(stints: DataFrame, path: str, seq: str = "person_id",
                   .agg(F.sort_array(F.collect_list(F.struct(F.col(pos).alias("pos"), stint.alias("stint"),
                                                             vec.alias("topics")))).alias("jobs"))
                   .select(seq, F.col("jobs")))
-    recs.write.mode("overwrite").json(path)
+    with shuffles_freed(stints.sparkSession):
+        recs.write.mode("overwrite").option("compression", "gzip").json(path)
 
 
 JSONL_SCHEMA = T.StructType([

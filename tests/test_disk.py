@@ -63,6 +63,17 @@ def test_matching_reads_filled_histories_from_files(spark):
     assert "Window" not in _plan(QUERIES["match_by_fingerprint"](spark, SF001))
 
 
+def test_sequence_files_are_gzipped(spark):
+    rows = [(p, i, D(2000, 1, 1), D(2001, 1, i), "c", f"d{i}", [float(i)]) for p in (1, 2) for i in (1, 2)]
+    df = spark.createDataFrame(rows, "person_id bigint, seq_pos bigint, start_dt date, end_dt date, company string, "
+                                     "description string, topics array<double>")
+    path = stage_path(spark, "jsonl_small")
+    SIO.write_sequences_jsonl(df, path, vector="topics")
+    files = glob.glob(path.removeprefix("file://") + "/part-*")
+    assert files and all(f.endswith(".json.gz") for f in files)
+    assert sorted(map(tuple, SIO.read_sequences_jsonl(spark, path).collect())) == rows
+
+
 def test_both_shards_are_gzipped(spark):
     rows = spark.range(0, 20, 1, 2).select(F.col("id").cast("string").alias("ResumeID"))
     shards = RX.write_shards(rows, stage_path(spark, "xml_two"))
