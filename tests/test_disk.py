@@ -63,6 +63,34 @@ def test_matching_reads_filled_histories_from_files(spark):
     assert "Window" not in _plan(QUERIES["match_by_fingerprint"](spark, SF001))
 
 
+def test_alignment_deals_each_history_once(spark):
+    assert _plan(QUERIES["align_positional"](spark, SF001)).count("Exchange hashpartitioning") == 2
+
+
+def test_alignment_with_null_and_repeated_keys(spark):
+    rng = random.Random(4)
+
+    def rows(job):
+        day = lambda: rng.choice([None, D(2000, 1, 1), D(2000, 2, 1)])
+        return [(rng.choice([None, 1, 2, 3, 4]), rng.choice([None, 1, 2, 3]), day(), day(), f"{job}{i}") for i in range(30)]
+
+    a, b = rows("l"), [*rows("r"), (9, 1, None, None, "r")]
+    schema = "person_id int, seq_pos int, start_dt date, end_dt date, job_id string"
+    got = JN.align_positional(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema),
+                              "person_id", "seq_pos", "start_dt", "end_dt")
+    sizes = [Counter(r[0] for r in x) for x in (a, b)]
+    met = [(x, y) for x in a for y in b if None not in x[:2] and x[:2] == y[:2]]
+    none = (None,) * 5
+    met += [(x, none) for x in a if all(x is not y for y, _ in met)]
+    met += [(none, y) for y in b if all(y is not z for _, z in met)]
+    want = []
+    for x, y in met:
+        seq, pos = (x if x is not none else y)[:2]
+        same = sizes[0][seq] == sizes[1][seq]
+        want.append((seq, pos, x[4], y[4], "bad_length" if not same else "match" if x[2:4] == y[2:4] else "bad_job"))
+    assert Counter(map(tuple, got.collect())) == Counter(want)
+
+
 def test_sequence_files_are_gzipped(spark):
     rows = [(p, i, D(2000, 1, 1), D(2001, 1, i), "c", f"d{i}", [float(i)]) for p in (1, 2) for i in (1, 2)]
     df = spark.createDataFrame(rows, "person_id bigint, seq_pos bigint, start_dt date, end_dt date, company string, "
