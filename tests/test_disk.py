@@ -109,3 +109,19 @@ def test_both_shards_are_gzipped(spark):
         files = glob.glob(s.removeprefix("file://") + "/part-*")
         assert files and all(f.endswith(".gz") for f in files)
     assert RX.read_resumes(spark, shards).select("ResumeID").distinct().count() == 20
+
+
+def test_topic_fit_keeps_two_tables_of_weights(spark):
+    docs = spark.createDataFrame([(i, f"red fox {'sat' if i % 2 else 'ran'} here") for i in range(12)], "id int, text string")
+    counts = TOP.term_counts(docs, "id", "text")
+    folder = os.path.dirname(counts.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0])
+    tables = lambda: set(glob.glob(f"{folder}/lda_weights-*"))
+    blocks = lambda: set(glob.glob(f"{folder}/lda_blocks-*"))
+    old, packed = tables(), blocks()
+    model = TOP.fit_lda(docs, "id", "text", k=2, max_iter=5, counts=counts)
+    assert len(tables() - old) == 2
+    shared = {r["id"]: r["topics"] for r in TOP.lda_doc_topics(model, docs, "id", "text", counts=counts).collect()}
+    assert len(blocks() - packed) == 1
+    model.corpus = None
+    again = {r["id"]: r["topics"] for r in TOP.lda_doc_topics(model, docs, "id", "text", counts=counts).collect()}
+    assert shared == again and len(shared) == 12
